@@ -5,21 +5,81 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import contained_items
+from .language_id import identify_languages, in_training
+from .licences import licences_sql, scan_licences
+from .mixing import mixed
 from .ngram_join import ngram_jaccard_join
+from .transport_stream import inspected, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(_table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), shingle=3, threshold=90)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", ~in_training(F.col("doc_id")))
+    found = identify_languages(docs, docs.where(in_training(F.col("doc_id"))), keep=("doc_id", "held_out"))
+    return found.select(
+        "doc_id", "held_out", "lang_pred", "score", F.array_join("languages", ",").alias("languages"), F.round("fit", 6).alias("fit")
+    )
+
+
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(_table(spark, sf_dir, "documents"))
+
+
+def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = inspected(stored(_table(spark, sf_dir, "documents")))
+    return found.drop("timestamps", "random_access")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_ngram_jaccard_join,)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_decontamination,
+            op2_mix_sources,
+            op3_ngram_jaccard_join,
+            op4_language_id,
+            op6_licence_scan,
+            op10_transport_stream,
+        )
+    }
+
+
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _shingled(table: str, key: str) -> str:
+    """DuckDB SQL of (row, key, distinct 5-word shingles) of a table's texts."""
+    return f"""
+  SELECT r, {key}, list_distinct(CASE WHEN len(w) < 5 THEN CASE WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM (SELECT row_number() OVER () AS r, {key}, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM {table} WHERE text IS NOT NULL)"""
+
+
+_OP1_SQL = f"""
+WITH d AS ({_shingled('documents', 'doc_id')}), q AS ({_shingled('benchmark', 'item_id')}),
+d1 AS (SELECT r, doc_id, unnest(s) AS x FROM d), q1 AS (SELECT r AS i, item_id, len(s) AS n_item, unnest(s) AS x FROM q)
+SELECT any_value(doc_id) AS doc_id, any_value(item_id) AS item_id, any_value(n_item)::BIGINT AS n_item, count(*)::BIGINT AS n_common
+FROM d1 JOIN q1 USING (x) GROUP BY r, i HAVING 100 * count(*) >= 80 * any_value(n_item)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": _OP1_SQL, "op6_licence_scan": licences_sql()}
