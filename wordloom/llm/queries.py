@@ -12,7 +12,9 @@ from .language_id import identify_languages, in_training
 from .licences import licences_sql, scan_licences
 from .mixing import mixed
 from .ngram_join import ngram_jaccard_join
+from .secrets import secrets_found, secrets_sql
 from .transport_stream import inspected, stored
+from .url_filter import judged, labelled_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +45,14 @@ def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(_table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_found(_table(spark, sf_dir, "documents"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(_table(spark, sf_dir, "pages"), labelled_urls(spark))
+
+
 def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = inspected(stored(_table(spark, sf_dir, "documents")))
     return found.drop("timestamps", "random_access")
@@ -57,6 +67,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op3_ngram_jaccard_join,
             op4_language_id,
             op6_licence_scan,
+            op7_secret_scan,
+            op8_url_filter,
             op10_transport_stream,
         )
     }
@@ -82,4 +94,4 @@ FROM d1 JOIN q1 USING (x) GROUP BY r, i HAVING 100 * count(*) >= 80 * any_value(
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": _OP1_SQL, "op6_licence_scan": licences_sql()}
+    return {"op1_decontamination": _OP1_SQL, "op6_licence_scan": licences_sql(), "op7_secret_scan": secrets_sql()}
