@@ -110,18 +110,36 @@ def _slices(batches: Iterator[pa.RecordBatch], shingle: int, threshold: int, sha
 
 
 def _grouped(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, the smallest owner of each, distinct pairs of that owner and the key's others)."""
+    """(distinct keys, the smallest owner of each, links between the owners of a key)."""
     order = np.lexsort((owner, key))
     key, owner = key[order], owner[order]
     first = np.append(True, key[1:] != key[:-1])
     head = owner[first][np.cumsum(first) - 1]
     other = owner != head
-    links = np.unique(np.stack([head[other], owner[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return key[first], owner[first], links
+    return key[first], owner[first], spanning(head[other], owner[other])
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Links [n, 2] of the same components as a - b has, one for each node but the smallest of its component."""
+    if not len(a):
+        return np.zeros((0, 2), np.int64)
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    pairs = np.unique(at.reshape(2, -1), axis=1)
+    low = np.arange(len(node))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, pairs[0], low[pairs[1]])
+        np.minimum.at(new, pairs[1], low[pairs[0]])
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    far = low != np.arange(len(node))
+    return np.stack([node[low[far]], node[far]], 1)
 
 
 def _shard_links(group: pd.DataFrame) -> pd.DataFrame:
-    """The links of one shard: each key's smallest owner with its other owners. A key has one owner a batch at most."""
+    """The links of one shard, between owners of a key. A key has one owner a batch at most."""
     key = np.concatenate([np.frombuffer(x, U64) for x in group["keys"]])
     owner = np.concatenate([np.frombuffer(x, np.int64) for x in group["owners"]])
     links = _grouped(key, owner)[2]
@@ -270,7 +288,8 @@ def families(texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
 def linked(texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
     """(h, label) for the text hashes that have links; h - label is the component. texts: (h, text)."""
     family = families(texts, shingle, threshold)
-    rows = texts.join(family, texts.h == family.node).select(F.col("label").alias("family"), "h", "text")
+    # the same plan at every size: texts are dealt out once, by hash
+    rows = texts.join(family.hint("merge"), texts.h == family.node).select(F.col("label").alias("family"), "h", "text")
     rows = rows.groupBy("family", "h").agg(F.first("text").alias("text"))
     sets = kept(rows.mapInArrow(lambda it: _sets(it, shingle), "family long, h long, set binary"), "sets")
     sizes = sets.groupBy("family").agg(F.count("*").alias("members"))
@@ -353,7 +372,7 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = 5, threshold: int = 80) -
         "rooted",
     )
     least = rows.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("members"))
-    least = least.where("members > 1").select(F.col("root").alias("of"), "least")
+    least = kept(least.where("members > 1").select(F.col("root").alias("of"), "least"), "least")
     joined = rows.join(least, (rows.root == least.of) & (rows.n_shingles > 0), "left")
     one = F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return joined.select("doc_id", "n_shingles", one.alias("component_id"))
