@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contained_items
+from .kneser_ney import quality
 from .language_id import identify_languages, in_training
 from .licences import licences_sql, scan_licences
 from .mixing import mixed
 from .ngram_join import ngram_jaccard_join
+from .pitman_yor import held_out, score_texts
 from .secrets import secrets_found, secrets_sql
 from .transport_stream import inspected, stored
 from .url_filter import judged, labelled_urls
@@ -41,6 +43,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_texts(docs, ~held_out(F.col("doc_id"))).withColumn("held_out", held_out(F.col("doc_id")))
+
+
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +60,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(_table(spark, sf_dir, "pages"), labelled_urls(spark))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = inspected(stored(_table(spark, sf_dir, "documents")))
     return found.drop("timestamps", "random_access")
@@ -66,9 +77,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op2_mix_sources,
             op3_ngram_jaccard_join,
             op4_language_id,
+            op5_pitman_yor,
             op6_licence_scan,
             op7_secret_scan,
             op8_url_filter,
+            op9_quality,
             op10_transport_stream,
         )
     }
