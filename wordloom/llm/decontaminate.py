@@ -66,26 +66,48 @@ def size_partitioned(sets: list[np.ndarray], percent: int) -> list[SizeRange]:
     return ranges
 
 
+def _hits(texts: pa.Array, ranges: list[SizeRange], sets: list[np.ndarray], shingle: int, percent: int) -> Iterator[tuple[int, int, int]]:
+    """(row, item, shingles in common) of each item that a text contains."""
+    for at, end, data, offsets in chunks(texts):
+        x, text = shingles(*words(data, offsets), shingle)
+        size = np.bincount(text, minlength=end - at)
+        cut = np.append(0, np.cumsum(size))
+        for r in ranges:
+            for t, i in r.candidates(x, text, size):
+                both = int(np.isin(sets[i], x[cut[t] : cut[t + 1]]).sum())
+                if 100 * both >= percent * len(sets[i]):
+                    yield at + t, i, both
+
+
 def _search(batches: Iterator[pa.RecordBatch], sets: list[np.ndarray], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
     ranges = size_partitioned(sets, percent)
     for batch in batches:
-        row, item, common = [], [], []
-        for at, end, data, offsets in chunks(batch.column(1)):
-            x, text = shingles(*words(data, offsets), shingle)
-            size = np.bincount(text, minlength=end - at)
-            cut = np.append(0, np.cumsum(size))
-            for r in ranges:
-                for t, i in r.candidates(x, text, size):
-                    own = np.unique(x[cut[t] : cut[t + 1]])
-                    both = int(np.isin(sets[i], own, assume_unique=True).sum())
-                    if 100 * both >= percent * len(sets[i]):
-                        row.append(at + t)
-                        item.append(i)
-                        common.append(both)
-        if row:
+        hits = list(_hits(batch.column(1), ranges, sets, shingle, percent))
+        if hits:
+            row, item, common = zip(*hits)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(item, pa.int32()), pa.array(common, pa.int32())], names=["id", "item", "common"])
 
 
+def _clean(batches: Iterator[pa.RecordBatch], sets: list[np.ndarray], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
+    ranges = size_partitioned(sets, percent)
+    for batch in batches:
+        stays = np.ones(len(batch), bool)
+        stays[[row for row, _, _ in _hits(batch.column("text"), ranges, sets, shingle, percent)]] = False
+        yield batch.filter(pa.array(stays))
+
+
+def _item_blocks(items: DataFrame, shingle: int) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Item ids and shingle sets of items (item_id, text), in blocks of about BLOCK_BYTES of text."""
+    items = items.select("item_id", "text").where("text is not null")
+    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
+    for block in range(blocks):
+        own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()  # BLOCK_BYTES of text or near it
+        sets = list(shingle_sets(pa.array([r.text for r in own], pa.string()), shingle))
+        keep = [i for i, s in enumerate(sets) if len(s)]
+        if keep:
+            yield [own[i].item_id for i in keep], [sets[i] for i in keep]
+
+
 def contained_items(docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, item_id, n_item, n_common): each row of docs (doc_id, text) with each item (item_id, text) it contains.
 
@@ -96,23 +118,14 @@ def contained_items(docs: DataFrame, items: DataFrame, shingle: int = 5, percent
     nothing and are in nothing. Rows given twice come out twice; null ids stay null. Without
     documents or items there are no rows.
     """
-    spark = docs.sparkSession
-    items = items.select("item_id", "text").where("text is not null")
-    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
     out = None
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()  # BLOCK_BYTES of text or near it
-        sets = [s for s in shingle_sets(pa.array([r.text for r in own], pa.string()), shingle)]
-        keep = [i for i, s in enumerate(sets) if len(s)]
-        if not keep:
-            continue
-        packed = [sets[i] for i in keep]
+    schema = items.select(F.lit(0).alias("item"), F.lit(0).alias("n_item"), "item_id").schema
+    for ids, sets in _item_blocks(items, shingle):
         found = docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(
-            lambda it, packed=packed: _search(it, packed, shingle, percent), "id long, item int, common int"
+            lambda it, sets=sets: _search(it, sets, shingle, percent), "id long, item int, common int"
         )
-        schema = items.select(F.lit(0).alias("item"), F.lit(0).alias("n_item"), "item_id").schema
-        named = spark.createDataFrame([(k, len(sets[i]), own[i].item_id) for k, i in enumerate(keep)], schema)
-        found = found.join(F.broadcast(named), "item").select(
+        named = docs.sparkSession.createDataFrame([(k, len(s), i) for k, (i, s) in enumerate(zip(ids, sets))], schema)
+        found = found.join(F.broadcast(named), "item").select(  # one block of items
             F.col("id").alias("doc_id"), "item_id", F.col("n_item").cast("long"), F.col("common").cast("long").alias("n_common")
         )
         out = found if out is None else out.unionByName(found)
@@ -122,6 +135,7 @@ def contained_items(docs: DataFrame, items: DataFrame, shingle: int = 5, percent
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows whose text contains an item; a null text stays."""
-    found = contained_items(docs.select(F.xxhash64("text").alias("doc_id"), "text"), items, shingle, percent)
-    return docs.join(found.select(F.col("doc_id").alias("_h")).distinct(), F.xxhash64(docs.text) == F.col("_h"), "left_anti")
+    """docs, all its columns, without the rows whose text contains an item; see contained_items. A null text stays."""
+    for _, sets in _item_blocks(items, shingle):
+        docs = docs.mapInArrow(lambda it, sets=sets: _clean(it, sets, shingle, percent), docs.schema)
+    return docs

@@ -107,7 +107,7 @@ def infer(grams: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return best[rank], share[rank], like / total
 
 
-def _identify(batches: Iterator[pa.RecordBatch], langs: list[str], model: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _identify(batches: Iterator[pa.RecordBatch], langs: list[str], model: np.ndarray, carry_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = batch.column("text")
         out: list[tuple] = []
@@ -121,8 +121,8 @@ def _identify(batches: Iterator[pa.RecordBatch], langs: list[str], model: np.nda
                 best, share, fit = infer(trigrams(own), model)
                 names = [langs[k] for k in best]
                 out.append((names[0], min(1.0, float(share[0])), names, share.tolist(), fit))
-        cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.float64()))]
-        rest = [c for c in batch.schema.names if c != "text"]
+        cols = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.float64()))]
+        rest = [c for c in batch.schema.names if c != "text" or carry_text]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *cols], names=[*rest, "lang_pred", "score", "languages", "shares", "fit"])
 
 
@@ -131,8 +131,8 @@ def in_training(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 != 2, F.lit(False))
 
 
-def identify_languages(docs: DataFrame, labelled: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns keep of docs with lang_pred, score, languages, shares and fit, a row for each row of docs.
+def identify_languages(docs: DataFrame, labelled: DataFrame, keep: tuple[str, ...] = ("doc_id",), carry_text: bool = False) -> DataFrame:
+    """The columns keep of docs, and text if carried, with lang_pred, score, languages, shares and fit, a row for each row of docs.
 
     languages: the selected set, the largest share first; lang_pred: the first of it; score: its
     share; fit: mean natural log likelihood of a trigram. Only text is an input. A null text, one
@@ -141,7 +141,7 @@ def identify_languages(docs: DataFrame, labelled: DataFrame, keep: tuple[str, ..
     (lang, text): rows with nulls teach nothing. Other columns are ignored. No rows in, none out.
     """
     langs, model = language_model(labelled)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep, *["text"] * carry_text).schema)
     schema += ", lang_pred string, score double, languages array<string>, shares array<double>, fit double"
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(*keep, "text").mapInArrow(lambda it: _identify(it, langs, shared.value), schema)
+    return docs.select(*keep, "text").mapInArrow(lambda it: _identify(it, langs, shared.value, carry_text), schema)
