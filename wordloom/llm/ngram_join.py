@@ -288,9 +288,9 @@ def families(texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
 def linked(texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
     """(h, label) for the text hashes that have links; h - label is the component. texts: (h, text)."""
     family = families(texts, shingle, threshold)
-    # the same plan at every size: texts are dealt out once, by hash
-    rows = texts.join(family.hint("merge"), texts.h == family.node).select(F.col("label").alias("family"), "h", "text")
-    rows = rows.groupBy("family", "h").agg(F.first("text").alias("text"))
+    # the same plan at every size: texts are dealt out once, by hash, and equal ones of a task as one
+    once = texts.groupBy("h").agg(F.first("text").alias("text"))
+    rows = once.join(family.hint("merge"), once.h == family.node).select(F.col("label").alias("family"), "h", "text")
     sets = kept(rows.mapInArrow(lambda it: _sets(it, shingle), "family long, h long, set binary"), "sets")
     sizes = sets.groupBy("family").agg(F.count("*").alias("members"))
     sets = sets.join(sizes, "family").withColumn("chunks", F.ceil(F.col("members") / LEAVES).cast("int"))
