@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import kept
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -175,8 +177,9 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     index = posted(rows, grams).groupBy("_h", "_n").agg(F.collect_set("gram").alias("_grams"))  # a few dozen trigrams at most
     flags = [_holds(queries[r.kind], F.col("_grams")).alias(f"_is_{r.kind}") for r in indexed]
     names = [f"_is_{r.kind}" for r in indexed]
-    found = index.select(F.col("_h").alias("_h2"), F.col("_n").alias("_n2"), *flags).where(" or ".join(names))
-    rows = rows.join(found, (F.col("_h") == F.col("_h2")) & (F.col("_n") == F.col("_n2")), "left")
+    found = kept(index.select(F.col("_h").alias("_h2"), F.col("_n").alias("_n2"), *flags).where(" or ".join(names)), "candidates")
+    # the same plan at every size; what is kept has an exchange of its own, so hot texts are split between tasks
+    rows = rows.join(found.hint("merge"), (F.col("_h") == F.col("_h2")) & (F.col("_n") == F.col("_n2")), "left")
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
     every = []
     for order, rule in enumerate(rules):

@@ -2,33 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: `[^\x20\x09-\x0D]+` is a word: Java's class of what stands between words.
-GAPS = r"[\x20\x09-\x0D]+"
-
+from ..sources.shared import kept, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where unset (tests, one machine), a folder of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-wordloom-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+__all__ = ["GAPS", "kept", "n_words", "shared_folder", "text_bytes"]
 
-
-def kept(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends, and lost executors cost no rerun."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    writer = df.write.partitionBy(*by) if by else df.write
-    writer.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+#: `[^\x20\x09-\x0D]+` is a word: Java's class of what stands between words.
+GAPS = r"[\x20\x09-\x0D]+"
 
 
 def n_words(text) -> F.Column:
