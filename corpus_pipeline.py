@@ -23,14 +23,15 @@ from wordloom.llm.secrets import redacted
 from wordloom.llm.shared import kept
 
 LEAST_SHARE = 0.5
+_FOUND = "language found by stage 1"  # a column name that tables won't have
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs of a determined language that has LEAST_SHARE of the text or more; lang is that language."""
-    cols = docs.columns
-    found = identify_languages(docs, docs.where(in_training(F.col("doc_id"))), keep=tuple(c for c in cols if c != "text"), carry_text=True)
+    packed = docs.select(F.struct("*").alias("row"), "text")
+    found = identify_languages(packed, docs.where(in_training(F.col("doc_id"))), keep=("row",))
     found = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
-    return found.withColumn("lang", F.col("lang_pred")).select(cols)
+    return found.select("row.*", F.col("lang_pred").alias(_FOUND)).withColumn("lang", F.col(_FOUND)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = ngram_jaccard_join(docs, shingle=5, threshold=80)
     gone = found.where((F.col("component_id") != F.col("doc_id")) | F.col("doc_id").isNull() & F.col("component_id").isNotNull())
     ids = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(ids, docs.doc_id.eqNullSafe(F.col("_gone")), "left_anti").select(docs.columns)
+    left = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_gone"]), "left_anti").select(docs.columns)
     again = kept(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "again")
     if again.isEmpty():
         return left

@@ -149,52 +149,59 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
     return F.aggregate(parts, empty, step, lambda acc: acc["spans"])
 
 
-def _text_of(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"_text": text, "_h": F.xxhash64(text), "_n": F.octet_length(text)})
+def _own_names(docs: DataFrame) -> str:
+    """A prefix that no column of docs has."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
+def posted(texts: DataFrame, grams: list[str]) -> DataFrame:
+    """The inverted index of the given trigrams: (gram, h, n), a row for each distinct text (h, n, text) that has one in any case."""
+    listed = F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(F.col("low"), g))
+    rows = texts.select("h", "n", F.lower("text").alias("low")).select("h", "n", F.explode(listed).alias("gram"))
+    return rows.select("gram", "h", "n").distinct()
 
 
-def posted(docs: DataFrame, grams: list[str]) -> DataFrame:
-    """The inverted index of the given trigrams: (gram, _h, _n), a row for each distinct text that has one in any case."""
-    low = F.lower("_text")
-    listed = F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(F.col("_low"), g))
-    rows = docs.select("_h", "_n", low.alias("_low")).select("_h", "_n", F.explode(listed).alias("gram"))
-    return rows.select("gram", "_h", "_n").distinct()
+def candidates(texts: DataFrame, queries: dict[str, object]) -> DataFrame:
+    """(h, n, a column for each kind): the texts whose postings answer the query of some kind."""
+    index = posted(texts, sorted(set().union(*map(_grams, queries.values()))))
+    index = index.groupBy("h", "n").agg(F.collect_set("gram").alias("grams"))  # a few dozen trigrams at most
+    flags = [_holds(q, F.col("grams")).alias(kind) for kind, q in queries.items()]
+    return kept(index.select("h", "n", *flags).where(" or ".join(queries)), "candidates")
 
 
-def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with _spans: array<struct<start, order, end, kind>> of all secrets in text, by start, then order of rules.
+def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, out: str = "_spans") -> DataFrame:
+    """docs with out: array<struct<start, order, end, kind>> of all secrets in text, by start, then order of rules.
 
     Positions are code points, ends are exclusive. A null or empty text has no spans. Every row and column of docs
-    stays, whatever the keys; columns of docs must not be named _text, _h, _n or _spans. A text's postings
-    and a candidate's rules stand under the text's hash and length; texts that happen to share both are merely
-    searched once more than they need be.
+    stays, whatever the keys and names. A text's postings and a candidate's rules stand under the text's hash and length;
+    texts that happen to share both are merely searched once more than they need be.
     """
+    own = _own_names(docs)
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
-    indexed = [r for r in rules if queries[r.kind] is not True]
-    rows = _text_of(docs)
-    grams = sorted(set().union(*(_grams(queries[r.kind]) for r in indexed)))
-    index = posted(rows, grams).groupBy("_h", "_n").agg(F.collect_set("gram").alias("_grams"))  # a few dozen trigrams at most
-    flags = [_holds(queries[r.kind], F.col("_grams")).alias(f"_is_{r.kind}") for r in indexed]
-    names = [f"_is_{r.kind}" for r in indexed]
-    found = kept(index.select(F.col("_h").alias("_h2"), F.col("_n").alias("_n2"), *flags).where(" or ".join(names)), "candidates")
+    indexed = {kind: q for kind, q in queries.items() if q is not True}
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.withColumns({f"{own}t": text, f"{own}h": F.xxhash64(text), f"{own}n": F.octet_length(text)})
+    found = candidates(rows.select(F.col(f"{own}t").alias("text"), F.col(f"{own}h").alias("h"), F.col(f"{own}n").alias("n")), indexed)
+    found = found.select([F.col(c).alias(f"{own}is_{c}") for c in found.columns])
     # the same plan at every size; what is kept has an exchange of its own, so hot texts are split between tasks
-    rows = rows.join(found.hint("merge"), (F.col("_h") == F.col("_h2")) & (F.col("_n") == F.col("_n2")), "left")
+    rows = rows.join(found.hint("merge"), (F.col(f"{own}h") == F.col(f"{own}is_h")) & (F.col(f"{own}n") == F.col(f"{own}is_n")), "left")
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
     every = []
     for order, rule in enumerate(rules):
-        on = F.col(f"_is_{rule.kind}") if rule in indexed else F.col("_text").rlike(_java(rule) if rule.least < 2 else _long(rule))
-        every.append(F.when(on, spans(F.col("_text"), rule, order)).otherwise(none))
-    return rows.withColumn("_spans", F.array_sort(F.flatten(F.array(*every)))).drop("_text", "_h", "_n", "_h2", "_n2", *names)
+        on = F.col(f"{own}is_{rule.kind}") if rule.kind in indexed else F.col(f"{own}t").rlike(_java(rule) if rule.least < 2 else _long(rule))
+        every.append(F.when(on, spans(F.col(f"{own}t"), rule, order)).otherwise(none))
+    rows = rows.withColumn(f"{own}out", F.array_sort(F.flatten(F.array(*every))))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(f"{own}out").alias(out))
 
 
 def _long(rule: Rule) -> str:
-    """An expression that finds something wherever a long enough match of `class+` is."""
-    return re_sub_plus(rule.pattern, rule.least)
-
-
-def re_sub_plus(pattern: str, least: int) -> str:
-    return pattern[:-1] + f"{{{least}}}" if pattern.endswith("]+") and pattern.startswith("[") else pattern
+    """An expression that finds something wherever a long enough match is: a class repeated as often."""
+    if rule.pattern.startswith("[") and rule.pattern.endswith("]+"):
+        return f"{rule.pattern[:-1]}{{{rule.least}}}"
+    return _java(rule)
 
 
 def listed(spans_: Column) -> Column:
@@ -219,7 +226,8 @@ def secrets_found(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with every secret in text replaced by the mark; overlapping spans get one mark. Null texts stay null."""
-    found = scan_secrets(docs)
+    own = _own_names(docs)
+    found = scan_secrets(docs, out=f"{own}spans")
     empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -230,8 +238,8 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         )
 
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    new = F.aggregate("_spans", empty, step, rest)
-    return found.withColumn("text", F.when(F.size("_spans") > 0, new).otherwise(F.col("text"))).drop("_spans")
+    new = F.aggregate(f"{own}spans", empty, step, rest)
+    return found.withColumn("text", F.when(F.size(f"{own}spans") > 0, new).otherwise(F.col("text"))).select(docs.columns)
 
 
 def secrets_sql() -> str:
