@@ -331,7 +331,7 @@ def _large(sets: DataFrame, links: DataFrame, best: DataFrame, threshold: int) -
     block = F.pmod(F.xxhash64(F.col("h"), F.lit(4)), "blocks")
     every = own.join(blocks, "family").withColumn("chunk", chunk).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     asked = outside.join(blocks, "family").withColumn("to", block).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") * 2 - 1)))
-    cols = [F.xxhash64("family", "chunk", "to").alias("tree"), "h", "label", "set"]
+    cols = [F.xxhash64("family", F.col("chunk").cast("long"), F.col("to").cast("long")).alias("tree"), "h", "label", "set"]
     rows = every.select(*cols, F.lit(False).alias("side")).unionByName(asked.select(*cols, F.lit(True).alias("side")))
     step = kept(_trees(rows, threshold), "joined")
     return found.unionByName(step.select(F.col("label").alias("a"), F.col("new").alias("b")))
