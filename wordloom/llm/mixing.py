@@ -75,7 +75,10 @@ def multipliers(classes: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def _rounded(group: pd.DataFrame) -> pd.DataFrame:
-    """Copies of one stratum: floor or ceiling of the rate, whichever keeps the words taken so far nearest to what is due."""
+    """Copies of one stratum: floor or ceiling of the rate, whichever keeps the words taken so far nearest to what is due.
+
+    What a document larger than all that follow leaves over is made up for by further copies of those, or fewer.
+    """
     group = group.sort_values(["size", "key"], ascending=[False, True], kind="stable")
     copies, owed = [], 0.0
     for size, rate, most in zip(group["size"].tolist(), group["rate"].tolist(), group["most"].tolist()):
@@ -83,6 +86,12 @@ def _rounded(group: pd.DataFrame) -> pd.DataFrame:
         n = low if size == 0 or low >= most else low + (owed + (rate - low) * size >= size / 2)
         owed += (rate - n) * size
         copies.append(n)
+    for k, (size, most) in enumerate(zip(group["size"].tolist(), group["most"].tolist())):
+        if size and abs(owed) >= size / 2:
+            n = min(max(copies[k] + int(round(owed / size)), 0), most)
+            if abs(owed - (n - copies[k]) * size) < abs(owed):
+                owed -= (n - copies[k]) * size
+                copies[k] = n
     return pd.DataFrame({"key": group["key"], "size": group["size"], "of": group["of"], "copies": copies})
 
 

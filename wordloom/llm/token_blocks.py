@@ -22,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept
+from .shared import kept, n_words
 from .words import U64, chunks, mix, words
 
 BLOCK_BYTES = 8 << 20
-MIN_SHARE = 2e-5
+MIN_SHARE = 2e-5  # classes number less than 1 << 16, so a pair of them fits 32 bits
 SHARD_ENTRIES = 1 << 20
 END = U64(0x0E4D0F7E87)
 
@@ -45,22 +45,31 @@ def unsqueeze(b: bytes) -> np.ndarray:
     return x[:half].astype(np.uint32) | x[half:].astype(np.uint32) << 16
 
 
-def _block(number: int, rows: pa.RecordBatch, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def _counted(h: np.ndarray, n: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words and the end, place of each word, counts in training texts)."""
     vocab, at = np.unique(np.append(h, END), return_inverse=True)
-    end = at[-1]
-    train = np.array(rows.column("train").fill_null(False).to_pylist(), bool)
     counts = np.bincount(at[:-1][np.repeat(train, n)], minlength=len(vocab))
-    counts[end] += train.sum()
+    counts[at[-1]] += train.sum()
+    return vocab, at[:-1], counts
+
+
+def _block(number: int, rows: pa.RecordBatch, h: np.ndarray, n: np.ndarray, classes: Classes | None) -> pa.RecordBatch:
+    train = np.array(rows.column("train").fill_null(False).to_pylist(), bool)
+    if classes:
+        vocab, at, counts = np.zeros(0, U64), classes.of(h), np.zeros(0, np.int64)
+    else:
+        vocab, at, counts = _counted(h, n, train)
     row = [
         number, rows.column("doc_id").to_pylist(), train.tolist(), rows.column("label").to_pylist(), n.tolist(), vocab.tobytes(),
-        squeeze(at[:-1]), squeeze(counts), len(vocab), int(n.sum()) + len(n), int(counts.sum()),
+        squeeze(at), squeeze(counts), len(vocab), int(n.sum()) + len(n), int((n + 1)[train].sum()),
     ]
     kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.string()), pa.list_(pa.int32()), *[pa.binary()] * 3, pa.int32(), pa.int64(), pa.int64()]
     names = [x.split(" ")[0] for x in BLOCKS.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(number, rows, words, words of each row) of parts of about BLOCK_BYTES of text. Numbers are the same if a task is run again."""
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
         held, size, first = [], 0, 0
@@ -69,14 +78,22 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append((h, np.diff(starts)))
             size += len(data)
             if size >= BLOCK_BYTES or end == len(batch):
-                yield _block(number, batch.slice(first, end - first), *(np.concatenate(x) for x in zip(*held)))
+                yield number, batch.slice(first, end - first), *(np.concatenate(x) for x in zip(*held))
                 number, held, size, first = number + 1, [], 0, end
 
 
-def blocks_of(docs: DataFrame) -> DataFrame:
-    """The blocks of docs (doc_id long, train boolean, label string, text), kept in the shared folder."""
+def _encode(batches: Iterator[pa.RecordBatch], classes: Classes | None) -> Iterator[pa.RecordBatch]:
+    for number, rows, h, n in _parts(batches):
+        yield _block(number, rows, h, n, classes)
+
+
+def blocks_of(docs: DataFrame, classes: Classes | None = None) -> DataFrame:
+    """The blocks of docs (doc_id long, train boolean, label string, text), kept in the shared folder.
+
+    With classes, words are stored as their classes and their hashes aren't kept.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("train"), F.col("label").cast("string").alias("label"), "text")
-    return kept(rows.mapInArrow(_encode, BLOCKS), "blocks")
+    return kept(rows.mapInArrow(lambda it: _encode(it, classes), BLOCKS), "blocks")
 
 
 def _dealt(key: np.ndarray, shards: int) -> np.ndarray:
@@ -125,7 +142,7 @@ def _word_totals(group: pd.DataFrame, least: float, reply: bool) -> pd.DataFrame
     """Replies of counts to the blocks; and a row without block: words of at least so many, and the number of all with a count."""
     every, total, at, cut = _totals(group, U64)
     shard = int(group["shard"].iloc[0])
-    often = total >= max(least, 1)
+    often = (total >= max(least, 1)) | (every == END) & (total > 0)
     rows = [(None, shard, every[often].tobytes(), total[often].tobytes(), int((total > 0).sum()))]
     if reply:
         rows += [(b, shard, None, total[at[cut[i] : cut[i + 1]]].tobytes(), 0) for i, b in enumerate(group["block"])]
@@ -136,10 +153,29 @@ def n_shards(entries: int) -> int:
     return max(16, -(-entries // SHARD_ENTRIES))
 
 
-def word_counts(blocks: DataFrame, train_tokens: int, reply: bool) -> tuple[DataFrame, int, np.ndarray, np.ndarray, int]:
+def _training_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    for number, rows, h, n in _parts(batches):
+        vocab, _, counts = _counted(h, n, np.ones(len(rows), bool))
+        yield _requests(number, vocab, counts, shards)
+
+
+def training_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """(frequent words in order, the end among them; their counts; number of distinct words) of training texts (text)."""
+    tokens, size = docs.agg(F.sum(n_words(F.col("text")) + 1), F.sum(F.octet_length("text"))).first()
+    shards = max(16, (size or 0) // (SHARD_ENTRIES * 64))
+    asked = docs.select("text").mapInArrow(lambda it: _training_words(it, shards), REQUESTS)
+    return _frequent(asked, tokens or 0, reply=False)[1:]
+
+
+def word_counts(blocks: DataFrame, train_tokens: int) -> tuple[DataFrame, int, np.ndarray, np.ndarray, int]:
     """(replies (block, shard, values), shards, frequent words in order, their counts, number of distinct training words)."""
     shards = n_shards(blocks.agg(F.sum("types")).first()[0] or 0)
     asked = blocks.select("block", "vocab", "counts").mapInArrow(lambda it: _word_requests(it, shards), REQUESTS)
+    replies, *rest = _frequent(asked, train_tokens, reply=True)
+    return replies, shards, *rest
+
+
+def _frequent(asked: DataFrame, train_tokens: int, reply: bool) -> tuple[DataFrame, np.ndarray, np.ndarray, int]:
     least = MIN_SHARE * train_tokens
     out = kept(
         asked.groupBy("shard").applyInPandas(lambda g: _word_totals(g, least, reply), "block long, shard int, words binary, values binary, types long"),
@@ -149,7 +185,7 @@ def word_counts(blocks: DataFrame, train_tokens: int, reply: bool) -> tuple[Data
     word = np.concatenate([np.zeros(0, U64), *(np.frombuffer(r.words, U64) for r in often)])
     count = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["values"], np.int64) for r in often)])
     order = np.argsort(word)
-    return out.where("block is not null").select("block", "shard", "values"), shards, word[order], count[order], sum(r.types for r in often)
+    return out.where("block is not null").select("block", "shard", "values"), word[order], count[order], sum(r.types for r in often)
 
 
 class Classes:
@@ -170,13 +206,13 @@ class Classes:
 
 
 def stream(classes: Classes, vocab: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class of each token, class before it, its text) of a block, texts' ends included; an end stands before each text."""
+    """(class of each token, class before it, its text) of a block, texts' ends included; an end stands before each text. at: places in vocab, or classes."""
     text = np.repeat(np.arange(len(n)), n + 1)
     ends = np.cumsum(n + 1) - 1
     cls = np.full(len(text), classes.end, np.int64)
     word = np.ones(len(text), bool)
     word[ends] = False
-    cls[word] = classes.of(vocab)[at]
+    cls[word] = classes.of(vocab)[at] if len(vocab) else at
     return cls, np.append(classes.end, cls[:-1]) if len(cls) else cls, text
 
 
@@ -186,7 +222,7 @@ def _pair_requests(batches: Iterator[pa.RecordBatch], classes: Classes, shards:
             cls, before, text = stream(classes, np.frombuffer(vocab, U64), unsqueeze(at), np.array(n, np.int64))
             pair, place = np.unique(before * classes.n + cls, return_inverse=True)
             counts = np.bincount(place[np.array(train, bool)[text]], minlength=len(pair))
-            yield _requests(block, pair.astype(np.int64), counts, shards)
+            yield _requests(block, pair.astype(np.uint32), counts, shards)
 
 
 def pair_requests(blocks: DataFrame, classes: Classes) -> tuple[DataFrame, int]:
@@ -197,9 +233,9 @@ def pair_requests(blocks: DataFrame, classes: Classes) -> tuple[DataFrame, int]:
 
 
 def _pair_totals(group: pd.DataFrame) -> pd.DataFrame:
-    every, total, _, _ = _totals(group, np.int64)
+    every, total, _, _ = _totals(group, np.uint32)
     seen = total > 0
-    return pd.DataFrame([(int(group["shard"].iloc[0]), every[seen].tobytes(), total[seen].tobytes())], columns=["shard", "pairs", "counts"])
+    return pd.DataFrame([(int(group["shard"].iloc[0]), every[seen].astype(np.int64).tobytes(), total[seen].tobytes())], columns=["shard", "pairs", "counts"])
 
 
 def pair_counts(asked: DataFrame) -> DataFrame:
@@ -212,7 +248,7 @@ def _pair_replies(asked: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
     values = np.concatenate([np.zeros(0), *(np.frombuffer(x, np.float64) for x in model["value"])])
     out = []
     for shard, block, keys in zip(asked["shard"], asked["block"], asked["keys"]):
-        keys = np.frombuffer(keys, np.int64)
+        keys = np.frombuffer(keys, np.uint32).astype(np.int64)
         v = np.zeros(len(keys), np.float32)
         if len(pairs):
             at = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
