@@ -20,7 +20,7 @@ from wordloom.llm.language_id import UNDETERMINED, identify_languages, in_traini
 from wordloom.llm.mixing import mixed
 from wordloom.llm.ngram_join import ngram_jaccard_join
 from wordloom.llm.secrets import redacted
-from wordloom.llm.shared import kept
+from wordloom.llm.shared import kept, looked_up
 
 LEAST_SHARE = 0.5
 _FOUND = "language found by stage 1"  # a column name that tables won't have
@@ -38,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """docs with one document, the smallest doc_id, of each group linked by five-word shingles at 0.8."""
     found = ngram_jaccard_join(docs, shingle=5, threshold=80)
     gone = found.where((F.col("component_id") != F.col("doc_id")) | F.col("doc_id").isNull() & F.col("component_id").isNotNull())
-    ids = gone.select(F.col("doc_id").alias("_gone")).distinct()
+    ids = looked_up(gone.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     left = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_gone"]), "left_anti").select(docs.columns)
     again = kept(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "again")
     if again.isEmpty():

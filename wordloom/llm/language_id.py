@@ -109,7 +109,7 @@ def infer(grams: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _identify(batches: Iterator[pa.RecordBatch], langs: list[str], model: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text = batch.column("text")
+        text = batch.column(batch.num_columns - 1)
         out: list[tuple] = []
         lower = pc.utf8_lower(text)
         for at, end, data, offsets in chunks(lower):
@@ -122,8 +122,8 @@ def _identify(batches: Iterator[pa.RecordBatch], langs: list[str], model: np.nda
                 names = [langs[k] for k in best]
                 out.append((names[0], min(1.0, float(share[0])), names, share.tolist(), fit))
         cols = [pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.float64()))]
-        rest = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *cols], names=[*rest, "lang_pred", "score", "languages", "shares", "fit"])
+        names = [*batch.schema.names[:-1], "lang_pred", "score", "languages", "shares", "fit"]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=names)
 
 
 def in_training(doc_id: Column) -> Column:
@@ -144,4 +144,4 @@ def identify_languages(docs: DataFrame, labelled: DataFrame, keep: tuple[str, ..
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     schema += ", lang_pred string, score double, languages array<string>, shares array<double>, fit double"
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(*keep, "text").mapInArrow(lambda it: _identify(it, langs, shared.value), schema)
+    return docs.select(*keep, F.col("text").alias("text of which the language is asked")).mapInArrow(lambda it: _identify(it, langs, shared.value), schema)

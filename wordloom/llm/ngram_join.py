@@ -25,11 +25,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import kept, text_bytes
+from .shared import kept, looked_up, text_bytes
 from .words import U64, chunks, mix, shingle_sets, shingles, words
 
 RANGE_RATIO = 1.4  # of the size ranges
@@ -56,7 +57,7 @@ def slice_plan(ends: list[int], at: int, threshold: int) -> tuple[int, int]:
     equal, and as each set leaves out q at most, an equal one remains.
     """
     differ = 2 * (ends[at + 1] - 1) * (100 - threshold) // (100 + threshold)
-    skip = differ // 10
+    skip = differ // 16
     return differ + 1 + 2 * skip, skip
 
 
@@ -82,8 +83,25 @@ def slice_keys(s: np.ndarray, ends: list[int], threshold: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _pack(key: np.ndarray, owner: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Sorted keys as differences, byte by byte; owners as places in a list of them; the list."""
+    gaps = np.diff(key, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T
+    listed, at = np.unique(owner, return_inverse=True)
+    return zstandard.compress(gaps.tobytes(), 1), at.astype(np.uint16 if len(listed) < 1 << 16 else np.uint32).tobytes(), listed.tobytes()
+
+
+def _unpack(keys: bytes, owners: bytes, listed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    gaps = np.frombuffer(zstandard.decompress(keys), np.uint8).reshape(8, -1).T
+    key = np.cumsum(np.ascontiguousarray(gaps).view(U64).ravel(), dtype=U64)
+    every = np.frombuffer(listed, np.int64)
+    return key, every[np.frombuffer(owners, np.uint16 if len(every) < 1 << 16 else np.uint32)]
+
+
+SLICES = "shard int, keys binary, owners binary, listed binary, links binary"
+
+
 def _slices(batches: Iterator[pa.RecordBatch], shingle: int, threshold: int, shards: int) -> Iterator[pa.RecordBatch]:
-    """Texts to rows of packed slices (shard, keys, owners) and, with shard null, links found in the batch."""
+    """Texts to a row of packed slices for each shard, one of which carries the links found in the batch."""
     ends = size_ranges(1 << 20, threshold)
     for batch in batches:
         h = batch.column(0).to_numpy(zero_copy_only=False)
@@ -100,13 +118,10 @@ def _slices(batches: Iterator[pa.RecordBatch], shingle: int, threshold: int, sha
         shard = ((key >> U64(32)) * U64(shards)) >> U64(32)
         cut = np.searchsorted(shard, np.arange(shards + 1, dtype=U64))
         full = np.flatnonzero(np.diff(cut))
-        rows = [(int(k), key[cut[k] : cut[k + 1]].tobytes(), owner[cut[k] : cut[k + 1]].tobytes()) for k in full]
-        if len(links):
-            rows.append((None, links[:, 0].tobytes(), links[:, 1].tobytes()))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
-            names=["shard", "keys", "owners"],
-        )
+        packed = [_pack(key[cut[k] : cut[k + 1]], owner[cut[k] : cut[k + 1]]) for k in full]
+        with_links = [links.tobytes() if k == h[0] % len(full) else b"" for k in range(len(full))]
+        cols = [pa.array(full.astype(np.int32)), *(pa.array(c, pa.binary()) for c in (*zip(*packed), with_links))]
+        yield pa.RecordBatch.from_arrays(cols, names=[x.split(" ")[0] for x in SLICES.split(", ")])
 
 
 def _grouped(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,19 +154,13 @@ def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _shard_links(group: pd.DataFrame) -> pd.DataFrame:
-    """The links of one shard, between owners of a key. A key has one owner a batch at most."""
-    key = np.concatenate([np.frombuffer(x, U64) for x in group["keys"]])
-    owner = np.concatenate([np.frombuffer(x, np.int64) for x in group["owners"]])
-    links = _grouped(key, owner)[2]
+    """The links of one shard, between owners of a key, and those found before. A key has one owner a batch at most."""
+    key, owner = (np.concatenate(x) for x in zip(*(_unpack(*r) for r in zip(group["keys"], group["owners"], group["listed"]))))
+    links = np.concatenate([_grouped(key, owner)[2], *(np.frombuffer(x, np.int64).reshape(-1, 2) for x in group["links"])])
+    links = spanning(links[:, 0], links[:, 1])
     return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b in zip(batch.column(0), batch.column(1)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), np.int64)) for x in (a, b)], names=["a", "b"])
-
-
 class SignatureTree:
     """Levels of nodes over sets ordered by size: level 0 has the sets, the last one the root.
 
@@ -278,19 +287,16 @@ def _trees(rows: DataFrame, threshold: int) -> DataFrame:
 def families(texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
     """(node, label): hashes of texts (h, text) that share an equal slice, directly or by others, and their family."""
     shards = max(16, -(-text_bytes(texts) // SHARD_BYTES))
-    packed = texts.select("h", "text").mapInArrow(lambda it: _slices(it, shingle, threshold, shards), "shard int, keys binary, owners binary")
-    packed = kept(packed, "slices")
-    across = packed.where("shard is not null").groupBy("shard").applyInPandas(_shard_links, "a long, b long")
-    within = packed.where("shard is null").select("keys", "owners").mapInArrow(_unpacked, "a long, b long")
-    return components(across.unionByName(within))
+    packed = texts.select("h", "text").mapInArrow(lambda it: _slices(it, shingle, threshold, shards), SLICES)
+    return components(packed.groupBy("shard").applyInPandas(_shard_links, "a long, b long"))
 
 
 def linked(texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
     """(h, label) for the text hashes that have links; h - label is the component. texts: (h, text)."""
     family = families(texts, shingle, threshold)
-    # the same plan at every size: texts are dealt out once, by hash, and equal ones of a task as one
-    once = texts.groupBy("h").agg(F.first("text").alias("text"))
-    rows = once.join(family.hint("merge"), once.h == family.node).select(F.col("label").alias("family"), "h", "text")
+    near = texts.join(looked_up(family, "families"), texts.h == F.col("node"))
+    rows = near.groupBy("h", F.col("label").alias("family")).agg(F.first("text").alias("text"))  # equal texts of a task are one
+    rows = rows.select("family", "h", "text")
     sets = kept(rows.mapInArrow(lambda it: _sets(it, shingle), "family long, h long, set binary"), "sets")
     sizes = sets.groupBy("family").agg(F.count("*").alias("members"))
     sets = sets.join(sizes, "family").withColumn("chunks", F.ceil(F.col("members") / LEAVES).cast("int"))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept
+from .shared import looked_up
 
 
 @dataclass(frozen=True)
@@ -169,7 +169,7 @@ def candidates(texts: DataFrame, queries: dict[str, object]) -> DataFrame:
     index = posted(texts, sorted(set().union(*map(_grams, queries.values()))))
     index = index.groupBy("h", "n").agg(F.collect_set("gram").alias("grams"))  # a few dozen trigrams at most
     flags = [_holds(q, F.col("grams")).alias(kind) for kind, q in queries.items()]
-    return kept(index.select("h", "n", *flags).where(" or ".join(queries)), "candidates")
+    return index.select("h", "n", *flags).where(" or ".join(queries))
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, out: str = "_spans") -> DataFrame:
@@ -185,9 +185,8 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, out: str = "_
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.withColumns({f"{own}t": text, f"{own}h": F.xxhash64(text), f"{own}n": F.octet_length(text)})
     found = candidates(rows.select(F.col(f"{own}t").alias("text"), F.col(f"{own}h").alias("h"), F.col(f"{own}n").alias("n")), indexed)
-    found = found.select([F.col(c).alias(f"{own}is_{c}") for c in found.columns])
-    # the same plan at every size; what is kept has an exchange of its own, so hot texts are split between tasks
-    rows = rows.join(found.hint("merge"), (F.col(f"{own}h") == F.col(f"{own}is_h")) & (F.col(f"{own}n") == F.col(f"{own}is_n")), "left")
+    found = looked_up(found.select([F.col(c).alias(f"{own}is_{c}") for c in found.columns]), "candidates")
+    rows = rows.join(found, (F.col(f"{own}h") == F.col(f"{own}is_h")) & (F.col(f"{own}n") == F.col(f"{own}is_n")), "left")
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
     every = []
     for order, rule in enumerate(rules):
