@@ -70,7 +70,18 @@ def test_slices_of_linked_sets_meet():
                 b = np.unique(np.append(rng.permutation(a)[drop:], rng.integers(0, 2**63, add).astype(U64)))
                 both = len(np.intersect1d(a, b))
                 if len(b) and 100 * both >= threshold * (len(a) + len(b) - both):
-                    assert np.intersect1d(N.slice_keys(a, ends, threshold), N.slice_keys(b, ends, threshold)).size
+                    sides = []
+                    for x in (a, b):
+                        parts = N.slice_keys(x, ends, threshold)
+                        key = np.concatenate([k for k, _, _ in parts])
+                        part = np.repeat(np.arange(len(parts)), [len(k) for k, _, _ in parts])
+                        equal = np.repeat([e for _, _, e in parts], [len(k) for k, _, _ in parts])
+                        crowd = rng.permutation(key)[: len(key) // 3]  # what others have, too
+                        both_key, both_part = np.append(key, crowd), np.append(part, np.full(len(crowd), len(parts)))
+                        stay = N.without_common(both_key, both_part, np.array([q for _, q, _ in parts] + [0]))[: len(key)]
+                        sides.append(dict(zip(key[stay].tolist(), equal[stay].tolist())))
+                    shared = sum(1 / e for k, e in sides[0].items() if k in sides[1])
+                    assert shared >= 1 - 1e-9
 
 
 def test_tree_prunes_no_link():

@@ -16,8 +16,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     through partial aggregates, so that a hub with very many links is no single task's work.
     Rounds end when no label changes. Null ends count as no link.
     """
-    both = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y")
-    both = kept(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links")
+    ends = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y")
+    ways = F.inline(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"))))
+    both = kept(ends.select(ways).distinct(), "links")
     labels = kept(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("x"), F.min("y")).alias("label")), "labels")
     while True:
         near = both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("label").alias("least"))

@@ -4,9 +4,9 @@ A document is the set of its distinct word shingles; two link when
 100 * |intersection| >= threshold * |union|. The join is exact and works in four steps:
 
 1. Families. The shingles of a set are cut by hash into slices. Two linked sets differ in
-   at most D shingles, so among D + 1 slices one is equal in both. Sets that share an equal
-   slice fall into one family (components of that relation), so every link lies in a family.
-   Sizes are dealt into geometric ranges, each with its own number of slices.
+   at most D shingles, so among D + k slices k are equal in both. Sets that share as many
+   equal slices fall into one family (components of that relation), so every link lies in a family.
+   Sizes are dealt into geometric ranges; each range, and each border between two, has its own number of slices.
 2. Signature trees. A family's distinct sets become leaves, ordered by size; every node holds
    the OR of the token bitmaps below it and the range of set sizes.
 3. Dual traversal. Pairs of nodes are pruned when their size ranges can't meet the threshold or
@@ -33,7 +33,7 @@ from .components import components
 from .shared import kept, looked_up, text_bytes
 from .words import U64, chunks, mix, shingle_sets, shingles, words
 
-RANGE_RATIO = 1.4  # of the size ranges
+RANGE_RATIO = 1.5  # of the size ranges
 SHARD_BYTES = 8 << 20  # of text for each shard of slices
 LEAVES = 512  # sets in one tree at most
 FANOUT = 8
@@ -50,88 +50,92 @@ def size_ranges(n: int, threshold: int) -> list[int]:
     return ends
 
 
-def slice_plan(ends: list[int], at: int, threshold: int) -> tuple[int, int]:
-    """(number of slices, how many thin ones a set may leave out) of a size range.
+def slice_plan(most: int, threshold: int) -> tuple[int, int, int]:
+    """(number of slices, how many of them a set may leave out, how many equal ones a link has) for pairs with so many
+    shingles in both sets together.
 
-    Sets that link differ in at most D shingles. With D + 1 + 2q slices, at least 2q + 1 are
-    equal, and as each set leaves out q at most, an equal one remains.
+    Sets that link differ in at most D shingles. With D + 2q + k slices, at least 2q + k are equal, and
+    as each set leaves out q at most, whichever they are, k equal ones remain.
     """
-    differ = 2 * (ends[at + 1] - 1) * (100 - threshold) // (100 + threshold)
-    skip = differ // 16
-    return differ + 1 + 2 * skip, skip
+    differ = most * (100 - threshold) // (100 + threshold)
+    skip, equal = differ // 5 + (differ > 0), differ // 16 + 1 + (differ > 0)
+    return differ + 2 * skip + equal, skip, equal
+
+
+def slicings(n: int, ends: list[int], threshold: int) -> list[tuple[int, int]]:
+    """(number, shingles of a pair at most) of the slicings of a set of size n: its range's own, and one for each border that a
+    set which links may lie across. Two sets that link have a slicing in common."""
+    at = int(np.searchsorted(ends, n, side="right")) - 1
+    out = [(2 * at, 2 * (ends[at + 1] - 1))]
+    for k in range(1, len(ends)):
+        below, across = ends[k] - 1, (100 * n // threshold >= ends[k] if n < ends[k] else threshold * n <= 100 * (ends[k] - 1))
+        if across:
+            out.append((2 * k + 1, below + 100 * below // threshold))
+        elif ends[k] > n:
+            break
+    return out
 
 
-def slice_keys(s: np.ndarray, ends: list[int], threshold: int) -> np.ndarray:
-    """The keys of a sorted set's slices, for each size range in which a set that links may be the larger."""
+def slice_keys(s: np.ndarray, ends: list[int], threshold: int) -> list[tuple[np.ndarray, int, int]]:
+    """(keys of a sorted set's slices, how many may go, how many a link shares) for each of its slicings."""
     n = len(s)
     if n < ends[0]:
-        return mix(np.array([np.add.reduce(mix(s)) + U64(n)], U64))
-    out, mixed, top = [], mix(s), s >> U64(32)
-    first, last = (int(np.searchsorted(ends, x, side="right")) - 1 for x in (n, n * 100 // threshold))
-    for at in range(first, last + 1):
-        m, skip = slice_plan(ends, at, threshold)
+        return [(mix(np.array([np.add.reduce(mix(s)) + U64(n)], U64)), 0, 1)]
+    out, mixed, top = [], np.append(mix(s), U64(0)), s >> U64(32)
+    for number, most in slicings(n, ends, threshold):
+        m, skip, equal = slice_plan(most, threshold)
         cut = np.searchsorted((top * U64(m)) >> U64(32), np.arange(m + 1, dtype=U64))
         count = np.diff(cut)
-        total = np.add.reduceat(np.append(mixed, U64(0)), cut[:-1])
+        total = np.add.reduceat(mixed, cut[:-1])
         total[count == 0] = 0
-        key = mix(mix(total + count.astype(U64)) + U64(at * 1_000_003) + np.arange(m, dtype=U64) * U64(0x9E3779B97F4A7C15))
-        if skip:
-            thin = np.flatnonzero(count <= 2)
-            thin = thin[np.argsort(count[thin], kind="stable")][:skip]
-            key = np.delete(key, thin)
-        out.append(key)
-    return np.concatenate(out)
+        out.append((mix(mix(total + count.astype(U64)) + U64(number * 1_000_003) + np.arange(m, dtype=U64) * U64(0x9E3779B97F4A7C15)), skip, equal))
+    return out
+
+
+def without_common(key: np.ndarray, part: np.ndarray, skip: np.ndarray) -> np.ndarray:
+    """Which keys stay: each part, a set's slices of one size range, leaves out its skip most common ones.
+
+    Common is what other sets of the batch have, too, such as a slice that holds nothing but a shingle of a passage that
+    many texts repeat. Any choice of a set keeps the join exact; this one keeps families small.
+    """
+    _, at, times = np.unique(key, return_inverse=True, return_counts=True)
+    times = times[at]
+    order = np.lexsort((-times, part))
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.arange(len(key)) - np.searchsorted(part[order], part[order])
+    return (rank >= skip[part]) | (times == 1)
 
 
-def _pack(key: np.ndarray, owner: np.ndarray) -> tuple[bytes, bytes, bytes]:
+SLICES = "shard int, keys binary, equal binary, owners binary, listed binary, links binary"
+CROWD = 16  # owners of a key beyond which they are linked as one, each with the first
+WHOLE = 1 << 20  # what the shared keys of a pair must add up to
+
+
+def _pack(key: np.ndarray, equal: np.ndarray, owner: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
     """Sorted keys as differences, byte by byte; owners as places in a list of them; the list."""
     gaps = np.diff(key, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T
     listed, at = np.unique(owner, return_inverse=True)
-    return zstandard.compress(gaps.tobytes(), 1), at.astype(np.uint16 if len(listed) < 1 << 16 else np.uint32).tobytes(), listed.tobytes()
+    places = at.astype(np.uint16 if len(listed) < 1 << 16 else np.uint32)
+    return zstandard.compress(gaps.tobytes(), 1), zstandard.compress(equal.astype(np.uint16).tobytes(), 1), places.tobytes(), listed.tobytes()
 
 
-def _unpack(keys: bytes, owners: bytes, listed: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(keys: bytes, equal: bytes, owners: bytes, listed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     gaps = np.frombuffer(zstandard.decompress(keys), np.uint8).reshape(8, -1).T
     key = np.cumsum(np.ascontiguousarray(gaps).view(U64).ravel(), dtype=U64)
     every = np.frombuffer(listed, np.int64)
-    return key, every[np.frombuffer(owners, np.uint16 if len(every) < 1 << 16 else np.uint32)]
-
+    places = np.frombuffer(owners, np.uint16 if len(every) < 1 << 16 else np.uint32)
+    return key, np.frombuffer(zstandard.decompress(equal), np.uint16), every[places]
 
-SLICES = "shard int, keys binary, owners binary, listed binary, links binary"
 
-
-def _slices(batches: Iterator[pa.RecordBatch], shingle: int, threshold: int, shards: int) -> Iterator[pa.RecordBatch]:
-    """Texts to a row of packed slices for each shard, one of which carries the links found in the batch."""
-    ends = size_ranges(1 << 20, threshold)
-    for batch in batches:
-        h = batch.column(0).to_numpy(zero_copy_only=False)
-        keys, owners = [], []
-        for i, s in enumerate(shingle_sets(batch.column(1), shingle)):
-            if len(s):
-                while ends[-1] <= len(s) * 100 // threshold:
-                    ends.append(int(ends[-1] * RANGE_RATIO))
-                keys.append(slice_keys(s, ends, threshold))
-                owners.append(np.full(len(keys[-1]), h[i]))
-        if not keys:
-            continue
-        key, owner, links = _grouped(np.concatenate(keys), np.concatenate(owners))
-        shard = ((key >> U64(32)) * U64(shards)) >> U64(32)
-        cut = np.searchsorted(shard, np.arange(shards + 1, dtype=U64))
-        full = np.flatnonzero(np.diff(cut))
-        packed = [_pack(key[cut[k] : cut[k + 1]], owner[cut[k] : cut[k + 1]]) for k in full]
-        with_links = [links.tobytes() if k == h[0] % len(full) else b"" for k in range(len(full))]
-        cols = [pa.array(full.astype(np.int32)), *(pa.array(c, pa.binary()) for c in (*zip(*packed), with_links))]
-        yield pa.RecordBatch.from_arrays(cols, names=[x.split(" ")[0] for x in SLICES.split(", ")])
-
-
-def _grouped(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, the smallest owner of each, links between the owners of a key)."""
+def _sorted(key: np.ndarray, equal: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(keys, equal, owners, place among the key's owners, number of them), each owner of a key once, in order."""
     order = np.lexsort((owner, key))
-    key, owner = key[order], owner[order]
-    first = np.append(True, key[1:] != key[:-1])
-    head = owner[first][np.cumsum(first) - 1]
-    other = owner != head
-    return key[first], owner[first], spanning(head[other], owner[other])
+    key, equal, owner = key[order], equal[order], owner[order]
+    once = np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))
+    key, equal, owner = key[once], equal[once], owner[once]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(np.append(first, len(key)))
+    return key, equal, owner, np.arange(len(key)) - np.repeat(first, size), np.repeat(size, size)
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -153,12 +157,65 @@ def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([node[low[far]], node[far]], 1)
 
 
+def _crowds(owner: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Links between the owners of keys with more than CROWD of them."""
+    crowd = size > CROWD
+    head = owner[np.arange(len(owner)) - place]
+    return spanning(head[crowd & (place > 0)], owner[crowd & (place > 0)])
+
+
+def _slices(batches: Iterator[pa.RecordBatch], shingle: int, threshold: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """Texts to a row of packed slices for each shard, one of which carries the links found in the batch.
+
+    Of a key that has more than CROWD owners in the batch, CROWD + 1 go on: enough for the shard to know, and the rest are linked to them.
+    """
+    ends = size_ranges(1 << 20, threshold)
+    for batch in batches:
+        h = batch.column(0).to_numpy(zero_copy_only=False)
+        parts, of = [], []
+        for i, s in enumerate(shingle_sets(batch.column(1), shingle)):
+            if len(s):
+                while ends[-1] <= len(s) * 100 // threshold:
+                    ends.append(int(ends[-1] * RANGE_RATIO))
+                own = slice_keys(s, ends, threshold)
+                parts += own
+                of += [h[i]] * len(own)
+        if not parts:
+            continue
+        size = np.array([len(k) for k, _, _ in parts])
+        key, part = np.concatenate([k for k, _, _ in parts]), np.repeat(np.arange(len(parts)), size)
+        stay = without_common(key, part, np.array([q for _, q, _ in parts]))
+        key, part = key[stay], part[stay]
+        key, equal, owner, place, size = _sorted(key, np.array([e for _, _, e in parts])[part], np.array(of, np.int64)[part])
+        links = _crowds(owner, place, size)
+        go = place <= CROWD
+        key, equal, owner = key[go], equal[go], owner[go]
+        shard = ((key >> U64(32)) * U64(shards)) >> U64(32)
+        cut = np.searchsorted(shard, np.arange(shards + 1, dtype=U64))
+        full = np.flatnonzero(np.diff(cut))
+        packed = [_pack(*(x[cut[k] : cut[k + 1]] for x in (key, equal, owner))) for k in full]
+        with_links = [links.tobytes() if k == h[0] % len(full) else b"" for k in range(len(full))]
+        cols = [pa.array(full.astype(np.int32)), *(pa.array(c, pa.binary()) for c in (*zip(*packed), with_links))]
+        yield pa.RecordBatch.from_arrays(cols, names=[x.split(" ")[0] for x in SLICES.split(", ")])
+
+
 def _shard_links(group: pd.DataFrame) -> pd.DataFrame:
-    """The links of one shard, between owners of a key, and those found before. A key has one owner a batch at most."""
-    key, owner = (np.concatenate(x) for x in zip(*(_unpack(*r) for r in zip(group["keys"], group["owners"], group["listed"]))))
-    links = np.concatenate([_grouped(key, owner)[2], *(np.frombuffer(x, np.int64).reshape(-1, 2) for x in group["links"])])
+    """(a, b, share): what the shard's keys add to each pair of their owners. A crowd's links count as whole, like those found before.
+
+    A key has CROWD + 1 owners a batch at most, and a crowd's owners are not paired.
+    """
+    key, equal, owner = (np.concatenate(x) for x in zip(*(_unpack(*r) for r in zip(group["keys"], group["equal"], group["owners"], group["listed"]))))
+    key, equal, owner, place, size = _sorted(key, equal, owner)
+    links = np.concatenate([_crowds(owner, place, size), *(np.frombuffer(x, np.int64).reshape(-1, 2) for x in group["links"])])
     links = spanning(links[:, 0], links[:, 1])
-    return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
+    few = (size > 1) & (size <= CROWD)
+    key, owner, share = key[few], owner[few], -(-WHOLE // equal[few].astype(np.int64))
+    pairs = [(owner[:-d][same], owner[d:][same], share[d:][same]) for d in range(1, CROWD) if len(key) > d for same in [key[d:] == key[:-d]]]
+    a, b, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*pairs)) if pairs else [np.zeros(0, np.int64)] * 3
+    pair, at = np.unique(np.stack([a, b], 1), axis=0, return_inverse=True)
+    total = np.bincount(at.ravel(), n, len(pair)).astype(np.int64)
+    every = np.concatenate([pair, links])
+    return pd.DataFrame({"a": every[:, 0], "b": every[:, 1], "share": np.append(total, np.full(len(links), WHOLE))})
 
 
 class SignatureTree:
@@ -285,10 +342,11 @@ def _trees(rows: DataFrame, threshold: int) -> DataFrame:
 
 
 def families(texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    """(node, label): hashes of texts (h, text) that share an equal slice, directly or by others, and their family."""
+    """(node, label): hashes of texts (h, text) that share enough equal slices, directly or by others, and their family."""
     shards = max(16, -(-text_bytes(texts) // SHARD_BYTES))
     packed = texts.select("h", "text").mapInArrow(lambda it: _slices(it, shingle, threshold, shards), SLICES)
-    return components(packed.groupBy("shard").applyInPandas(_shard_links, "a long, b long"))
+    shares = packed.groupBy("shard").applyInPandas(_shard_links, "a long, b long, share long")
+    return components(shares.groupBy("a", "b").agg(F.sum("share").alias("share")).where(F.col("share") >= WHOLE))
 
 
 def linked(texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
