@@ -23,7 +23,7 @@ CASES = [
     (T.orthography, "yac", "jatʃ"), (T.orthography, "aya", "aya"), (T.orthography, "ja", "dʒa"), (T.clean_concept, "12. to eat, chew", "TO EAT"), (T.clean_concept, "3= 'sun' (hot) cf. moon", "SUN"),
     (T.normalise_a, "The Eye (of man)", "eye"), (T.normalise_a, "to eat!", "eat"), (T.normalise_b, "sun/day: x.", "SUN DAY X"),
     (joined(T.clean_forms), "béni, bení / beni [check] S ?", "béni|bení|beni"), (joined(T.clean_forms), "- , a. / *", ""), (joined(T.clean_forms), None, ""), (joined(T.clean_forms), "wa also wo, =gloss x / 'q'", "wa|q"),
-    (joined(T.variants), "Suns", "suns|the suns|to suns|sun|the sun"), (joined(T.variants), "a / b", "a / b|the a / b|to a / b|a / bs|the a / bs|a|the a|b|the b"),
+    (joined(T.variants), "Suns", "suns|the suns|to suns|sun|the sun"), (joined(T.variants), "x / y", "x / y|the x / y|to x / y|x / ys|the x / ys|x|the x|y|the y"),
     (T.taxon, "A b-c", "A_b_c"), (T.glue_marks, "a ́b", "áb"), (T.strip, "  x ", "x"), (T.strip_marks, "ã́b", "ab"), (T.number, "1.5", 1.5), (T.number, "NaN", None), (T.number, "x", None),
 ]
 
