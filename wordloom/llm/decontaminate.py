@@ -121,7 +121,7 @@ def contained_items(docs: DataFrame, items: DataFrame, shingle: int = 5, percent
     out = None
     schema = items.select(F.lit(0).alias("item"), F.lit(0).alias("n_item"), "item_id").schema
     for ids, sets in _item_blocks(items, shingle):
-        found = docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(
+        found = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(
             lambda it, sets=sets: _search(it, sets, shingle, percent), "id long, item int, common int"
         )
         named = docs.sparkSession.createDataFrame([(k, len(s), i) for k, (i, s) in enumerate(zip(ids, sets))], schema)

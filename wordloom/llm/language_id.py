@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .words import chunks
 
@@ -141,7 +142,7 @@ def identify_languages(docs: DataFrame, labelled: DataFrame, keep: tuple[str, ..
     (lang, text): rows with nulls teach nothing. Other columns are ignored. No rows in, none out.
     """
     langs, model = language_model(labelled)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    schema += ", lang_pred string, score double, languages array<string>, shares array<double>, fit double"
+    found = StructType.fromDDL("lang_pred string, score double, languages array<string>, shares array<double>, fit double")
+    schema = StructType([*docs.select(*keep).schema.fields, *found.fields])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(*keep, F.col("text").alias("text of which the language is asked")).mapInArrow(lambda it: _identify(it, langs, shared.value), schema)

@@ -428,7 +428,7 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = 5, threshold: int = 80) -
     a component of null ids alone has a null component_id. No rows in, none out.
     """
     text = F.coalesce("text", F.lit(""))
-    hashed = docs.select("doc_id", F.xxhash64(text, F.octet_length(text)).alias("h"), text.alias("text"))
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text, F.octet_length(text)).alias("h"), text.alias("text"))
     label = linked(hashed.select("h", "text"), shingle, threshold)
     rows = hashed.mapInArrow(lambda it: _counts(it, shingle), "doc_id long, h long, n_shingles long")
     rows = kept(

@@ -187,7 +187,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def stored(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each text of docs (doc_id, text) as UTF-8, padded, in a transport stream."""
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(_store, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
 def _feature(s: Stream, payload: bytes) -> str:
