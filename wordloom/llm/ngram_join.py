@@ -20,6 +20,7 @@ A document is the set of its distinct word shingles; two link when
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +35,10 @@ from .shared import kept, looked_up, text_bytes
 from .words import U64, chunks, mix, shingle_sets, shingles, words
 
 RANGE_RATIO = 1.5  # of the size ranges
-SHARD_BYTES = 8 << 20  # of text for each shard of slices
+SHARD_BYTES = 16 << 20  # of text for each shard of slices
 LEAVES = 512  # sets in one tree at most
 FANOUT = 8
+SIZE_STEP = 1.1  # ratio of the sizes by which a large family's sets are dealt at last
 
 
 def size_ranges(n: int, threshold: int) -> list[int]:
@@ -356,46 +358,57 @@ def linked(texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
     rows = near.groupBy("h", F.col("label").alias("family")).agg(F.first("text").alias("text"))  # equal texts of a task are one
     rows = rows.select("family", "h", "text")
     sets = kept(rows.mapInArrow(lambda it: _sets(it, shingle), "family long, h long, set binary"), "sets")
-    sizes = sets.groupBy("family").agg(F.count("*").alias("members"))
-    sets = sets.join(sizes, "family").withColumn("chunks", F.ceil(F.col("members") / LEAVES).cast("int"))
+    sets = _counted(sets)
     tree = lambda salt: F.xxhash64("family", F.when(F.col("chunks") > 1, F.pmod(F.xxhash64(F.col("h"), F.lit(salt)), "chunks")).otherwise(0))
     first = kept(_trees(sets.select(tree(0).alias("tree"), "h", F.col("h").alias("label"), "set", F.lit(True).alias("side")), threshold), "joined")
     links = first.select(F.col("h").alias("a"), F.col("new").alias("b"))
-    large = sets.where("chunks > 1").drop("members", "chunks")
+    large = sets.where("chunks > 1").drop("chunks")
     if not large.isEmpty():
-        links = links.unionByName(_large(kept(large, "large"), links, first.where("best").select("h"), threshold))
+        links = links.unionByName(_large(large, links, first.where("best").select("h"), threshold))
     return components(links)
 
 
 def _counted(sets: DataFrame) -> DataFrame:
+    """sets with the number of trees of their family. Small tables are looked up, so that the sets themselves stay where they are."""
     sizes = sets.groupBy("family").agg(F.ceil(F.count("*") / LEAVES).cast("int").alias("chunks"))
-    return sets.join(sizes, "family")
+    return sets.join(looked_up(sizes, "sizes"), "family")
+
+
+def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
+    label = looked_up(components(links), "components")
+    return sets.join(label, sets.h == F.col("node"), "left").drop("node").withColumn("label", F.coalesce("label", "h"))
 
 
 def _large(sets: DataFrame, links: DataFrame, best: DataFrame, threshold: int) -> DataFrame:
     """Links between the trees of families of more than LEAVES sets."""
     found = links.limit(0)
     for salt in (1, 2):  # one set of each component, dealt into trees again
-        label = components(links.unionByName(found))
-        own = sets.join(best, "h", "left_semi").join(label, sets.h == label.node, "left").drop("node")
-        own = _counted(own.withColumn("label", F.coalesce("label", "h")))
+        own = _counted(_labelled(sets.join(looked_up(best, "best"), "h", "left_semi"), links.unionByName(found)))
         tree = F.xxhash64("family", F.pmod(F.xxhash64(F.col("h"), F.lit(salt)), "chunks"))
         step = kept(_trees(own.select(tree.alias("tree"), "h", "label", "set", F.lit(True).alias("side")), threshold), "joined")
         found = found.unionByName(step.select(F.col("label").alias("a"), F.col("new").alias("b")))
         best = step.where("best").select("h")
     # every set outside its family's largest component meets every other set of the family
-    label = components(links.unionByName(found))
-    own = sets.join(label, sets.h == label.node, "left").drop("node").withColumn("label", F.coalesce("label", "h"))
+    own = _labelled(sets, links.unionByName(found))
     share = own.groupBy("family", "label").agg(F.count("*").alias("n"))
     main = share.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts"))
-    own = kept(_counted(own.join(main.where("parts > 1"), "family")).withColumn("side", F.col("label") != F.col("main")), "apart")
-    outside = own.where("side")
-    blocks = outside.groupBy("family").agg(F.ceil(F.count("*") / (LEAVES // 2)).cast("int").alias("blocks"))
-    chunk = F.pmod(F.xxhash64(F.col("h"), F.lit(3)), F.col("chunks") * 2)
-    block = F.pmod(F.xxhash64(F.col("h"), F.lit(4)), "blocks")
-    every = own.join(blocks, "family").withColumn("chunk", chunk).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    asked = outside.join(blocks, "family").withColumn("to", block).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") * 2 - 1)))
-    cols = [F.xxhash64("family", F.col("chunk").cast("long"), F.col("to").cast("long")).alias("tree"), "h", "label", "set"]
+    own = own.join(looked_up(main.where("parts > 1"), "main"), "family").withColumn("side", F.col("label") != F.col("main"))
+    # sets are dealt by size, and meet those of sizes that can link
+    own = own.withColumn("z", F.floor(F.log(F.octet_length("set") / 8) / math.log(SIZE_STEP)).cast("int"))
+    reach = int(math.log(100 / threshold) / math.log(SIZE_STEP)) + 1
+    counts = own.groupBy(F.col("family").alias("of"), F.col("z").alias("size")).agg(
+        F.ceil(F.count("*") / LEAVES).cast("int").alias("chunks"), F.ceil(F.count_if("side") / (LEAVES // 2)).cast("int").alias("blocks")
+    )
+    counts = looked_up(counts, "counts")
+    there = lambda rows, size: rows.join(counts, (F.col("family") == F.col("of")) & (F.col(size) == F.col("size"))).drop("of", "size")
+    near = F.explode(F.sequence(F.col("z") - reach, F.col("z") + reach))
+    hashed = lambda salt, n: F.pmod(F.xxhash64(F.col("h"), F.lit(salt)), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    every = there(own, "z").withColumn("chunk", hashed(3, F.col("chunks"))).drop("chunks", "blocks").withColumns({"ze": F.col("z"), "zo": near})
+    every = there(every, "zo").where("blocks > 0").withColumn("block", each("blocks"))
+    asked = there(own.where("side"), "z").withColumn("block", hashed(4, F.col("blocks"))).drop("chunks", "blocks").withColumns({"zo": F.col("z"), "ze": near})
+    asked = there(asked, "ze").withColumn("chunk", each("chunks"))
+    cols = [F.xxhash64("family", "ze", "chunk", "zo", "block").alias("tree"), "h", "label", "set"]
     rows = every.select(*cols, F.lit(False).alias("side")).unionByName(asked.select(*cols, F.lit(True).alias("side")))
     step = kept(_trees(rows, threshold), "joined")
     return found.unionByName(step.select(F.col("label").alias("a"), F.col("new").alias("b")))
