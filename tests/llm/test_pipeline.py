@@ -49,3 +49,23 @@ def test_run_and_empty_run(spark, tmp_path):
         out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
         assert {"doc_id", "taken"} <= set(out.columns)
         assert (out.count() > 30) == (name == "some")
+
+
+def test_near_duplicates_go_by_row(spark):
+    one, two, three, four, five, six = (f"{w} " * 3 + " ".join(f"{w}{i}" for i in range(20)) for w in ("ash", "bay", "cod", "dew", "elm", "fig"))
+    rows = [
+        (1, one, "s"), (None, one, "s"),  # a copy without id
+        (None, two, "s"),  # unique, without id
+        (None, three, "s"), (None, three, "t"), (None, three + " end", "u"),  # a group without ids
+        (2, four, "s"), (7, four, "s"), (7, five, "s"),  # an id of two texts, one of them a copy
+        (8, six, "s"), (8, six, "s"),  # a row given twice
+        (None, "", "s"), (None, None, "s"), (9, "", "s"), (9, "", "s"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    found = [(r.doc_id, r.text) for r in out.collect()]
+    of_three = [r for r in found if (r[1] or "").startswith("cod")]
+    assert len(of_three) == 1 and of_three[0][0] is None
+    rest = [(1, one), (None, two), (2, four), (7, five), (8, six), (None, ""), (None, None), (9, "")]
+    assert sorted(map(repr, found)) == sorted(map(repr, rest + of_three))

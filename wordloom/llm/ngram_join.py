@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -431,6 +431,24 @@ def _counts(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts], names=["doc_id", "h", "n_shingles"])
 
 
+def text_hash(text: Column) -> Column:
+    """The hash by which equal texts are one; null counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    return F.xxhash64(text, F.octet_length(text))
+
+
+def rooted(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFrame:
+    """(doc_id, h, n_shingles, root) for every row of docs (doc_id, text): its text's hash and its component.
+
+    Rows without shingles have no links, even if they share a root.
+    """
+    text = F.coalesce("text", F.lit(""))
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("h"), text.alias("text"))
+    label = linked(hashed.select("h", "text"), shingle, threshold)
+    rows = hashed.mapInArrow(lambda it: _counts(it, shingle), "doc_id long, h long, n_shingles long")
+    return rows.join(label, rows.h == label.node, "left").select("doc_id", "h", "n_shingles", F.coalesce("label", "h").alias("root"))
+
+
 def ngram_jaccard_join(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text; other columns are ignored).
 
@@ -440,14 +458,7 @@ def ngram_jaccard_join(docs: DataFrame, shingle: int = 5, threshold: int = 80) -
     comes out twice. A null doc_id stays null, takes part in links, and never is the smallest;
     a component of null ids alone has a null component_id. No rows in, none out.
     """
-    text = F.coalesce("text", F.lit(""))
-    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text, F.octet_length(text)).alias("h"), text.alias("text"))
-    label = linked(hashed.select("h", "text"), shingle, threshold)
-    rows = hashed.mapInArrow(lambda it: _counts(it, shingle), "doc_id long, h long, n_shingles long")
-    rows = kept(
-        rows.join(label, rows.h == label.node, "left").select("doc_id", "n_shingles", F.coalesce("label", "h").alias("root")),
-        "rooted",
-    )
+    rows = kept(rooted(docs, shingle, threshold).drop("h"), "rooted")
     least = rows.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("members"))
     least = kept(least.where("members > 1").select(F.col("root").alias("of"), "least"), "least")
     joined = rows.join(least, (rows.root == least.of) & (rows.n_shingles > 0), "left")
