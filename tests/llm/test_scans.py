@@ -152,3 +152,58 @@ def test_stream_faults_are_seen():
     assert read_stream(b"").units == []
     seen = read_stream(whole)
     assert [u[1] for u in seen.units] == [k % 8 == 0 for k in range(len(seen.units))]
+
+
+MIT_PUBLISHED = """MIT License
+
+Copyright (c) 2024 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+ISC_PUBLISHED = """ISC License
+
+Copyright 2024, A. Person
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF
+OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.
+"""
+
+
+def test_licences_in_their_published_wrapping(spark):
+    plain = MIT_PUBLISHED.split("\n", 4)[4]
+    texts = {
+        1: MIT_PUBLISHED, 2: ISC_PUBLISHED, 3: MIT_PUBLISHED.replace("\n", "\r\n"), 4: "# The MIT License (MIT)\n" + plain,
+        5: MIT_PUBLISHED.replace("AUTHORS OR COPYRIGHT", "AUTHORS OR\nCOPYRIGHT"), 6: "Copyright The Loom Authors\nAll rights reserved.\n\n" + plain,
+        7: "© A. Person\n" + ISC_PUBLISHED.split("\n", 3)[3], 8: "(c) 2024 A. Person\n" + plain, 9: "Released under the\nMIT License",
+    }
+    running = ["copyright notice stays", "COPYRIGHT HOLDERS stay", "(c) an item of a list", "copyright, patent", "MIT License"]
+    texts |= {100 + i: x for i, x in enumerate(running)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r for r in scan_licences(docs).collect()}
+    assert [found[k].licence for k in range(1, 10)] == ["MIT", "ISC", "MIT", "MIT", "MIT", "MIT", "ISC", "MIT", "MIT"]
+    assert not {found[100 + i].digest for i in range(len(running))} & {hashlib.sha256(b"").hexdigest()}

@@ -1,6 +1,6 @@
 """Licence scan by canonical digest lookup.
 
-A text becomes its canonical form: A-Z in lower case, copyright lines dropped, punctuation
+A text becomes its canonical form: A-Z in lower case, copyright lines and a title dropped, punctuation
 to spaces, equivalent spellings to one of them. The SHA-256 of the form is joined to the digests of
 known licences, for whole texts and for single lines, where notices stand.
 """
@@ -55,6 +55,20 @@ SPELLINGS: list[tuple[str, str]] = [
     ("percent", "per-cent"),
 ]
 
+#: Running text in which a line may begin with the word; any other word after it begins a holder's name.
+_RUNNING = (
+    r"(?:notices?|holders?|owners?|ownership|laws?|licen[cs]e[ds]?|licen[cs]ors?|statements?|acts?|treat(?:y|ies)|protection|interests?|infringements?"
+    r"|claims?|disclaimers?|information|rights?|grants?|terms?|status|lines?|permissions?|materials?|works?|and|or|in|is|it|on|of|to|for|as|at|that"
+    r"|this|these|which|with|under|from|may|shall|must|will|can|are|was|were|has|have|not|if|unless|except|applies)\b"
+)
+_MARK = r"(?:\(c\)|©|&copy;)"
+NOTICE = (
+    r"^[ \t*#/;-]*(?:copyright[ \t:,.-]*(?:" + _MARK + r"|[0-9]{4})|copyright[ \t]+(?!" + _RUNNING + r")[^ \t\r\n,;.]|copyright:[ \t]*(?!" + _RUNNING + r")[^ \t\r\n]"
+    r"|" + _MARK + r"[ \t:,.-]*(?:copyright\b|by\b|[0-9]{4})|©|all rights reserved[ \t:,.]*(?:\r?$|copyright\b|" + _MARK + r"|[0-9]{4}))"
+)
+#: The name of a licence on the first line, with text after it.
+TITLE = r"\A[\s*#/;=-]*(?:the[ \t]+)?(?:mit|expat|isc)[ \t]+licen[cs]e(?:[ \t]*\([a-z0-9/ ]*\))?[ \t:*#/;=-]*\r?\n(?=\s*\S)"
+#: Copyright lines as the SQL has them: it also drops lines of running text that begin with the word, and knows no titles.
 COPYRIGHT = r"^[ \t*#/;-]*(copyright|\(c\)|©|all rights reserved)[ :,.0-9©(-]"
 PUNCTUATION = r"[\x00-\x2F\x3A-\x60\x7B-\x7F“”‘’–—©]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,7 +77,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null counts as empty."""
     low = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    low = F.regexp_replace(low, "(?md)" + COPYRIGHT + r"[^\n]*", " ")
+    low = F.regexp_replace(low, "(?md)" + NOTICE + r"[^\n]*", " ")
+    low = F.regexp_replace(low, TITLE, " ")
     low = F.concat(F.lit(" "), F.regexp_replace(low, PUNCTUATION, "  "), F.lit(" "))
     for word, to in _pairs():
         low = F.replace(low, F.lit(word), F.lit(to))
@@ -81,7 +96,8 @@ def known_digests() -> list[tuple[str, str]]:
     for name, texts in KNOWN_LICENCES.items():
         for text in texts:
             low = text.translate(str.maketrans(_UPPER, _LOWER))
-            low = re.sub(COPYRIGHT + r"[^\n]*", " ", low, flags=re.M)
+            low = re.sub(NOTICE + r"[^\n]*", " ", low, flags=re.M)
+            low = re.sub(TITLE, " ", low)
             low = " " + re.sub(PUNCTUATION, "  ", low) + " "
             for a, b in _pairs():
                 low = low.replace(a, b)
