@@ -206,3 +206,29 @@ def test_files(spark, tmp_path):
     assert rows(S.read_ids(spark, str(tmp_path / "lines")), "id") == [(1,), (2,)]
     with pytest.raises(ValueError):
         S.require(words, "id", "none")
+
+
+def test_expected_counts_are_exact(spark):
+    import math
+    from collections import Counter
+
+    from wordloom.plans import catalogue
+
+    assert catalogue.RUNS is None
+    words = [("A", "l", "pata"), ("A", "m", "bada"), ("A", "m", "sol"), ("B", "l", "kusu"), ("B", "m", "guzu"), ("C", "l", "mano"), ("C", "m", "pata"), ("D", "l", "pata"), ("D", "m", "nima")]
+    df = spark.createDataFrame([(*w, list(w[2])) for w in words], "concept string, lang string, form string, tokens array<string>")
+    pairs = [(c, f, g) for c, a, f in words for d, b, g in words if c == d and a < b]
+    attested, expected = Counter(), Counter()
+    for _, f, g in pairs:
+        d, aligned = L._distance(list(f), list(g), L._by_class)
+        attested.update(aligned if d < L.CUT else ())
+        for _, _, h in pairs:
+            d, aligned = L._distance(list(f), list(h), L._by_class)
+            expected.update(aligned if d < L.CUT else ())
+
+    def score(x, y):
+        odds = math.log2((attested[x, y] + 0.5) / (expected[x, y] / len(pairs) + 0.5))
+        return L._by_class(x, y) if x == y else L.MIX * max(-1.0, min(1.0, odds / 2)) + (1 - L.MIX) * L._by_class(x, y)
+
+    found = {(r.concept, r.form_a, r.form_b): r.distance for r in L.word_distances(df, None).collect()}
+    assert found == pytest.approx({(c, f, g): L._distance(list(f), list(g), score)[0] for c, f, g in pairs})

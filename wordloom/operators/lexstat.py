@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -94,19 +95,75 @@ def _word_distances(group: pd.DataFrame, runs: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["concept", "lang_a", "form_a", "lang_b", "form_b", "distance"])
 
 
-def word_distances(words: DataFrame, runs: int = 100) -> DataFrame:
+PART = 1000  # pairs of words that a group of a pair of languages has, about
+_KEYS = ["lang_a", "lang_b", "x", "y"]
+
+
+def _aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (lang_a, lang_b, tokens_a, tokens_b, weight) to weights of aligned segments (x, y) of words nearer than CUT."""
+    for rows in frames:
+        sums: Counter = Counter()
+        for a, b, t, u, w in zip(rows["lang_a"], rows["lang_b"], rows["tokens_a"], rows["tokens_b"], rows["weight"]):
+            d, aligned = _distance(list(t), list(u), _by_class)
+            if d < CUT:
+                for x, y in aligned:
+                    sums[a, b, x, y] += w
+        yield pd.DataFrame([(*k, n) for k, n in sums.items()], columns=[*_KEYS, "n"])
+
+
+def _scored(pairs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+    odds = {(x, y): math.log2((a + 0.5) / (e + 0.5)) for x, y, a, e in zip(counts["x"], counts["y"], counts["attested"], counts["expected"])}
+
+    def score(x: str, y: str) -> float:
+        return _by_class(x, y) if x == y else MIX * max(-1.0, min(1.0, odds.get((x, y), 0.0) / 2)) + (1 - MIX) * _by_class(x, y)
+
+    pairs["distance"] = [_distance(list(t), list(u), score)[0] for t, u in zip(pairs["tokens_a"], pairs["tokens_b"])]
+    return pairs[["concept", "lang_a", "form_a", "lang_b", "form_b", "distance"]]
+
+
+def _exact_distances(own: DataFrame) -> DataFrame:
+    """word_distances with the expectation of random pairing in place of draws.
+
+    A draw pairs a left and a right word of any two pairs, so two words meet in proportion to the pairs
+    that each is in, and their expected number among n draws is the product of these over n.
+    """
+    side = lambda s: own.select("concept", F.col("lang").alias(f"lang_{s}"), F.col("form").alias(f"form_{s}"), F.col("tokens").alias(f"tokens_{s}"))
+    pairs = side("a").join(side("b"), "concept").where("lang_a < lang_b")
+    segments = "lang_a string, lang_b string, x string, y string, n double"
+    sums = lambda rows, name: rows.mapInPandas(_aligned, segments).groupBy(*_KEYS).agg(F.sum("n").alias(name))
+    langs = ["lang_a", "lang_b"]
+    attested = sums(pairs.select(*langs, "tokens_a", "tokens_b", F.lit(1.0).alias("weight")), "attested")
+    sizes = pairs.groupBy(*langs).agg(F.count("*").alias("of")).withColumn("parts", F.ceil(F.col("of") / PART).cast("int"))
+    one = lambda rows, *by: rows.join(sizes, langs).withColumn("salt", F.pmod(F.xxhash64(*by), "parts").cast("int")).drop("parts", "of")
+    each = lambda rows: rows.join(sizes, langs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    left = one(pairs.groupBy(*langs, "tokens_a").agg(F.count("*").alias("wa")), "tokens_a")
+    right = each(pairs.groupBy(*langs, "tokens_b").agg(F.count("*").alias("wb")))
+    meet = left.join(right, [*langs, "salt"])
+    expected = sums(meet.select(*langs, "tokens_a", "tokens_b", (F.col("wa") * F.col("wb") / F.col("of")).alias("weight")), "expected")
+    counts = attested.join(expected, _KEYS, "full").fillna(0.0, ["attested", "expected"])
+    counts, dealt = each(counts), one(pairs, "concept", "form_a", "form_b")
+    keys = [*langs, "salt"]
+    return dealt.groupBy(*keys).cogroup(counts.groupBy(*keys)).applyInPandas(_scored, DISTANCES)
+
+
+DISTANCES = "concept string, lang_a string, form_a string, lang_b string, form_b string, distance double"
+
+
+def word_distances(words: DataFrame, runs: int | None = 100) -> DataFrame:
     """CL-4: (concept, lang_a, form_a, lang_b, form_b, distance), lang_a < lang_b, of words (concept, lang, form, tokens).
 
-    One group is a pair of languages, so groups grow with a language's words, not with the number of languages.
+    runs: random pairings that expected counts are the mean of, or None for their exact expectation. With runs, one group
+    is a pair of languages, so groups grow with a language's words; without, pairs of words are dealt out.
     """
     own = words.dropDuplicates(["concept", "lang", "form"])
+    if runs is None:
+        return _exact_distances(own)
     langs = own.select("lang").distinct()
     pairs = langs.select(F.col("lang").alias("lang_a")).join(langs.select(F.col("lang").alias("lang_b")), F.col("lang_a") < F.col("lang_b"))
     left = own.join(pairs, F.col("lang") == F.col("lang_a")).withColumn("side", F.lit(0))
     right = own.join(pairs, F.col("lang") == F.col("lang_b")).withColumn("side", F.lit(1))
     both = left.unionByName(right).select("lang_a", "lang_b", "side", "concept", "form", "tokens")
-    schema = "concept string, lang_a string, form_a string, lang_b string, form_b string, distance double"
-    return both.groupBy("lang_a", "lang_b").applyInPandas(lambda g: _word_distances(g, runs), schema)
+    return both.groupBy("lang_a", "lang_b").applyInPandas(lambda g: _word_distances(g, runs), DISTANCES)
 
 
 def _sets(key: tuple, words: pd.DataFrame, distances: pd.DataFrame, thresholds: tuple[float, ...]) -> pd.DataFrame:
@@ -123,7 +180,7 @@ def _sets(key: tuple, words: pd.DataFrame, distances: pd.DataFrame, thresholds:
     return pd.concat(parts)
 
 
-def cognate_sets(words: DataFrame, thresholds: tuple[float, ...] = (0.50, 0.55, 0.60), runs: int = 100) -> DataFrame:
+def cognate_sets(words: DataFrame, thresholds: tuple[float, ...] = (0.50, 0.55, 0.60), runs: int | None = 100) -> DataFrame:
     """CL-5, CL-6: (threshold, concept, lang, form, local): sets within each concept, for all thresholds from one training.
 
     A set's id over all concepts is (concept, local); one group is a concept's distinct words.
