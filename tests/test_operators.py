@@ -58,6 +58,11 @@ def test_numbers_over_ranges(spark, monkeypatch):
     found = [r.n for r in N.numbered(df, ["x", "id"], "n").orderBy("x", "id").collect()]
     assert found == list(range(1, 101))
     assert N.numbered(df.limit(0), ["x"], "n").count() == 0
+    few = df.select((F.col("id") % 2).cast("string").alias("s"), "id")  # a first column of two values
+    found = {(r.s, r.id): r.n for r in N.numbered(few, ["s", "id"], "n").collect()}
+    assert found == {(s, i): k for k, (s, i) in enumerate(sorted((str(i % 2), i) for i in range(100)), 1)}
+    inside = {(r.s, r.id): r.n for r in N.numbered(few, [F.col("id").desc()], "n", within="s").collect()}
+    assert inside == {(str(i % 2), i): 50 - i // 2 for i in range(100)}
 
 
 MEANINGS = [(1, "the water", 0.90), (2, "sun", 0.95), (3, "spoon", 0.30), (4, "eye", None), (5, None, 0.5)]
@@ -217,18 +222,68 @@ def test_expected_counts_are_exact(spark):
     assert catalogue.RUNS is None
     words = [("A", "l", "pata"), ("A", "m", "bada"), ("A", "m", "sol"), ("B", "l", "kusu"), ("B", "m", "guzu"), ("C", "l", "mano"), ("C", "m", "pata"), ("D", "l", "pata"), ("D", "m", "nima")]
     df = spark.createDataFrame([(*w, list(w[2])) for w in words], "concept string, lang string, form string, tokens array<string>")
-    pairs = [(c, f, g) for c, a, f in words for d, b, g in words if c == d and a < b]
+    pairs = [(c, L.typed(list(f)), L.typed(list(g)), f, g) for c, a, f in words for d, b, g in words if c == d and a < b]
     attested, expected = Counter(), Counter()
-    for _, f, g in pairs:
-        d, aligned = L._distance(list(f), list(g), L._by_class)
+    for _, f, g, *_ in pairs:
+        d, aligned = L._distance(f, g, L._by_class)
         attested.update(aligned if d < L.CUT else ())
-        for _, _, h in pairs:
-            d, aligned = L._distance(list(f), list(h), L._by_class)
+        for _, _, h, *_ in pairs:
+            d, aligned = L._distance(f, h, L._by_class)
             expected.update(aligned if d < L.CUT else ())
 
     def score(x, y):
         odds = math.log2((attested[x, y] + 0.5) / (expected[x, y] / len(pairs) + 0.5))
-        return L._by_class(x, y) if x == y else L.MIX * max(-1.0, min(1.0, odds / 2)) + (1 - L.MIX) * L._by_class(x, y)
+        return L._by_class(x, y) if x.split("/")[0] == y.split("/")[0] else L.MIX * max(-1.0, min(1.0, odds / 2)) + (1 - L.MIX) * L._by_class(x, y)
 
+    own = {(c, f, g): L._distance(t, u, score)[0] for c, t, u, f, g in pairs}
     found = {(r.concept, r.form_a, r.form_b): r.distance for r in L.word_distances(df, None).collect()}
-    assert found == pytest.approx({(c, f, g): L._distance(list(f), list(g), score)[0] for c, f, g in pairs})
+    assert found == pytest.approx(own)
+    drawn = {(r.concept, r.form_a, r.form_b): r.distance for r in L.word_distances(df, 1000).collect()}
+    assert drawn.keys() == own.keys() and all(abs(drawn[k] - own[k]) < 0.1 for k in own)
+    again = {(r.concept, r.form_a, r.form_b): r.distance for r in L.word_distances(df.repartition(1), 1000).collect()}
+    assert again == drawn
+    assert L.typed(["p", "a", "t"]) == ["p/^", "a/V", "t/$"]
+
+
+def test_alignments_at_once_are_those_one_by_one():
+    rng = np.random.default_rng(3)
+    scores = rng.normal(size=(6, 6))
+    a, b = ([rng.integers(0, 6, rng.integers(0, 7)) for _ in range(60)] for _ in range(2))
+    assert np.allclose(L.align_many(a, b, scores), [L.align(list(x), list(y), lambda i, j: scores[i, j])[0] for x, y in zip(a, b)])
+
+
+def test_fuzzy_matches_equal_brute_force(spark):
+    from wordloom.functions.unicode import sequence_ratio
+
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdeé "), rng.integers(1, 9)))
+    names = [(k, word()) for k in range(40)] + [(50, "tide"), (51, "diet"), (52, "edit"), (53, None), (54, "tide"), (55, "")]
+    asked = sorted({word() for _ in range(40)} | {"diet", "tides", "DIETS", "x"})
+    concepts = spark.createDataFrame([(c, k, k) for k, c in enumerate(asked)], "concept string, concept_id long, row_idx long")
+    meanings = spark.createDataFrame([(k, n, 0.5) for k, n in names], "id long, name string, score double")
+    variants = {r.concept: [] for r in concepts.collect()}
+    for r in M.with_variants(concepts).orderBy("concept", "ord").collect():
+        variants[r.concept].append(r.variant)
+    for threshold in (0.6, 0.8):
+        expected = []
+        for c, own in variants.items():
+            best = max(((sequence_ratio(v, n), -k, -i) for k, v in enumerate(own) for i, n in names if n), default=(0, 0, 0))
+            if best[0] >= threshold:
+                expected.append((c, -best[2], round(best[0], 9)))
+        found = [(r.concept, r.id, round(r.match_score, 9)) for r in M.fuzzy_match(concepts, meanings, threshold).collect()]
+        assert sorted(found) == sorted(expected)
+
+
+def test_containment_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("ABC"), rng.integers(1, 7)))
+    for extra in ([], [(900, "", 0.1)]):
+        keys = [(k, w, None if k % 5 == 0 else k / 100) for k, w in enumerate(sorted({word() for _ in range(30)}), 1)] + extra
+        asked = sorted({word() for _ in range(40)} | {"", "ZZZ", "Z", "ABCABCABC"})
+        expected = []
+        for a in asked:
+            hit = next(((p, s) for p, k, s in keys if k in a or a in k), None)
+            if hit:
+                expected.append((a, *hit))
+        found = M.containing(spark.createDataFrame([(a,) for a in asked], "key string"), spark.createDataFrame(keys, "pos long, of string, score double"))
+        assert rows(found, "key", "pos", "score") == sorted(expected, key=repr)

@@ -24,7 +24,7 @@ CASES = [
     (T.normalise_a, "The Eye (of man)", "eye"), (T.normalise_a, "to eat!", "eat"), (T.normalise_b, "sun/day: x.", "SUN DAY X"),
     (joined(T.clean_forms), "béni, bení / beni [check] S ?", "béni|bení|beni"), (joined(T.clean_forms), "- , a. / *", ""), (joined(T.clean_forms), None, ""), (joined(T.clean_forms), "wa also wo, =gloss x / 'q'", "wa|q"),
     (joined(T.variants), "Suns", "suns|the suns|to suns|sun|the sun"), (joined(T.variants), "x / y", "x / y|the x / y|to x / y|x / ys|the x / ys|x|the x|y|the y"),
-    (T.taxon, "A b-c", "A_b_c"), (T.glue_marks, "a ́b", "áb"), (T.strip, "  x ", "x"), (T.strip_marks, "ã́b", "ab"), (T.number, "1.5", 1.5), (T.number, "NaN", None), (T.number, "x", None),
+    (T.taxon, "A b-c", "A_b_c"), (T.glue_marks, "a ́b", "áb"), (T.strip, "  x ", "x"), (T.strip_marks, "a\u0303\u0301b", "ab"), (T.strip_marks, "\u2193é\u2191k\u031a´", "ék´"), (T.strip_marks, None, ""), (T.number, "1.5", 1.5), (T.number, "NaN", None), (T.number, "x", None),
 ]
 
 
@@ -40,10 +40,11 @@ def test_golden_values(spark):
     "segments, tone, mapping, expected",
     [
         ("p a n i", "H.L", "syllable", "p_H a_H n_H i_L"), ("a k a i", "H.L", "syllable", "a_H k_H a_L i_L"), ("p a n", "H.L", "segment", "p_H a_L n_X"), ("p a", "L.H", "word", "p_L a_L"),
+        ("p a", None, "word", "p_X a_X"), ("p a", None, "syllable", "p_X a_X"), ("p a", None, "segment", "p_X a_X"),
     ],
 )
 def test_tone_segments(spark, segments, tone, mapping, expected):
-    row = spark.createDataFrame([(segments.split(), tone.split("."))], "s array<string>, t array<string>")
+    row = spark.createDataFrame([(segments.split(), tone.split(".") if tone else [])], "s array<string>, t array<string>")
     assert row.select(F.array_join(T.tone_segments(F.col("s"), F.col("t"), mapping), " ").alias("x")).first().x == expected
 
 

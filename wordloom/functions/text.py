@@ -24,7 +24,8 @@ MAPPING_VOWELS = "aeiouɛɔɪʊəæɑɨʉɯ"
 DIGRAPHS = ("gb", "kp", "mb", "nd", "ŋg", "ŋm", "ny", "dʒ")
 ANNOTATIONS = (r"\[check\]", r"\?\?+", r"\bcheck\b", r"\bid\.", r"\bsp\.", r"cf\.", r"\bJ\s+\d+", r"\bS\b", r"\bGb\b", r"\bGB\b")
 JUNK = ("", "-", "*", "+", "?", "??", "a.", "b.")
-STRIPPED_MARKS = "̰̹́̀̄̂̌̃̚´`"
+# Acute, grave, macron, circumflex, caron, tilde, tilde below, arrows down and up, right half ring below, left angle above.
+STRIPPED_MARKS = "\u0301\u0300\u0304\u0302\u030c\u0303\u0330\u2193\u2191\u0339\u031a"
 
 
 def _sub(c: Column, pattern: str, to: str) -> Column:
@@ -107,8 +108,8 @@ def clean_forms(c: Column) -> Column:
 
 
 def strip_marks(c: Column) -> Column:
-    """S-7: without tone marks of any kind, composed."""
-    return nfc(F.translate(nfd(c), STRIPPED_MARKS, ""))
+    """S-7: without marks that stand by themselves, composed; letters that are one character with their mark keep it. Null gives ''."""
+    return F.coalesce(nfc(F.translate(c, STRIPPED_MARKS, "")), F.lit(""))
 
 
 def normalise_a(c: Column) -> Column:
@@ -192,17 +193,17 @@ def tone_similarity(a: Column, b: Column) -> Column:
 
 
 def tone_segments(segments: Column, t: Column, mapping: str = "syllable") -> Column:
-    """S-15: segments with their tones. word: the first tone on all; segment: one by one, X where they end; syllable: by vowel."""
+    """S-15: segments with their tones. word: the first tone on all; segment: one by one, X where they end; syllable: by vowel. X without tones."""
     n = F.size(t)
     if mapping == "word":
-        return F.transform(segments, lambda s: F.concat_ws("_", s, F.get(t, F.lit(0))))
+        return F.transform(segments, lambda s: F.concat_ws("_", s, F.coalesce(F.get(t, F.lit(0)), F.lit("X"))))
     if mapping == "segment":
         return F.transform(segments, lambda s, i: F.concat_ws("_", s, F.coalesce(F.get(t, i), F.lit("X"))))
     if mapping != "syllable":
         raise ValueError(f"mapping is word, segment or syllable, not {mapping}")
     is_vowel = lambda s: F.lower(s).rlike(f"[{MAPPING_VOWELS}]")
     seen = lambda i: F.size(F.filter(F.slice(segments, 1, i + 1), is_vowel))
-    return F.transform(segments, lambda s, i: F.concat_ws("_", s, F.get(t, F.greatest(F.lit(1), F.least(n, seen(i))) - 1)))
+    return F.transform(segments, lambda s, i: F.concat_ws("_", s, F.coalesce(F.get(t, F.greatest(F.lit(1), F.least(n, seen(i))) - 1), F.lit("X"))))
 
 
 def edit_distance(a: Column, b: Column) -> Column:

@@ -57,7 +57,7 @@ def repair_nasal(form: str) -> str:
     def give_back() -> None:
         """The nearest vowel before gets a tilde unless it has one; blanks and hyphens are looked across."""
         for k in range(len(out) - 1, -1, -1):
-            if out[k][0] in NASAL_VOWELS:
+            if out[k] and out[k][0] in NASAL_VOWELS:
                 if TILDE not in out[k]:
                     out[k] += TILDE
                 return

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import kept
 from .numbering import numbered
 
 
@@ -57,8 +58,8 @@ def set_summary(profile: DataFrame, size_threshold: int = 8, diversity_threshold
 
 def unstable_ids(profile: DataFrame) -> DataFrame:
     """FI-7, SO-2: (place, cogid) of unstable sets, the most diverse first; ties by id."""
-    rows = profile.where("is_unstable").select((-F.col("avg_diversity")).alias("_order"), "cogid")
-    return numbered(rows, ["_order", "cogid"], "place").select("place", "cogid")
+    rows = profile.where("is_unstable").select("avg_diversity", "cogid")
+    return numbered(rows, [F.col("avg_diversity").desc(), F.col("cogid")], "place").select("place", "cogid")
 
 
 def tone_lookup(tones: DataFrame) -> DataFrame:
@@ -128,7 +129,7 @@ def tone_split(members: DataFrame, unstable: DataFrame | None = None, threshold:
     """
     limited = unstable is not None and not unstable.isEmpty()
     looked = members.join(unstable.select("cogid").distinct(), "cogid", "left_semi") if limited else members
-    clusters = tone_clusters(looked, threshold)
+    clusters = kept(tone_clusters(looked, threshold), "clusters")
     decisions = split_decisions(clusters, looked.select("cogid").distinct())
     top = (looked if compat else members).agg(F.max("cogid").alias("top")).first().top or 0
     parts = clusters.join(decisions.where("decision = 'split'").select("cogid"), "cogid").groupBy("cogid", "cluster").agg(F.min("first").alias("first"))

@@ -1,22 +1,23 @@
 """Cognate detection in the manner of the published LexStat method (S7, S10): CL-4 to CL-7.
 
-A word is a row of segments. For each pair of languages, aligned segments of words of the same concept are counted
-and compared with counts over seeded random pairs of words; log-odds, mixed with a score of sound classes, give distances of
-words, and average linkage within a concept gives sets.
+A word is a row of segments, each typed by its place: a vowel, or a consonant at the beginning, inside or at the end. For each pair
+of languages, aligned segments of words of the same concept are counted and compared with what random pairs of words give; log-odds, mixed
+with a score of sound classes, give distances of words, and average linkage within a concept gives sets.
+Words that are spelt alike are aligned once, whatever languages and concepts they are in.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+from ..sources.shared import kept
 from .cognates import average_linkage
 
 # Sound classes, each with the letters that have it.
@@ -34,6 +35,12 @@ def sound_class(segment: str) -> str:
     return _CLASS.get(segment[:1].lower(), "0")
 
 
+def typed(tokens: list[str]) -> list[str]:
+    """Segments with their place: / and V for a vowel, else ^ at the beginning, $ at the end, - inside."""
+    last = len(tokens) - 1
+    return [f"{t}/{'V' if sound_class(t) == 'V' else '^' if k == 0 else '$' if k == last else '-'}" for k, t in enumerate(tokens)]
+
+
 def align(a: list[str], b: list[str], score) -> tuple[float, list[tuple[str, str]]]:
     """(score, aligned pairs without gaps) of a global alignment."""
     n, m = len(a), len(b)
@@ -55,6 +62,8 @@ def align(a: list[str], b: list[str], score) -> tuple[float, list[tuple[str, str
 
 
 def _by_class(x: str, y: str) -> float:
+    """Score of two typed segments by what they are; their places don't count."""
+    x, y = x.rsplit("/", 1)[0], y.rsplit("/", 1)[0]
     if x == y:
         return 1.0
     return 0.5 if sound_class(x) == sound_class(y) else -0.5 if "V" not in (sound_class(x), sound_class(y)) else -1.0
@@ -66,104 +75,107 @@ def _distance(a: list[str], b: list[str], score) -> tuple[float, list[tuple[str,
     return (min(1.0, max(0.0, 1 - 2 * own / most)) if most > 0 else float(a != b)), pairs
 
 
-def _word_distances(group: pd.DataFrame, runs: int) -> pd.DataFrame:
-    """Words of one pair of languages (side 0 and 1) to distances of the pairs with one concept."""
-    group = group.sort_values(["concept", "form"], kind="stable")
-    sides = [group[group["side"] == k] for k in (0, 1)]
-    words = [list(zip(s["concept"], s["form"], (list(t) for t in s["tokens"]))) for s in sides]
-    by_concept: dict[str, list] = {}
-    for c, f, t in words[1]:
-        by_concept.setdefault(c, []).append((f, t))
-    pairs = [(c, f, t, g, u) for c, f, t in words[0] for g, u in by_concept.get(c, ())]
-    attested, expected = Counter(), Counter()
-    for _, _, t, _, u in pairs:
-        d, aligned = _distance(t, u, _by_class)
-        if d < CUT:
-            attested.update(aligned)
-    rng = np.random.default_rng(zlib.crc32(f"{SEED}:{group['lang_a'].iloc[0]}:{group['lang_b'].iloc[0]}".encode()))
-    for _ in range(runs if pairs else 0):
-        for i, j in zip(rng.integers(len(pairs), size=len(pairs)), rng.integers(len(pairs), size=len(pairs))):
-            d, aligned = _distance(pairs[i][2], pairs[j][4], _by_class)
-            if d < CUT:
-                expected.update(aligned)
-
-    def score(x: str, y: str) -> float:
-        odds = math.log2((attested[x, y] + 0.5) / (expected[x, y] / max(runs, 1) + 0.5))
-        return _by_class(x, y) if x == y else MIX * max(-1.0, min(1.0, odds / 2)) + (1 - MIX) * _by_class(x, y)
+def align_many(a: list[np.ndarray], b: list[np.ndarray], scores: np.ndarray) -> np.ndarray:
+    """Scores of global alignments of many pairs at once; segments are numbers, scores a table over them."""
+    n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    left, right = np.zeros((len(a), n.max(initial=0)), np.int64), np.zeros((len(b), m.max(initial=0)), np.int64)
+    for k, (x, y) in enumerate(zip(a, b)):
+        left[k, : len(x)], right[k, : len(y)] = x, y
+    above = np.repeat(GAP * np.arange(right.shape[1] + 1)[None], len(a), 0)
+    out = above[np.arange(len(a)), m].copy()
+    for i in range(left.shape[1]):
+        row = np.empty_like(above)
+        row[:, 0] = GAP * (i + 1)
+        for j in range(right.shape[1]):
+            row[:, j + 1] = np.maximum(np.maximum(above[:, j] + scores[left[:, i], right[:, j]], above[:, j + 1] + GAP), row[:, j] + GAP)
+        above = row
+        ends = n == i + 1
+        out[ends] = above[ends, m[ends]]
+    return out
 
-    rows = [(c, group["lang_a"].iloc[0], f, group["lang_b"].iloc[0], g, _distance(t, u, score)[0]) for c, f, t, g, u in pairs]
-    return pd.DataFrame(rows, columns=["concept", "lang_a", "form_a", "lang_b", "form_b", "distance"])
 
-
-PART = 1000  # pairs of words that a group of a pair of languages has, about
-_KEYS = ["lang_a", "lang_b", "x", "y"]
+PART = 4096  # pairs of words that a group of a pair of languages has, about
+_LANGS = ["lang_a", "lang_b"]
+_KEYS = [*_LANGS, "x", "y"]
 
 
 def _aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (lang_a, lang_b, tokens_a, tokens_b, weight) to weights of aligned segments (x, y) of words nearer than CUT."""
+    """Rows (tokens_a, tokens_b) with their aligned segments, of words nearer than CUT."""
     for rows in frames:
-        sums: Counter = Counter()
-        for a, b, t, u, w in zip(rows["lang_a"], rows["lang_b"], rows["tokens_a"], rows["tokens_b"], rows["weight"]):
-            d, aligned = _distance(list(t), list(u), _by_class)
+        out = []
+        for t, u in zip(rows["tokens_a"], rows["tokens_b"]):
+            d, aligned = _distance(typed(list(t)), typed(list(u)), _by_class)
             if d < CUT:
-                for x, y in aligned:
-                    sums[a, b, x, y] += w
-        yield pd.DataFrame([(*k, n) for k, n in sums.items()], columns=[*_KEYS, "n"])
-
+                out.append((t, u, [{"x": x, "y": y} for x, y in aligned]))
+        yield pd.DataFrame(out, columns=["tokens_a", "tokens_b", "aligned"])
 
-def _scored(pairs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-    odds = {(x, y): math.log2((a + 0.5) / (e + 0.5)) for x, y, a, e in zip(counts["x"], counts["y"], counts["attested"], counts["expected"])}
 
-    def score(x: str, y: str) -> float:
-        return _by_class(x, y) if x == y else MIX * max(-1.0, min(1.0, odds.get((x, y), 0.0) / 2)) + (1 - MIX) * _by_class(x, y)
+def pair_score(x: str, y: str, attested: float, expected: float) -> float:
+    """Of two typed segments: log-odds within bounds, mixed with the score of sound classes; segments that are the same have that alone."""
+    own = _by_class(x, y)
+    if x.rsplit("/", 1)[0] == y.rsplit("/", 1)[0]:
+        return own
+    odds = math.log2((attested + 0.5) / (expected + 0.5))
+    return MIX * max(-1.0, min(1.0, odds / 2)) + (1 - MIX) * own
 
-    pairs["distance"] = [_distance(list(t), list(u), score)[0] for t, u in zip(pairs["tokens_a"], pairs["tokens_b"])]
-    return pairs[["concept", "lang_a", "form_a", "lang_b", "form_b", "distance"]]
 
-
-def _exact_distances(own: DataFrame) -> DataFrame:
-    """word_distances with the expectation of random pairing in place of draws.
-
-    A draw pairs a left and a right word of any two pairs, so two words meet in proportion to the pairs
-    that each is in, and their expected number among n draws is the product of these over n.
-    """
-    side = lambda s: own.select("concept", F.col("lang").alias(f"lang_{s}"), F.col("form").alias(f"form_{s}"), F.col("tokens").alias(f"tokens_{s}"))
-    pairs = side("a").join(side("b"), "concept").where("lang_a < lang_b")
-    segments = "lang_a string, lang_b string, x string, y string, n double"
-    sums = lambda rows, name: rows.mapInPandas(_aligned, segments).groupBy(*_KEYS).agg(F.sum("n").alias(name))
-    langs = ["lang_a", "lang_b"]
-    attested = sums(pairs.select(*langs, "tokens_a", "tokens_b", F.lit(1.0).alias("weight")), "attested")
-    sizes = pairs.groupBy(*langs).agg(F.count("*").alias("of")).withColumn("parts", F.ceil(F.col("of") / PART).cast("int"))
-    one = lambda rows, *by: rows.join(sizes, langs).withColumn("salt", F.pmod(F.xxhash64(*by), "parts").cast("int")).drop("parts", "of")
-    each = lambda rows: rows.join(sizes, langs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    left = one(pairs.groupBy(*langs, "tokens_a").agg(F.count("*").alias("wa")), "tokens_a")
-    right = each(pairs.groupBy(*langs, "tokens_b").agg(F.count("*").alias("wb")))
-    meet = left.join(right, [*langs, "salt"])
-    expected = sums(meet.select(*langs, "tokens_a", "tokens_b", (F.col("wa") * F.col("wb") / F.col("of")).alias("weight")), "expected")
-    counts = attested.join(expected, _KEYS, "full").fillna(0.0, ["attested", "expected"])
-    counts, dealt = each(counts), one(pairs, "concept", "form_a", "form_b")
-    keys = [*langs, "salt"]
-    return dealt.groupBy(*keys).cogroup(counts.groupBy(*keys)).applyInPandas(_scored, DISTANCES)
+def _scored(pairs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+    if not len(pairs):
+        return pairs.assign(distance=[])[[*_LANGS, "tokens_a", "tokens_b", "distance"]]
+    words = [[typed(list(t)) for t in pairs[c]] for c in ("tokens_a", "tokens_b")]
+    place = {x: k for k, x in enumerate(sorted({x for side in words for w in side for x in w}))}
+    scores = np.array([[pair_score(x, y, 0, 0) for y in place] for x in place])
+    for x, y, a, e in zip(counts["x"], counts["y"], counts["attested"], counts["expected"]):
+        if x in place and y in place:
+            scores[place[x], place[y]] = pair_score(x, y, a, e)
+    left, right = ([np.array([place[x] for x in w], np.int64) for w in side] for side in words)
+    own = np.array([scores[w, w].sum() for w in left]) + np.array([scores[w, w].sum() for w in right])
+    found = align_many(left, right, scores)
+    same = np.array([list(t) != list(u) for t, u in zip(pairs["tokens_a"], pairs["tokens_b"])], float)
+    distance = np.where(own > 0, np.clip(1 - 2 * found / np.where(own > 0, own, 1), 0, 1), same)
+    return pairs[[*_LANGS, "tokens_a", "tokens_b"]].assign(distance=distance)
 
 
 DISTANCES = "concept string, lang_a string, form_a string, lang_b string, form_b string, distance double"
 
 
-def word_distances(words: DataFrame, runs: int | None = 100) -> DataFrame:
+def word_distances(words: DataFrame, runs: int | None = 10_000) -> DataFrame:
     """CL-4: (concept, lang_a, form_a, lang_b, form_b, distance), lang_a < lang_b, of words (concept, lang, form, tokens).
 
-    runs: random pairings that expected counts are the mean of, or None for their exact expectation. With runs, one group
-    is a pair of languages, so groups grow with a language's words; without, pairs of words are dealt out.
+    runs: random pairings that expected counts are the mean of, or None for what the mean comes to at last. A draw pairs a left and a right word
+    of any two pairs of two languages, so two words meet in proportion to the pairs that each is in: with None the expected number
+    is that, else a binomial number of all draws, seeded by the words, and so the same under any partitioning. Either way every two
+    distinct words of two languages with partners are weighed, which is quadratic in a language's distinct words, and dealt out.
     """
-    own = words.dropDuplicates(["concept", "lang", "form"])
-    if runs is None:
-        return _exact_distances(own)
-    langs = own.select("lang").distinct()
-    pairs = langs.select(F.col("lang").alias("lang_a")).join(langs.select(F.col("lang").alias("lang_b")), F.col("lang_a") < F.col("lang_b"))
-    left = own.join(pairs, F.col("lang") == F.col("lang_a")).withColumn("side", F.lit(0))
-    right = own.join(pairs, F.col("lang") == F.col("lang_b")).withColumn("side", F.lit(1))
-    both = left.unionByName(right).select("lang_a", "lang_b", "side", "concept", "form", "tokens")
-    return both.groupBy("lang_a", "lang_b").applyInPandas(lambda g: _word_distances(g, runs), DISTANCES)
+    own = kept(words.dropDuplicates(["concept", "lang", "form"]).select("concept", "lang", "form", "tokens"), "words")
+    side = lambda s: own.select("concept", F.col("lang").alias(f"lang_{s}"), F.col("form").alias(f"form_{s}"), F.col("tokens").alias(f"tokens_{s}"))
+    pairs = kept(side("a").join(side("b"), "concept").where("lang_a < lang_b"), "pairs")
+    sizes = pairs.groupBy(*_LANGS).agg(F.count("*").alias("of"))
+    left = pairs.groupBy(*_LANGS, "tokens_a").agg(F.count("*").alias("wa")).join(sizes, _LANGS)
+    right = pairs.groupBy(*_LANGS, "tokens_b").agg(F.count("*").alias("wb"))
+    meet = left.join(right, _LANGS)
+    share = F.col("wa") * F.col("wb") / F.col("of")
+    expected = share if runs is None else _draws(F.col("wa") * F.col("wb"), F.col("of"), F.xxhash64(*_LANGS, "tokens_a", "tokens_b"), F.lit(runs))
+    attested = pairs.groupBy(*_LANGS, "tokens_a", "tokens_b").agg(F.count("*").alias("attested"))
+    weights = meet.select(*_LANGS, "tokens_a", "tokens_b", expected.alias("expected")).join(attested, [*_LANGS, "tokens_a", "tokens_b"], "left")
+    weights = kept(weights.fillna(0, ["attested"]).where("attested > 0 or expected > 0"), "weights")
+    aligned = weights.select("tokens_a", "tokens_b").distinct().mapInPandas(_aligned, "tokens_a array<string>, tokens_b array<string>, aligned array<struct<x string, y string>>")
+    met = weights.join(kept(aligned, "aligned"), ["tokens_a", "tokens_b"]).select(*_LANGS, "attested", "expected", F.inline("aligned"))
+    counts = kept(met.groupBy(*_KEYS).agg(F.sum("attested").cast("double").alias("attested"), F.sum("expected").alias("expected")), "segments")
+    asked = kept(weights.where("attested > 0").select(*_LANGS, "tokens_a", "tokens_b"), "asked")
+    parts = kept(asked.groupBy(*_LANGS).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "parts")
+    dealt = asked.join(parts, _LANGS).withColumn("salt", F.pmod(F.xxhash64("tokens_a", "tokens_b"), "parts").cast("int")).drop("parts")
+    each = counts.join(parts, _LANGS).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    keys = [*_LANGS, "salt"]
+    scored = dealt.groupBy(*keys).cogroup(each.groupBy(*keys)).applyInPandas(_scored, "lang_a string, lang_b string, tokens_a array<string>, tokens_b array<string>, distance double")
+    return pairs.join(scored, [*_LANGS, "tokens_a", "tokens_b"]).select("concept", "lang_a", "form_a", "lang_b", "form_b", "distance")
+
+
+@F.pandas_udf(DoubleType())
+def _draws(both: pd.Series, of: pd.Series, seed: pd.Series, runs: pd.Series) -> pd.Series:
+    """How often two words meet in a run, over runs of `of` draws, each of which has them with probability both / of squared."""
+    share = [np.random.default_rng([SEED, int(s) & (2**63 - 1)]).binomial(int(n * r), b / (n * n)) / r for b, n, s, r in zip(both, of.astype(float), seed, runs)]
+    return pd.Series(share, dtype=float)
 
 
 def _sets(key: tuple, words: pd.DataFrame, distances: pd.DataFrame, thresholds: tuple[float, ...]) -> pd.DataFrame:
@@ -180,7 +192,7 @@ def _sets(key: tuple, words: pd.DataFrame, distances: pd.DataFrame, thresholds:
     return pd.concat(parts)
 
 
-def cognate_sets(words: DataFrame, thresholds: tuple[float, ...] = (0.50, 0.55, 0.60), runs: int | None = 100) -> DataFrame:
+def cognate_sets(words: DataFrame, thresholds: tuple[float, ...] = (0.50, 0.55, 0.60), runs: int | None = 10_000) -> DataFrame:
     """CL-5, CL-6: (threshold, concept, lang, form, local): sets within each concept, for all thresholds from one training.
 
     A set's id over all concepts is (concept, local); one group is a concept's distinct words.

@@ -1,25 +1,21 @@
-"""Concepts to a scored reference list of meanings: exact and fuzzy matches, review, partition (S3, S3b, S4)."""
+"""Concepts to a scored reference list of meanings: exact and fuzzy matches, review, partition (S3, S3b, S4).
 
-from __future__ import annotations
+Neither list is taken to be small: fuzzy and containment matches are joins on parts that the two strings must have in common.
+"""
 
-import difflib
-from collections.abc import Iterator
+from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 from ..functions.unicode import sequence_ratio
+from ..sources.shared import kept
+from .numbering import numbered
 
-BLOCK = 2_000  # meanings that one pass over the concepts takes along
-
-
-def blocks_of(table: DataFrame, key: str, columns: list[str], size: int = BLOCK) -> Iterator[list]:
-    """Rows of a reference table in blocks of about size rows, each row in one of them."""
-    n = -(-table.count() // size)
-    for k in range(n):
-        yield table.where(F.pmod(F.xxhash64(key), F.lit(n)) == k).select(*columns).collect()
+BLOCK = 500  # expressions of reviewers that one pass over the meanings takes along
 
 
 def distinct_concepts(rows: DataFrame) -> DataFrame:
@@ -47,43 +43,52 @@ def exact_match(concepts: DataFrame, meanings: DataFrame) -> DataFrame:
     return rows.select("concept", "concept_id", "row_idx", "m.id", "m.name", "m.score", F.lit(1.0).alias("match_score"), F.lit("exact").alias("method"))
 
 
-def _best(variants: list[str], meanings: list[tuple[int, str]], threshold: float) -> tuple[float, int, int] | None:
-    """(ratio, order of the variant, meaning) of the highest ratio, the first of equals; names too short or long are passed over."""
-    best: tuple[float, int, int] | None = None
-    for k, v in enumerate(variants):
-        for i, name in meanings:
-            most = 2 * min(len(v), len(name)) / max(1, len(v) + len(name))
-            if most < threshold or best and most <= best[0]:
-                continue
-            s = difflib.SequenceMatcher(None, v.lower(), name.lower())
-            if s.quick_ratio() < threshold:
-                continue
-            r = sequence_ratio(v, name)
-            if r >= threshold and (best is None or r > best[0]):
-                best = (r, k, i)
-    return best
+def _letters(c: Column) -> Column:
+    """The letters of a string in lower case, each numbered among its equals: two strings have as many in common as letters can be matched at most."""
+    letters = F.split(F.lower(c), "")
+    return F.transform(letters, lambda x, i: F.concat(x, F.size(F.filter(F.slice(letters, 1, i + 1), lambda y: y == x)).cast("string")))
+
+
+def _prefixes(strings: DataFrame, rarity: DataFrame, threshold: float) -> DataFrame:
+    """(text, n, letter): the rarest letters of each of strings (text), so many that strings with a ratio of threshold share one.
+
+    Twice the matched letters over both lengths is threshold at least, and so the shorter string has threshold / (2 - threshold) of the
+    longer one's length: of n letters ceil(n * threshold / (2 - threshold)) or more are matched.
+    """
+    rows = strings.select("text", F.length(F.lower("text")).alias("n"), F.explode(_letters(F.col("text"))).alias("letter")).where("n > 0")
+    rows = rows.join(rarity, "letter", "left")
+    rank = F.row_number().over(Window.partitionBy("text").orderBy(F.coalesce("seen", F.lit(0)), "letter"))
+    need = F.ceil(F.col("n") * (threshold / (2 - threshold)) - 1e-9)
+    return rows.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - need + 1).select("text", "n", "letter")
+
+
+@F.pandas_udf(DoubleType())
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([sequence_ratio(x, y) for x, y in zip(a, b)], dtype=float)
 
 
 def fuzzy_match(concepts: DataFrame, meanings: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """JO-3: the best meaning by sequence ratio for each concept, if it reaches the threshold; meanings go along in blocks."""
-    asked = concepts.select("concept", "concept_id", "row_idx", T.variants(F.col("concept")).alias("variants"))
-    found = None
-    for rows in blocks_of(meanings.where("name is not null"), "id", ["id", "name", "score"]):
-        names = sorted((r.id, r.name) for r in rows)
-        by_id = {r.id: r for r in rows}
-
-        def search(batches: Iterator[pd.DataFrame], names=names, by_id=by_id) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                hits = [(c, i, row, _best(list(v), names, threshold)) for c, i, row, v in zip(b["concept"], b["concept_id"], b["row_idx"], b["variants"])]
-                out = [(c, i, row, h[2], by_id[h[2]].name, by_id[h[2]].score, h[0], h[1]) for c, i, row, h in hits if h]
-                yield pd.DataFrame(out, columns=["concept", "concept_id", "row_idx", "id", "name", "score", "match_score", "ord"])
-
-        part = asked.mapInPandas(search, "concept string, concept_id long, row_idx long, id long, name string, score double, match_score double, ord int")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return concepts.selectExpr("concept", "concept_id", "row_idx", "0L id", "'' name", "0D score", "0D match_score", "'fuzzy' method").where("false")
-    best = found.groupBy("concept").agg(F.min_by(F.struct(*found.columns[1:]), F.struct(-F.col("match_score"), F.col("ord"), F.col("id"))).alias("m"))
-    return best.select("concept", "m.concept_id", "m.row_idx", "m.id", "m.name", "m.score", "m.match_score", F.lit("fuzzy").alias("method"))
+    """JO-3: the best meaning by sequence ratio for each concept, if it reaches the threshold; the first variant, then meaning, of equal ratios.
+
+    Distinct variants and names are joined by a rare letter that they share, and compared if letters and lengths allow the ratio; none that
+    reaches it is missed. A threshold of 0 or less, which every pair reaches, is an error.
+    """
+    if threshold <= 0:
+        raise ValueError("threshold must be above 0")
+    asked = kept(with_variants(concepts).withColumnRenamed("variant", "text"), "variants")
+    names = kept(meanings.where("name is not null").groupBy("name").agg(F.min(F.struct("id", "score")).alias("m")).select(F.col("name").alias("text"), "m.id", "m.score"), "names")
+    seen = names.select(F.explode(_letters(F.col("text"))).alias("letter")).groupBy("letter").agg(F.count("*").alias("seen"))
+    seen = kept(seen, "letters")
+    left = _prefixes(asked.select("text").distinct(), seen, threshold).select(F.col("text").alias("variant"), F.col("n").alias("nv"), "letter")
+    right = _prefixes(names, seen, threshold).select(F.col("text").alias("name"), F.col("n").alias("nn"), "letter")
+    near = left.join(right, "letter").where(2 * F.least("nv", "nn") >= threshold * (F.col("nv") + F.col("nn"))).select("variant", "name").distinct()
+    common = F.size(F.array_intersect(_letters(F.col("variant")), _letters(F.col("name"))))
+    near = near.where(2 * common >= (threshold - 1e-9) * (F.length(F.lower("variant")) + F.length(F.lower("name"))))
+    hits = kept(near.withColumn("match_score", _ratio("variant", "name")).where(F.col("match_score") >= threshold), "hits")
+    found = asked.join(hits, asked.text == hits.variant).select("concept", "ord", "name", "match_score").join(names.withColumnRenamed("text", "name"), "name")
+    best = found.groupBy("concept").agg(F.min_by(F.struct("id", "name", "score", "match_score"), F.struct(-F.col("match_score"), F.col("ord"), F.col("id"))).alias("m"))
+    rows = concepts.join(best, "concept")
+    return rows.select("concept", "concept_id", "row_idx", "m.id", "m.name", "m.score", "m.match_score", F.lit("fuzzy").alias("method"))
 
 
 def match_concepts(rows: DataFrame, meanings: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -108,27 +113,39 @@ def match_summary(matches: DataFrame) -> DataFrame:
     )
 
 
-def _search(query: Column, meanings: Column) -> Column:
-    """FI-8, FI-9: the meanings whose name the query finds, as a regular expression in any case, or whose id it is."""
-    digits = F.translate(query, ".-", "").rlike(r"^[0-9]+$")
-    return F.filter(meanings, lambda m: F.when(digits, m["id"].cast("string") == query).otherwise(F.coalesce(F.rlike(m["name"], F.concat(F.lit("(?i)"), query)), F.lit(False))))
+def _found(queries: DataFrame, meanings: DataFrame) -> DataFrame:
+    """FI-8, FI-9, LI-2: (query, nth, id, name, score): the meanings that each of queries (query) finds, numbered by id.
+
+    A query of digits is an id; another is a regular expression looked for in names in any case. Distinct expressions go along in blocks, each a pass
+    over the meanings.
+    """
+    named = meanings.where("name is not null").select("id", "name", "score")
+    digits = F.translate("query", ".-", "").rlike(r"^[0-9]+$")
+    hits = queries.where(digits).join(named.withColumn("query", F.col("id").cast("string")), "query").select("query", "id", "name", "score")
+    patterns = kept(queries.where(~digits), "patterns")
+    blocks = -(-patterns.count() // BLOCK)
+    for k in range(blocks):
+        own = [r.query for r in patterns.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k).collect()]  # about BLOCK
+        if own:
+            finds = F.filter(F.array(*map(F.lit, own)), lambda q: F.rlike(F.col("name"), F.concat(F.lit("(?i)"), q)))
+            hits = hits.unionByName(named.select(F.explode(finds).alias("query"), "id", "name", "score"))
+    return numbered(hits, ["query", "id"], "nth", within="query")
 
 
 def apply_review(matches: DataFrame, meanings: DataFrame, decisions: DataFrame) -> DataFrame:
     """RV-1: matches after decisions (row_idx, action, query, selection).
 
     Only fuzzy and no_match rows before the first row with action q are reviewed. n: no match, the score of the match stays
-    (Q-14). s: the selection-th meaning that the query finds, if there is one. Empty: accepts a fuzzy match. Meanings are a
-    reference list and go along as one array.
+    (Q-14). s: the selection-th meaning that the query finds, if there is one. Empty: accepts a fuzzy match.
     """
-    listed = meanings.where("name is not null").agg(F.array_sort(F.collect_list(F.struct("id", "name", "score"))).alias("listed"))
     stop = decisions.where(F.lower("action") == "q").agg(F.min("row_idx").alias("stop"))
-    d = decisions.select(F.col("row_idx").alias("at"), F.lower("action").alias("action"), F.lower("query").alias("query"), "selection")
-    one = F.lit(1).alias("_")
-    extra = listed.select("listed", one).join(stop.select("stop", one), "_")  # one row
-    rows = matches.join(d, F.col("row_idx") == F.col("at"), "left").withColumn("_", F.lit(1)).join(F.broadcast(extra), "_")
+    d = decisions.select(F.col("row_idx").alias("at"), F.lower("action").alias("action"), F.lower("query").alias("query"), F.col("selection").cast("long").alias("selection"))
+    rows = matches.join(d, F.col("row_idx") == F.col("at"), "left").withColumn("_", F.lit(1)).join(F.broadcast(stop.withColumn("_", F.lit(1))), "_")  # one row
+    asked = d.where("action = 's' and query is not null").select("query").distinct()
+    found = _found(asked, meanings).select(F.col("query").alias("found_by"), F.col("nth"), F.struct("id", "name", "score").alias("hit"))
+    rows = rows.join(found, (F.col("query") == F.col("found_by")) & (F.col("selection") == F.col("nth")), "left")
     open_ = F.col("method").isin("fuzzy", "no_match") & F.col("at").isNotNull() & (F.col("stop").isNull() | (F.col("row_idx") < F.col("stop")))
-    picked = F.when(open_ & (F.col("action") == "s"), F.get(_search(F.col("query"), F.col("listed")), F.col("selection") - 1))
+    picked = F.when(open_ & (F.col("action") == "s"), F.col("hit"))
     rows = rows.withColumns({"open": open_, "picked": picked})
     no, took = F.col("open") & (F.col("action") == "n"), F.col("picked").isNotNull()
     value = lambda c: F.when(no, None).when(took, F.col(f"picked.{c}")).otherwise(F.col(c)).alias(c)
@@ -144,6 +161,36 @@ def score_keys(matches: DataFrame) -> DataFrame:
     return last.select("key", "s.score", "pos")
 
 
+def _parts(c: Column) -> Column:
+    """All substrings of one to three letters."""
+    part = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substring(c, i, k))
+    return F.array_distinct(F.concat(*(F.when(F.length(c) >= k, part(k)).otherwise(F.array().cast("array<string>")) for k in (1, 2, 3))))
+
+
+def containing(keys: DataFrame, others: DataFrame) -> DataFrame:
+    """JO-5: (key, pos, score): for each distinct key the first by pos of others (of, pos, score) that contains it or that it contains.
+
+    The shorter string is looked for by one part of three letters, the one that fewest of the longer strings have, or by itself if it is shorter
+    than that: an inverted index. The empty string is contained in all.
+    """
+
+    def inside(short: DataFrame, s: str, long: DataFrame, t: str) -> DataFrame:
+        index = long.select(t, F.explode(_parts(F.col(t))).alias("part"))
+        often = index.groupBy("part").agg(F.count("*").alias("seen"))
+        own = F.when(F.length(s) >= 3, F.filter(_parts(F.col(s)), lambda x: F.length(x) == 3)).otherwise(F.array(s))
+        asked = short.where(F.length(s) > 0).select(s, F.explode(own).alias("part")).join(often, "part")
+        asked = asked.groupBy(s).agg(F.min_by("part", F.struct("seen", "part")).alias("part"))
+        return asked.join(index, "part").where(F.contains(F.col(t), F.col(s))).select(s, t)
+
+    pairs = inside(keys, "key", others.select("of"), "of").select("key", "of").unionByName(inside(others.select("of"), "of", keys, "key").select("key", "of"))
+    hits = pairs.distinct().join(others, "of").groupBy("key").agg(F.min_by(F.struct("pos", "score"), "pos").alias("m"))
+    first = others.agg(F.min_by(F.struct("pos", "score"), "pos").alias("m")).where("m is not null")
+    blank = others.where("of = ''").agg(F.min_by(F.struct("pos", "score"), "pos").alias("m")).where("m is not null")
+    every = hits.unionByName(keys.where("key = ''").join(F.broadcast(first), F.lit(True)).select("key", "m"))  # one row
+    every = every.unionByName(keys.where("key <> ''").join(F.broadcast(blank), F.lit(True)).select("key", "m"))  # one row at most
+    return every.groupBy("key").agg(F.min_by("m", "m.pos").alias("m")).select("key", "m.pos", "m.score")
+
+
 def score_partition(concepts: DataFrame, keys: DataFrame, threshold: float = 0.8) -> DataFrame:
     """S4: (concept, concept_id, row_idx, score, category, new_id) for each concept.
 
@@ -153,25 +200,13 @@ def score_partition(concepts: DataFrame, keys: DataFrame, threshold: float = 0.8
     """
     named = concepts.withColumn("key", T.normalise_b(F.col("concept")))
     exact = named.join(keys.select("key", F.struct("score").alias("hit")), "key", "left")
-    left = exact.where("hit is null").select("concept", "key").distinct()
-    found = None
-    for rows in blocks_of(keys, "key", ["key", "score", "pos"]):
-        pairs = sorted(((r.pos, r.key, r.score) for r in rows), key=lambda r: (r[0], r[1]))
-
-        def search(batches: Iterator[pd.DataFrame], pairs=pairs) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                hits = [(c, next((p for p in pairs if p[1] in k or k in p[1]), None)) for c, k in zip(b["concept"], b["key"])]
-                out = [(c, h[0], h[2]) for c, h in hits if h]
-                yield pd.DataFrame(out, columns=["concept", "pos", "near"]).astype({"near": float, "pos": "int64"})
-
-        part = left.mapInPandas(search, "concept string, pos long, near double")
-        found = part if found is None else found.unionByName(part)
-    scored = exact.select("concept", "concept_id", "row_idx", "hit.score")
-    if found is not None:
-        near = found.groupBy("concept").agg(F.min_by(F.struct("near"), "pos").alias("n")).select("concept", F.col("n.near").alias("near"))
-        scored = scored.join(near, "concept", "left").withColumn("score", F.coalesce("score", "near")).drop("near")
+    left = kept(exact.where("hit is null and key is not null").select("key").distinct(), "keys")
+    near = containing(left, keys.select(F.col("key").alias("of"), "pos", "score"))
+    near = near.select(F.col("key").alias("by_key"), F.struct(F.col("score").alias("near")).alias("n"))
+    scored = exact.join(near, F.col("key") == F.col("by_key"), "left")
+    score = F.when(F.col("hit").isNotNull(), F.col("hit.score")).otherwise(F.col("n.near"))
+    scored = scored.select("concept", "concept_id", "row_idx", score.alias("score"))
     scored = scored.withColumn("score", F.when(~F.isnan("score"), F.col("score")))
     category = F.when(F.col("score").isNull(), "unmatched").when(F.col("score") >= threshold, "basic").otherwise("borrowable")
     scored = scored.withColumn("category", category)
-    # three categories: the ids within each come from counts before, not from one window over all
-    return scored.withColumn("new_id", F.row_number().over(Window.partitionBy("category").orderBy("row_idx", "concept")).cast("long"))
+    return numbered(scored, ["row_idx", "concept"], "new_id", within="category")

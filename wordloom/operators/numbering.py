@@ -2,29 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+
 ROWS = 100_000  # of a range that one task numbers
 RANGES = 2_000
 
 
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """df with name: 1, 2, ... in the order of the columns, the first of which is a number without nulls.
+def numbered(df: DataFrame, order: list[str | Column], name: str, within: str | None = None) -> DataFrame:
+    """df with name: 1, 2, ... in the order of the columns, which is total; within each value of a column if one is given.
 
-    Rows are dealt into ranges of the first column by its quantiles; ranges are numbered side by side and shifted by what
-    stands before them, a table of RANGES rows at most.
+    df is kept, so that it is computed once. Rows are dealt into ranges of all the columns; ranges are numbered side by side
+    and shifted by what stands before them: RANGES rows at most, for each value of the column within.
     """
+    df = kept(df, "unnumbered")
     ranges = min(RANGES, -(-df.count() // ROWS))
+    groups = [within] if within else []
     if ranges <= 1:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
-    cuts = df.agg(F.percentile_approx(order[0], [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0]
-    at = F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))), lambda c: F.col(order[0]) > c))
-    dealt = df.withColumn("_range", at)
-    before = dealt.groupBy("_range").agg(F.count("*").alias("n"))
-    before = before.select(F.col("_range").alias("_r"), (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_before"))
-    rows = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
-    return rows.join(F.broadcast(before), F.col("_range") == F.col("_r")).withColumn(name, F.col("_nth") + F.col("_before")).drop("_range", "_r", "_nth", "_before")
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)).cast("long"))
+    dealt = kept(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_range", *groups).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*groups).orderBy("_range")) - F.col("n")
+    before = counts.select(F.col("_range").alias("_r"), *(F.col(g).alias("_g") for g in groups), before.alias("_before"))
+    rows = dealt.withColumn("_nth", F.row_number().over(Window.partitionBy("_range", *groups).orderBy(*order)))
+    same = F.col("_range") == F.col("_r")
+    same = same & F.col(within).eqNullSafe(F.col("_g")) if within else same
+    return rows.join(before, same).withColumn(name, F.col("_nth") + F.col("_before")).drop("_range", "_r", "_g", "_nth", "_before")
 
 
 def first_seen(df: DataFrame, key: str, order: str, name: str) -> DataFrame:

@@ -50,10 +50,8 @@ def nexus_rows(cells: DataFrame, columns: int = COLUMNS) -> DataFrame:
 
 
 def numbered_classes(cells: DataFrame) -> DataFrame:
-    """(concept, cogid, nth): classes in order of label; labels are dealt by their first characters' code points."""
-    own = cells.select("label", "concept", "cogid").distinct()
-    code = sum((F.coalesce(F.ascii(F.substring("label", k, 1)), F.lit(0)).cast("double") * (1114112.0 ** (3 - k)) for k in (1, 2, 3)), F.lit(0.0))
-    return numbered(own.withColumn("_code", code), ["_code", "label", "concept", "cogid"], "nth").select("concept", "cogid", "nth")
+    """(concept, cogid, nth): classes in order of label."""
+    return numbered(cells.select("label", "concept", "cogid").distinct(), ["label", "concept", "cogid"], "nth").select("concept", "cogid", "nth")
 
 
 def nexus(cells: DataFrame, columns: int = COLUMNS) -> DataFrame:
@@ -88,6 +86,8 @@ def _nodes(newick: str) -> list[tuple]:
         elif c == ",":
             at = child(path[-1])
         elif c == ")":
+            if len(path) < 2:
+                raise ValueError(f"a bracket too many at {i}")
             at = path.pop()
         elif c == "[":
             end = newick.index("]", i)
@@ -110,22 +110,41 @@ def _nodes(newick: str) -> list[tuple]:
                 rows[at][3] = newick[i:end].strip(" '\n\t")
             i = max(end - 1, i)
         i += 1
+    if len(path) > 1:
+        raise ValueError("a bracket that isn't closed")
     return [tuple(r) for r in rows]
 
 
-def parse_trees(trees: DataFrame) -> DataFrame:
-    """SC-8, TR-5: (file, node_id, parent_id, child_ord, label, length, posterior) of trees (file, newick); annotations belong to their node."""
+def tree_batch(trees: DataFrame) -> DataFrame:
+    """TR-8: (file, node_id, parent_id, child_ord, label, length, posterior, error) of trees (file, newick), a batch of files.
+
+    A file without a tree, or with one that can't be read, has one row, with an error and nulls; the others are not touched by it.
+    """
+    cols = ["file", "node_id", "parent_id", "child_ord", "label", "length", "posterior", "error"]
+
+    def read(file: str, newick: str | None) -> list[tuple]:
+        if not newick:
+            return [(file, *[None] * 6, "no tree")]
+        try:
+            return [(file, *n, None) for n in _nodes(newick)]
+        except (ValueError, IndexError) as e:
+            return [(file, *[None] * 6, f"malformed tree: {e}")]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(f, *n) for f, x in zip(b["file"], b["newick"]) if x for n in _nodes(x)]
-            cols = ["file", "node_id", "parent_id", "child_ord", "label", "length", "posterior"]
-            yield pd.DataFrame(rows, columns=cols).astype({"parent_id": "Int64", "posterior": "Float64"})
+            rows = [n for f, x in zip(b["file"], b["newick"]) for n in read(f, x)]
+            kinds = {"node_id": "Int64", "parent_id": "Int64", "child_ord": "Int64", "length": "Float64", "posterior": "Float64"}
+            yield pd.DataFrame(rows, columns=cols).astype(kinds)
 
-    schema = "file string, node_id long, parent_id long, child_ord long, label string, length double, posterior double"
+    schema = "file string, node_id long, parent_id long, child_ord long, label string, length double, posterior double, error string"
     return trees.select("file", "newick").mapInPandas(parse, schema)
 
 
+def parse_trees(trees: DataFrame) -> DataFrame:
+    """SC-8, TR-5: (file, node_id, parent_id, child_ord, label, length, posterior) of the trees (file, newick) that can be read; annotations belong to their node."""
+    return tree_batch(trees).where("error is null").drop("error")
+
+
 def layout(nodes: DataFrame) -> DataFrame:
     """TR-2, TR-3: nodes (node_id, parent_id, child_ord, length) with depth, x, y, is_tip.
 
@@ -147,8 +166,7 @@ def layout(nodes: DataFrame) -> DataFrame:
     inner = rows.where("parent_id is not null").select(F.col("parent_id").alias("inner")).distinct()
     placed = kept(placed.join(inner, F.col("node_id") == F.col("inner"), "left").withColumn("is_tip", F.col("inner").isNull()).drop("inner"), "placed")
     depth = placed.agg(F.max("depth")).first()[0] or 0
-    first = F.get("path", F.lit(1))
-    tips = numbered(placed.where("is_tip").withColumn("_first", F.coalesce(first, F.lit(0)).cast("long")), ["_first", "path"], "tip")
+    tips = numbered(placed.where("is_tip"), ["path"], "tip")
     known = tips.select("node_id", "parent_id", "depth", (F.col("tip") - 1).cast("double").alias("y"))
     known = kept(known, "tips")
     for d in range(depth - 1, -1, -1):
@@ -176,8 +194,8 @@ def support_labels(posterior: Column) -> tuple[Column, Column]:
 def tip_labels(tips: DataFrame, names: DataFrame, colours: DataFrame) -> DataFrame:
     """PR-7, TR-6: tips (label) with name (by code, else the label) and colour (by the name's first code, else black)."""
     of_name = names.groupBy("name").agg(F.min_by("code", "ord").alias("code")).join(colours, "code", "left").select("name", "colour")
-    rows = tips.join(F.broadcast(names.select(F.col("code").alias("label"), "name")), "label", "left").withColumn("name", F.coalesce("name", "label"))
-    return rows.join(F.broadcast(of_name), "name", "left").withColumn("colour", F.coalesce("colour", F.lit("black")))
+    rows = tips.join(names.select(F.col("code").alias("label"), "name"), "label", "left").withColumn("name", F.coalesce("name", "label"))
+    return rows.join(of_name, "name", "left").withColumn("colour", F.coalesce("colour", F.lit("black")))
 
 
 def drawing(placed: DataFrame) -> DataFrame:

@@ -21,7 +21,12 @@ FIRST_WORD = rf"^((?:(?!{T.BLANK}).)+)"
 
 
 def language_codes(pages: DataFrame, first: int = 2, last: int = 4, noise: tuple[str, ...] = NOISE) -> DataFrame:
-    """SC-2: (code, n_lines): two-letter first words of the lines of some pages (page_no, text), noise words left out."""
+    """SC-2: (code, n_lines): two-letter first words of the lines of some pages (doc, page_no, text), noise words left out.
+
+    A document whose last page is before the last of these gives none.
+    """
+    whole = pages.groupBy(F.col("doc").alias("whole")).agg(F.max("page_no").alias("pages")).where(F.col("pages") >= last)
+    pages = pages.join(whole, F.col("doc").eqNullSafe(F.col("whole")), "left_semi")
     lines = pages.where(F.col("page_no").between(first, last)).select(F.explode(F.split("text", "\n")).alias("line"))
     words = lines.select(F.regexp_extract(T.strip(F.col("line")), FIRST_WORD, 1).alias("code"))
     return words.where(F.col("code").rlike(r"^\p{L}{2}$") & ~F.col("code").isin(*noise)).groupBy("code").agg(F.count("*").alias("n_lines"))
@@ -129,3 +134,9 @@ def drop_columns(wide: DataFrame, names: list[str]) -> tuple[DataFrame, list[str
 def any_form(langs: list[str]) -> Column:
     """FI-2 on wide rows: some language has a form."""
     return F.exists(F.array(*(F.col(c) for c in langs)), T.non_blank)
+
+
+def preview(concepts: DataFrame, n: int) -> DataFrame:
+    """SO-1, LI-1: the first n of concepts (concept, concept_id, row_idx) with their place, by concept_id if any row has one, nulls last, and by row."""
+    order = [F.col("concept_id").asc_nulls_last(), F.col("row_idx")]
+    return concepts.orderBy(*order).limit(n).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))  # n rows

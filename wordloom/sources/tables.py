@@ -17,6 +17,20 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """SC-9: whether a path, or a pattern, has files, in whatever store it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
+def existing(spark: SparkSession, path: str) -> str:
+    """SC-9: the path, if there is something; else an error that names it."""
+    if not exists(spark, path):
+        raise FileNotFoundError(path)
+    return path
+
+
 def _without_na(df: DataFrame, tokens: tuple[str, ...]) -> DataFrame:
     return df.select(*(F.when(~F.col(f"`{c}`").isin(*tokens), F.col(f"`{c}`")).alias(c) for c in df.columns)) if tokens else df
 
