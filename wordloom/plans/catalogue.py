@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from ..operators import lexstat as L
 from ..operators import matching as M
 from ..operators import phylo as P
 from ..operators import wordlists as W
+from ..sources import tables as S
+from ..sources.shared import shared_folder
 from . import proxies as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,14 +82,14 @@ def _positioned(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_WIDE_SQL + " SELECT * FROM wide")
 def wide_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RE-2, WI-4, PR-4."""
-    return W.to_wide(_positioned(spark, sf_dir), _LANGS)
+    return W.to_wide(_positioned(spark, sf_dir), X.languages(spark, sf_dir))
 
 
 @query(f"""WITH p AS ({X.POSITIONED}), langs AS (SELECT unnest({sorted(set(_LANGS) - {'src3'})}) AS lang, generate_subscripts({sorted(set(_LANGS) - {'src3'})}, 1) - 1 AS lang_ord)
 SELECT row_number() OVER (ORDER BY concept_id, pos, lang_ord) AS id, concept_id, pos, lang, lang_ord::INTEGER AS lang_ord, form FROM p JOIN langs USING (lang) WHERE trim(form) <> ''""")
 def long_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RE-1, WI-3, FI-13, PR-1, PR-3."""
-    rows = W.to_long(W.to_wide(_positioned(spark, sf_dir), _LANGS), exclude=("src3",))
+    rows = W.to_long(W.to_wide(_positioned(spark, sf_dir), X.languages(spark, sf_dir)), exclude=("src3",))
     return W.with_ids(rows, ["concept_id", "pos", "lang_ord"])
 
 
@@ -117,7 +120,7 @@ _NOISE_SQL = ", ".join(f"'{w}'" for w in W.NOISE)
 _BLANKS = r"[\s\x{A0}]"
 
 
-@query(rf"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM ({X.PAGES}) WHERE page_no BETWEEN 2 AND 4)
+@query(rf"""WITH p AS ({X.PAGES}), l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM p WHERE page_no BETWEEN 2 AND 4 AND doc IN (SELECT doc FROM p GROUP BY doc HAVING max(page_no) >= 4))
 SELECT code, count(*) AS n_lines FROM (SELECT regexp_extract(regexp_replace(line, '^{_BLANKS}+|{_BLANKS}+$', '', 'g'), '^([^\s\x{{A0}}]+)', 1) AS code FROM l)
 WHERE regexp_matches(code, '^\p{{L}}{{2}}$') AND code NOT IN ({_NOISE_SQL}) GROUP BY code""")
 def language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -411,13 +414,13 @@ cells AS (SELECT g.language, g.concept, g.cogid, g.concept || '_' || g.cogid AS
 @query(_PRESENCE_SQL + " SELECT * FROM cells")
 def presence_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-17, JO-9, RE-5, PR-8."""
-    return P.presence(X.attested(spark, sf_dir), _LANGS)
+    return P.presence(X.attested(spark, sf_dir), X.languages(spark, sf_dir))
 
 
 @query(_PRESENCE_SQL + f" SELECT label, {', '.join(f'''max(CASE WHEN language = '{c}' THEN state END) AS {c}''' for c in sorted(_LANGS))} FROM cells GROUP BY label")
 def presence_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SK-5, RE-5."""
-    return P.matrix(P.presence(X.attested(spark, sf_dir), _LANGS), _LANGS)
+    return P.matrix(P.presence(X.attested(spark, sf_dir), X.languages(spark, sf_dir)), X.languages(spark, sf_dir))
 
 
 @query(_PRESENCE_SQL + """, o AS (SELECT concept, cogid, row_number() OVER (ORDER BY concept || '_' || cogid, concept, cogid) AS nth FROM c)
@@ -425,33 +428,30 @@ SELECT block, language, rpad(language, greatest(15, length(language))::INTEGER,
 FROM (SELECT (nth - 1) // 1000 AS block, language, string_agg(state, '' ORDER BY nth) AS states FROM cells JOIN o USING (concept, cogid) GROUP BY 1, 2)""")
 def nexus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SK-6, S-26."""
-    return P.nexus_rows(P.presence(X.attested(spark, sf_dir), _LANGS))
+    return P.nexus_rows(P.presence(X.attested(spark, sf_dir), X.languages(spark, sf_dir)))
 
 
-def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.forms(spark, sf_dir).where("form <> ''").select("concept", "lang", "form", T.tokens(F.col("form")).alias("tokens"))
-
-
-RUNS = None  # the exact expectation
+RUNS = None  # what the mean over random pairings comes to
 
 
 @query()
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CL-4 to CL-6, AG-8."""
-    return L.sweep_summary(L.cognate_sets(_lexical(spark, sf_dir), runs=RUNS))
+    """CL-4 to CL-6, AG-8, S-24."""
+    return L.sweep_summary(L.cognate_sets(X.lexical(spark, sf_dir), runs=RUNS))
 
 
 @query()
 def cognate_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CL-5 at the usual threshold."""
-    return L.with_set_ids(L.cognate_sets(_lexical(spark, sf_dir), (0.55,), RUNS))
+    return L.with_set_ids(L.cognate_sets(X.lexical(spark, sf_dir), (0.55,), RUNS))
 
 
 @query()
 def tone_augmented_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CL-7: tones in the segments of words whose length has a pattern in the orders, then CL-4 and CL-5."""
-    tones = C.tone_lookup(X.toned(spark, sf_dir).select(F.col("id").alias("row_idx"), F.concat(F.lit("L"), F.col("id")).alias("concept"), F.lit("any").alias("lang"), "pattern"))
-    rows = _lexical(spark, sf_dir).join(tones.drop("lang"), "concept", "left")
+    """CL-7: tones of customers' words in the segments of words of the concept with the customer's number, then CL-4 and CL-5."""
+    concept = (F.floor(F.col("id") / X.WORDS) % 50 + 1).cast("string")
+    tones = C.tone_lookup(X.toned(spark, sf_dir).select(F.col("id").alias("row_idx"), concept.alias("concept"), F.lit("any").alias("lang"), "pattern"))
+    rows = X.lexical(spark, sf_dir).join(tones.drop("lang"), "concept", "left")
     with_tones = F.when(F.col("pattern").isNotNull(), T.tone_segments(F.col("tokens"), F.split("pattern", "[.]"))).otherwise(F.col("tokens"))
     return L.with_set_ids(L.cognate_sets(rows.select("concept", "lang", "form", with_tones.alias("tokens")), (0.55,), RUNS))
 
@@ -474,13 +474,196 @@ def tree_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
 
 
-@query()
+_SEGMENTS_SQL = _TREE_SQL + """, e AS (SELECT c.node_id, p.x AS px, p.yc AS py, c.x, c.yc AS y FROM y0 c JOIN y0 p ON c.parent_id = p.node_id),
+g AS (SELECT node_id, px AS x0, y AS y0, x AS x1, y AS y1, 'horizontal' AS kind FROM e UNION ALL SELECT node_id, px, py, px, y, 'vertical' FROM e)"""
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+@query(_SEGMENTS_SQL + " SELECT node_id, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1, kind FROM g")
 def tree_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TR-4."""
-    return P.segments(P.layout(X.supplier_tree(spark, sf_dir)))
+    return _rounded(P.segments(P.layout(X.supplier_tree(spark, sf_dir))), "x0", "y0", "x1", "y1")
 
 
-@query()
+@query(_TREE_SQL + " SELECT count(*) FILTER (is_tip) AS tips, round(max(x), 6) AS depth, round(max(x) / 10, 6) AS scale, greatest(8.0::DOUBLE, 0.25::DOUBLE * count(*) FILTER (is_tip)) AS height FROM y0")
 def tree_drawing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TR-6."""
-    return P.drawing(P.layout(X.supplier_tree(spark, sf_dir)))
+    return _rounded(P.drawing(P.layout(X.supplier_tree(spark, sf_dir))), "depth", "scale")
+
+
+_NEWICK_SQL = """WITH tips AS (SELECT n_regionkey, n_nationkey, s_suppkey, s_acctbal, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+inner_ AS (SELECT n_regionkey, n_nationkey, count(*) AS size FROM tips GROUP BY 1, 2),
+placed AS (SELECT n_regionkey, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS nth, (sum(size + 1) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - size)::BIGINT AS node_id FROM inner_),
+nodes AS (
+  SELECT 'region' || n_regionkey AS file, 0::BIGINT AS node_id, NULL::BIGINT AS parent_id, 0::BIGINT AS child_ord, '' AS label, 0.0::DOUBLE AS length, NULL::DOUBLE AS posterior FROM placed GROUP BY n_regionkey
+  UNION ALL SELECT 'region' || n_regionkey, node_id, 0, nth - 1, '', n_nationkey % 5 + 1, printf('%.2f', (n_nationkey % 21 / 20.0)::DOUBLE)::DOUBLE FROM placed
+  UNION ALL SELECT 'region' || t.n_regionkey, node_id + k, node_id, k - 1, 'S' || s_suppkey, printf('%.3f', abs(s_acctbal)::DOUBLE / 1000)::DOUBLE, NULL FROM tips t JOIN placed p ON t.n_nationkey = p.n_nationkey)"""
+
+
+def _files(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/files/{name}-{uuid.uuid4().hex}"
+
+
+def _tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tree files written and read again."""
+    path = _files(spark, "trees")
+    trees = X.region_trees(spark, sf_dir).select("file", F.concat(F.lit("#NEXUS\nBEGIN TREES;\n  tree T = [&R] "), "newick", F.lit("\nEND;\n")).alias("text"))
+    trees.write.partitionBy("file").text(path)
+    return S.read_trees(spark, f"{path}/*").select(F.regexp_extract("file", r"file=([^/]+)", 1).alias("file"), "newick")
+
+
+@query(_NEWICK_SQL + " SELECT file, node_id, parent_id, child_ord, label, length, posterior, NULL::VARCHAR AS error FROM nodes")
+def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC-7, SC-8, TR-8."""
+    return P.tree_batch(_tree_files(spark, sf_dir))
+
+
+@query(_NEWICK_SQL + """ SELECT file, node_id, posterior, CASE WHEN posterior >= 0.1 THEN printf('%.3f', posterior) END AS text,
+  (CASE WHEN posterior >= 0.95 THEN 7 WHEN posterior >= 0.1 THEN 6 END)::INTEGER AS font FROM nodes WHERE posterior IS NOT NULL""")
+def tree_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TR-5, FI-12."""
+    text, font = P.support_labels(F.col("posterior"))
+    nodes = P.parse_trees(_tree_files(spark, sf_dir)).where("posterior is not null")
+    return nodes.select("file", "node_id", "posterior", text.alias("text"), font.alias("font"))
+
+
+@query(_NEWICK_SQL + " SELECT file, row_number() OVER (PARTITION BY file ORDER BY node_id) - 1 AS nth, posterior FROM nodes WHERE posterior IS NOT NULL")
+def tree_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TR-1, S-25."""
+    return _tree_files(spark, sf_dir).select("file", F.posexplode(T.posteriors(F.col("newick"))).alias("nth", "posterior")).withColumn("nth", F.col("nth").cast("long"))
+
+
+@query("""WITH names AS (SELECT 'S' || s_suppkey AS code, n_name AS name, s_suppkey AS ord FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 7 <> 0),
+colours AS (SELECT 'S' || s_suppkey AS code, CASE s_suppkey % 3 WHEN 0 THEN 'red' WHEN 1 THEN 'green' ELSE 'blue' END AS colour FROM supplier WHERE s_suppkey % 5 <> 0),
+f AS (SELECT name, arg_min(code, ord) AS code FROM names GROUP BY name), c AS (SELECT f.name, colour FROM f LEFT JOIN colours USING (code))
+SELECT 'S' || s_suppkey AS label, coalesce(n.name, 'S' || s_suppkey) AS name, coalesce(colour, 'black') AS colour FROM supplier LEFT JOIN names n ON n.code = 'S' || s_suppkey LEFT JOIN c ON c.name = coalesce(n.name, 'S' || s_suppkey)""")
+def tip_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PR-7, TR-6."""
+    s, n = X.table(spark, sf_dir, "supplier"), X.table(spark, sf_dir, "nation")
+    code, k = F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("code"), F.col("s_suppkey")
+    names = s.where(k % 7 != 0).join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(code, F.col("n_name").alias("name"), k.alias("ord"))
+    colours = s.where(k % 5 != 0).select(code, F.when(k % 3 == 0, "red").when(k % 3 == 1, "green").otherwise("blue").alias("colour"))
+    return P.tip_labels(s.select(code).withColumnRenamed("code", "label"), names, colours).select("label", "name", "colour")
+
+
+# files
+
+
+@query(f"SELECT row_idx::VARCHAR AS row_idx, concept_id::VARCHAR AS concept_id, CASE WHEN concept NOT IN ('', 'NA', 'null', 'nan') THEN concept END AS concept FROM ({X.CONCEPTS})")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC-3, SC-10, SK-1, SK-9: concepts written as CSV and read again."""
+    path = _files(spark, "csv")
+    S.write_csv(X.concepts(spark, sf_dir), path, order=["row_idx"])
+    return S.require(S.read_csv(spark, path, row_idx=None), "row_idx", "concept_id", "concept")
+
+
+@query(f"SELECT id, concept, doculect::VARCHAR AS doculect, cogid, array_to_string(regexp_extract_all(form, '(?s)(?:{'|'.join(T.DIGRAPHS)})|[^ \\-]'), '|') AS tokens FROM ({X.COGSETS})")
+def tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC-4, SC-5, SK-3, PR-6: a long wordlist written as TSV and read again."""
+    path = _files(spark, "tsv")
+    rows = X.cogsets(spark, sf_dir).select(F.col("id").alias("ID"), F.col("concept").alias("CONCEPT"), F.col("doculect").alias("DOCULECT"), F.col("cogid").alias("COGID"), F.array_join(T.tokens(F.col("form")), " ").alias("TOKENS"))
+    S.write_csv(rows, path, sep="\t", order=["ID"])
+    return S.read_wordlist(spark, path).select("id", "concept", "doculect", "cogid", F.array_join("tokens", "|").alias("tokens"))
+
+
+@query(f"SELECT count(*) AS n_rows, count(DISTINCT concept) AS height, count(DISTINCT doculect) AS width FROM ({X.COGSETS})")
+def wordlist_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC-5, AG-5, SK-8."""
+    return S.wordlist_size(X.cogsets(spark, sf_dir))
+
+
+@query(_PROFILE_SQL + " SELECT cogid AS id FROM profile WHERE is_unstable")
+def id_list_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC-6, SK-4: the unstable ids written one a line and read again."""
+    path = _files(spark, "ids")
+    S.write_lines(C.unstable_ids(C.set_profile(X.cogsets(spark, sf_dir))), path, "cogid", ["place"])
+    return S.read_ids(spark, path)
+
+
+@query(SQL["score_partition"].replace("SELECT *, row_number()", "SELECT concept, category, (row_number()").replace(" AS new_id FROM z", ")::VARCHAR AS new_id FROM z"))
+def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK-2, FI-6: the categories of the partition written to folders of their own and read again."""
+    path = _files(spark, "split")
+    S.write_split(score_partition(spark, sf_dir).select("concept", "category", "new_id"), path, "category")
+    there = [c for c in ("basic", "borrowable", "unmatched") if S.exists(spark, f"{path}/category={c}")]
+    read = [S.read_csv(spark, f"{path}/category={c}", na_tokens=(), row_idx=None).withColumn("category", F.lit(c)) for c in there]
+    return W.union_pages(*read).select("concept", "category", "new_id")
+
+
+@query("SELECT doc_id // 10 AS doc, (doc_id % 10 + 1)::INTEGER AS page_no, text FROM documents WHERE NOT contains(text, chr(12)) AND trim(text) <> ''")
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC-1, SC-9: books of pages written with form feeds between pages, and read again; a document that has one itself stays out."""
+    path = _files(spark, "pages")
+    pages = X.pages(spark, sf_dir).where("not contains(text, '\f')").groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("page_no", "text"))).alias("pages"))
+    whole = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.coalesce(F.element_at("pages", k.cast("long")), F.lit(""))), "\f")
+    pages.select("doc", whole.alias("text")).write.partitionBy("doc").option("lineSep", "\f").text(path)
+    read = S.read_pages(spark, S.existing(spark, f"{path}/*"))
+    return read.select(F.regexp_extract("doc", r"doc=([0-9]+)", 1).cast("long").alias("doc"), "page_no", "text")
+
+
+# what has no query above
+
+_MARKS = " || ".join(f"chr({ord(c)})" for c in T.STRIPPED_MARKS)
+
+
+@query(f"SELECT form, {X.nfc_sql(f'translate(d, {_MARKS}, {chr(39) * 2})')} AS plain FROM (SELECT form, {X.nfd_sql('form')} AS d FROM ({X.ACCENTED}))")
+def strip_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-7, S-1: of decomposed words."""
+    return X.accented(spark, sf_dir).select("form", T.strip_marks(nfd(F.col("form"))).alias("plain"))
+
+
+@query(f"""SELECT row_idx, len(string_split(concept, ' ')) AS n_words, length(concept) AS n_letters, upper(concept) AS up, starts_with(lower(concept), 'the ') AS the, ends_with(concept, 's') AS s,
+  replace(concept, ' ', '_') AS joined, regexp_matches(concept, '^\\p{{L}}+$') AS alphabetic, regexp_matches(concept, '^[0-9]+$') AS digits, printf('%.1f', row_idx / 8.0::DOUBLE) AS f1, printf('%.3f', row_idx / 7.0::DOUBLE) AS f3 FROM ({X.CONCEPTS})""")
+def string_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-22, S-24."""
+    c, k = F.col("concept"), F.col("row_idx")
+    return X.concepts(spark, sf_dir).select(
+        "row_idx", F.size(F.split(c, " ")).cast("long").alias("n_words"), F.length(c).cast("long").alias("n_letters"), F.upper(c).alias("up"), F.startswith(F.lower(c), F.lit("the ")).alias("the"), F.endswith(c, F.lit("s")).alias("s"),
+        F.replace(c, F.lit(" "), F.lit("_")).alias("joined"), c.rlike(r"^\p{L}+$").alias("alphabetic"), c.rlike("^[0-9]+$").alias("digits"),
+        F.format_string("%.1f", F.bround(k / 8.0, 1)).alias("f1"), F.format_string("%.3f", k / 7.0).alias("f3"),
+    )
+
+
+@query(f"WITH d AS ({X.DISTINCT}), e AS (SELECT *, row_number() OVER (ORDER BY concept_id, row_idx) AS place FROM d) SELECT place, concept, concept_id FROM e WHERE place <= 100")
+def match_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SO-1, LI-1: the first hundred distinct concepts by their ids."""
+    return W.preview(M.distinct_concepts(X.concepts(spark, sf_dir)), 100).select("place", "concept", "concept_id")
+
+
+@query(f"""WITH f AS ({X.FORMS}), a AS (SELECT 'L' || length(form) AS concept, lang, form FROM f WHERE lang IN ('src1', 'src2')), b AS (SELECT 'M' || length(form) AS concept, lang, form FROM f WHERE lang IN ('src2', 'src3'))
+SELECT concept, max(form) FILTER (lang = 'src1') AS src1, max(form) FILTER (lang = 'src2') AS src2, NULL::VARCHAR AS src3 FROM a GROUP BY concept UNION ALL
+SELECT concept, NULL, max(form) FILTER (lang = 'src2'), max(form) FILTER (lang = 'src3') FROM b GROUP BY concept""")
+def page_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SE-2, SO-3: wide rows of two pages whose languages differ, in one table."""
+    f = X.forms(spark, sf_dir)
+    page = lambda mark, langs: f.where(F.col("lang").isin(*langs)).groupBy(F.concat(F.lit(mark), F.length("form")).alias("concept")).pivot("lang", sorted(langs)).agg(F.max("form"))
+    return W.union_pages(page("L", ["src1", "src2"]), page("M", ["src2", "src3"]))
+
+
+@query(f"SELECT concept_id, pos, max(CASE WHEN lang = 'src1' THEN form END) AS ID_LANG, max(CASE WHEN lang = 'src2' THEN form END) AS src2 FROM ({X.POSITIONED}) WHERE lang IN ('src1', 'src2') GROUP BY concept_id, pos")
+def renamed_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PR-5: a language whose code is ID beside the concept's id."""
+    rows = _positioned(spark, sf_dir).where("lang in ('src1', 'src2')")
+    return W.to_wide(rows.withColumn("lang", F.when(F.col("lang") == "src1", "ID").otherwise(F.col("lang"))), ["ID", "src2"])
+
+
+@query(f"SELECT concept_id, pos, lang, reverse(form) AS form FROM ({X.POSITIONED}) WHERE trim(form) <> '' AND lang IN ('src4', 'src5')")
+def mapped_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RE-3, FI-2: a function of every language column, on the long table."""
+    wide = W.to_wide(_positioned(spark, sf_dir).where("lang in ('src4', 'src5')"), ["src4", "src5"])
+    return W.to_long(wide.where(W.any_form(["src4", "src5"]))).select("concept_id", "pos", "lang", F.reverse("form").alias("form"))
+
+
+@query()
+def match_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG-6, FI-6: the summary of all matches, fuzzy ones included."""
+    return M.match_summary(M.match_concepts(X.concepts(spark, sf_dir), X.meanings(spark, sf_dir)))
+
+
+@query()
+def review_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RV-1, FI-5: decisions on fuzzy matches and concepts without one."""
+    return M.apply_review(M.match_concepts(X.concepts(spark, sf_dir), X.meanings(spark, sf_dir)), X.meanings(spark, sf_dir), _decisions(spark, sf_dir))

@@ -33,17 +33,32 @@ def cogsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 COGSETS = "SELECT p_partkey AS id, p_type AS concept, p_size AS doculect, p_name AS form, CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT) AS cogid FROM part"
 
 
+def languages(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The sources of documents in code point order; each is a column of wide tables."""
+    return sorted(r.source for r in table(spark, sf_dir, "documents").select("source").where("source is not null").distinct().collect())
+
+
+PLACE = 1 << 24  # of a word in its document, at most
+
+
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(row_idx, concept_id, concept, lang, form): the first word of each document; its length in characters is the concept."""
-    docs = table(spark, sf_dir, "documents")
-    form = F.lower(F.regexp_extract("text", r"\p{L}+", 0))
-    return docs.select(F.col("doc_id").alias("row_idx"), F.col("n_chars").alias("concept_id"), F.concat(F.lit("L"), F.col("n_chars")).alias("concept"), F.col("source").alias("lang"), form.alias("form"))
+    """(row_idx, concept_id, concept, lang, form): the distinct words of the documents of one length and source, where they first stand; the length is the concept."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source", F.posexplode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("at", "word"))
+    rows = docs.groupBy(F.col("n_chars").alias("concept_id"), F.col("source").alias("lang"), F.lower("word").alias("form")).agg(F.min(F.col("doc_id") * PLACE + F.col("at")).alias("row_idx"))
+    return rows.select("row_idx", "concept_id", F.concat(F.lit("L"), "concept_id").alias("concept"), "lang", "form")
 
 
-FORMS = r"SELECT doc_id AS row_idx, n_chars AS concept_id, 'L' || n_chars AS concept, source AS lang, lower(regexp_extract(text, '\p{L}+')) AS form FROM documents"
+FORMS = rf"""SELECT min(doc_id * {PLACE} + nth) AS row_idx, n_chars AS concept_id, 'L' || n_chars AS concept, source AS lang, lower(word) AS form FROM (
+  SELECT doc_id, n_chars, source, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS nth FROM (SELECT *, regexp_extract_all(text, '\p{{L}}+') AS ws FROM documents)) GROUP BY n_chars, source, lower(word)"""
 POSITIONED = f"SELECT *, row_number() OVER (PARTITION BY concept_id, lang ORDER BY row_idx) - 1 AS pos FROM ({FORMS})"
 
 
+def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(concept, lang, form, tokens): the distinct part names of a brand and size; a brand is a language, a size a concept."""
+    part = table(spark, sf_dir, "part").select(F.col("p_size").cast("string").alias("concept"), F.col("p_brand").alias("lang"), F.lower("p_name").alias("form")).distinct()
+    return part.withColumn("tokens", T.tokens(F.col("form")))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, page_no, text): documents; ten to a book."""
     docs = table(spark, sf_dir, "documents")
@@ -99,29 +114,45 @@ def nfc_sql(x: str) -> str:
     return x
 
 
+WORDS = 1_000_000  # of a customer, at most
+
+
 def toned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, concept, lang, cogid, pattern): customers with orders; their first four orders' priorities are the tones of a word of four syllables."""
+    """(id, concept, lang, cogid, pattern): a word of four syllables at most for every four orders of a customer, by date; their priorities are its tones."""
     orders = table(spark, sf_dir, "orders")
     tone = F.element_at(F.create_map(*(F.lit(x) for kv in PRIORITY_TONES.items() for x in kv)), F.col("o_orderpriority"))
-    nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    firsts = orders.select("o_custkey", nth.alias("nth"), tone.alias("tone")).where("nth <= 4")
-    patterns = firsts.groupBy("o_custkey").agg(T.pattern(F.transform(F.array_sort(F.collect_list(F.struct("nth", "tone"))), lambda x: x["tone"])).alias("pattern"))
+    nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) - 1
+    tones = orders.select("o_custkey", nth.alias("nth"), tone.alias("tone")).withColumn("word", F.floor(F.col("nth") / 4))
+    patterns = tones.groupBy("o_custkey", "word").agg(T.pattern(F.transform(F.array_sort(F.collect_list(F.struct("nth", "tone"))), lambda x: x["tone"])).alias("pattern"))
     rows = table(spark, sf_dir, "customer").join(patterns, F.col("c_custkey") == F.col("o_custkey"))
-    return rows.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("concept"), F.col("c_nationkey").alias("lang"), (F.col("c_nationkey") * 5 + F.length("c_mktsegment") % 5).cast("long").alias("cogid"), "pattern")
+    cogid = (F.col("c_nationkey") * 5 + F.length("c_mktsegment") % 5).cast("long")
+    return rows.select((F.col("c_custkey") * WORDS + F.col("word")).cast("long").alias("id"), F.col("c_mktsegment").alias("concept"), F.col("c_nationkey").alias("lang"), cogid.alias("cogid"), "pattern")
 
 
-TONED = """SELECT c_custkey AS id, c_mktsegment AS concept, c_nationkey AS lang, (c_nationkey * 5 + length(c_mktsegment) % 5)::BIGINT AS cogid, pattern FROM customer JOIN (
-  SELECT o_custkey, string_agg(CASE o_orderpriority WHEN '1-URGENT' THEN 'H' WHEN '2-HIGH' THEN 'L' WHEN '3-MEDIUM' THEN 'M' WHEN '4-NOT SPECIFIED' THEN 'R' ELSE 'F' END, '.' ORDER BY nth) AS pattern
-  FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nth FROM orders) WHERE nth <= 4 GROUP BY o_custkey) ON c_custkey = o_custkey"""
+TONED = f"""SELECT (c_custkey * {WORDS} + word)::BIGINT AS id, c_mktsegment AS concept, c_nationkey AS lang, (c_nationkey * 5 + length(c_mktsegment) % 5)::BIGINT AS cogid, pattern FROM customer JOIN (
+  SELECT o_custkey, (nth - 1) // 4 AS word, string_agg(CASE o_orderpriority WHEN '1-URGENT' THEN 'H' WHEN '2-HIGH' THEN 'L' WHEN '3-MEDIUM' THEN 'M' WHEN '4-NOT SPECIFIED' THEN 'R' ELSE 'F' END, '.' ORDER BY nth) AS pattern
+  FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nth FROM orders) GROUP BY o_custkey, (nth - 1) // 4) ON c_custkey = o_custkey"""
 
 
 def attested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(language, concept, cogid): first words of documents by source; a word's first letters tell its set."""
-    f = forms(spark, sf_dir).where("form <> ''")
-    return f.select(F.col("lang").alias("language"), "concept", F.substring("form", 1, 2).alias("cogid"))
+    """(language, concept, cogid): all words of documents by source; a word's length is its concept, its first letters tell its set."""
+    words = table(spark, sf_dir, "documents").select(F.col("source").alias("language"), F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
+    form = F.lower("word")
+    return words.select("language", F.concat(F.lit("L"), F.length(form)).alias("concept"), F.substring(form, 1, 2).alias("cogid")).distinct()
+
+
+ATTESTED = r"SELECT DISTINCT source AS language, 'L' || length(lower(word)) AS concept, substring(lower(word), 1, 2) AS cogid FROM (SELECT source, unnest(regexp_extract_all(text, '\p{L}+')) AS word FROM documents)"
 
 
-ATTESTED = f"SELECT lang AS language, concept, substring(form, 1, 2) AS cogid FROM ({FORMS}) WHERE form <> ''"
+def region_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, newick): a tree text for each region, its nations the inner nodes with a support, their suppliers the tips."""
+    n, s = (table(spark, sf_dir, x) for x in ("nation", "supplier"))
+    tip = F.concat(F.lit("S"), F.col("s_suppkey").cast("string"), F.lit(":"), F.format_string("%.3f", F.abs("s_acctbal").cast("double") / 1000))
+    tips = s.groupBy("s_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", tip.alias("tip")))), lambda x: x["tip"]), ",").alias("tips"))
+    one = F.concat(F.lit("("), "tips", F.lit(")[&posterior="), F.format_string("%.2f", F.col("n_nationkey") % 21 / 20.0), F.lit("]:"), (F.col("n_nationkey") % 5 + 1).cast("string"))
+    nations = n.join(tips, F.col("n_nationkey") == F.col("s_nationkey")).select("n_regionkey", F.struct("n_nationkey", one.alias("node")).alias("x"))
+    whole = nations.groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["node"]), ",").alias("nodes"))
+    return whole.select(F.concat(F.lit("region"), F.col("n_regionkey").cast("string")).alias("file"), F.concat(F.lit("("), "nodes", F.lit(");")).alias("newick"))
 
 
 def supplier_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
