@@ -9,27 +9,28 @@ exceeds the penalty.
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .shared import kept
 from .words import chunks
 
-BUCKETS = 1 << 16  # of trigrams; with MAX_LANGUAGES the bound of the model's size, 64 MB
-MAX_LANGUAGES = 256
+BITS = 16  # of a trigram's bucket, for LANGUAGES languages at most; twice the languages take one bit less, so the model's size is bounded
+LANGUAGES = 256
 SMOOTHING = 0.1
 ROUNDS = 30  # of expectation-maximisation at most
 PENALTY = 3.0  # for each further language, times the log of the number of trigrams, which overlap by threes
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _KEEP = np.full(256, 32, np.uint8)
 _KEEP[97:123] = np.arange(97, 123)
 _KEEP[128:] = np.arange(128, 256)
@@ -46,30 +47,37 @@ def trigrams(data: np.ndarray) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to (lang, bucket, n), summed over the partition."""
-    total: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(BUCKETS, np.int64))
+    """(lang, text) to (lang, bucket, n), summed over the partition; what is held for more than LANGUAGES languages goes on before."""
+
+    def sums() -> Iterator[pa.RecordBatch]:
+        for lang, n in total.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
+        total.clear()
+
+    total: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(1 << BITS, np.int64))
     for batch in batches:
         langs = batch.column(0).to_pylist()
         for at, end, data, offsets in chunks(pc.utf8_lower(batch.column(1))):
             for i in range(end - at):
-                total[langs[at + i]] += np.bincount(trigrams(data[offsets[i] : offsets[i + 1]]), minlength=BUCKETS)
-    for lang, n in total.items():
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
+                total[langs[at + i]] += np.bincount(trigrams(data[offsets[i] : offsets[i + 1]]), minlength=1 << BITS)
+                if len(total) > LANGUAGES:
+                    yield from sums()
+    yield from sums()
 
 
 def language_model(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, probabilities [bucket, language]) from all rows of labelled (lang, text) without nulls."""
-    counts = labelled.select("lang", "text").where("lang is not null and text is not null").mapInArrow(_counts, "lang string, bucket int, n long")
-    counts = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).persist()
-    langs = sorted(r.lang for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} values of lang")
-    model = np.full((BUCKETS, len(langs)), SMOOTHING)
-    for k, lang in enumerate(langs):
-        own = counts.where(F.col("lang") == lang).select("bucket", "n").toPandas()  # BUCKETS rows at most
-        model[own["bucket"].to_numpy(), k] += own["n"].to_numpy()
-    counts.unpersist()
+    rows = labelled.select("lang", "text").where("lang is not null and text is not null")
+    counts = kept(rows.mapInArrow(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    known = counts.agg(F.count_distinct("lang")).first()[0]
+    fewer = max(0, (-(-known // LANGUAGES) - 1).bit_length())
+    size = 1 << max(BITS - fewer, 6)
+    own = counts.groupBy("lang", F.floor(F.col("bucket") / ((1 << BITS) // size)).cast("int").alias("bucket")).agg(F.sum("n").alias("n")).toPandas()  # LANGUAGES << BITS rows at most
+    langs = sorted(set(own["lang"]))
+    model = np.full((size, len(langs)), SMOOTHING)
+    if langs:
+        np.add.at(model, (own["bucket"].to_numpy(), np.searchsorted(np.array(langs, object), own["lang"].to_numpy(object))), own["n"].to_numpy())
     return langs, model / model.sum(0, keepdims=True) if langs else model
 
 
@@ -87,7 +95,7 @@ def _mixture(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
 
 def infer(grams: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """(languages' columns, their proportions, mean log likelihood of a trigram), the largest proportion first."""
-    count = np.bincount(grams, minlength=len(model))
+    count = np.bincount(grams * len(model) >> BITS, minlength=len(model))
     at = np.flatnonzero(count)
     n, p = count[at].astype(float), model[at]
     total = n.sum()
@@ -137,9 +145,9 @@ def identify_languages(docs: DataFrame, labelled: DataFrame, keep: tuple[str, ..
 
     languages: the selected set, the largest share first; lang_pred: the first of it; score: its
     share; fit: mean natural log likelihood of a trigram. Only text is an input. A null text, one
-    without a letter, or an empty model gives `und`, score 0, an empty set and a null fit. Equal texts get
+    without a letter (Unicode category L), or an empty model gives `und`, score 0, an empty set and a null fit. Equal texts get
     equal results. Of equal single-language likelihoods the first language by name wins. labelled
-    (lang, text): rows with nulls teach nothing. Other columns are ignored. No rows in, none out.
+    (lang, text): rows with nulls teach nothing; any number of languages may be learned. Other columns are ignored. No rows in, none out.
     """
     langs, model = language_model(labelled)
     found = StructType.fromDDL("lang_pred string, score double, languages array<string>, shares array<double>, fit double")

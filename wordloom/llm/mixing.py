@@ -1,77 +1,85 @@
 """Mixing sources to target weights by entropy balancing.
 
-Among all document rates whose taken words meet each source's target, entropy balancing takes
-those nearest to the corpus as it is, in relative entropy with words as base weights. The
-solution tilts rates exponentially, rate = exp(multiplier of the source), and the multipliers solve a
-convex dual: the sum over sources of words * exp(multiplier) - target * multiplier. Newton steps
-on that dual sum the tilted words of (source, size) classes over the cluster. Rates become whole
-copies by error diffusion: within strata of a source, from large documents to small ones, what
-rounding has given too much or too little so far goes into the next document's copies.
+Among all document rates whose taken words meet each source's target, entropy balancing takes those nearest to one copy
+of every document, in relative entropy, with rates of cap at most. The solution tilts rates exponentially in a document's tokens,
+rate = min(cap, exp(multiplier * size)), one multiplier for each source's token constraint, so long documents move further than
+short ones. The multipliers solve a convex dual, whose gradient is the words taken less the target and whose
+curvature is the sum of size squared times rate below the cap. Newton steps sum both over (source, size) classes on the cluster; a
+step that leaves the bracket known so far is halved into it. Rates become whole copies by error diffusion: within
+strata of a source, from large documents to small ones, what rounding has given too much or too little so far goes into the
+next document's copies.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
 from .shared import kept, n_words
 
 STRATUM = 4096  # documents that are rounded together, about
-STEPS = 40  # Newton steps at most; about seven are needed
-TOLERANCE = 1e-10
+STEPS = 200  # Newton steps at most; about ten are needed
+STRIDE = 4.0  # the most that a step moves a multiplier, in exponents of a document of mean size
+TOLERANCE = 1e-9
+SURE = 1e9  # a multiplier that means all rates at the cap
 
 
 def capped_targets(sources: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
     """sources (source, source_size) with target: shares of all words by weight, none above cap times its size.
 
-    Sources in code point order, null last, get the weights in turn, again and again. Filling up:
-    in order of cap / weight, a source is capped while the level that remains for the others is above that.
-    One row a source, so the windows are as small as the number of sources.
+    Sources in code point order, null last, get the weights in turn, again and again. The level, words for each
+    unit of weight, rises as sources are capped, until no further one is: each round is an aggregate over the sources.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.row_number().over(order) - 1) % len(weights) + 1)
-    fill = Window.orderBy("room", F.col("source").asc_nulls_last())
-    before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (
-        F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    )
-    filled = (
-        sources.withColumn("weight", turn)
-        .withColumn("most", F.col("source_size") * float(cap))
-        .withColumn("room", F.col("most") / F.col("weight"))
-        .withColumn("level", level)
-        .withColumn("place", F.row_number().over(fill))
-        .withColumn("open", F.min(F.when(F.col("room") > F.col("level"), F.struct("place", "level"))).over(whole))
-        .withColumn("full", F.coalesce(F.col("place") < F.col("open.place"), F.lit(True)))
-    )
-    rest = F.col("open.level")
-    return filled.select(
-        "source", "source_size", F.when(F.col("full"), F.col("most")).otherwise(F.col("weight") * rest).alias("target")
-    )
-
-
-def multipliers(classes: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, source_size, target, multiplier): Newton steps on the dual. classes: (source, size, n)."""
-    state = kept(targets.withColumn("multiplier", F.when(F.col("target") > 0, F.lit(0.0))), "dual")
+    order = [F.col("source").asc_nulls_last()]
+    turn = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), ((F.col("nth") - 1) % len(weights) + 1).cast("int"))
+    rows = numbered(sources, order, "nth").select("source", "source_size", turn.alias("weight"), (F.col("source_size") * float(cap)).alias("most"))
+    rows = kept(rows, "weighted")
+    total, capped, level = rows.agg(F.sum("source_size")).first()[0], -1, 0.0
+    while total:
+        full = F.col("most") <= F.col("weight") * level
+        n, used, open_ = rows.agg(F.count_if(full), F.sum(F.when(full, F.col("most")).otherwise(0.0)), F.sum(F.when(~full, F.col("weight")).otherwise(0.0))).first()
+        if n == capped or not open_:
+            break
+        capped, level = n, (total - used) / open_
+    return rows.select("source", "source_size", F.least("most", F.col("weight") * level).alias("target"))
+
+
+def rate_of(multiplier: Column, size: Column, cap: float) -> Column:
+    """The tilted rate of a document."""
+    tilt = multiplier * size
+    return F.when(tilt >= F.log(F.lit(float(cap))), F.lit(float(cap))).otherwise(F.exp(tilt))
+
+
+def multipliers(classes: DataFrame, targets: DataFrame, cap: float = 3.0) -> DataFrame:
+    """(source, source_size, target, multiplier): Newton steps on the dual. classes: (source, size, n), targets: (source, source_size, target, n_docs)."""
+    none = F.lit(None).cast("double")
+    sure = F.col("target") >= F.col("source_size") * float(cap) * (1 - 1e-12)
+    state = targets.select(
+        "source", "source_size", "target", (F.col("source_size") / F.col("n_docs")).alias("mean"),
+        F.when(sure, F.lit(SURE)).otherwise(F.lit(0.0)).alias("multiplier"), none.alias("low"), none.alias("high"), (sure | (F.col("source_size") == 0)).alias("done"),
+    )
+    state = kept(state, "dual")
     for _ in range(STEPS):
-        tilted = classes.join(state.select(F.col("source").alias("of"), "multiplier"), F.col("source").eqNullSafe(F.col("of")))
-        mass = tilted.groupBy("source").agg(F.sum(F.col("n") * F.col("size") * F.exp("multiplier")).alias("mass"))
-        mass = mass.withColumnRenamed("source", "of")
-        gradient = F.col("target") - F.col("mass")
-        step = state.join(mass, F.col("source").eqNullSafe(F.col("of")), "left").select(
-            "source",
-            "source_size",
-            "target",
-            F.when(F.col("mass") > 0, F.col("multiplier") + gradient / F.col("mass")).otherwise(F.col("multiplier")).alias("multiplier"),
-            F.coalesce(F.abs(gradient) / F.col("target"), F.lit(0.0)).alias("off"),
-        )
-        step = kept(step, "dual")
-        state = step.drop("off")
-        if step.where(F.col("off") > TOLERANCE).isEmpty():
+        if state.where("not done").isEmpty():
             break
-    return state
+        open_ = state.where("not done").select(F.col("source").alias("of"), "multiplier")
+        rows = classes.join(open_, F.col("source").eqNullSafe(F.col("of")))
+        rate = rate_of(F.col("multiplier"), F.col("size"), cap)
+        words = F.col("n") * F.col("size") * rate
+        sums = rows.groupBy("of").agg(F.sum(words).alias("mass"), F.sum(F.when(rate < cap, words * F.col("size")).otherwise(0.0)).alias("slope"))
+        off = F.col("mass") - F.col("target")
+        step = state.join(sums, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+        step = step.withColumn("low", F.when(off < 0, F.col("multiplier")).otherwise(F.col("low"))).withColumn("high", F.when(off > 0, F.col("multiplier")).otherwise(F.col("high")))
+        most = STRIDE / F.col("mean")
+        newton = F.col("multiplier") + F.greatest(-most, F.least(most, F.coalesce(F.try_divide(-off, F.col("slope")), -F.signum(off) * most)))
+        inside = (F.col("low").isNull() | (newton > F.col("low"))) & (F.col("high").isNull() | (newton < F.col("high")))
+        new = F.when(inside, newton).otherwise((F.col("low") + F.col("high")) / 2)
+        ends = F.abs(off) <= TOLERANCE * F.col("target")
+        step = step.withColumn("new", F.when(F.col("done") | ends, F.col("multiplier")).otherwise(new)).withColumn("done", F.col("done") | ends | (F.col("new") == F.col("multiplier")))
+        state = kept(step.select("source", "source_size", "target", "mean", F.col("new").alias("multiplier"), "low", "high", "done"), "dual")
+    return state.select("source", "source_size", "target", "multiplier")
 
 
 def _rounded(group: pd.DataFrame) -> pd.DataFrame:
@@ -96,40 +104,29 @@ def _rounded(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies) for every row of docs (doc_id, text, source).
+    """(doc_id, size, source_size, target, taken, copies, rate) for every row of docs (doc_id, text, source).
 
     size counts the words of the text (null: 0), source_size all words of the row's source, target
-    what the mix should take of it, copies how often the mix takes the document, taken = copies * size.
-    Null sources are one source, the last. A document without words is taken once if its
-    source's rate is 1 or more, else never; a source without words has target 0. Rows given twice are two
-    documents; with equal ids and sizes they are alike to the rounding. Null ids stay null. No rows in, none out.
+    what the mix should take of it, rate the document's tilted rate, copies how often the mix takes the document, taken = copies * size.
+    Null sources are one source, the last. A document without words has rate 1 and is taken once; a source without words has
+    target 0. Rows given twice are two documents; with equal ids and sizes they are alike to the rounding. doc_id may be of any
+    type that casts to text and back; null ids stay null. Other columns are ignored. No rows in, none out.
     """
     kind = docs.schema["doc_id"].dataType
     sized = kept(docs.select("doc_id", "source", n_words(F.col("text")).cast("long").alias("size")), "sized")
     classes = kept(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "classes")
-    sources = classes.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("n_docs"))
-    state = multipliers(classes, capped_targets(sources.drop("n_docs"), weights, cap))
+    sources = kept(classes.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("n_docs")), "sources")
     counted = sources.select(F.col("source").alias("of"), "n_docs")
-    # numbered in code point order, so that reruns agree; one row a source
-    state = state.join(counted, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    state = kept(state.withColumn("of", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))), "sources")
-    rates = state.select(
-        F.col("source").alias("named"),
-        "of",
-        F.least(F.coalesce(F.exp("multiplier"), F.lit(0.0)), F.lit(float(cap))).alias("exact"),
-        F.ceil(F.col("n_docs") / STRATUM).alias("strata"),
-    )
-    # a rate within the tolerance of a whole number is that number
-    near = F.abs(F.col("exact") - F.round("exact")) < 1e-7
+    targets = capped_targets(sources.drop("n_docs"), weights, cap).join(counted, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    state = multipliers(classes, targets, cap).join(counted, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    # numbered in code point order, so that reruns agree
+    state = kept(numbered(state, [F.col("source").asc_nulls_last()], "of"), "mixed")
+    rates = state.select(F.col("source").alias("named"), "of", "multiplier", F.ceil(F.col("n_docs") / STRATUM).alias("strata"))
     rows = sized.join(rates, F.col("source").eqNullSafe(F.col("named"))).select(
-        F.col("doc_id").cast("string").alias("key"),
-        "size",
-        "of",
-        F.when(near, F.round("exact")).otherwise(F.col("exact")).alias("rate"),
-        F.lit(cap).alias("most"),
-        F.pmod(F.xxhash64("doc_id", "size"), "strata").alias("stratum"),
-    )
-    copies = rows.groupBy("of", "stratum").applyInPandas(_rounded, "key string, size long, of int, copies long")
-    return copies.join(state.select("of", "source_size", "target"), "of").select(
-        F.col("key").cast(kind).alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
-    )
+        F.col("doc_id").cast("string").alias("key"), "size", "of", F.when(F.col("size") > 0, rate_of(F.col("multiplier"), F.col("size"), cap)).otherwise(F.lit(1.0)).alias("rate"),
+        F.lit(cap).alias("most"), F.pmod(F.xxhash64("doc_id", "size"), "strata").alias("stratum"),
+    )
+    copies = rows.groupBy("of", "stratum").applyInPandas(_rounded, "key string, size long, of long, copies long")
+    out = copies.join(state.select("of", "source_size", "target", "multiplier"), "of")
+    rate = F.when(F.col("size") > 0, rate_of(F.col("multiplier"), F.col("size"), cap)).otherwise(F.lit(1.0))
+    return out.select(F.col("key").cast(kind).alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", F.round(rate, 9).alias("rate"))

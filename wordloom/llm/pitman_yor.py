@@ -1,18 +1,20 @@
 """Language model scoring with a hierarchical Pitman-Yor model.
 
-Every class of words (token_blocks) is the context of a restaurant whose dishes are the classes
-that follow it; all these restaurants share one parent, the restaurant of single classes, whose base is uniform. Customers
-of a restaurant are tokens; its tables are customers of the parent. Seating is sampled by Gibbs: in each
-sweep customers leave their tables and are seated anew, at a table in proportion to its size less the
-discount, or at a new one in proportion to the parent's probability. Within a sweep shards work
-side by side with the parent's probabilities and the contexts' numbers of tables as they stood
-before it. Predictive probabilities are averaged over the sampled seatings. A word of the class of rare
-words has, within the class, its smoothed share of the class's training tokens.
+Every context (token_blocks) is a restaurant whose dishes are the words that follow it; all these restaurants share one parent, the
+restaurant of single words, whose base is uniform over all words and one unknown. Customers of a restaurant are tokens, and its tables are
+customers of the parent. Every training word is a dish of its own, every training token a customer.
+
+Seating is sampled by Gibbs. A step takes all customers of a dish from a restaurant and seats them anew: as predictions need the number of
+their tables alone, that number is drawn from its distribution given all other tables, in which generalised Stirling numbers sum over the ways
+to seat the customers at so many tables. The cost of a sweep is therefore in dishes, and no customer keeps a seat that nothing sampled. The parent's
+seating goes on from sweep to sweep in the same way. Shards of dishes work side by side: in a round of SWEEPS sweeps each sees the other
+shards' tables as they stood before the round. Predictive probabilities are averaged over the last SAMPLES rounds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,180 +22,221 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept
-from .token_blocks import END, Classes, blocks_of, class_sums, gathered, pair_counts, pair_replies, pair_requests, stream, unsqueeze, word_counts
-from .words import U64
+from .shared import dropped, kept
+from .token_blocks import COUNTS, by_range, context_stats, context_sums, contexts_of, looked_up_pairs, n_shards, opened, opened_block, pair_counts, replied, squeeze, unsqueeze, word_stats
 
-DISCOUNT, STRENGTH = 0.75, 1.0
-BURN_IN, SAMPLES = 4, 4  # sweeps
-MOVES = 8  # customers of each dish in a context that a sweep seats anew
+STRENGTH = 1.0
+BURN_IN, SAMPLES = 2, 4  # rounds
+SWEEPS = 2  # of a round
+EXACT = 256  # a power of two: customers up to which Stirling numbers come from their recursion
+SERIES, TERMS = 1.2, 64  # tables over c^d / d up to which larger numbers come from a series, and its terms
+STEPS = 12  # Metropolis steps for the tables of a dish with more customers
 SEED = 20
 
 
-class Seating:
-    """Tables of many dishes at once: row is a table's dish, in order, and size its customers."""
-
-    def __init__(self, count: np.ndarray, row: np.ndarray, size: np.ndarray):
-        self.count, self.row, self.size = count, row, size
-
-    @classmethod
-    def start(cls, count: np.ndarray, pull: np.ndarray, rng: np.random.Generator) -> Seating:
-        """A seating near what customers coming in one by one would give. pull: weight of a new table."""
-        tables = np.ones(len(count))
-        seen = np.ones(len(count))
-        while (seen < count).any():  # the expected number of tables, in growing steps
-            to = np.minimum(count, np.ceil(seen * 1.25 + 1))
-            middle = (seen + to) / 2
-            tables += (to - seen) * pull / (pull + np.maximum(middle - DISCOUNT * tables, 1e-9))
-            tables, seen = np.minimum(tables, to), to
-        t = np.clip(np.floor(tables + rng.random(len(count))), 1, count).astype(np.int64)
-        row = np.repeat(np.arange(len(count)), t)
-        nth = np.arange(len(row)) - np.repeat(np.cumsum(t) - t, t)
-        weight = (nth + 1.0) ** (-1 / DISCOUNT)
-        weight /= np.bincount(row, weight, len(count))[row]
-        size = 1 + np.floor(weight * (count - t)[row]).astype(np.int64)
-        size[nth == 0] += count - np.bincount(row, size, len(count)).astype(np.int64)
-        return cls(count, row, size)
-
-    def tables(self) -> np.ndarray:
-        return np.bincount(self.row, minlength=len(self.count))
-
-    def sweep(self, pull: np.ndarray, rng: np.random.Generator, moves: int = MOVES) -> None:
-        """Each dish with two customers or more: one customer, taken at random, leaves and sits down again; moves times."""
-        dish = np.flatnonzero(self.count > 1)
-        for _ in range(moves if len(dish) else 0):
-            ends = np.cumsum(self.size)
-            base = (np.cumsum(self.count) - self.count)[dish]
-            k = np.searchsorted(ends, base + np.floor(rng.random(len(dish)) * self.count[dish]), side="right")
-            self.size[k] -= 1
-            t = self.tables()[dish] - (self.size[k] == 0)
-            rest = self.count[dish] - 1 - DISCOUNT * t
-            new = rng.random(len(dish)) * (pull[dish] + rest) < pull[dish]
-            weight = np.where(self.size > 0, self.size - DISCOUNT, 0)
-            total = np.bincount(self.row, weight, len(self.count))
-            first = np.searchsorted(self.row, dish)
-            last = np.searchsorted(self.row, dish, side="right") - 1
-            to = np.searchsorted(np.cumsum(weight), (np.cumsum(total) - total)[dish] + rng.random(len(dish)) * total[dish], side="right")
-            to = np.clip(to, first, last)
-            new |= self.size[to] == 0  # only where rounding leads to a table just left
-            self.size[to[~new]] += 1
-            alive = self.size > 0
-            self.row = np.concatenate([self.row[alive], dish[new]])
-            self.size = np.concatenate([self.size[alive], np.ones(new.sum(), np.int64)])
-            order = np.argsort(self.row, kind="stable")
-            self.row, self.size = self.row[order], self.size[order]
-
-
-STATE = "shard int, pairs binary, counts binary, row binary, size binary, tables binary"
-
-
-def _sweep(batches: Iterator[pa.RecordBatch], n: int, parent: np.ndarray, tables: np.ndarray, number: int) -> Iterator[pa.RecordBatch]:
-    """One sweep over the shards' contexts; number 0 makes the first seating. tables: of each context."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            pairs, counts = np.frombuffer(r["pairs"], np.int64), np.frombuffer(r["counts"], np.int64)
-            rng = np.random.default_rng([SEED, number, r["shard"]])
-            pull = (STRENGTH + DISCOUNT * tables[pairs // n]) * parent[pairs % n]
-            if number:
-                seats = Seating(counts, np.frombuffer(r["row"], np.int64).copy(), np.frombuffer(r["size"], np.int64).copy())
-                seats.sweep(pull, rng)
-            else:
-                seats = Seating.start(counts, pull, rng)
-            out = [r["shard"], r["pairs"], r["counts"], seats.row.tobytes(), seats.size.tobytes(), seats.tables().tobytes()]
-            kinds = [pa.int32(), *[pa.binary()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(out, kinds)], names=[x.split(" ")[0] for x in STATE.split(", ")])
-
-
-def _by_class(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Sums of a shard by class: tables and customers in its restaurant, tables of it as a dish."""
-    for batch in batches:
-        for pairs, counts, tables in zip(*(batch.column(c).to_pylist() for c in ("pairs", "counts", "tables"))):
-            pairs, counts, tables = (np.frombuffer(x, np.int64) for x in (pairs, counts, tables))
-            sums = [np.bincount(pairs // n, tables, n), np.bincount(pairs // n, counts, n), np.bincount(pairs % n, tables, n)]
-            some = np.flatnonzero(sums[1] + sums[2])
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(s[some]) for s in sums)], names=["class", "t", "c", "d"])
-
-
-class Parent:
-    """The restaurant of single classes: its customers are the tables of all contexts."""
-
-    def __init__(self, n: int):
-        self.n, self.seats = n, None
-
-    def seat(self, customers: np.ndarray, number: int) -> np.ndarray:
-        """Seats the customers of a sweep and returns the classes' probabilities."""
-        rng = np.random.default_rng([SEED, number, 1 << 31])
-        count = customers.astype(np.int64)
-        dish = np.flatnonzero(count)
-        tables = self.seats.tables().sum() if self.seats else len(dish)
-        pull = np.full(len(dish), (STRENGTH + DISCOUNT * tables) / self.n)
-        self.seats = Seating.start(count[dish], pull, rng)
-        for _ in range(2):
-            self.seats.sweep(np.full(len(dish), (STRENGTH + DISCOUNT * self.seats.tables().sum()) / self.n), rng, 16)
-        t = np.zeros(self.n)
-        t[dish] = self.seats.tables()
-        return (count - DISCOUNT * t + (STRENGTH + DISCOUNT * t.sum()) / self.n) / (STRENGTH + count.sum())
-
-
-def _values(batches: Iterator[pa.RecordBatch], n: int, customers: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(shard, pairs, value) from (shard, pairs, counts, mean tables): a pair's own part of its mean probability."""
-    for batch in batches:
-        for shard, pairs, counts, tables in zip(*(batch.column(c).to_pylist() for c in ("shard", "pairs", "counts", "seated"))):
-            code, c = np.frombuffer(pairs, np.int64), np.frombuffer(counts, np.int64)
-            t = np.mean([np.frombuffer(x, np.int64) for x in tables], 0)
-            value = (c - DISCOUNT * t) / (STRENGTH + customers[code // n])
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([pairs], pa.binary()), pa.array([value.tobytes()], pa.binary())], names=["shard", "pairs", "value"])
-
-
-def sampled(counts: DataFrame, n: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(model (shard, pairs, value), weight of the parent [sample, context], parent's probabilities [sample, class])."""
-    none = F.lit(None).cast("binary")
-    state = counts.select("shard", "pairs", "counts", none.alias("row"), none.alias("size"), none.alias("tables"))
-    parent, prob, tables = Parent(n), np.full(n, 1 / n), np.ones(n)
-    backs, probs, seated, customers = [], [], [], np.zeros(n)
-    for number in range(1 + BURN_IN + SAMPLES):
-        step = lambda it, p=prob, t=tables, k=number: _sweep(it, n, p, t, k)
-        state = kept(state.mapInArrow(step, STATE), "seating")
-        rows = state.select("pairs", "counts", "tables").mapInArrow(lambda it: _by_class(it, n), "class int, t double, c double, d double")
-        tables, customers, dishes = class_sums(rows, n)
-        prob = parent.seat(dishes, number)
-        if number > BURN_IN:
-            backs.append((STRENGTH + DISCOUNT * tables) / (STRENGTH + customers))
-            probs.append(prob)
-            seated.append(state.select("shard", "pairs", "counts", "tables"))
-    every = seated[0]
-    for s in seated[1:]:
-        every = every.unionByName(s)
-    every = every.groupBy("shard").agg(F.first("pairs").alias("pairs"), F.first("counts").alias("counts"), F.collect_list("tables").alias("seated"))
-    model = every.mapInArrow(lambda it: _values(it, n, customers), "shard int, pairs binary, value binary")
-    return model, np.array(backs), np.array(probs)
-
-
-def _score(key: tuple, blocks: pd.DataFrame, replies: pd.DataFrame, m: dict) -> pd.DataFrame:
+def discount(once: int, twice: int) -> float:
+    """The discount that the numbers of types seen once and twice suggest."""
+    return min(max(once / (once + 2 * twice), 0.2), 0.9) if once else 0.5
+
+
+def lgamma(x: np.ndarray) -> np.ndarray:
+    """Log of the gamma function of positive numbers, by Stirling's series from 8 on."""
+    x = np.asarray(x, float)
+    low = np.zeros_like(x)
+    small = x < 8
+    y = np.where(small, x + 8, x)
+    for k in range(8):
+        low = low + np.where(small, np.log(x + k), 0)
+    z = 1 / (y * y)
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + (1 / 12 - z * (1 / 360 - z / 1260)) / y - low
+
+
+@lru_cache(4)
+def stirling(d: float) -> np.ndarray:
+    """[c, t]: logs of the generalised Stirling numbers for c up to EXACT; -inf where t is 0 or more than c."""
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[1, 1] = 0
+    t = np.arange(1, EXACT + 1)
+    for c in range(1, EXACT):
+        stay = out[c, 1:] + np.log(np.maximum(c - d * t, 1e-300))
+        out[c + 1, 1:] = np.logaddexp(out[c, :-1], np.where(t <= c, stay, -np.inf))
+    return out
+
+
+def stirling_many(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """As stirling for more customers. d^t t! / c! times the number is the coefficient of x^c in (1 - (1 - x)^d)^t.
+
+    Up to SERIES / d times c^d tables the binomial series of the power gives it, whose terms fall off; beyond, where many tables are of like
+    sizes, the saddle point does. Exact at t = 1 and t = c.
+    """
+    c, t = np.asarray(c, float), np.asarray(t, float)
+    out, many = np.zeros(len(c)), t > SERIES / d * c**d
+    out[~many], out[many] = _by_series(c[~many], t[~many], d), _by_saddle(c[many], t[many], d)
+    out += lgamma(c + 1) - lgamma(t + 1) - t * np.log(d)
+    return np.where(t >= c, 0.0, np.where(t == 1, lgamma(c - d) - lgamma(np.full(1, 1 - d)), out))
+
+
+def _by_series(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    j = np.arange(1, TERMS + 1)
+    some = np.minimum(j, t[:, None])  # beyond t a term is nought
+    log = lgamma(t + 1)[:, None] - lgamma(some + 1) - lgamma(t[:, None] - some + 1) + lgamma(1 + d * j) + lgamma(c[:, None] - d * j) - lgamma(c + 1)[:, None]
+    sign = np.where(j <= t[:, None], (-1.0) ** (j + 1) * np.sin(np.pi * d * j), 0) / np.pi
+    top = log.max(1, keepdims=True)
+    return top[:, 0] + np.log(np.maximum((sign * np.exp(log - top)).sum(1), 1e-300))
+
+
+def _by_saddle(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    mean = np.log(np.maximum(c / t, 1 + 1e-9))
+    low, high = np.full(len(c), -200.0), np.full(len(c), -1e-12)
+    for _ in range(60):  # the tilt y in (0, 1), in logs: the mean table size falls as y grows
+        u = (low + high) / 2
+        larger = np.log(d) + (d - 1) * u + np.log(-np.expm1(u)) - np.log(-np.expm1(d * u)) > mean
+        low, high = np.where(larger, u, low), np.where(larger, high, u)
+    u = (low + high) / 2
+    y, yd = np.exp(u), np.exp(d * u)
+    slope = (d - 1) - y / -np.expm1(u) + d * yd / -np.expm1(d * u)
+    spread = -np.expm1(u) * (c / t) / y * -slope
+    return t * np.log(-np.expm1(d * u)) - c * np.log(-np.expm1(u)) - 0.5 * np.log(2 * np.pi * t * np.maximum(spread, 1e-12))
+
+
+def draw_tables(c: np.ndarray, t: np.ndarray, others: np.ndarray, log_p: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Numbers of tables, drawn anew, of dishes with c customers, now at t tables, in restaurants with so many other tables.
+
+    log_p: log of the parent's probability of the dish. P(t) is in proportion to p^t S(c, t) times the product of STRENGTH + d (others + i), i < t.
+    Up to EXACT customers the draw is exact; beyond, STEPS Metropolis steps from t leave the same distribution as it is.
+    """
+    out = np.ones(len(c), np.int64)
+    low = 1
+    while low < EXACT:
+        high = 2 * low
+        own = np.flatnonzero((c > low) & (c <= high))
+        for at in range(0, len(own), max(1, (1 << 21) // high)):
+            k = own[at : at + max(1, (1 << 21) // high)]
+            log = np.cumsum(np.log(STRENGTH + d * (others[k, None] + np.arange(high))) + log_p[k, None], 1) + stirling(d)[c[k], 1 : high + 1]
+            total = np.cumsum(np.exp(log - log.max(1, keepdims=True)), 1)
+            out[k] = 1 + (total < rng.random((len(k), 1)) * total[:, -1:]).sum(1)
+        low = high
+    many = np.flatnonzero(c > EXACT)
+    if len(many):
+        n, now, base = c[many], t[many].astype(np.int64), STRENGTH / d + others[many]
+
+        def weight(x: np.ndarray) -> np.ndarray:
+            return x * (log_p[many] + np.log(d)) + lgamma(base + x) - lgamma(base) + stirling_many(n, x, d)
+
+        log = weight(now)
+        for step in range(STEPS):
+            scale = np.where(step % 3 == 0, 1 + n / 8, 1 + np.sqrt(n)) if step % 3 < 2 else np.full(len(n), 2.0)
+            size = 1 + np.floor(rng.exponential(1, len(n)) * scale).astype(np.int64)  # as likely there as back
+            new = now + np.where(rng.random(len(n)) < 0.5, size, -size)
+            fits = (new >= 1) & (new <= n)
+            log_new = np.where(fits, weight(np.clip(new, 1, n)), -np.inf)
+            goes = np.log(rng.random(len(n))) < log_new - log
+            now, log = np.where(goes, new, now), np.where(goes, log_new, log)
+        out[many] = now
+    return out
+
+
+class Levels:
+    """What shards know of each other: tables and customers by context, the parent's tables and customers, discounts and number of words."""
+
+    def __init__(self, customers: np.ndarray, tables: np.ndarray, own: float, parent: float, types: int):
+        self.customers, self.tables, self.own, self.parent, self.types = customers, tables, own, parent, types
+        self.seated, self.parent_tables = int(tables.sum()), types
+
+    def back(self) -> np.ndarray:
+        return (STRENGTH + self.own * self.tables) / (STRENGTH + self.customers)
+
+    def single(self, m: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """The parent's probabilities of words with m customers at t tables there; of an unknown word for zeros."""
+        return (m - self.parent * t + (STRENGTH + self.parent * self.parent_tables) / (self.types + 1)) / (STRENGTH + self.seated)
+
+
+STATE = COUNTS + ", t binary, w binary, samples array<binary>, ranges array<struct<range int, sums binary>>, seated long, parent_tables long"
+
+
+def _round(batches: Iterator[pa.RecordBatch], levels: Levels, number: int, sample: bool) -> Iterator[pa.RecordBatch]:
+    """SWEEPS sweeps over a shard. t: tables of the pairs seen more than once; w: of the words in the parent."""
+    for r in (r for b in batches for r in b.to_pylist()):
+        _, of, context, c = opened(r)
+        rng = np.random.default_rng([SEED, number, r["shard"]])
+        types, multi = int(of[-1]) + 1, np.flatnonzero(c > 1)
+        t, w = np.ones(len(c), np.int64), np.ones(types, np.int64)
+        if r["t"] is not None:
+            t[multi], w = unsqueeze(r["t"]), unsqueeze(r["w"]).astype(np.int64)
+        tables, parent_tables, o, x = levels.tables.copy(), levels.parent_tables, of[multi], context[multi]
+        for _ in range(SWEEPS):
+            m = np.bincount(of, t, types).astype(np.int64)
+            new = draw_tables(m, w, parent_tables - w, np.full(types, -np.log(levels.types + 1)), levels.parent, rng)
+            parent_tables, w = parent_tables + int(new.sum() - w.sum()), new
+            rest = m[o] - t[multi]  # without the dish's own tables
+            p = (rest - levels.parent * np.minimum(w[o], rest) + (STRENGTH + levels.parent * parent_tables) / (levels.types + 1)) / (STRENGTH + levels.seated)
+            new = draw_tables(c[multi], t[multi], tables[x] - t[multi], np.log(p), levels.own, rng)
+            tables += np.bincount(x, new - t[multi], len(tables)).astype(np.int64)
+            t[multi] = new
+        m = np.bincount(of, t, types).astype(np.int64)
+        w = draw_tables(m, w, parent_tables - w, np.full(types, -np.log(levels.types + 1)), levels.parent, rng)
+        samples = (r["samples"] or []) + ([squeeze(t[multi]), squeeze(m), squeeze(w)] if sample else [])
+        ranges = [{"range": k, "sums": s} for k, s in by_range(np.bincount(context, t, len(tables)))]
+        row = [*(r[k.split(" ")[0]] for k in COUNTS.split(", ")), squeeze(t[multi]), squeeze(w), samples, ranges, int(m.sum()), int(w.sum())]
+        kinds = [pa.int32(), *[pa.binary()] * 6, pa.list_(pa.binary()), pa.list_(pa.struct([("range", pa.int32()), ("sums", pa.binary())])), pa.int64(), pa.int64()]
+        names = [*(k.split(" ")[0] for k in COUNTS.split(", ")), "t", "w", "samples", "ranges", "seated", "parent_tables"]
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
+
+
+def sampled(counts: DataFrame, levels: Levels, n: int) -> tuple[DataFrame, list[np.ndarray], list[tuple[int, int]]]:
+    """(shards with their samples, weights of the parent by context for each sample, (parent's customers, tables) for each sample)."""
+    context = counts.sparkSession.sparkContext
+    none = [F.lit(None).cast(k).alias(c) for c, k in (("t", "binary"), ("w", "binary"), ("samples", "array<binary>"))]
+    state, backs, totals = counts.select("*", *none), [], []
+    for number in range(BURN_IN + SAMPLES):
+        shared, old = context.broadcast(levels), state
+        step = lambda it, k=number, s=shared: _round(it, s.value, k, k >= BURN_IN)
+        state = kept(old.select(*(x.split(" ")[0] for x in COUNTS.split(", ")), "t", "w", "samples").mapInArrow(step, STATE), "seating")
+        levels.tables = context_sums(state.select(F.inline("ranges")), 1, n)[0]
+        levels.seated, levels.parent_tables = (x or 0 for x in state.agg(F.sum("seated"), F.sum("parent_tables")).first())
+        if number:
+            dropped(old)
+        if number >= BURN_IN:
+            backs.append(levels.back())
+            totals.append((levels.seated, levels.parent_tables))
+    return state, backs, totals
+
+
+def _reply(asked: pd.DataFrame, model: pd.DataFrame, levels: Levels, backs: list[np.ndarray], totals: list[tuple[int, int]], n: int) -> pd.DataFrame:
+    words, code, c, mean = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    single = [np.zeros(0)] * SAMPLES
+    if len(model):
+        r = model.iloc[0]
+        words, of, context, c = opened(r)
+        code, mean = of * n + context, np.ones(len(c))
+        samples = [unsqueeze(x).astype(np.int64) for x in r["samples"]]
+        mean[c > 1] = np.mean(samples[0::3], 0)
+        single = list(zip(samples[1::3], samples[2::3]))
+    count = np.bincount(code // n, c, len(words)).astype(np.int64)
+    probs = []
+    for k, (seated, tables) in enumerate(totals):
+        levels.seated, levels.parent_tables = seated, tables
+        m, w = (np.append(x, 0) for x in single[k]) if len(words) else (np.zeros(1), np.zeros(1))
+        probs.append(levels.single(m, w))  # the last is an unknown word's
     out = []
-    for b in blocks.itertuples():
-        vocab, at, n = np.frombuffer(b.vocab, U64), unsqueeze(b.words), np.array(b.n, np.int64)
-        c = gathered(b.block, vocab, replies, "word", m["word_shards"], np.int64).astype(float)
-        cls, before, text = stream(m["classes"], vocab, at, n)
-        pair, place = np.unique(before * m["classes"].n + cls, return_inverse=True)
-        own = gathered(b.block, pair.astype(np.uint32), replies, "pair", m["pair_shards"], np.float32).astype(float)
-        first, second = pair // m["classes"].n, pair % m["classes"].n
-        back = np.zeros(len(pair))
-        for s in range(len(m["backs"])):
-            back += m["backs"][s][first] * m["probs"][s][second]
-        log = np.log10(own + back / len(m["backs"]))[place]
-        is_word = np.ones(len(cls), bool)
-        is_word[np.cumsum(n + 1) - 1] = False
-        count = np.zeros(len(cls))
-        count[is_word] = c[at]
-        count[~is_word] = c[np.searchsorted(vocab, END)]
-        rare = cls == m["classes"].rare
-        log[rare] += np.log10((count[rare] + 0.5) / (m["rare_tokens"] + 0.5 * (m["rare_types"] + 1)))
-        base = np.log10((count + 0.5) / (m["tokens"] + 0.5 * (m["types"] + 1)))
-        sums = [np.bincount(text, x, len(n)) for x in (base, log, count > 0)]
-        ids = pd.array([None if i is None or i != i else int(i) for i in b.ids], "Int64")
-        out.append(pd.DataFrame({"doc_id": ids, "n_tokens": n + 1, "n_known": sums[2].astype(np.int64), "base_score": sums[0], "score": sums[1]}))
-    return pd.concat(out) if out else pd.DataFrame({"doc_id": pd.array([], "Int64"), "n_tokens": [], "n_known": [], "base_score": [], "score": []})
+    for block, at, pair, of, context in looked_up_pairs(asked, words, code, n):
+        known = pair >= 0
+        value = np.zeros(len(pair))
+        value[known] = (c[pair[known]] - levels.own * mean[pair[known]]) / (STRENGTH + levels.customers[context[known]])
+        for back, p in zip(backs, probs):
+            value += back[context] * p[at[of]] / len(backs)
+        counts = np.where(at >= 0, count[at], 0) if len(count) else np.zeros(len(at), np.int64)
+        out.append((block, int(asked["shard"].iloc[0]), squeeze(counts), np.log10(value).astype(np.float32).tobytes()))
+    return pd.DataFrame(out, columns=["block", "shard", "words", "pairs"])
+
+
+def _score(b, replies: pd.DataFrame, tokens: int, types: int, n_contexts: int) -> pd.DataFrame:
+    n, place, _, text, _, pair, ids = opened_block(b, n_contexts)
+    count = np.concatenate([unsqueeze(x) for x in replies["words"]]).astype(float)[place]
+    log = np.concatenate([np.frombuffer(x, np.float32) for x in replies["pairs"]]).astype(float)[pair]
+    base = np.log10((count + 0.5) / (tokens + 0.5 * (types + 1)))
+    sums = [np.bincount(text, x, len(n)) for x in (base, log, count > 0)]
+    return pd.DataFrame({"doc_id": ids, "n_tokens": n + 1, "n_known": sums[2].astype(np.int64), "base_score": sums[0], "score": sums[1]})
 
 
 def held_out(doc_id: Column) -> Column:
@@ -206,24 +249,23 @@ def score_texts(docs: DataFrame, train: Column) -> DataFrame:
 
     A text's tokens are its words and one end; null text counts as empty, with the end alone. train: whether
     a row is learned from. base_score and score are sums of log10 probabilities, of the add-half single-word model and of
-    the Pitman-Yor model. Without training rows both are uniform. Other columns are ignored, rows given twice come out
-    twice, null ids stay null; no rows in, none out.
+    the Pitman-Yor model. Without training rows both are uniform. doc_id must be an integer. Other columns are ignored, rows
+    given twice come out twice, null ids stay null; no rows in, none out. The same rows in the same partitions give the same scores.
     """
-    blocks = blocks_of(docs.select("doc_id", train.alias("train"), F.lit(None).cast("string").alias("label"), "text"))
-    tokens = blocks.agg(F.sum("train_tokens")).first()[0] or 0
-    words, word_shards, frequent, often, types = word_counts(blocks, tokens)
-    classes = Classes(frequent)
-    named = frequent != END
-    asked, pair_shards = pair_requests(blocks, classes)
-    model, backs, probs = sampled(pair_counts(asked), classes.n)
-    end = int(often[~named].sum())
-    info = {
-        "classes": classes, "word_shards": word_shards, "pair_shards": pair_shards, "backs": backs, "probs": probs, "tokens": tokens, "types": types,
-        "rare_tokens": tokens - int(often[named].sum()) - end, "rare_types": types - int(named.sum()) - int((~named).any()),
-    }
-    replies = words.select("block", F.lit("word").alias("kind"), "shard", "values")
-    replies = replies.unionByName(pair_replies(asked, model).select("block", F.lit("pair").alias("kind"), "shard", "values"))
-    shared = docs.sparkSession.sparkContext.broadcast(info)
-    rows = blocks.select("block", "ids", "n", "vocab", "words").groupBy("block").cogroup(replies.groupBy("block"))
-    scored = rows.applyInPandas(lambda key, b, r: _score(key, b, r, shared.value), "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score")
+    learned = docs.where(train).select("text")
+    contexts, tokens = contexts_of(learned)
+    n, shards = contexts.n, n_shards(learned)
+    counts = pair_counts(learned, contexts, shards)
+    customers, *seen = context_stats(counts, n)
+    words = word_stats(counts)
+    levels = Levels(customers, sum(seen), discount(seen[0].sum(), seen[1].sum()), discount(words["k1"], words["k2"]), words["types"])
+    model, backs, totals = sampled(counts, levels, n)
+    shared = docs.sparkSession.sparkContext.broadcast((levels, backs))  # arrays over contexts
+    types = words["types"]
+    rows = replied(
+        docs.select("doc_id", F.lit(None).alias("label"), "text"), contexts, shards, model.select(*(x.split(" ")[0] for x in COUNTS.split(", ")), "samples"),
+        lambda asked, own: _reply(asked, own, *shared.value, totals, n),
+        lambda b, own: _score(b, own, tokens, types, n),
+        "doc_id long, n_tokens long, n_known long, base_score double, score double",
+    )
+    return rows.select("doc_id", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), "base_score", "score")

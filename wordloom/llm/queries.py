@@ -15,11 +15,13 @@ from .mixing import mixed
 from .ngram_join import ngram_jaccard_join
 from .pitman_yor import held_out, score_texts
 from .secrets import secrets_found, secrets_sql
+from .shared import bounded_batches
 from .transport_stream import inspected, stored
 from .url_filter import judged, labelled_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

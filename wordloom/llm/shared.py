@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import kept, shared_folder
+from ..sources.shared import bounded_batches, dropped, kept, shared_folder
 
-__all__ = ["GAPS", "kept", "looked_up", "n_words", "shared_folder", "text_bytes"]
+__all__ = ["GAPS", "bounded_batches", "columns_of", "dropped", "kept", "looked_up", "n_words", "shared_folder", "text_bytes"]
 
 #: `[^\x20\x09-\x0D]+` is a word: Java's class of what stands between words.
 GAPS = r"[\x20\x09-\x0D]+"
@@ -25,6 +25,11 @@ def looked_up(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df.hint("merge")
 
 
+def columns_of(df: DataFrame) -> list[F.Column]:
+    """The columns of df, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def n_words(text) -> F.Column:
     """Number of words of a text; null counts as empty."""
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), GAPS), lambda w: w != ""))

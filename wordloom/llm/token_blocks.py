@@ -1,13 +1,13 @@
-"""Word sequences in packed blocks, and counts of words and word pairs over shards.
+"""Counts of words and of (context, word) pairs over shards of words, and replies to blocks of text.
 
-Documents are packed into blocks of about BLOCK_BYTES of text: distinct word hashes, and each
-word's place among them. What a block needs to know of the whole corpus it asks for shard by shard:
-a request lists the block's distinct words (or pairs) of one shard, a reply has one value for each, in the
-same order. So a word or pair is one entry a block, however frequent it is, and no shard or block holds more than
-its bounded part. The numbers of shards follow from what the blocks hold.
+Texts are packed into blocks of about BLOCK_BYTES. A block asks the shards for what it needs to know of the whole corpus: a request
+lists the block's distinct words of one shard and, for each, the contexts it stands in; the reply has one value for each, in the
+same order. So a pair is one entry a block, however frequent it is. A shard holds all pairs of its words, and a word has CONTEXTS
+pairs at most, so no shard grows with a hot word; the number of shards follows from the bytes of text.
 
-Models see words of a share of MIN_SHARE or more of the training tokens, at most 1 / MIN_SHARE of them, the
-end of text, and one class for all other words. Tables over these classes are therefore small at any size of corpus.
+Every word has counts of its own. The context of a word is the word before it: words with a share of MIN_SHARE or more of the
+training tokens, and the end of text, are contexts of their own; other words share a context with those of the same hash bucket.
+So what is kept for contexts are arrays of CONTEXTS numbers at any size of corpus. Words are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -18,24 +18,23 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept, n_words
-from .words import U64, chunks, mix, words
+from .shared import kept, n_words, text_bytes
+from .words import U64, blocks, chunks, words
 
-BLOCK_BYTES = 8 << 20
-MIN_SHARE = 2e-5  # classes number less than 1 << 16, so a pair of them fits 32 bits
-SHARD_ENTRIES = 1 << 20
+BLOCK_BYTES = 16 << 20
+SHARD_BYTES = 24 << 20  # of training text for each shard
+MIN_SHARE = 2e-5
+CONTEXTS = 1 << 18
+RANGES = 16  # in which arrays over contexts are summed
 END = U64(0x0E4D0F7E87)
 
-BLOCKS = "block long, ids array<long>, train array<boolean>, label array<string>, n array<int>, vocab binary, words binary, counts binary, types int, tokens long, train_tokens long"
-
 
 def squeeze(x: np.ndarray) -> bytes:
     """uint32 values, packed: low and high halves apart compress better."""
-    x = x.astype(np.uint32)
+    x = np.asarray(x).astype(np.uint32)
     return zstandard.compress((x & 0xFFFF).astype(np.uint16).tobytes() + (x >> 16).astype(np.uint16).tobytes(), 3)
 
 
@@ -45,228 +44,280 @@ def unsqueeze(b: bytes) -> np.ndarray:
     return x[:half].astype(np.uint32) | x[half:].astype(np.uint32) << 16
 
 
-def _counted(h: np.ndarray, n: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct words and the end, place of each word, counts in training texts)."""
+def squeeze_sorted(x: np.ndarray) -> bytes:
+    """Sorted 64-bit values as differences, byte by byte."""
+    return zstandard.compress(np.diff(x, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 3)
+
+
+def unsqueeze_sorted(b: bytes) -> np.ndarray:
+    gaps = np.frombuffer(zstandard.decompress(b), np.uint8).reshape(8, -1).T
+    return np.cumsum(np.ascontiguousarray(gaps).view(U64).ravel(), dtype=U64)
+
+
+class Contexts:
+    """Context of each word: frequent words have one each, the end has one, other words share those left by hash."""
+
+    def __init__(self, frequent: np.ndarray, n: int = 0):
+        self.words, self.n = np.sort(frequent[frequent != END]), n or CONTEXTS
+        self.end = len(self.words)
+        if self.end + 1 >= self.n:
+            raise ValueError("more frequent words than contexts")
+
+    def of(self, vocab: np.ndarray) -> np.ndarray:
+        out = (self.end + 1 + (vocab & U64(0xFFFFFFFF)) % U64(self.n - self.end - 1)).astype(np.int64)
+        if self.end:
+            at = np.minimum(np.searchsorted(self.words, vocab), self.end - 1)
+            out = np.where(self.words[at] == vocab, at, out)
+        out[vocab == END] = self.end
+        return out
+
+
+# blocks
+
+
+def tokens(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all rows, number of words of each row)."""
+    hs, ns = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for _, _, data, offsets in chunks(rows.column("text")):
+        h, starts = words(data, offsets)
+        hs.append(h)
+        ns.append(np.diff(starts))
+    return np.concatenate(hs), np.concatenate(ns)
+
+
+def places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(distinct words and the end, in order; place of each word among them; place of the end)."""
     vocab, at = np.unique(np.append(h, END), return_inverse=True)
-    counts = np.bincount(at[:-1][np.repeat(train, n)], minlength=len(vocab))
-    counts[at[-1]] += train.sum()
-    return vocab, at[:-1], counts
-
-
-def _block(number: int, rows: pa.RecordBatch, h: np.ndarray, n: np.ndarray, classes: Classes | None) -> pa.RecordBatch:
-    train = np.array(rows.column("train").fill_null(False).to_pylist(), bool)
-    if classes:
-        vocab, at, counts = np.zeros(0, U64), classes.of(h), np.zeros(0, np.int64)
-    else:
-        vocab, at, counts = _counted(h, n, train)
-    row = [
-        number, rows.column("doc_id").to_pylist(), train.tolist(), rows.column("label").to_pylist(), n.tolist(), vocab.tobytes(),
-        squeeze(at), squeeze(counts), len(vocab), int(n.sum()) + len(n), int((n + 1)[train].sum()),
-    ]
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.string()), pa.list_(pa.int32()), *[pa.binary()] * 3, pa.int32(), pa.int64(), pa.int64()]
-    names = [x.split(" ")[0] for x in BLOCKS.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
+    return vocab, at[:-1], int(at[-1])
+
 
+def stream(at: np.ndarray, n: np.ndarray, end: int, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of each token, its context, its text), texts' ends included; the end is the context of a text's first token."""
+    text = np.repeat(np.arange(len(n)), n + 1)
+    place = np.full(len(text), end, np.int64)
+    word = np.ones(len(text), bool)
+    word[np.cumsum(n + 1) - 1] = False
+    place[word] = at
+    before = np.append(end, place[:-1]) if len(place) else place
+    return place, context[before], text
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(number, rows, words, words of each row) of parts of about BLOCK_BYTES of text. Numbers are the same if a task is run again."""
-    number = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        held, size, first = [], 0, 0
-        for at, end, data, offsets in chunks(batch.column("text")):
-            h, starts = words(data, offsets)
-            held.append((h, np.diff(starts)))
-            size += len(data)
-            if size >= BLOCK_BYTES or end == len(batch):
-                yield number, batch.slice(first, end - first), *(np.concatenate(x) for x in zip(*held))
-                number, held, size, first = number + 1, [], 0, end
 
+def coded(place: np.ndarray, before: np.ndarray, n: int) -> np.ndarray:
+    return place * n + before
 
-def _encode(batches: Iterator[pa.RecordBatch], classes: Classes | None) -> Iterator[pa.RecordBatch]:
-    for number, rows, h, n in _parts(batches):
-        yield _block(number, rows, h, n, classes)
 
+# frequent words
 
-def blocks_of(docs: DataFrame, classes: Classes | None = None) -> DataFrame:
-    """The blocks of docs (doc_id long, train boolean, label string, text), kept in the shared folder.
 
-    With classes, words are stored as their classes and their hashes aren't kept.
+def _shard_of(vocab: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each word: a range of hashes, so that sorted words are in order of shards."""
+    return ((vocab >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
+
+
+def _often(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    for _, rows in blocks(batches, "text", BLOCK_BYTES):
+        h, n = tokens(rows)
+        vocab, at, end = places(h)
+        counts = np.bincount(at, minlength=len(vocab))
+        counts[end] += len(n)
+        own = counts >= max(MIN_SHARE * counts.sum(), 1)
+        vocab, counts = vocab[own], counts[own]
+        ends = np.searchsorted(_shard_of(vocab, shards), np.arange(shards + 1))
+        full = np.flatnonzero(np.diff(ends))
+        cols = [[f(x[ends[k] : ends[k + 1]]) for k in full] for f, x in ((squeeze_sorted, vocab), (squeeze, counts))]
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cols)], names=["shard", "words", "counts"])
+
+
+def _most_often(group: pd.DataFrame, least: float) -> pd.DataFrame:
+    words_, at = np.unique(np.concatenate([unsqueeze_sorted(x) for x in group["words"]]), return_inverse=True)
+    total = np.bincount(at, np.concatenate([unsqueeze(x) for x in group["counts"]]), len(words_))
+    return pd.DataFrame({"words": [words_[total >= least].tobytes()]})
+
+
+def contexts_of(train: DataFrame) -> tuple[Contexts, int]:
+    """(contexts, training tokens with ends) of the training texts (text).
+
+    A word of a share of MIN_SHARE in the corpus has it in some block, so blocks send no other words; 1 / MIN_SHARE words at most have
+    the share by these counts, which leave out blocks where a word is rarer.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("train"), F.col("label").cast("string").alias("label"), "text")
-    return kept(rows.mapInArrow(lambda it: _encode(it, classes), BLOCKS), "blocks")
+    total = train.agg(F.sum(n_words(F.col("text")) + 1)).first()[0] or 0
+    asked = train.select("text").mapInArrow(lambda it: _often(it, 16), "shard int, words binary, counts binary")
+    found = asked.groupBy("shard").applyInPandas(lambda g: _most_often(g, max(MIN_SHARE * total, 1)), "words binary").collect()
+    return Contexts(np.concatenate([np.zeros(0, U64), *(np.frombuffer(r.words, U64) for r in found)])), int(total)
 
 
-def _dealt(key: np.ndarray, shards: int) -> np.ndarray:
-    return ((mix(key.astype(U64)) >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
+# pairs
 
 
-REQUESTS = "shard int, block long, keys binary, counts binary"
+PAIRS = "shard int, block long, words binary, fan binary, context binary, counts binary"
 
 
-def _requests(block: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> pa.RecordBatch:
-    """keys are sorted; each shard's stay so."""
-    shard = _dealt(keys, shards)
-    order = np.argsort(shard, kind="stable")
-    cut = np.searchsorted(shard[order], np.arange(shards + 1))
-    full = np.flatnonzero(np.diff(cut))
-    part = [order[cut[k] : cut[k + 1]] for k in full]
-    cols = [pa.array(full.astype(np.int32)), pa.array([block] * len(full), pa.int64()), pa.array([keys[p].tobytes() for p in part], pa.binary()), pa.array([squeeze(counts[p]) for p in part], pa.binary())]
-    return pa.RecordBatch.from_arrays(cols, names=["shard", "block", "keys", "counts"])
+def _pairs_of(number: int, vocab: np.ndarray, code: np.ndarray, counts: np.ndarray | None, n: int, shards: int) -> pa.RecordBatch:
+    """A row for each shard. code: distinct pairs in order, place * n + context."""
+    place, context = code // n, code % n
+    ends = np.searchsorted(_shard_of(vocab, shards), np.arange(shards + 1))
+    cuts = np.searchsorted(place, ends)
+    full = np.flatnonzero(np.diff(cuts))
+    fan = np.bincount(place, minlength=len(vocab))
+    rows = [
+        (k, number, squeeze_sorted(vocab[ends[k] : ends[k + 1]]), squeeze(fan[ends[k] : ends[k + 1]]), squeeze(context[cuts[k] : cuts[k + 1]]), None if counts is None else squeeze(counts[cuts[k] : cuts[k + 1]]))
+        for k in full
+    ]
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+    cols = list(zip(*rows)) if rows else [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split(" ")[0] for x in PAIRS.split(", ")])
 
 
-def gathered(block: int, keys: np.ndarray, replies: pd.DataFrame, kind: str, shards: int, dtype) -> np.ndarray:
-    """The values that the shards replied for a block's sorted keys."""
-    out, shard = np.zeros(len(keys), dtype), _dealt(keys, shards)
-    own = replies[replies["kind"] == kind]
-    for k, values in zip(own["shard"], own["values"]):
-        out[shard == k] = np.frombuffer(values, dtype)
-    return out
+def _pair_requests(batches: Iterator[pa.RecordBatch], contexts: Contexts, shards: int, counted: bool) -> Iterator[pa.RecordBatch]:
+    for number, rows in blocks(batches, "text", BLOCK_BYTES):
+        h, n = tokens(rows)
+        vocab, at, end = places(h)
+        place, before, _ = stream(at, n, end, contexts.of(vocab))
+        code, counts = np.unique(coded(place, before, contexts.n), return_counts=True)
+        yield _pairs_of(number, vocab, code, counts if counted else None, contexts.n, shards)
 
 
-def _word_requests(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block, vocab, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "vocab", "counts"))):
-            yield _requests(block, np.frombuffer(vocab, U64), unsqueeze(counts), shards)
+def _packed(group: pd.DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words in order, distinct pairs as place * n + context, counts) of a shard's requests."""
+    every = [unsqueeze_sorted(x) for x in group["words"]]
+    vocab, at = np.unique(np.concatenate(every), return_inverse=True)
+    fan = np.concatenate([unsqueeze(x) for x in group["fan"]])
+    code = np.repeat(at, fan) * n + np.concatenate([unsqueeze(x) for x in group["context"]])
+    code, back = np.unique(code, return_inverse=True)
+    return vocab, code, np.bincount(back, np.concatenate([unsqueeze(x) for x in group["counts"]]), len(code)).astype(np.int64)
 
 
-def _totals(group: pd.DataFrame, dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, their counts, place of each request's keys, where each request starts)."""
-    keys = [np.frombuffer(x, dtype) for x in group["keys"]]
-    every, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.zeros(len(every), np.int64)
-    np.add.at(total, at, np.concatenate([unsqueeze(x) for x in group["counts"]]).astype(np.int64))
-    return every, total, at, np.append(0, np.cumsum([len(k) for k in keys]))
+COUNTS = "shard int, words binary, fan binary, context binary, counts binary"
+WORD_SUMS = "types long, k1 long, k2 long, k3 long, k4 long, fans long"
 
 
-def _word_totals(group: pd.DataFrame, least: float, reply: bool) -> pd.DataFrame:
-    """Replies of counts to the blocks; and a row without block: words of at least so many, and the number of all with a count."""
-    every, total, at, cut = _totals(group, U64)
-    shard = int(group["shard"].iloc[0])
-    often = (total >= max(least, 1)) | (every == END) & (total > 0)
-    rows = [(None, shard, every[often].tobytes(), total[often].tobytes(), int((total > 0).sum()))]
-    if reply:
-        rows += [(b, shard, None, total[at[cut[i] : cut[i + 1]]].tobytes(), 0) for i, b in enumerate(group["block"])]
-    return pd.DataFrame(rows, columns=["block", "shard", "words", "values", "types"]).astype({"block": "Int64"})
+def _shard_counts(group: pd.DataFrame, n: int) -> pd.DataFrame:
+    vocab, code, counts = _packed(group, n)
+    fan = np.bincount(code // n, minlength=len(vocab))
+    row = (int(group["shard"].iloc[0]), squeeze_sorted(vocab), squeeze(fan), squeeze(code % n), squeeze(counts))
+    return pd.DataFrame([row], columns=[x.split(" ")[0] for x in COUNTS.split(", ")])
 
 
-def n_shards(entries: int) -> int:
-    return max(16, -(-entries // SHARD_ENTRIES))
+def n_shards(train: DataFrame) -> int:
+    return max(16, -(-text_bytes(train) // SHARD_BYTES))
 
 
-def _training_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    for number, rows, h, n in _parts(batches):
-        vocab, _, counts = _counted(h, n, np.ones(len(rows), bool))
-        yield _requests(number, vocab, counts, shards)
+def pair_counts(train: DataFrame, contexts: Contexts, shards: int) -> DataFrame:
+    """COUNTS: the pairs of the training texts (text), a row for each shard."""
+    asked = train.select("text").mapInArrow(lambda it: _pair_requests(it, contexts, shards, True), PAIRS)
+    return kept(asked.groupBy("shard").applyInPandas(lambda g: _shard_counts(g, contexts.n), COUNTS), "counts")
 
 
-def training_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """(frequent words in order, the end among them; their counts; number of distinct words) of training texts (text)."""
-    tokens, size = docs.agg(F.sum(n_words(F.col("text")) + 1), F.sum(F.octet_length("text"))).first()
-    shards = max(16, (size or 0) // (SHARD_ENTRIES * 64))
-    asked = docs.select("text").mapInArrow(lambda it: _training_words(it, shards), REQUESTS)
-    return _frequent(asked, tokens or 0, reply=False)[1:]
+def opened(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, word's place of each pair, context of each pair, count of each pair) of a row of COUNTS."""
+    fan = unsqueeze(r["fan"])
+    return unsqueeze_sorted(r["words"]), np.repeat(np.arange(len(fan)), fan), unsqueeze(r["context"]).astype(np.int64), unsqueeze(r["counts"]).astype(np.int64)
 
 
-def word_counts(blocks: DataFrame, train_tokens: int) -> tuple[DataFrame, int, np.ndarray, np.ndarray, int]:
-    """(replies (block, shard, values), shards, frequent words in order, their counts, number of distinct training words)."""
-    shards = n_shards(blocks.agg(F.sum("types")).first()[0] or 0)
-    asked = blocks.select("block", "vocab", "counts").mapInArrow(lambda it: _word_requests(it, shards), REQUESTS)
-    replies, *rest = _frequent(asked, train_tokens, reply=True)
-    return replies, shards, *rest
+# arrays over contexts
 
 
-def _frequent(asked: DataFrame, train_tokens: int, reply: bool) -> tuple[DataFrame, np.ndarray, np.ndarray, int]:
-    least = MIN_SHARE * train_tokens
-    out = kept(
-        asked.groupBy("shard").applyInPandas(lambda g: _word_totals(g, least, reply), "block long, shard int, words binary, values binary, types long"),
-        "words",
-    )
-    often = out.where("block is null").select("words", "values", "types").collect()  # 1 / MIN_SHARE words in all at most
-    word = np.concatenate([np.zeros(0, U64), *(np.frombuffer(r.words, U64) for r in often)])
-    count = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["values"], np.int64) for r in often)])
-    order = np.argsort(word)
-    return out.where("block is not null").select("block", "shard", "values"), word[order], count[order], sum(r.types for r in often)
+def context_stats(counts: DataFrame, n: int) -> np.ndarray:
+    """By context [6, n]: its tokens, and its pairs seen once, twice, three, four and more times."""
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in (r for b in batches for r in b.to_pylist()):
+            _, _, context, c = opened(r)
+            seen = [np.bincount(context[np.minimum(c, 5) == k], minlength=n) for k in (1, 2, 3, 4, 5)]
+            yield ranged(by_range(np.bincount(context, c, n), *seen))
 
-class Classes:
-    """Class of each word: frequent words have one each, then the end of text, then all others."""
+    return context_sums(counts.mapInArrow(each, "range int, sums binary"), 6, n)
 
-    def __init__(self, frequent: np.ndarray):
-        self.words = frequent[frequent != END]
-        self.end, self.rare, self.n = len(self.words), len(self.words) + 1, len(self.words) + 2
 
-    def of(self, vocab: np.ndarray) -> np.ndarray:
-        out = np.full(len(vocab), self.rare, np.int64)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, vocab), len(self.words) - 1)
-            hit = self.words[at] == vocab
-            out[hit] = at[hit]
-        out[vocab == END] = self.end
-        return out
+def word_stats(counts: DataFrame) -> dict[str, int]:
+    """WORD_SUMS: number of words, of words with one to four contexts, and of pairs."""
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in (r for b in batches for r in b.to_pylist()):
+            fan = unsqueeze(r["fan"])
+            sums = [len(fan), *((fan == k).sum() for k in (1, 2, 3, 4)), fan.sum()]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in sums], names=[x.split(" ")[0] for x in WORD_SUMS.split(", ")])
 
-def stream(classes: Classes, vocab: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class of each token, class before it, its text) of a block, texts' ends included; an end stands before each text. at: places in vocab, or classes."""
-    text = np.repeat(np.arange(len(n)), n + 1)
-    ends = np.cumsum(n + 1) - 1
-    cls = np.full(len(text), classes.end, np.int64)
-    word = np.ones(len(text), bool)
-    word[ends] = False
-    cls[word] = classes.of(vocab)[at] if len(vocab) else at
-    return cls, np.append(classes.end, cls[:-1]) if len(cls) else cls, text
+    names = [x.split(" ")[0] for x in WORD_SUMS.split(", ")]
+    row = counts.mapInArrow(each, WORD_SUMS).agg(*(F.sum(x).alias(x) for x in names)).first()
+    return {x: row[x] or 0 for x in names}
+
+
+def ranged(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary()))], names=["range", "sums"])
 
 
-def _pair_requests(batches: Iterator[pa.RecordBatch], classes: Classes, shards: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block, vocab, at, n, train in zip(*(batch.column(c).to_pylist() for c in ("block", "vocab", "words", "n", "train"))):
-            cls, before, text = stream(classes, np.frombuffer(vocab, U64), unsqueeze(at), np.array(n, np.int64))
-            pair, place = np.unique(before * classes.n + cls, return_inverse=True)
-            counts = np.bincount(place[np.array(train, bool)[text]], minlength=len(pair))
-            yield _requests(block, pair.astype(np.uint32), counts, shards)
+def by_range(*arrays: np.ndarray) -> list[tuple[int, bytes]]:
+    """Integer arrays over contexts, cut into RANGES."""
+    cuts = np.linspace(0, len(arrays[0]), RANGES + 1).astype(int)
+    return [(k, zstandard.compress(np.stack([a[cuts[k] : cuts[k + 1]] for a in arrays]).astype(np.int64).tobytes(), 1)) for k in range(RANGES)]
 
 
-def pair_requests(blocks: DataFrame, classes: Classes) -> tuple[DataFrame, int]:
-    """(requests for the blocks' distinct pairs of classes with their training counts, shards)."""
-    shards = n_shards((blocks.agg(F.sum("tokens")).first()[0] or 0) // 8)
-    asked = blocks.select("block", "vocab", "words", "n", "train").mapInArrow(lambda it: _pair_requests(it, classes, shards), REQUESTS)
-    return kept(asked, "pairs"), shards
+def context_sums(rows: DataFrame, columns: int, n: int) -> np.ndarray:
+    """rows (range int, sums binary) summed over shards: an array [columns, n], bounded by the number of contexts."""
 
+    def total(group: pd.DataFrame) -> pd.DataFrame:
+        out = 0
+        for x in group["sums"]:
+            out = out + np.frombuffer(zstandard.decompress(x), np.int64)
+        return pd.DataFrame({"range": [int(group["range"].iloc[0])], "sums": [out.tobytes()]})
 
-def _pair_totals(group: pd.DataFrame) -> pd.DataFrame:
-    every, total, _, _ = _totals(group, np.uint32)
-    seen = total > 0
-    return pd.DataFrame([(int(group["shard"].iloc[0]), every[seen].astype(np.int64).tobytes(), total[seen].tobytes())], columns=["shard", "pairs", "counts"])
+    parts = {r.range: np.frombuffer(r.sums, np.int64).reshape(columns, -1) for r in rows.groupBy("range").applyInPandas(total, "range int, sums binary").collect()}
+    return np.concatenate([parts[k] for k in sorted(parts)], 1) if parts else np.zeros((columns, n), np.int64)
 
 
-def pair_counts(asked: DataFrame) -> DataFrame:
-    """(shard, pairs, counts): the training pairs of each shard, packed, in order."""
-    return kept(asked.groupBy("shard").applyInPandas(_pair_totals, "shard int, pairs binary, counts binary"), "counts")
+# replies
 
 
-def _pair_replies(asked: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-    pairs = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in model["pairs"])])
-    values = np.concatenate([np.zeros(0), *(np.frombuffer(x, np.float64) for x in model["value"])])
-    out = []
-    for shard, block, keys in zip(asked["shard"], asked["block"], asked["keys"]):
-        keys = np.frombuffer(keys, np.uint32).astype(np.int64)
-        v = np.zeros(len(keys), np.float32)
-        if len(pairs):
-            at = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
-            hit = pairs[at] == keys
-            v[hit] = values[at[hit]]
-        out.append((block, shard, v.tobytes()))
-    return pd.DataFrame(out, columns=["block", "shard", "values"])
+BLOCKS = "block long, ids array<long>, labels array<string>, n binary, places binary, end int, context binary"
 
 
-def pair_replies(asked: DataFrame, model: DataFrame) -> DataFrame:
-    """(block, shard, values): for each request the model's value of each pair, 0 for pairs that it hasn't. model: (shard, pairs, value)."""
-    return asked.select("shard", "block", "keys").groupBy("shard").cogroup(model.groupBy("shard")).applyInPandas(_pair_replies, "block long, shard int, values binary")
+def _encode(batches: Iterator[pa.RecordBatch], contexts: Contexts) -> Iterator[pa.RecordBatch]:
+    for number, rows in blocks(batches, "text", BLOCK_BYTES):
+        h, n = tokens(rows)
+        vocab, at, end = places(h)
+        ids, labels = (rows.column(c).to_pylist() for c in ("doc_id", "label"))
+        row = [number, ids, labels, squeeze(n), squeeze(at), end, squeeze(contexts.of(vocab))]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=[x.split(" ")[0] for x in BLOCKS.split(", ")])
 
 
-def class_sums(rows: DataFrame, n: int) -> np.ndarray:
-    """rows (class int, v1.. double) summed over shards to an array [columns, n]; n classes at most come to the driver."""
-    cols = rows.columns[1:]
-    out = np.zeros((len(cols), n))
-    for r in rows.groupBy("class").agg(*(F.sum(c).alias(c) for c in cols)).collect():
-        out[:, r[0]] = r[1:]
-    return out
+def looked_up_pairs(asked: pd.DataFrame, words_: np.ndarray, code: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each request (block, place of each word among words_ or -1, place of each pair among code or -1, word of each pair by number, context of each pair)."""
+    for block, w, fan, context in zip(asked["block"], asked["words"], asked["fan"], asked["context"]):
+        w, fan, context = unsqueeze_sorted(w), unsqueeze(fan), unsqueeze(context).astype(np.int64)
+        at = np.minimum(np.searchsorted(words_, w), max(len(words_) - 1, 0))
+        at = np.where(words_[at] == w, at, -1) if len(words_) else np.full(len(w), -1)
+        of = np.repeat(np.arange(len(w)), fan)
+        asked_code = np.where(at[of] < 0, -1, at[of] * n + context)
+        pair = np.minimum(np.searchsorted(code, asked_code), max(len(code) - 1, 0))
+        pair = np.where(code[pair] == asked_code, pair, -1) if len(code) else np.full(len(of), -1)
+        yield block, at, pair, of, context
+
+
+def replied(docs: DataFrame, contexts: Contexts, shards: int, model: DataFrame, reply, score, schema: str) -> DataFrame:
+    """score(block, replies in order of shards) for every block of docs (doc_id, label, text); the label goes along.
+
+    reply(key, requests of a shard, model rows of the shard): (block, shard, words, pairs) with packed values for the words and the pairs asked for.
+    Requests and blocks are two passes over docs that must see the same partitions; where docs has a shuffle, it is kept first.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("string").alias("label"), "text")
+    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString():
+        rows = kept(rows, "texts")
+    asked = rows.select("text").mapInArrow(lambda it: _pair_requests(it, contexts, shards, False), PAIRS).drop("counts")
+    replies = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInPandas(reply, "block long, shard int, words binary, pairs binary")
+    encoded = rows.mapInArrow(lambda it: _encode(it, contexts), BLOCKS)
+
+    def each(block: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([score(b, own.sort_values("shard")) for b in block.itertuples()])
+
+    return encoded.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(each, schema)
+
+
+def opened_block(b, n_contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pd.Series]:
+    """(words of each text, place of each token, its context, its text, distinct pairs, place of each token's pair, ids) of a block."""
+    n = unsqueeze(b.n).astype(np.int64)
+    place, before, text = stream(unsqueeze(b.places), n, b.end, unsqueeze(b.context).astype(np.int64))
+    code, pair = np.unique(coded(place, before, n_contexts), return_inverse=True)
+    ids = pd.array([None if i is None or i != i else int(i) for i in b.ids], "Int64")
+    return n, place, before, text, code, pair, ids

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 
 U64 = np.uint64
 _GAP = np.zeros(256, bool)
@@ -59,6 +61,45 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         at = end
 
 
+def _bytes(column: pa.Array) -> np.ndarray:
+    return pc.cast(pc.fill_null(pc.binary_length(column), 0), pa.int64()).to_numpy(zero_copy_only=False)
+
+
+def cut(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about size bytes of the string column, so that memory follows bytes and not rows; a text is never cut."""
+    ends, at = np.cumsum(_bytes(batch.column(column))), 0
+    while at < len(batch):
+        end = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")), at + 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def blocks(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(number, rows): the rows of a task in blocks of size bytes of the string column at most, a longer text in one of its own.
+
+    Blocks follow from the rows alone, however they come in batches, and numbers are the same whenever a task is run again.
+    """
+    number, held, room = TaskContext.get().partitionId() << 32, [], size
+
+    def done() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        n, at = _bytes(batch.column(column)), 0
+        while at < len(batch):
+            fit = int(np.searchsorted(np.cumsum(n[at:]), room, side="right"))
+            if not fit and held:
+                yield number, done()
+                number, held, room = number + 1, [], size
+                continue
+            fit = max(fit, 1)
+            held.append(batch.slice(at, fit))
+            room -= int(n[at : at + fit].sum())
+            at += fit
+    if held:
+        yield number, done()
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, index of each text's first word with the total at the end)."""
     low = _LOWER[data]
