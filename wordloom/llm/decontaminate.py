@@ -96,42 +96,39 @@ def _clean(batches: Iterator[pa.RecordBatch], sets: list[np.ndarray], shingle: i
         yield batch.filter(pa.array(stays))
 
 
-def _item_blocks(items: DataFrame, shingle: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Item ids and shingle sets of items (item_id, text), in blocks of about BLOCK_BYTES of text."""
-    items = items.select("item_id", "text").where("text is not null")
-    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
+def _item_blocks(items: DataFrame, shingle: int) -> Iterator[tuple[list[str], list[np.ndarray]]]:
+    """The distinct texts of items (text) and their shingle sets, in blocks of about BLOCK_BYTES of text; a text is in one of them, however often it is given."""
+    texts = items.select("text").where("text is not null").distinct()
+    blocks = max(1, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
     for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()  # BLOCK_BYTES of text or near it
-        sets = list(shingle_sets(pa.array([r.text for r in own], pa.string()), shingle))
+        own = [r.text for r in texts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()]  # BLOCK_BYTES of text or near it
+        sets = list(shingle_sets(pa.array(own, pa.string()), shingle))
         keep = [i for i, s in enumerate(sets) if len(s)]
         if keep:
-            yield [own[i].item_id for i in keep], [sets[i] for i in keep]
+            yield [own[i] for i in keep], [sets[i] for i in keep]
 
 
 def contained_items(docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, item_id, n_item, n_common): each row of docs (doc_id, text) with each item (item_id, text) it contains.
 
     n_item counts the item's distinct shingles, n_common those in the document. Other columns
-    are ignored. Items go along in blocks of BLOCK_BYTES of text; each block is one pass
+    are ignored. Distinct item texts go along in blocks of BLOCK_BYTES; each block is one pass
     over the documents. A text with fewer words than a shingle is one shingle, so a shorter item is
     only found in a document with exactly those words. Null or wordless texts contain
-    nothing and are in nothing. Rows given twice come out twice; null ids stay null. Without
+    nothing and are in nothing. Rows given twice come out twice; null ids stay null. doc_id must be an integer. Without
     documents or items there are no rows.
     """
     out = None
-    schema = items.select(F.lit(0).alias("item"), F.lit(0).alias("n_item"), "item_id").schema
-    for ids, sets in _item_blocks(items, shingle):
+    for texts, sets in _item_blocks(items, shingle):
         found = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(
             lambda it, sets=sets: _search(it, sets, shingle, percent), "id long, item int, common int"
         )
-        named = docs.sparkSession.createDataFrame([(k, len(s), i) for k, (i, s) in enumerate(zip(ids, sets))], schema)
-        found = found.join(F.broadcast(named), "item").select(  # one block of items
-            F.col("id").alias("doc_id"), "item_id", F.col("n_item").cast("long"), F.col("common").cast("long").alias("n_common")
-        )
+        named = docs.sparkSession.createDataFrame([(k, len(s), t) for k, (t, s) in enumerate(zip(texts, sets))], "item int, n_item long, of string")
+        found = found.join(F.broadcast(named), "item").select("id", "n_item", F.col("common").cast("long").alias("n_common"), "of")  # one block of items
         out = found if out is None else out.unionByName(found)
     if out is None:
         return docs.select("doc_id").join(items.select("item_id"), F.lit(False)).selectExpr("doc_id", "item_id", "0L n_item", "0L n_common")
-    return out
+    return out.join(items.select("item_id", "text"), F.col("of") == F.col("text")).select(F.col("id").alias("doc_id"), "item_id", "n_item", "n_common")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -36,6 +36,24 @@ KNOWN_LICENCES: dict[str, list[str]] = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
+# SHA-256 of the canonical forms of published licence texts, whole.
+PUBLISHED_DIGESTS: dict[str, str] = {
+    "Apache-2.0": "59c5c0c961f9e12781a624dab402e5d06931dc04529b068489fdb15fe330f0e2",
+    "Artistic-1.0-Perl": "68b9dd49ed1b1348e977ccc2468570a603d8075ede45354e352319821ca5469a",
+    "BSD-3-Clause": "481fcd9d007056b7809322c536d09d5f021334ccf6c013607eb2ed218774d076",
+    "CC0-1.0": "5caa6b96e2c9f66e9ca02d726096312a8662a9c4fea6446ff24fee66902e58dc",
+    "GFDL-1.2": "e9d37f1af9e55d1b29718ff0dd4e2583340a45ba56c062b54ac2bffa6b9184ac",
+    "GFDL-1.3": "6fbbb28d155387ad69422adfd39ef7b89fc749edfdf997c7dd351c6158bd2298",
+    "GPL-1.0": "369f57bee7b7b48d1dba46146a41780f056529a15e980c4d6843f83a58fcc2da",
+    "GPL-2.0": "f75a1d6b2af9538af59deeb4d742cc70c58d0b8d134778479f26ecbd851b392f",
+    "GPL-3.0": "1762992c0f76994ca6cd4de78ffa1345f8e322e1a230f87cf23660dac7bf8314",
+    "LGPL-2.0": "4921f4e1e5e73369d202e5c7683c965b4d275ba35f23c50d389e92705d9cc84e",
+    "LGPL-2.1": "a65b75d251fb56c535ec7079440f5d167ec95725dd20f1d16677176defe487a3",
+    "LGPL-3.0": "572947626844a56d29ace510237040204d4085696621f319533ca366aa897913",
+    "MPL-1.1": "c82025ba8cfd426ed63ef8ac3ca725370923a0896aab6940821e727fd8e13318",
+    "MPL-2.0": "81d77b1d77de764ed772965a190a4d3b865a7caf68e77db4e707c01076bb6785",
+}
+
 # Fixed values: (spelling, canonical spelling), after the equivalent words of the SPDX matching guidelines.
 SPELLINGS: list[tuple[str, str]] = [
     ("licence", "license"),
@@ -64,7 +82,7 @@ _RUNNING = (
 _MARK = r"(?:\(c\)|©|&copy;)"
 NOTICE = (
     r"^[ \t*#/;-]*(?:copyright[ \t:,.-]*(?:" + _MARK + r"|[0-9]{4})|copyright[ \t]+(?!" + _RUNNING + r")[^ \t\r\n,;.]|copyright:[ \t]*(?!" + _RUNNING + r")[^ \t\r\n]"
-    r"|" + _MARK + r"[ \t:,.-]*(?:copyright\b|by\b|[0-9]{4})|©|all rights reserved[ \t:,.]*(?:\r?$|copyright\b|" + _MARK + r"|[0-9]{4}))"
+    r"|" + _MARK + r"[ \t:,.-]*(?:copyright\b|by\b|[0-9]{4})|©|all[ \t]+rights[ \t]+reserved[ \t:,.]*(?:\r?$|copyright\b|" + _MARK + r"|[0-9]{4}))"
 )
 #: The name of a licence on the first line, with text after it.
 TITLE = r"\A[\s*#/;=-]*(?:the[ \t]+)?(?:mit|expat|isc)[ \t]+licen[cs]e(?:[ \t]*\([a-z0-9/ ]*\))?[ \t:*#/;=-]*\r?\n(?=\s*\S)"
@@ -75,14 +93,26 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def canonical(text: Column) -> Column:
-    """The canonical form of a text; null counts as empty."""
+    """The canonical form of a text; null counts as empty. Spellings are looked for at once, and only texts that have one go through them."""
     low = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
     low = F.regexp_replace(low, "(?md)" + NOTICE + r"[^\n]*", " ")
     low = F.regexp_replace(low, TITLE, " ")
     low = F.concat(F.lit(" "), F.regexp_replace(low, PUNCTUATION, "  "), F.lit(" "))
+    spelt = low
     for word, to in _pairs():
-        low = F.replace(low, F.lit(word), F.lit(to))
-    return F.trim(low)
+        spelt = F.replace(spelt, F.lit(word), F.lit(to))
+    return F.trim(F.when(low.rlike(" (?:" + "|".join(a.strip() for a, _ in _pairs()) + ") "), spelt).otherwise(low))
+
+
+def canonical_text(text: str) -> str:
+    """As canonical, for a known text."""
+    low = text.translate(str.maketrans(_UPPER, _LOWER))
+    low = re.sub(NOTICE + r"[^\n]*", " ", low, flags=re.M)
+    low = re.sub(TITLE, " ", low)
+    low = " " + re.sub(PUNCTUATION, "  ", low) + " "
+    for a, b in _pairs():
+        low = low.replace(a, b)
+    return low.strip(" ")
 
 
 def _pairs() -> list[tuple[str, str]]:
@@ -91,33 +121,37 @@ def _pairs() -> list[tuple[str, str]]:
 
 
 def known_digests() -> list[tuple[str, str]]:
-    """(digest, licence) of the known texts, each in the same canonical form."""
-    found: dict[str, str] = {}
+    """(digest, licence) of the known texts, each in the same canonical form, and of the published texts of which only digests are kept."""
+    found = {d: name for name, d in PUBLISHED_DIGESTS.items()}
     for name, texts in KNOWN_LICENCES.items():
         for text in texts:
-            low = text.translate(str.maketrans(_UPPER, _LOWER))
-            low = re.sub(NOTICE + r"[^\n]*", " ", low, flags=re.M)
-            low = re.sub(TITLE, " ", low)
-            low = " " + re.sub(PUNCTUATION, "  ", low) + " "
-            for a, b in _pairs():
-                low = low.replace(a, b)
-            found.setdefault(hashlib.sha256(low.strip(" ").encode()).hexdigest(), name)
+            found.setdefault(hashlib.sha256(canonical_text(text).encode()).hexdigest(), name)
     return sorted(found.items())
 
 
+def line_words() -> list[str]:
+    """A word for each known text, of which no spelling is known: a line that is the text has it in any case."""
+    spelt = {w for pair in SPELLINGS for x in pair for w in x.split("-")}
+    one = {max((w for w in canonical_text(t).split() if w not in spelt), key=lambda w: (len(w), w)) for texts in KNOWN_LICENCES.values() for t in texts if "\n" not in t}
+    return sorted(one)
+
+
 def scan_licences(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """(doc_id, digest, licence, n_notices, notices) for every row of docs (doc_id, text).
 
     digest: of the whole text's canonical form (null text: as empty); licence: the known one with that
     digest, else null; n_notices: lines that are a known text of one line; notices: their licences, each
-    once, sorted, comma-joined, '' without any. known: (digest, licence) rows, a fixed list of a few
-    entries. Other columns are ignored; rows given twice come out twice; null ids stay null; no rows, none out.
+    once, sorted, comma-joined, '' without any. known: (digest, licence) rows, a fixed list of a few dozen
+    entries, with which every line is looked up; without it, the lines that have a word of some known text, as all others can't be one.
+    Other columns are ignored; rows given twice come out twice; null ids stay null; no rows, none out.
     """
-    known = known_digests() if known is None else known
+    own = known is None
+    known = known_digests() if own else known
     table = docs.sparkSession.createDataFrame(known, "known_digest string, licence string")
     names = F.create_map(*(F.lit(x) for pair in known for x in pair)) if known else F.create_map().cast("map<string,string>")
-    # only a line with the word can be a notice; whatever else the list holds is looked up as a whole text
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.lower(x).rlike("licen[cs]e|public domain"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    if own:
+        lines = F.filter(lines, lambda x: x.rlike("(?i)" + "|".join(line_words())))
     hits = F.filter(F.transform(lines, lambda x: F.element_at(names, F.sha2(canonical(x), 256))), lambda x: x.isNotNull())
     scanned = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), hits.alias("hits"))
     return scanned.join(F.broadcast(table), F.col("digest") == F.col("known_digest"), "left").select(
@@ -147,8 +181,7 @@ rows AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 lines AS (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM rows),
 hits AS (
   SELECT r, count(*) AS n, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices
-  FROM lines JOIN known ON sha256({form('line')}) = known_digest
-  WHERE regexp_matches(lower(line), 'licen[cs]e|public domain') GROUP BY r
+  FROM lines JOIN known ON sha256({form('line')}) = known_digest GROUP BY r
 ),
 whole AS (SELECT r, doc_id, sha256({form('text')}) AS digest FROM rows)
 SELECT doc_id, digest, licence, coalesce(n, 0)::BIGINT AS n_notices, coalesce(notices, '') AS notices

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import looked_up
+from .shared import columns_of, looked_up
 
 
 @dataclass(frozen=True)
@@ -38,6 +38,7 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 0),
 )
 BASE = ("assign", "access", "hex")
+RUN = 256  # matches whose places are counted up together
 _MOST = 64  # strings that a part of an expression may stand for, to be followed one by one
 
 
@@ -145,8 +146,14 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
             F.when(keep, F.concat(acc["spans"], F.array(one).cast(f"array<{span}>"))).otherwise(acc["spans"]).alias("spans"),
         )
 
+    def moved(acc: Column, x: Column) -> Column:
+        far = F.transform(x["spans"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), s["order"].alias("order"), (s["end"] + acc["at"]).alias("end"), s["kind"].alias("kind")))
+        return F.struct((acc["at"] + x["at"]).cast("int").alias("at"), F.concat(acc["spans"], far.cast(f"array<{span}>")).alias("spans"))
+
+    # matches are counted up in runs of RUN and the runs then put together, so that no array grows by one match at a time
     empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
-    return F.aggregate(parts, empty, step, lambda acc: acc["spans"])
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / RUN).cast("int")), lambda k: F.aggregate(F.slice(parts, k * RUN + 1, RUN), empty, step))
+    return F.aggregate(runs, empty, moved, lambda acc: acc["spans"])
 
 
 def _own_names(docs: DataFrame) -> str:
@@ -193,7 +200,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, out: str = "_
         on = F.col(f"{own}is_{rule.kind}") if rule.kind in indexed else F.col(f"{own}t").rlike(_java(rule) if rule.least < 2 else _long(rule))
         every.append(F.when(on, spans(F.col(f"{own}t"), rule, order)).otherwise(none))
     rows = rows.withColumn(f"{own}out", F.array_sort(F.flatten(F.array(*every))))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(f"{own}out").alias(out))
+    return rows.select(*columns_of(docs), F.col(f"{own}out").alias(out))
 
 
 def _long(rule: Rule) -> str:
@@ -238,7 +245,7 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
     new = F.aggregate(f"{own}spans", empty, step, rest)
-    return found.withColumn("text", F.when(F.size(f"{own}spans") > 0, new).otherwise(F.col("text"))).select(docs.columns)
+    return found.withColumn("text", F.when(F.size(f"{own}spans") > 0, new).otherwise(F.col("text"))).select(columns_of(docs))
 
 
 def secrets_sql() -> str:

@@ -2,8 +2,9 @@
 
 Packets of 188 bytes carry program tables (PAT, PMT) and elementary packets (PES) of a private
 data stream. Writing cuts a payload into access units with timestamps, of which every
-RANDOM_ACCESS-th is a random-access point. Reading finds the stream through the program tables,
-checks their checksums and the continuity counters, and reassembles the elementary packets.
+RANDOM_ACCESS-th is a random-access point, with the program tables before it. Reading finds the stream through the program
+tables, checks their checksums and all continuity counters, and reassembles the elementary packets; where a packet doesn't begin
+with the sync byte, it goes on at the next place from which packets follow each other.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ PACKET, SYNC, PAT_PID = 188, 0x47, 0
 PRIVATE_STREAM, PRIVATE_TYPE = 0xBD, 0x06
 CLOCK = 90_000
 
+NO_PID = 0x1FFF
+
 PMT_PID, DATA_PID, PROGRAM = 0x100, 0x101, 1
 UNIT = 2048  # payload bytes of an access unit
 UNIT_TICKS = CLOCK // 25
@@ -54,14 +57,15 @@ def _section(table: int, number: int, body: bytes) -> bytes:
     return head + body + mpeg_crc(head + body).to_bytes(4, "big")
 
 
-def _table_packet(pid: int, section: bytes) -> bytes:
-    head = bytes([SYNC, 0x40 | pid >> 8, pid & 255, 0x10, 0])
+def _table_packet(pid: int, section: bytes, counter: int) -> bytes:
+    head = bytes([SYNC, 0x40 | pid >> 8, pid & 255, 0x10 | counter, 0])
     return head + section + b"\xff" * (PACKET - len(head) - len(section))
 
 
-_TABLES = _table_packet(PAT_PID, _section(0, 1, PROGRAM.to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))) + _table_packet(
-    PMT_PID, _section(2, PROGRAM, (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([PRIVATE_TYPE]) + (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00")
-)
+_PAT = _section(0, 1, PROGRAM.to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))
+#: The program has no clock of its own: its PCR PID is the null packets', which the format keeps for that.
+_PMT = _section(2, PROGRAM, (0xE000 | NO_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([PRIVATE_TYPE]) + (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00")
+_TABLES = [_table_packet(PAT_PID, _PAT, k) + _table_packet(PMT_PID, _PMT, k) for k in range(16)]
 
 
 def _timestamp(t: int) -> bytes:
@@ -73,11 +77,13 @@ def _elementary(unit: bytes, ticks: int) -> bytes:
 
 
 def write_stream(payload: bytes) -> bytes:
-    """A transport stream with the payload: tables, then an elementary packet for each access unit."""
-    out, counter = [_TABLES], 0
+    """A transport stream with the payload: an elementary packet for each access unit, with the tables before each random-access point."""
+    out, counter = [], 0
     for k, at in enumerate(range(0, len(payload), UNIT)):
         pes = _elementary(payload[at : at + UNIT], k * UNIT_TICKS)
         flag = 0x40 if k % RANDOM_ACCESS == 0 else 0x00  # of the adaptation field
+        if flag:
+            out.append(_TABLES[k // RANDOM_ACCESS & 15])
         done, first = 0, True
         while done < len(pes):
             room = PACKET - 4
@@ -117,11 +123,20 @@ def _section_of(body: bytes) -> bytes | None:
     return section if len(section) >= 12 and end <= len(body) and mpeg_crc(section) == 0 else None
 
 
+def _next_sync(data: bytes, at: int) -> int | None:
+    """The next place with a sync byte there and, unless the data ends before, a packet later."""
+    while (at := data.find(SYNC, at)) >= 0:
+        if at + PACKET >= len(data) or data[at + PACKET] == SYNC:
+            return at
+        at += 1
+    return None
+
+
 def read_stream(data: bytes) -> Stream:
     """Parses a transport stream: the first private data stream of the first program."""
     found = Stream()
     pmt: int | None = None
-    last: int | None = None
+    last: dict[int, int] = {}  # by PID
     parts: list[bytes] = []
     access = False
 
@@ -134,10 +149,18 @@ def read_stream(data: bytes) -> Stream:
             ticks = (t[0] & 0x0E) << 29 | t[1] << 22 | (t[2] & 0xFE) << 14 | t[3] << 7 | t[4] >> 1
             found.units.append((ticks if pes[7] & 0x80 else -1, access, pes[9 + pes[8] : end]))
 
-    for at in range(0, len(data) - PACKET + 1, PACKET):
+    start_at = _next_sync(data, 0)
+    found.lost_sync += bool(data) and start_at != 0
+    at = len(data) if start_at is None else start_at - PACKET
+    while (at := at + PACKET) + PACKET <= len(data):
         if data[at] != SYNC:
             found.lost_sync += 1
-            continue
+            new = _next_sync(data, at + 1)
+            if new is None:
+                break
+            at = new
+            if at + PACKET > len(data):
+                break
         found.packets += 1
         b1, b3 = data[at + 1], data[at + 3]
         pid, start = (b1 & 0x1F) << 8 | data[at + 2], b1 & 0x40
@@ -146,6 +169,10 @@ def read_stream(data: bytes) -> Stream:
             size = data[at + 4]
             flags = data[at + 5] if size else 0
             body += 1 + size
+        if b3 & 0x10 and (pid in (PAT_PID, pmt, found.pid)):
+            if pid in last and b3 & 15 != last[pid] + 1 & 15:
+                found.discontinuities += 1
+            last[pid] = b3 & 15
         if pid in (PAT_PID, pmt) and start:
             section = _section_of(data[body : at + PACKET])
             if section is None:
@@ -160,9 +187,6 @@ def read_stream(data: bytes) -> Stream:
                         break
                     entry += 5 + (int.from_bytes(section[entry + 3 : entry + 5], "big") & 0xFFF)
         elif pid == found.pid and b3 & 0x10:
-            if last is not None and b3 & 15 != last + 1 & 15:
-                found.discontinuities += 1
-            last = b3 & 15
             if start:
                 flush()
                 access = bool(flags & 0x40)

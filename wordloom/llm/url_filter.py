@@ -27,21 +27,34 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
-# The labelled table: fixed values, (block 1 or allow 0, words of hosts and paths), from which labelled_urls makes URLs.
+# The labelled table: fixed values, (block 1 or allow 0, first words of hosts, second words, words of paths), from which labelled_urls makes URLs.
 _WORDS = (
-    (1, ("casino-win", "spam-farm", "free-pills", "hot-bets", "cheap-loans", "adult-cams", "lucky-slots", "crypto-doubler"), ("bonus", "win-now", "click", "jackpot")),
-    (0, ("library", "city-news", "blog", "weather", "school", "museum", "recipes", "open-data"), ("about", "article", "archive", "en")),
+    (
+        1,
+        "casino poker slots bets lottery bingo roulette jackpot pills viagra pharma replica loans payday crypto doubler adult cams escort dating warez cracked keygen torrent clickbait miracle diet spam".split(),
+        "win free hot cheap lucky fast easy bonus farm deals promo now club vip xxx".split(),
+        "bonus win-now click jackpot signup?aff= free-spins order-now claim hot-deals download-crack xxx-pics promo redirect offer".split(),
+    ),
+    (
+        0,
+        "library news weather school museum recipes university hospital theatre garden science history travel council archive journal music sports bank police railway radio church village forum hobby opera".split(),
+        "city open national local public royal central data county daily online new north old first".split(),
+        "about article archive contact events research education timetable reports gallery policy members books 2024/05".split(),
+    ),
 )
+_HOSTS = ("{a}-{b}.{t}", "www.{a}{b}.{t}", "{b}.{a}.{t}", "{a}{n}.{t}")
+_ENDS = ("com", "net", "org", "info", "biz", "co.uk", "de", "io")
+_PATHS = ("/{p}", "/{p}/{n}", "/{p}.html", "/en/{p}/{a}-{n}", "/{b}/{p}?id={n}")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, label): the small labelled table."""
-    rows = [
-        (f"https://{sub}{host}.{'example.' if k % 2 else ''}{top}/{path}/{k}", label)
-        for label, hosts, paths in _WORDS
-        for k, (host, path) in enumerate((h, p) for h in hosts for p in paths)
-        for sub, top in (("", "com"), ("www.", "net"))
-    ]
+    """(url, label): the small labelled table, a few hundred URLs of hosts and paths of many makes; both labels have all makes and endings."""
+    rows = []
+    for label, first, second, paths in _WORDS:
+        for k in range(len(first) * 8):
+            words = {"a": first[k % len(first)], "b": second[(k * 7 + k // len(first)) % len(second)], "p": paths[(k * 5 + 3) % len(paths)], "n": k * 37 % 991}
+            url = _HOSTS[k // 3 % len(_HOSTS)].format(t=_ENDS[k % len(_ENDS)], **words) + _PATHS[k // 2 % len(_PATHS)].format(**words)
+            rows.append((f"http{'s' if k % 3 else ''}://{url}", label))
     return spark.createDataFrame(rows, "url string, label int")
 
 
