@@ -58,30 +58,48 @@ def test_large_family_in_many_trees(spark, monkeypatch):
     assert found_components(docs, 3, 90) == brute_components(rows, 3, 90)
 
 
-def test_slices_of_linked_sets_meet():
+def test_prefixes_of_linked_sets_meet():
     rng = np.random.default_rng(3)
     for threshold in (80, 90):
-        ends = N.size_ranges(5000, threshold)
-        for n in (1, 4, 5, 9, 10, 19, 40, 100, 333, 1000, 4000):
-            a = np.unique(rng.integers(0, 2**63, n).astype(U64))
-            for _ in range(5):
-                drop = rng.integers(0, (100 - threshold) * n // 100 + 1)
-                add = rng.integers(0, max(1, (100 - threshold) * n // 100))
-                b = np.unique(np.append(rng.permutation(a)[drop:], rng.integers(0, 2**63, add).astype(U64)))
+        for n in (1, 4, 5, 9, 10, 19, 40, 100, 333, 1000):
+            a = rng.permutation(10 * n + 20)[:n]
+            for _ in range(20):
+                drop, add = rng.integers(0, (100 - threshold) * n // 100 + 1), rng.integers(0, max(1, (100 - threshold) * n // 100))
+                b = np.unique(np.append(rng.permutation(a)[drop:], 10 * n + 20 + rng.integers(0, 99, add)))
                 both = len(np.intersect1d(a, b))
                 if len(b) and 100 * both >= threshold * (len(a) + len(b) - both):
-                    sides = []
-                    for x in (a, b):
-                        parts = N.slice_keys(x, ends, threshold)
-                        key = np.concatenate([k for k, _, _ in parts])
-                        part = np.repeat(np.arange(len(parts)), [len(k) for k, _, _ in parts])
-                        equal = np.repeat([e for _, _, e in parts], [len(k) for k, _, _ in parts])
-                        crowd = rng.permutation(key)[: len(key) // 3]  # what others have, too
-                        both_key, both_part = np.append(key, crowd), np.append(part, np.full(len(crowd), len(parts)))
-                        stay = N.without_common(both_key, both_part, np.array([q for _, q, _ in parts] + [0]))[: len(key)]
-                        sides.append(dict(zip(key[stay].tolist(), equal[stay].tolist())))
-                    shared = sum(1 / e for k, e in sides[0].items() if k in sides[1])
-                    assert shared >= 1 - 1e-9
+                    first = [np.sort(x)[: N.prefix_lengths(np.array([len(x)]), threshold)[0]] for x in (a, b)]
+                    assert len(np.intersect1d(*first))
+
+
+def with_passage(spark, n):
+    """n texts without links that share a passage and lines, in pairs and all of them."""
+    rng = random.Random(n)
+    passage = words(rng, 60)
+    lines = [words(rng, 12) for _ in range(20)]
+    rows = [(i, " ".join(words(rng, 30, "klmnopqrstuvwxyz") + passage + rng.choice(lines) + words(rng, 30, "klmnopqrstuvwxyz"))) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_work_grows_with_the_texts(spark, monkeypatch):
+    """Sets that trees are made of, copies included: twice the texts make twice the sets at most, plus nothing for a common passage."""
+    monkeypatch.setattr(N, "LEAVES", 32)
+    made, trees = [], N._trees
+    monkeypatch.setattr(N, "_trees", lambda rows, threshold: made.append(rows.count()) or trees(rows, threshold))
+    found = {}
+    for n in (500, 1000):
+        made.clear()
+        assert all(r.doc_id == r.component_id for r in N.ngram_jaccard_join(with_passage(spark, n), 5, 80).collect())
+        found[n] = sum(made)
+    assert found[1000] <= max(2 * found[500], 100)
+
+
+def test_join_of_a_driver_table(spark):
+    """Against brute force on all pairs: recall and precision 1."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    for k, threshold in ((3, 90), (5, 80)):
+        assert found_components(docs.repartition(5), k, threshold) == brute_components(rows, k, threshold)
 
 
 def test_tree_prunes_no_link():

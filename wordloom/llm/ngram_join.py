@@ -3,10 +3,11 @@
 A document is the set of its distinct word shingles; two link when
 100 * |intersection| >= threshold * |union|. The join is exact and works in four steps:
 
-1. Families. The shingles of a set are cut by hash into slices. Two linked sets differ in
-   at most D shingles, so among D + k slices k are equal in both. Sets that share as many
-   equal slices fall into one family (components of that relation), so every link lies in a family.
-   Sizes are dealt into geometric ranges; each range, and each border between two, has its own number of slices.
+1. Families. Shingles are ordered from rare to common in the whole table. Two sets that link share a shingle of their prefixes, the
+   first n - ceil(threshold * n / 100) + 1 of n shingles. Sets that share one fall into one family (components of that relation), so every
+   link lies in a family. Passages that many texts repeat come last in the order and make no families. How often a
+   shingle occurs is counted over shards: blocks of texts send short fingerprints of their shingles and get the counts back; fingerprints
+   that collide change the order, which stays the same for all sets, and so never the result.
 2. Signature trees. A family's distinct sets become leaves, ordered by size; every node holds
    the OR of the token bitmaps below it and the range of set sizes.
 3. Dual traversal. Pairs of nodes are pruned when their size ranges can't meet the threshold or
@@ -14,8 +15,10 @@ A document is the set of its distinct word shingles; two link when
    too small. Pairs of leaves already in one component are passed over; the rest are compared exactly.
 4. A family beyond LEAVES sets is cut into trees of that size. Each tree is joined with itself;
    then one set of each component found goes on to further trees, and at last every set outside
-   its family's largest component meets all the other trees. So no task holds a whole large
+   its family's largest component meets the sets of near size in all the other trees. So no task holds a whole large
    family, copies are not expanded into pairs, and no link between components is lost.
+
+Texts and shingles are known by 64-bit hashes. Two texts of one hash count as equal.
 """
 
 from __future__ import annotations
@@ -26,198 +29,121 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .shared import kept, looked_up, text_bytes
-from .words import U64, chunks, mix, shingle_sets, shingles, words
+from .token_blocks import squeeze, squeeze_sorted, unsqueeze, unsqueeze_sorted
+from .words import U64, blocks, chunks, cut, shingle_sets, shingles, words
 
-RANGE_RATIO = 1.5  # of the size ranges
-SHARD_BYTES = 16 << 20  # of text for each shard of slices
+SHARD_BYTES = 12 << 20  # of text for each shard of fingerprints
+BLOCK_BYTES = 6 << 20  # of text in memory at once
+SPARE_BITS = 6  # of a fingerprint, beyond what numbers the table's shingles: so few of them collide
 LEAVES = 512  # sets in one tree at most
 FANOUT = 8
 SIZE_STEP = 1.1  # ratio of the sizes by which a large family's sets are dealt at last
 
 
-def size_ranges(n: int, threshold: int) -> list[int]:
-    """Lower ends of the size ranges that hold sizes up to n; below the first, only equal sets link."""
-    low = 1
-    while 100 * low < threshold * (low + 1):
-        low += 1
-    ends = [low]
-    while ends[-1] <= n:
-        ends.append(max(ends[-1] + 1, int(ends[-1] * RANGE_RATIO)))
-    return ends
-
+def _distinct(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, row of each), each shingle of a row once, in order of rows and shingles."""
+    xs, rows = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for at, _, data, offsets in chunks(column):
+        x, of = shingles(*words(data, offsets), shingle)
+        order = np.lexsort((x, of))
+        x, of = x[order], of[order]
+        fresh = np.append(True, (x[1:] != x[:-1]) | (of[1:] != of[:-1]))[: len(x)]
+        xs.append(x[fresh])
+        rows.append(of[fresh] + at)
+    return np.concatenate(xs), np.concatenate(rows)
 
-def slice_plan(most: int, threshold: int) -> tuple[int, int, int]:
-    """(number of slices, how many of them a set may leave out, how many equal ones a link has) for pairs with so many
-    shingles in both sets together.
 
-    Sets that link differ in at most D shingles. With D + 2q + k slices, at least 2q + k are equal, and
-    as each set leaves out q at most, whichever they are, k equal ones remain.
-    """
-    differ = most * (100 - threshold) // (100 + threshold)
-    skip, equal = differ // 5 + (differ > 0), differ // 16 + 1 + (differ > 0)
-    return differ + 2 * skip + equal, skip, equal
-
-
-def slicings(n: int, ends: list[int], threshold: int) -> list[tuple[int, int]]:
-    """(number, shingles of a pair at most) of the slicings of a set of size n: its range's own, and one for each border that a
-    set which links may lie across. Two sets that link have a slicing in common."""
-    at = int(np.searchsorted(ends, n, side="right")) - 1
-    out = [(2 * at, 2 * (ends[at + 1] - 1))]
-    for k in range(1, len(ends)):
-        below, across = ends[k] - 1, (100 * n // threshold >= ends[k] if n < ends[k] else threshold * n <= 100 * (ends[k] - 1))
-        if across:
-            out.append((2 * k + 1, below + 100 * below // threshold))
-        elif ends[k] > n:
-            break
-    return out
+def _fingerprints(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct fingerprints in order, place of each shingle's)."""
+    return np.unique(x >> U64(64 - bits), return_inverse=True)
 
 
-def slice_keys(s: np.ndarray, ends: list[int], threshold: int) -> list[tuple[np.ndarray, int, int]]:
-    """(keys of a sorted set's slices, how many may go, how many a link shares) for each of its slicings."""
-    n = len(s)
-    if n < ends[0]:
-        return [(mix(np.array([np.add.reduce(mix(s)) + U64(n)], U64)), 0, 1)]
-    out, mixed, top = [], np.append(mix(s), U64(0)), s >> U64(32)
-    for number, most in slicings(n, ends, threshold):
-        m, skip, equal = slice_plan(most, threshold)
-        cut = np.searchsorted((top * U64(m)) >> U64(32), np.arange(m + 1, dtype=U64))
-        count = np.diff(cut)
-        total = np.add.reduceat(mixed, cut[:-1])
-        total[count == 0] = 0
-        out.append((mix(mix(total + count.astype(U64)) + U64(number * 1_000_003) + np.arange(m, dtype=U64) * U64(0x9E3779B97F4A7C15)), skip, equal))
-    return out
+ASKED = "shard int, block long, prints binary, times binary"
 
 
-def without_common(key: np.ndarray, part: np.ndarray, skip: np.ndarray) -> np.ndarray:
-    """Which keys stay: each part, a set's slices of one size range, leaves out its skip most common ones.
+def _asked(batches: Iterator[pa.RecordBatch], shingle: int, bits: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """Texts to a row for each block and shard: sorted fingerprints as differences, and how many of the block's texts have each.
 
-    Common is what other sets of the batch have, too, such as a slice that holds nothing but a shingle of a passage that
-    many texts repeat. Any choice of a set keeps the join exact; this one keeps families small.
+    Shards are ranges of fingerprints; a shard without fingerprints of the block has no row, so there are never more rows than fingerprints.
     """
-    _, at, times = np.unique(key, return_inverse=True, return_counts=True)
-    times = times[at]
-    order = np.lexsort((-times, part))
-    rank = np.empty(len(key), np.int64)
-    rank[order] = np.arange(len(key)) - np.searchsorted(part[order], part[order])
-    return (rank >= skip[part]) | (times == 1)
-
-
-SLICES = "shard int, keys binary, equal binary, owners binary, listed binary, links binary"
-CROWD = 16  # owners of a key beyond which they are linked as one, each with the first
-WHOLE = 1 << 20  # what the shared keys of a pair must add up to
-
-
-def _pack(key: np.ndarray, equal: np.ndarray, owner: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
-    """Sorted keys as differences, byte by byte; owners as places in a list of them; the list."""
-    gaps = np.diff(key, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T
-    listed, at = np.unique(owner, return_inverse=True)
-    places = at.astype(np.uint16 if len(listed) < 1 << 16 else np.uint32)
-    return zstandard.compress(gaps.tobytes(), 1), zstandard.compress(equal.astype(np.uint16).tobytes(), 1), places.tobytes(), listed.tobytes()
-
-
-def _unpack(keys: bytes, equal: bytes, owners: bytes, listed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    gaps = np.frombuffer(zstandard.decompress(keys), np.uint8).reshape(8, -1).T
-    key = np.cumsum(np.ascontiguousarray(gaps).view(U64).ravel(), dtype=U64)
-    every = np.frombuffer(listed, np.int64)
-    places = np.frombuffer(owners, np.uint16 if len(every) < 1 << 16 else np.uint32)
-    return key, np.frombuffer(zstandard.decompress(equal), np.uint16), every[places]
-
-
-def _sorted(key: np.ndarray, equal: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(keys, equal, owners, place among the key's owners, number of them), each owner of a key once, in order."""
-    order = np.lexsort((owner, key))
-    key, equal, owner = key[order], equal[order], owner[order]
-    once = np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))
-    key, equal, owner = key[once], equal[once], owner[once]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    size = np.diff(np.append(first, len(key)))
-    return key, equal, owner, np.arange(len(key)) - np.repeat(first, size), np.repeat(size, size)
-
-
-def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Links [n, 2] of the same components as a - b has, one for each node but the smallest of its component."""
-    if not len(a):
-        return np.zeros((0, 2), np.int64)
-    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    pairs = np.unique(at.reshape(2, -1), axis=1)
-    low = np.arange(len(node))
-    while True:
-        new = low.copy()
-        np.minimum.at(new, pairs[0], low[pairs[1]])
-        np.minimum.at(new, pairs[1], low[pairs[0]])
-        new = new[new]
-        if (new == low).all():
-            break
-        low = new
-    far = low != np.arange(len(node))
-    return np.stack([node[low[far]], node[far]], 1)
-
-
-def _crowds(owner: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Links between the owners of keys with more than CROWD of them."""
-    crowd = size > CROWD
-    head = owner[np.arange(len(owner)) - place]
-    return spanning(head[crowd & (place > 0)], owner[crowd & (place > 0)])
-
-
-def _slices(batches: Iterator[pa.RecordBatch], shingle: int, threshold: int, shards: int) -> Iterator[pa.RecordBatch]:
-    """Texts to a row of packed slices for each shard, one of which carries the links found in the batch.
-
-    Of a key that has more than CROWD owners in the batch, CROWD + 1 go on: enough for the shard to know, and the rest are linked to them.
-    """
-    ends = size_ranges(1 << 20, threshold)
-    for batch in batches:
-        h = batch.column(0).to_numpy(zero_copy_only=False)
-        parts, of = [], []
-        for i, s in enumerate(shingle_sets(batch.column(1), shingle)):
-            if len(s):
-                while ends[-1] <= len(s) * 100 // threshold:
-                    ends.append(int(ends[-1] * RANGE_RATIO))
-                own = slice_keys(s, ends, threshold)
-                parts += own
-                of += [h[i]] * len(own)
-        if not parts:
+    for number, rows in blocks(batches, "text", BLOCK_BYTES):
+        prints, at = _fingerprints(_distinct(rows.column("text"), shingle)[0], bits)
+        times = np.bincount(at, minlength=len(prints))
+        ends = np.searchsorted((prints * U64(shards)) >> U64(bits), np.arange(shards + 1, dtype=U64))
+        full = np.flatnonzero(np.diff(ends))
+        packed = [(squeeze_sorted(prints[ends[k] : ends[k + 1]]), squeeze(times[ends[k] : ends[k + 1]])) for k in full]
+        cols = [pa.array(full.astype(np.int32)), pa.array([number] * len(full), pa.int64()), *(pa.array(c, pa.binary()) for c in (zip(*packed) if packed else ([], [])))]
+        yield pa.RecordBatch.from_arrays(cols, names=["shard", "block", "prints", "times"])
+
+
+def _answered(group: pd.DataFrame) -> pd.DataFrame:
+    """(block, shard, ranks): how common each fingerprint asked for is, from 1 for one text to 255; steps of a twelfth of a doubling from 64 on."""
+    prints = [unsqueeze_sorted(x) for x in group["prints"]]
+    every, at = np.unique(np.concatenate(prints), return_inverse=True)
+    n = np.bincount(at, np.concatenate([unsqueeze(x) for x in group["times"]]), len(every))
+    rank = np.where(n < 64, n, np.minimum(64 + 12 * np.log2(np.maximum(n, 64) / 64), 255)).astype(np.uint8)[at]
+    ends = np.append(0, np.cumsum([len(x) for x in prints]))
+    ranks = [zstandard.compress(rank[ends[k] : ends[k + 1]].tobytes(), 3) for k in range(len(prints))]
+    return pd.DataFrame({"block": group["block"], "shard": group["shard"], "ranks": ranks})
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to a row for each block, packed."""
+    for number, rows in blocks(batches, "text", BLOCK_BYTES):
+        text = rows.column("text").cast(pa.large_string()).fill_null("")
+        size = pc.binary_length(text).to_numpy(zero_copy_only=False)
+        whole = zstandard.compress(b"".join(x.as_buffer() for x in text.cast(pa.large_binary()) if len(x.as_buffer())), 3)
+        cols = [pa.array([number], pa.int64()), *(pa.array([x], pa.binary()) for x in (rows.column("h").to_numpy().tobytes(), size.astype(np.int64).tobytes(), whole))]
+        yield pa.RecordBatch.from_arrays(cols, names=["block", "h", "size", "texts"])
+
+
+def prefix_lengths(n: np.ndarray, threshold: int) -> np.ndarray:
+    return n + (-threshold * n // 100) + 1
+
+
+def _prefixes(block: pd.DataFrame, answers: pd.DataFrame, shingle: int, bits: int, threshold: int) -> pd.DataFrame:
+    """(x, h): the prefix shingles of a block's texts that other texts may have, too."""
+    out = [pd.DataFrame({"x": np.zeros(0, np.int64), "h": np.zeros(0, np.int64)})]
+    for b in block.itertuples():
+        h, ends = np.frombuffer(b.h, np.int64), np.append(0, np.cumsum(np.frombuffer(b.size, np.int64)))
+        texts = pa.Array.from_buffers(pa.large_string(), len(h), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(zstandard.decompress(b.texts))])
+        x, row = _distinct(texts, shingle)
+        if not len(x):
             continue
-        size = np.array([len(k) for k, _, _ in parts])
-        key, part = np.concatenate([k for k, _, _ in parts]), np.repeat(np.arange(len(parts)), size)
-        stay = without_common(key, part, np.array([q for _, q, _ in parts]))
-        key, part = key[stay], part[stay]
-        key, equal, owner, place, size = _sorted(key, np.array([e for _, _, e in parts])[part], np.array(of, np.int64)[part])
-        links = _crowds(owner, place, size)
-        go = place <= CROWD
-        key, equal, owner = key[go], equal[go], owner[go]
-        shard = ((key >> U64(32)) * U64(shards)) >> U64(32)
-        cut = np.searchsorted(shard, np.arange(shards + 1, dtype=U64))
-        full = np.flatnonzero(np.diff(cut))
-        packed = [_pack(*(x[cut[k] : cut[k + 1]] for x in (key, equal, owner))) for k in full]
-        with_links = [links.tobytes() if k == h[0] % len(full) else b"" for k in range(len(full))]
-        cols = [pa.array(full.astype(np.int32)), *(pa.array(c, pa.binary()) for c in (*zip(*packed), with_links))]
-        yield pa.RecordBatch.from_arrays(cols, names=[x.split(" ")[0] for x in SLICES.split(", ")])
-
-
-def _shard_links(group: pd.DataFrame) -> pd.DataFrame:
-    """(a, b, share): what the shard's keys add to each pair of their owners. A crowd's links count as whole, like those found before.
-
-    A key has CROWD + 1 owners a batch at most, and a crowd's owners are not paired.
+        _, at = _fingerprints(x, bits)
+        rank = np.concatenate([np.frombuffer(zstandard.decompress(a), np.uint8) for a in answers.sort_values("shard")["ranks"]])[at]
+        order = np.lexsort((x, rank, row))  # of equal ranks by hash
+        n = np.bincount(row, minlength=len(h))
+        place = np.arange(len(x)) - (np.cumsum(n) - n)[row]
+        go = order[(place < prefix_lengths(n, threshold)[row]) & (rank[order] > 1)]
+        out.append(pd.DataFrame({"x": x[go].view(np.int64), "h": h[row[go]]}))
+    return pd.concat(out)
+
+
+def families(texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """(node, label): hashes of texts (h, text) that share a prefix shingle, directly or by others, and their family.
+
+    Questions and blocks are two passes over texts that must see the same partitions; where texts has a shuffle, it is kept first.
     """
-    key, equal, owner = (np.concatenate(x) for x in zip(*(_unpack(*r) for r in zip(group["keys"], group["equal"], group["owners"], group["listed"]))))
-    key, equal, owner, place, size = _sorted(key, equal, owner)
-    links = np.concatenate([_crowds(owner, place, size), *(np.frombuffer(x, np.int64).reshape(-1, 2) for x in group["links"])])
-    links = spanning(links[:, 0], links[:, 1])
-    few = (size > 1) & (size <= CROWD)
-    key, owner, share = key[few], owner[few], -(-WHOLE // equal[few].astype(np.int64))
-    pairs = [(owner[:-d][same], owner[d:][same], share[d:][same]) for d in range(1, CROWD) if len(key) > d for same in [key[d:] == key[:-d]]]
-    a, b, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*pairs)) if pairs else [np.zeros(0, np.int64)] * 3
-    pair, at = np.unique(np.stack([a, b], 1), axis=0, return_inverse=True)
-    total = np.bincount(at.ravel(), n, len(pair)).astype(np.int64)
-    every = np.concatenate([pair, links])
-    return pd.DataFrame({"a": every[:, 0], "b": every[:, 1], "share": np.append(total, np.full(len(links), WHOLE))})
+    if "Exchange" in texts._jdf.queryExecution().executedPlan().toString():
+        texts = kept(texts, "texts")
+    size = text_bytes(texts)
+    shards, bits = max(16, -(-size // SHARD_BYTES)), min(60, max(24, int(size // 4 + 1).bit_length() + SPARE_BITS))
+    asked = texts.select("h", "text").mapInArrow(lambda it: _asked(it, shingle, bits, shards), ASKED)
+    answers = asked.groupBy("shard").applyInPandas(_answered, "block long, shard int, ranks binary")
+    packed = texts.select("h", "text").mapInArrow(_held, "block long, h binary, size binary, texts binary")
+    found = packed.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda b, a: _prefixes(b, a, shingle, bits, threshold), "x long, h long")
+    found = kept(found, "prefixes")
+    heads = found.groupBy("x").agg(F.min("h").alias("head"), F.max("h").alias("last")).where("head < last").select("x", "head")
+    links = found.join(kept(heads, "heads"), "x").where("h <> head").select(F.col("head").alias("a"), F.col("h").alias("b"))
+    return components(links)
 
 
 class SignatureTree:
@@ -300,7 +226,7 @@ def tree_join(sets: list[np.ndarray], group: np.ndarray, threshold: int, side: n
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in cut(whole, "text", BLOCK_BYTES)):
         packed = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), shingle)], pa.binary())
         rest = [c for c in batch.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), packed], names=[*rest, "set"])
@@ -343,14 +269,6 @@ def _trees(rows: DataFrame, threshold: int) -> DataFrame:
     return dealt.mapInArrow(lambda it: _join_trees(it, threshold), "h long, label long, new long, best boolean")
 
 
-def families(texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    """(node, label): hashes of texts (h, text) that share enough equal slices, directly or by others, and their family."""
-    shards = max(16, -(-text_bytes(texts) // SHARD_BYTES))
-    packed = texts.select("h", "text").mapInArrow(lambda it: _slices(it, shingle, threshold, shards), SLICES)
-    shares = packed.groupBy("shard").applyInPandas(_shard_links, "a long, b long, share long")
-    return components(shares.groupBy("a", "b").agg(F.sum("share").alias("share")).where(F.col("share") >= WHOLE))
-
-
 def linked(texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
     """(h, label) for the text hashes that have links; h - label is the component. texts: (h, text)."""
     family = families(texts, shingle, threshold)
