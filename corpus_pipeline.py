@@ -20,7 +20,7 @@ from wordloom.llm.language_id import UNDETERMINED, identify_languages, in_traini
 from wordloom.llm.mixing import mixed
 from wordloom.llm.ngram_join import rooted, text_hash
 from wordloom.llm.secrets import redacted
-from wordloom.llm.shared import kept, looked_up
+from wordloom.llm.shared import columns_of, kept, looked_up
 
 LEAST_SHARE = 0.5
 _FOUND = "language found by stage 1"  # column names that tables won't have
@@ -32,7 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     packed = docs.select(F.struct("*").alias("row"), "text")
     found = identify_languages(packed, docs.where(in_training(F.col("doc_id"))), keep=("row",))
     found = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
-    return found.select("row.*", F.col("lang_pred").alias(_FOUND)).withColumn("lang", F.col(_FOUND)).select(docs.columns)
+    return found.select("row.*", F.col("lang_pred").alias(_FOUND)).withColumn("lang", F.col(_FOUND)).select(columns_of(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,14 +59,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     again = looked_up(fates.where("not goes").select("_id", "_h"), "again")
     left = docs.join(gone, this(gone), "left_anti")
     if again.isEmpty():
-        return left.select(docs.columns)
+        return left.select(columns_of(docs))
     once = left.join(again, this(again), "left_semi").withColumn(_HASH, text_hash(F.col("text"))).dropDuplicates(["doc_id", _HASH])
-    return left.join(again, this(again), "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+    return left.join(again, this(again), "left_anti").select(columns_of(docs)).unionByName(once.select(columns_of(docs)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs that contain no item of benchmark."""
-    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(columns_of(docs))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = redacted(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out.select(columns_of(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
