@@ -248,8 +248,12 @@ def test_expected_counts_are_exact(spark):
 def test_alignments_at_once_are_those_one_by_one():
     rng = np.random.default_rng(3)
     scores = rng.normal(size=(6, 6))
-    a, b = ([rng.integers(0, 6, rng.integers(0, 7)) for _ in range(60)] for _ in range(2))
-    assert np.allclose(L.align_many(a, b, scores), [L.align(list(x), list(y), lambda i, j: scores[i, j])[0] for x, y in zip(a, b)])
+    words = [rng.integers(0, 6, rng.integers(0, 7)) for _ in range(40)]
+    a, b = rng.integers(0, 40, 200), rng.integers(0, 40, 200)
+    found, pair, x, y = L.align_many(words, a, b, scores)
+    for k in range(200):
+        s, aligned = L.align(list(words[a[k]]), list(words[b[k]]), lambda i, j: scores[i, j])
+        assert abs(found[k] - s) < 1e-12 and sorted(zip(x[pair == k], y[pair == k])) == sorted(aligned)
 
 
 def test_fuzzy_matches_equal_brute_force(spark):

@@ -75,39 +75,82 @@ def _distance(a: list[str], b: list[str], score) -> tuple[float, list[tuple[str,
     return (min(1.0, max(0.0, 1 - 2 * own / most)) if most > 0 else float(a != b)), pairs
 
 
-def align_many(a: list[np.ndarray], b: list[np.ndarray], scores: np.ndarray) -> np.ndarray:
-    """Scores of global alignments of many pairs at once; segments are numbers, scores a table over them."""
-    n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    left, right = np.zeros((len(a), n.max(initial=0)), np.int64), np.zeros((len(b), m.max(initial=0)), np.int64)
-    for k, (x, y) in enumerate(zip(a, b)):
-        left[k, : len(x)], right[k, : len(y)] = x, y
-    above = np.repeat(GAP * np.arange(right.shape[1] + 1)[None], len(a), 0)
-    out = above[np.arange(len(a)), m].copy()
-    for i in range(left.shape[1]):
-        row = np.empty_like(above)
-        row[:, 0] = GAP * (i + 1)
-        for j in range(right.shape[1]):
-            row[:, j + 1] = np.maximum(np.maximum(above[:, j] + scores[left[:, i], right[:, j]], above[:, j + 1] + GAP), row[:, j] + GAP)
-        above = row
-        ends = n == i + 1
-        out[ends] = above[ends, m[ends]]
-    return out
+def _padded(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    n = np.array([len(w) for w in words], np.int64)
+    out = np.zeros((len(words), n.max(initial=0)), np.int64)
+    for k, w in enumerate(words):
+        out[k, : len(w)] = w
+    return out, n
+
+
+def align_many(words: list[np.ndarray], a: np.ndarray, b: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(scores, pair, x, y) of global alignments of words[a] with words[b], many at once, as align has them one by one.
+
+    Segments are numbers, scores is a table over them; pair, x and y say which segments of which pair are aligned without a gap.
+    """
+    padded, size = _padded(words)
+    left, right, n, m = padded[a], padded[b], size[a], size[b]
+    rows, cols, every = left.shape[1], right.shape[1], np.arange(len(a))
+    s = np.zeros((rows + 1, cols + 1, len(a)))
+    s[:, 0], s[0] = GAP * np.arange(rows + 1)[:, None], GAP * np.arange(cols + 1)[:, None]
+    for i in range(rows):
+        for j in range(cols):
+            s[i + 1, j + 1] = np.maximum(np.maximum(s[i, j] + scores[left[:, i], right[:, j]], s[i, j + 1] + GAP), s[i + 1, j] + GAP)
+    found, i, j = s[n, m, every], n.copy(), m.copy()
+    pair, xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(k := np.flatnonzero((i > 0) & (j > 0))):
+        x, y, now = left[k, i[k] - 1], right[k, j[k] - 1], s[i[k], j[k], k]
+        both = now == s[i[k] - 1, j[k] - 1, k] + scores[x, y]
+        up = ~both & (now == s[i[k] - 1, j[k], k] + GAP)
+        pair.append(k[both])
+        xs.append(x[both])
+        ys.append(y[both])
+        i[k] -= both | up
+        j[k] -= ~up
+    return found, *(np.concatenate(v) for v in (pair, xs, ys))
 
 
 PART = 4096  # pairs of words that a group of a pair of languages has, about
+JOINED = "\x01"  # between the segments of a word
 _LANGS = ["lang_a", "lang_b"]
 _KEYS = [*_LANGS, "x", "y"]
 
 
-def _aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (tokens_a, tokens_b) with their aligned segments, of words nearer than CUT."""
+class Spelt:
+    """The distinct words of two columns of joined segments: their typed segments by number, and each row's words."""
+
+    def __init__(self, left: pd.Series, right: pd.Series):
+        code, every = pd.factorize(pd.concat([left, right], ignore_index=True))
+        self.a, self.b = code[: len(left)], code[len(left) :]
+        typed_ = [typed(w.split(JOINED)) if w else [] for w in every]
+        self.segments = sorted({x for w in typed_ for x in w})
+        self.place = {x: k for k, x in enumerate(self.segments)}
+        self.words = [np.array([self.place[x] for x in w], np.int64) for w in typed_]
+
+    def table(self, score) -> np.ndarray:
+        return np.array([[score(x, y) for y in self.segments] for x in self.segments]).reshape(len(self.segments), len(self.segments))
+
+    def distances(self, found: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        own = np.array([scores[w, w].sum() for w in self.words])
+        most = own[self.a] + own[self.b]
+        return np.where(most > 0, np.clip(1 - 2 * found / np.where(most > 0, most, 1), 0, 1), self.a != self.b)
+
+
+def _segment_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (lang_a, lang_b, word_a, word_b, attested, expected) to sums of these over the aligned segments (x, y) of words nearer than CUT."""
     for rows in frames:
-        out = []
-        for t, u in zip(rows["tokens_a"], rows["tokens_b"]):
-            d, aligned = _distance(typed(list(t)), typed(list(u)), _by_class)
-            if d < CUT:
-                out.append((t, u, [{"x": x, "y": y} for x, y in aligned]))
-        yield pd.DataFrame(out, columns=["tokens_a", "tokens_b", "aligned"])
+        spelt = Spelt(rows["word_a"], rows["word_b"])
+        scores = spelt.table(_by_class)
+        lang, langs = pd.factorize(rows["lang_a"] + JOINED + rows["lang_b"])
+        found, pair, x, y = align_many(spelt.words, spelt.a, spelt.b, scores)
+        near = (spelt.distances(found, scores) < CUT)[pair]
+        pair, x, y = pair[near], x[near], y[near]
+        n = len(spelt.segments)
+        key, at = np.unique((lang[pair] * n + x) * n + y, return_inverse=True)
+        sums = {c: np.bincount(at, rows[c].to_numpy(float)[pair], len(key)) for c in ("attested", "expected")}
+        both = [langs[k].split(JOINED) for k in key // (n * n)] if n else []
+        names = [[spelt.segments[k] for k in of] for of in (key // n % n, key % n)] if n else [[], []]
+        yield pd.DataFrame({"lang_a": [v[0] for v in both], "lang_b": [v[1] for v in both], "x": names[0], "y": names[1], **sums})
 
 
 def pair_score(x: str, y: str, attested: float, expected: float) -> float:
@@ -121,19 +164,14 @@ def pair_score(x: str, y: str, attested: float, expected: float) -> float:
 
 def _scored(pairs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
     if not len(pairs):
-        return pairs.assign(distance=[])[[*_LANGS, "tokens_a", "tokens_b", "distance"]]
-    words = [[typed(list(t)) for t in pairs[c]] for c in ("tokens_a", "tokens_b")]
-    place = {x: k for k, x in enumerate(sorted({x for side in words for w in side for x in w}))}
-    scores = np.array([[pair_score(x, y, 0, 0) for y in place] for x in place])
+        return pairs.assign(distance=[])[[*_LANGS, "word_a", "word_b", "distance"]]
+    spelt = Spelt(pairs["word_a"], pairs["word_b"])
+    scores = spelt.table(lambda x, y: pair_score(x, y, 0, 0))
     for x, y, a, e in zip(counts["x"], counts["y"], counts["attested"], counts["expected"]):
-        if x in place and y in place:
-            scores[place[x], place[y]] = pair_score(x, y, a, e)
-    left, right = ([np.array([place[x] for x in w], np.int64) for w in side] for side in words)
-    own = np.array([scores[w, w].sum() for w in left]) + np.array([scores[w, w].sum() for w in right])
-    found = align_many(left, right, scores)
-    same = np.array([list(t) != list(u) for t, u in zip(pairs["tokens_a"], pairs["tokens_b"])], float)
-    distance = np.where(own > 0, np.clip(1 - 2 * found / np.where(own > 0, own, 1), 0, 1), same)
-    return pairs[[*_LANGS, "tokens_a", "tokens_b"]].assign(distance=distance)
+        if x in spelt.place and y in spelt.place:
+            scores[spelt.place[x], spelt.place[y]] = pair_score(x, y, a, e)
+    found = align_many(spelt.words, spelt.a, spelt.b, scores)[0]
+    return pairs[[*_LANGS, "word_a", "word_b"]].assign(distance=spelt.distances(found, scores))
 
 
 DISTANCES = "concept string, lang_a string, form_a string, lang_b string, form_b string, distance double"
@@ -147,28 +185,28 @@ def word_distances(words: DataFrame, runs: int | None = 10_000) -> DataFrame:
     is that, else a binomial number of all draws, seeded by the words, and so the same under any partitioning. Either way every two
     distinct words of two languages with partners are weighed, which is quadratic in a language's distinct words, and dealt out.
     """
-    own = kept(words.dropDuplicates(["concept", "lang", "form"]).select("concept", "lang", "form", "tokens"), "words")
-    side = lambda s: own.select("concept", F.col("lang").alias(f"lang_{s}"), F.col("form").alias(f"form_{s}"), F.col("tokens").alias(f"tokens_{s}"))
+    own = words.dropDuplicates(["concept", "lang", "form"]).select("concept", "lang", "form", F.array_join("tokens", JOINED).alias("word"))
+    own = kept(own, "words")
+    side = lambda s: own.select("concept", F.col("lang").alias(f"lang_{s}"), F.col("form").alias(f"form_{s}"), F.col("word").alias(f"word_{s}"))
     pairs = kept(side("a").join(side("b"), "concept").where("lang_a < lang_b"), "pairs")
     sizes = pairs.groupBy(*_LANGS).agg(F.count("*").alias("of"))
-    left = pairs.groupBy(*_LANGS, "tokens_a").agg(F.count("*").alias("wa")).join(sizes, _LANGS)
-    right = pairs.groupBy(*_LANGS, "tokens_b").agg(F.count("*").alias("wb"))
+    left = pairs.groupBy(*_LANGS, "word_a").agg(F.count("*").alias("wa")).join(sizes, _LANGS)
+    right = pairs.groupBy(*_LANGS, "word_b").agg(F.count("*").alias("wb"))
     meet = left.join(right, _LANGS)
     share = F.col("wa") * F.col("wb") / F.col("of")
-    expected = share if runs is None else _draws(F.col("wa") * F.col("wb"), F.col("of"), F.xxhash64(*_LANGS, "tokens_a", "tokens_b"), F.lit(runs))
-    attested = pairs.groupBy(*_LANGS, "tokens_a", "tokens_b").agg(F.count("*").alias("attested"))
-    weights = meet.select(*_LANGS, "tokens_a", "tokens_b", expected.alias("expected")).join(attested, [*_LANGS, "tokens_a", "tokens_b"], "left")
+    expected = share if runs is None else _draws(F.col("wa") * F.col("wb"), F.col("of"), F.xxhash64(*_LANGS, "word_a", "word_b"), F.lit(runs))
+    attested = pairs.groupBy(*_LANGS, "word_a", "word_b").agg(F.count("*").alias("attested"))
+    weights = meet.select(*_LANGS, "word_a", "word_b", expected.alias("expected")).join(attested, [*_LANGS, "word_a", "word_b"], "left")
     weights = kept(weights.fillna(0, ["attested"]).where("attested > 0 or expected > 0"), "weights")
-    aligned = weights.select("tokens_a", "tokens_b").distinct().mapInPandas(_aligned, "tokens_a array<string>, tokens_b array<string>, aligned array<struct<x string, y string>>")
-    met = weights.join(kept(aligned, "aligned"), ["tokens_a", "tokens_b"]).select(*_LANGS, "attested", "expected", F.inline("aligned"))
-    counts = kept(met.groupBy(*_KEYS).agg(F.sum("attested").cast("double").alias("attested"), F.sum("expected").alias("expected")), "segments")
-    asked = kept(weights.where("attested > 0").select(*_LANGS, "tokens_a", "tokens_b"), "asked")
+    met = weights.select(*_LANGS, "word_a", "word_b", "attested", "expected").mapInPandas(_segment_counts, "lang_a string, lang_b string, x string, y string, attested double, expected double")
+    counts = kept(met.groupBy(*_KEYS).agg(F.sum("attested").alias("attested"), F.sum("expected").alias("expected")), "segments")
+    asked = kept(weights.where("attested > 0").select(*_LANGS, "word_a", "word_b"), "asked")
     parts = kept(asked.groupBy(*_LANGS).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "parts")
-    dealt = asked.join(parts, _LANGS).withColumn("salt", F.pmod(F.xxhash64("tokens_a", "tokens_b"), "parts").cast("int")).drop("parts")
+    dealt = asked.join(parts, _LANGS).withColumn("salt", F.pmod(F.xxhash64("word_a", "word_b"), "parts").cast("int")).drop("parts")
     each = counts.join(parts, _LANGS).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     keys = [*_LANGS, "salt"]
-    scored = dealt.groupBy(*keys).cogroup(each.groupBy(*keys)).applyInPandas(_scored, "lang_a string, lang_b string, tokens_a array<string>, tokens_b array<string>, distance double")
-    return pairs.join(scored, [*_LANGS, "tokens_a", "tokens_b"]).select("concept", "lang_a", "form_a", "lang_b", "form_b", "distance")
+    scored = dealt.groupBy(*keys).cogroup(each.groupBy(*keys)).applyInPandas(_scored, "lang_a string, lang_b string, word_a string, word_b string, distance double")
+    return pairs.join(scored, [*_LANGS, "word_a", "word_b"]).select("concept", "lang_a", "form_a", "lang_b", "form_b", "distance")
 
 
 @F.pandas_udf(DoubleType())

@@ -500,7 +500,7 @@ placed AS (SELECT n_regionkey, n_nationkey, row_number() OVER (PARTITION BY n_re
 nodes AS (
   SELECT 'region' || n_regionkey AS file, 0::BIGINT AS node_id, NULL::BIGINT AS parent_id, 0::BIGINT AS child_ord, '' AS label, 0.0::DOUBLE AS length, NULL::DOUBLE AS posterior FROM placed GROUP BY n_regionkey
   UNION ALL SELECT 'region' || n_regionkey, node_id, 0, nth - 1, '', n_nationkey % 5 + 1, printf('%.2f', (n_nationkey % 21 / 20.0)::DOUBLE)::DOUBLE FROM placed
-  UNION ALL SELECT 'region' || t.n_regionkey, node_id + k, node_id, k - 1, 'S' || s_suppkey, printf('%.3f', abs(s_acctbal)::DOUBLE / 1000)::DOUBLE, NULL FROM tips t JOIN placed p ON t.n_nationkey = p.n_nationkey)"""
+  UNION ALL SELECT 'region' || t.n_regionkey, node_id + k, node_id, k - 1, 'S' || s_suppkey, printf('%.5f', abs(s_acctbal)::DOUBLE / 1000)::DOUBLE, NULL FROM tips t JOIN placed p ON t.n_nationkey = p.n_nationkey)"""
 
 
 def _files(spark: SparkSession, name: str) -> str:

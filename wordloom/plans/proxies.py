@@ -147,7 +147,7 @@ ATTESTED = r"SELECT DISTINCT source AS language, 'L' || length(lower(word)) AS c
 def region_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file, newick): a tree text for each region, its nations the inner nodes with a support, their suppliers the tips."""
     n, s = (table(spark, sf_dir, x) for x in ("nation", "supplier"))
-    tip = F.concat(F.lit("S"), F.col("s_suppkey").cast("string"), F.lit(":"), F.format_string("%.3f", F.abs("s_acctbal").cast("double") / 1000))
+    tip = F.concat(F.lit("S"), F.col("s_suppkey").cast("string"), F.lit(":"), F.format_string("%.5f", F.abs("s_acctbal").cast("double") / 1000))
     tips = s.groupBy("s_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", tip.alias("tip")))), lambda x: x["tip"]), ",").alias("tips"))
     one = F.concat(F.lit("("), "tips", F.lit(")[&posterior="), F.format_string("%.2f", F.col("n_nationkey") % 21 / 20.0), F.lit("]:"), (F.col("n_nationkey") % 5 + 1).cast("string"))
     nations = n.join(tips, F.col("n_nationkey") == F.col("s_nationkey")).select("n_regionkey", F.struct("n_nationkey", one.alias("node")).alias("x"))
