@@ -7,7 +7,7 @@ customers of the parent. Every training word is a dish of its own, every trainin
 Seating is sampled by Gibbs. A step takes all customers of a dish from a restaurant and seats them anew: as predictions need the number of
 their tables alone, that number is drawn from its distribution given all other tables, in which generalised Stirling numbers sum over the ways
 to seat the customers at so many tables. The cost of a sweep is therefore in dishes, and no customer keeps a seat that nothing sampled. The parent's
-seating goes on from sweep to sweep in the same way. Shards of dishes work side by side: in a round of SWEEPS sweeps each sees the other
+seating goes on from sweep to sweep in the same way. Shards of dishes work side by side: in a round of one or two sweeps each sees the other
 shards' tables as they stood before the round. Predictive probabilities are averaged over the last SAMPLES rounds.
 """
 
@@ -27,7 +27,7 @@ from .token_blocks import COUNTS, by_range, context_stats, context_sums, context
 
 STRENGTH = 1.0
 BURN_IN, SAMPLES = 2, 4  # rounds
-SWEEPS = 2  # of a round
+SWEEPS = 2  # of a round of the burn-in; the others have one
 EXACT = 256  # a power of two: customers up to which Stirling numbers come from their recursion
 SERIES, TERMS = 1.2, 64  # tables over c^d / d up to which larger numbers come from a series, and its terms
 STEPS = 12  # Metropolis steps for the tables of a dish with more customers
@@ -106,7 +106,10 @@ def draw_tables(c: np.ndarray, t: np.ndarray, others: np.ndarray, log_p: np.ndar
     Up to EXACT customers the draw is exact; beyond, STEPS Metropolis steps from t leave the same distribution as it is.
     """
     out = np.ones(len(c), np.int64)
-    low = 1
+    two = np.flatnonzero(c == 2)
+    odds = (STRENGTH + d * (others[two] + 1)) * np.exp(log_p[two]) / (1 - d)
+    out[two] += rng.random(len(two)) * (1 + odds) < odds
+    low = 2
     while low < EXACT:
         high = 2 * low
         own = np.flatnonzero((c > low) & (c <= high))
@@ -155,7 +158,7 @@ STATE = COUNTS + ", t binary, w binary, samples array<binary>, ranges array<stru
 
 
 def _round(batches: Iterator[pa.RecordBatch], levels: Levels, number: int, sample: bool) -> Iterator[pa.RecordBatch]:
-    """SWEEPS sweeps over a shard. t: tables of the pairs seen more than once; w: of the words in the parent."""
+    """A round of sweeps over a shard. t: tables of the pairs seen more than once; w: of the words in the parent."""
     for r in (r for b in batches for r in b.to_pylist()):
         _, of, context, c = opened(r)
         rng = np.random.default_rng([SEED, number, r["shard"]])
@@ -164,17 +167,16 @@ def _round(batches: Iterator[pa.RecordBatch], levels: Levels, number: int, sampl
         if r["t"] is not None:
             t[multi], w = unsqueeze(r["t"]), unsqueeze(r["w"]).astype(np.int64)
         tables, parent_tables, o, x = levels.tables.copy(), levels.parent_tables, of[multi], context[multi]
-        for _ in range(SWEEPS):
-            m = np.bincount(of, t, types).astype(np.int64)
-            new = draw_tables(m, w, parent_tables - w, np.full(types, -np.log(levels.types + 1)), levels.parent, rng)
-            parent_tables, w = parent_tables + int(new.sum() - w.sum()), new
+        m, uniform = np.bincount(of, t, types).astype(np.int64), np.full(types, -np.log(levels.types + 1))
+        for _ in range(1 if sample else SWEEPS):
             rest = m[o] - t[multi]  # without the dish's own tables
             p = (rest - levels.parent * np.minimum(w[o], rest) + (STRENGTH + levels.parent * parent_tables) / (levels.types + 1)) / (STRENGTH + levels.seated)
             new = draw_tables(c[multi], t[multi], tables[x] - t[multi], np.log(p), levels.own, rng)
             tables += np.bincount(x, new - t[multi], len(tables)).astype(np.int64)
             t[multi] = new
-        m = np.bincount(of, t, types).astype(np.int64)
-        w = draw_tables(m, w, parent_tables - w, np.full(types, -np.log(levels.types + 1)), levels.parent, rng)
+            m = np.bincount(of, t, types).astype(np.int64)
+            new = draw_tables(m, np.minimum(w, m), parent_tables - w, uniform, levels.parent, rng)
+            parent_tables, w = parent_tables + int(new.sum() - w.sum()), new
         samples = (r["samples"] or []) + ([squeeze(t[multi]), squeeze(m), squeeze(w)] if sample else [])
         ranges = [{"range": k, "sums": s} for k, s in by_range(np.bincount(context, t, len(tables)))]
         row = [*(r[k.split(" ")[0]] for k in COUNTS.split(", ")), squeeze(t[multi]), squeeze(w), samples, ranges, int(m.sum()), int(w.sum())]
