@@ -13,12 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..sources.shared import kept
 from .cognates import average_linkage
+from .numbering import numbered
 
 # Sound classes, each with the letters that have it.
 SOUND_CLASSES = {
@@ -252,8 +253,7 @@ def sweep_summary(sets: DataFrame) -> DataFrame:
 
 
 def with_set_ids(sets: DataFrame) -> DataFrame:
-    """sets with cogid, unique over concepts and thresholds: the concept's number and the local one, by counts of sets before."""
-    per = sets.groupBy("threshold", "concept").agg((F.max("local") + 1).alias("k"))
-    before = Window.partitionBy("threshold").orderBy("concept").rowsBetween(Window.unboundedPreceding, -1)
-    start = per.withColumn("start", F.coalesce(F.sum("k").over(before), F.lit(0))).drop("k")
-    return sets.join(start, ["threshold", "concept"]).withColumn("cogid", F.col("start") + F.col("local") + 1).drop("start")
+    """sets with cogid, unique over concepts: the place of (concept, local) among the sets of a threshold."""
+    sets = kept(sets, "sets")
+    ids = numbered(sets.select("threshold", "concept", "local").distinct(), ["concept", "local"], "cogid", within="threshold")
+    return sets.join(ids, ["threshold", "concept", "local"]).select("threshold", "concept", "lang", "form", "local", "cogid")
