@@ -33,15 +33,26 @@ END = U64(0x0E4D0F7E87)
 
 
 def squeeze(x: np.ndarray) -> bytes:
-    """uint32 values, packed: low and high halves apart compress better."""
-    x = np.asarray(x).astype(np.uint32)
-    return zstandard.compress((x & 0xFFFF).astype(np.uint16).tobytes() + (x >> 16).astype(np.uint16).tobytes(), 3)
+    """uint32 values, packed byte by byte: the high bytes of small numbers compress to little."""
+    return zstandard.compress(np.asarray(x).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
 
 def unsqueeze(b: bytes) -> np.ndarray:
-    x = np.frombuffer(zstandard.decompress(b), np.uint16)
-    half = len(x) // 2
-    return x[:half].astype(np.uint32) | x[half:].astype(np.uint32) << 16
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def squeeze_lists(fan: np.ndarray, x: np.ndarray) -> bytes:
+    """Ascending numbers in lists of fan numbers, one or more, as differences."""
+    d = np.diff(x, prepend=0)
+    first = np.cumsum(fan) - fan
+    d[first] = x[first]
+    return squeeze(d)
+
+
+def unsqueeze_lists(fan: np.ndarray, b: bytes) -> np.ndarray:
+    fan, d = fan.astype(np.int64), unsqueeze(b).astype(np.int64)
+    total, first = np.cumsum(d), np.cumsum(fan) - fan
+    return total - np.repeat(total[first] - d[first], fan)
 
 
 def squeeze_sorted(x: np.ndarray) -> bytes:
@@ -55,11 +66,12 @@ def unsqueeze_sorted(b: bytes) -> np.ndarray:
 
 
 class Contexts:
-    """Context of each word: frequent words have one each, the end has one, other words share those left by hash."""
+    """Context of each word: frequent words have one each, in the order given, the end has one, other words share those left by hash."""
 
     def __init__(self, frequent: np.ndarray, n: int = 0):
-        self.words, self.n = np.sort(frequent[frequent != END]), n or CONTEXTS
-        self.end = len(self.words)
+        frequent = frequent[frequent != END]
+        self.rank = np.argsort(frequent)
+        self.words, self.end, self.n = frequent[self.rank], len(frequent), n or CONTEXTS
         if self.end + 1 >= self.n:
             raise ValueError("more frequent words than contexts")
 
@@ -67,7 +79,7 @@ class Contexts:
         out = (self.end + 1 + (vocab & U64(0xFFFFFFFF)) % U64(self.n - self.end - 1)).astype(np.int64)
         if self.end:
             at = np.minimum(np.searchsorted(self.words, vocab), self.end - 1)
-            out = np.where(self.words[at] == vocab, at, out)
+            out = np.where(self.words[at] == vocab, self.rank[at], out)
         out[vocab == END] = self.end
         return out
 
@@ -131,7 +143,8 @@ def _often(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Record
 def _most_often(group: pd.DataFrame, least: float) -> pd.DataFrame:
     words_, at = np.unique(np.concatenate([unsqueeze_sorted(x) for x in group["words"]]), return_inverse=True)
     total = np.bincount(at, np.concatenate([unsqueeze(x) for x in group["counts"]]), len(words_))
-    return pd.DataFrame({"words": [words_[total >= least].tobytes()]})
+    own = total >= least
+    return pd.DataFrame({"words": [words_[own].tobytes()], "counts": [total[own].tobytes()]})
 
 
 def contexts_of(train: DataFrame) -> tuple[Contexts, int]:
@@ -142,8 +155,10 @@ def contexts_of(train: DataFrame) -> tuple[Contexts, int]:
     """
     total = train.agg(F.sum(n_words(F.col("text")) + 1)).first()[0] or 0
     asked = train.select("text").mapInArrow(lambda it: _often(it, 16), "shard int, words binary, counts binary")
-    found = asked.groupBy("shard").applyInPandas(lambda g: _most_often(g, max(MIN_SHARE * total, 1)), "words binary").collect()
-    return Contexts(np.concatenate([np.zeros(0, U64), *(np.frombuffer(r.words, U64) for r in found)])), int(total)
+    found = asked.groupBy("shard").applyInPandas(lambda g: _most_often(g, max(MIN_SHARE * total, 1)), "words binary, counts binary").collect()
+    words_ = np.concatenate([np.zeros(0, U64), *(np.frombuffer(r.words, U64) for r in found)])
+    counts = np.concatenate([np.zeros(0), *(np.frombuffer(r["counts"]) for r in found)])
+    return Contexts(words_[np.lexsort((words_, -counts))]), int(total)  # the most frequent first, as small numbers pack well
 
 
 # pairs
@@ -160,7 +175,7 @@ def _pairs_of(number: int, vocab: np.ndarray, code: np.ndarray, counts: np.ndarr
     full = np.flatnonzero(np.diff(cuts))
     fan = np.bincount(place, minlength=len(vocab))
     rows = [
-        (k, number, squeeze_sorted(vocab[ends[k] : ends[k + 1]]), squeeze(fan[ends[k] : ends[k + 1]]), squeeze(context[cuts[k] : cuts[k + 1]]), None if counts is None else squeeze(counts[cuts[k] : cuts[k + 1]]))
+        (k, number, squeeze_sorted(vocab[ends[k] : ends[k + 1]]), squeeze(fan[ends[k] : ends[k + 1]]), squeeze_lists(fan[ends[k] : ends[k + 1]], context[cuts[k] : cuts[k + 1]]), None if counts is None else squeeze(counts[cuts[k] : cuts[k + 1]]))
         for k in full
     ]
     kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
@@ -181,8 +196,8 @@ def _packed(group: pd.DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, np.nda
     """(words in order, distinct pairs as place * n + context, counts) of a shard's requests."""
     every = [unsqueeze_sorted(x) for x in group["words"]]
     vocab, at = np.unique(np.concatenate(every), return_inverse=True)
-    fan = np.concatenate([unsqueeze(x) for x in group["fan"]])
-    code = np.repeat(at, fan) * n + np.concatenate([unsqueeze(x) for x in group["context"]])
+    fans = [unsqueeze(x) for x in group["fan"]]
+    code = np.repeat(at, np.concatenate(fans)) * n + np.concatenate([unsqueeze_lists(f, x) for f, x in zip(fans, group["context"])])
     code, back = np.unique(code, return_inverse=True)
     return vocab, code, np.bincount(back, np.concatenate([unsqueeze(x) for x in group["counts"]]), len(code)).astype(np.int64)
 
@@ -194,7 +209,7 @@ WORD_SUMS = "types long, k1 long, k2 long, k3 long, k4 long, fans long"
 def _shard_counts(group: pd.DataFrame, n: int) -> pd.DataFrame:
     vocab, code, counts = _packed(group, n)
     fan = np.bincount(code // n, minlength=len(vocab))
-    row = (int(group["shard"].iloc[0]), squeeze_sorted(vocab), squeeze(fan), squeeze(code % n), squeeze(counts))
+    row = (int(group["shard"].iloc[0]), squeeze_sorted(vocab), squeeze(fan), squeeze_lists(fan, code % n), squeeze(counts))
     return pd.DataFrame([row], columns=[x.split(" ")[0] for x in COUNTS.split(", ")])
 
 
@@ -211,7 +226,7 @@ def pair_counts(train: DataFrame, contexts: Contexts, shards: int) -> DataFrame:
 def opened(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(words, word's place of each pair, context of each pair, count of each pair) of a row of COUNTS."""
     fan = unsqueeze(r["fan"])
-    return unsqueeze_sorted(r["words"]), np.repeat(np.arange(len(fan)), fan), unsqueeze(r["context"]).astype(np.int64), unsqueeze(r["counts"]).astype(np.int64)
+    return unsqueeze_sorted(r["words"]), np.repeat(np.arange(len(fan)), fan), unsqueeze_lists(fan, r["context"]), unsqueeze(r["counts"]).astype(np.int64)
 
 
 # arrays over contexts
@@ -269,7 +284,7 @@ def context_sums(rows: DataFrame, columns: int, n: int) -> np.ndarray:
 # replies
 
 
-BLOCKS = "block long, ids array<long>, labels array<string>, n binary, places binary, end int, context binary"
+BLOCKS = "block long, ids array<long>, labels array<string>, n binary, ranks binary, counts binary, end int, context binary"
 
 
 def _encode(batches: Iterator[pa.RecordBatch], contexts: Contexts) -> Iterator[pa.RecordBatch]:
@@ -277,15 +292,19 @@ def _encode(batches: Iterator[pa.RecordBatch], contexts: Contexts) -> Iterator[p
         h, n = tokens(rows)
         vocab, at, end = places(h)
         ids, labels = (rows.column(c).to_pylist() for c in ("doc_id", "label"))
-        row = [number, ids, labels, squeeze(n), squeeze(at), end, squeeze(contexts.of(vocab))]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+        counts = np.bincount(at, minlength=len(vocab))
+        rank = np.empty(len(vocab), np.int64)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(vocab))
+        row = [number, ids, labels, squeeze(n), squeeze(rank[at]), squeeze(counts), end, squeeze(contexts.of(vocab))]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), *[pa.binary()] * 3, pa.int32(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=[x.split(" ")[0] for x in BLOCKS.split(", ")])
 
 
 def looked_up_pairs(asked: pd.DataFrame, words_: np.ndarray, code: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each request (block, place of each word among words_ or -1, place of each pair among code or -1, word of each pair by number, context of each pair)."""
     for block, w, fan, context in zip(asked["block"], asked["words"], asked["fan"], asked["context"]):
-        w, fan, context = unsqueeze_sorted(w), unsqueeze(fan), unsqueeze(context).astype(np.int64)
+        w, fan = unsqueeze_sorted(w), unsqueeze(fan)
+        context = unsqueeze_lists(fan, context)
         at = np.minimum(np.searchsorted(words_, w), max(len(words_) - 1, 0))
         at = np.where(words_[at] == w, at, -1) if len(words_) else np.full(len(w), -1)
         of = np.repeat(np.arange(len(w)), fan)
@@ -317,7 +336,8 @@ def replied(docs: DataFrame, contexts: Contexts, shards: int, model: DataFrame,
 def opened_block(b, n_contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pd.Series]:
     """(words of each text, place of each token, its context, its text, distinct pairs, place of each token's pair, ids) of a block."""
     n = unsqueeze(b.n).astype(np.int64)
-    place, before, text = stream(unsqueeze(b.places), n, b.end, unsqueeze(b.context).astype(np.int64))
+    at = np.argsort(-unsqueeze(b.counts).astype(np.int64), kind="stable")[unsqueeze(b.ranks)]
+    place, before, text = stream(at, n, b.end, unsqueeze(b.context).astype(np.int64))
     code, pair = np.unique(coded(place, before, n_contexts), return_inverse=True)
     ids = pd.array([None if i is None or i != i else int(i) for i in b.ids], "Int64")
     return n, place, before, text, code, pair, ids
