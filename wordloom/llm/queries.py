@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import decoded, encoded
 from .decontaminate import contained_items
+from .importance import resampled, resampled_sql
 from .kneser_ney import quality
 from .language_id import identify_languages, in_training
 from .licences import licences_sql, scan_licences
@@ -71,6 +73,18 @@ def op10_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("timestamps", "random_access")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = encoded(_table(spark, sf_dir, "documents"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    tokens = tokens.withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(ids.cast("binary"), 256)})
+    back = decoded(tokens, keep=("doc_id", "n_tokens", "ids_sha256"))
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("data", 256).alias("decoded_sha256"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -85,6 +99,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_url_filter,
             op9_quality,
             op10_transport_stream,
+            op11_byte_bpe,
+            op12_importance_resampling,
         )
     }
 
@@ -109,4 +125,4 @@ FROM d1 JOIN q1 USING (x) GROUP BY r, i HAVING 100 * count(*) >= 80 * any_value(
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": _OP1_SQL, "op6_licence_scan": licences_sql(), "op7_secret_scan": secrets_sql()}
+    return {"op1_decontamination": _OP1_SQL, "op6_licence_scan": licences_sql(), "op7_secret_scan": secrets_sql(), "op12_importance_resampling": resampled_sql()}
