@@ -16,6 +16,7 @@ from .licences import licences_sql, scan_licences
 from .mixing import mixed
 from .ngram_join import ngram_jaccard_join
 from .pitman_yor import held_out, score_texts
+from .prefix_trie import prefix_trie, prefix_trie_sql
 from .secrets import secrets_found, secrets_sql
 from .shared import bounded_batches
 from .transport_stream import inspected, stored
@@ -85,6 +86,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -101,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op10_transport_stream,
             op11_byte_bpe,
             op12_importance_resampling,
+            op13_prefix_trie,
         )
     }
 
@@ -125,4 +131,4 @@ FROM d1 JOIN q1 USING (x) GROUP BY r, i HAVING 100 * count(*) >= 80 * any_value(
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": _OP1_SQL, "op6_licence_scan": licences_sql(), "op7_secret_scan": secrets_sql(), "op12_importance_resampling": resampled_sql()}
+    return {"op1_decontamination": _OP1_SQL, "op6_licence_scan": licences_sql(), "op7_secret_scan": secrets_sql(), "op12_importance_resampling": resampled_sql(), "op13_prefix_trie": prefix_trie_sql()}
