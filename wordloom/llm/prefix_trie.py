@@ -186,13 +186,14 @@ def prefixes(rows: DataFrame, shards: int, segment: int = SEGMENT) -> DataFrame:
         return local
     ahead = kept(whole.groupBy("conv_id").applyInPandas(_before, whole.schema), "segments")
     ahead = ahead.select(F.col("conv_id").alias("c"), F.col("segment").alias("s"), F.col("p0").alias("a0"), F.col("p1").alias("a1"))
+    names = local.columns
     joined = local.join(ahead.hint("merge"), (F.col("conv_id") == F.col("c")) & (F.col("segment") == F.col("s")), "left")
 
     def shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             add = [batch.column(f"a{k}").fill_null(0).to_numpy().view(U64) for k in (0, 1)]
             new = {f"{p}{k}": pa.array((batch.column(f"{p}{k}").to_numpy().view(U64) + add[k]).view(np.int64)) for p in "pq" for k in (0, 1)}
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in local.columns], names=local.columns)
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names)
 
     return kept(joined.mapInArrow(shifted, local.schema), "prefixes")
 
@@ -214,8 +215,11 @@ _ROW = (*_KEY, "q0", "q1", "conv_id", "kind", "leaves", "saved")
 _PATH, _OWN, _TAIL = range(3)
 
 
-def _subtrees(rows: pd.DataFrame) -> pd.DataFrame:
-    """A shard's rows to (depth, p0, p1, n_leaves, saved_tokens, n_children): what its conversations' own nodes add to each."""
+def _subtrees(rows: pd.DataFrame, segment: int) -> pd.DataFrame:
+    """A shard's rows to (depth, p0, p1, n_leaves, saved_tokens, n_children): what its conversations' own nodes add to each.
+
+    Sums end where a segment begins, as what comes after it is in the rows of tails.
+    """
     col = {c: rows[c].to_numpy() for c in _ROW}
     for c in ("p0", "p1", "q0", "q1"):
         col[c] = col[c].view(U64)
@@ -225,7 +229,8 @@ def _subtrees(rows: pd.DataFrame) -> pd.DataFrame:
     slot = table.slots(*(col[c][path] for c in _KEY))
     up = table.slots(col["depth"][path] - 1, col["q0"][path], col["q1"][path])
     parent = np.full(len(table), -1)
-    parent[slot] = np.where(col["depth"][path] > 0, up, -1)
+    depth = col["depth"][path]
+    parent[slot] = np.where((depth == 1) | (depth > 1) & ((depth - 1) % segment != 0), up, -1)
     leaves, saved, children = (np.zeros(len(table), np.int64) for _ in range(3))
     at = table.slots(*(col[c][own] for c in _KEY))
     np.add.at(leaves, at, col["leaves"][own])
@@ -273,7 +278,7 @@ def subtree_sums(paths: DataFrame, nodes: DataFrame, shards: int, segment: int =
         tails = tails.select(((F.col("segment") + 1) * segment).alias("depth"), *(F.lit(0).cast("long").alias(c) for c in ("p0", "p1", "q0", "q1")), "conv_id", F.lit(_TAIL).alias("kind"), "leaves", "saved", "segment")
         rows = rows.unionByName(tails)
     rows = rows.withColumn("shard", _shard("conv_id", shards)).drop("segment")
-    parts = rows.groupBy("shard").applyInPandas(_subtrees, "depth long, p0 long, p1 long, n_leaves long, saved_tokens long, n_children long")
+    parts = rows.groupBy("shard").applyInPandas(lambda r: _subtrees(r, segment), "depth long, p0 long, p1 long, n_leaves long, saved_tokens long, n_children long")
     return parts.groupBy(*_KEY).agg(*(F.sum(c).alias(c) for c in ("n_leaves", "saved_tokens", "n_children")))
 
 
