@@ -110,30 +110,13 @@ def across_lines(rows: DataFrame, n: int, buckets: int, text: str = "text") -> D
     return rows.select("row", F.coalesce(F.col(text), F.lit("")).alias("whole")).mapInArrow(_featured(n, buckets, True, "whole"), "row long, n_words long, features array<int>")
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches (n, features) to (bucket, n): what a task has in each bucket."""
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        lists = batch.column(1)
-        of = np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy())
-        values = lists.flatten().to_numpy()
-        more = np.zeros(max(len(total), int(values.max(initial=-1)) + 1), np.int64)
-        more[: len(total)] = total
-        np.add.at(more, values, of)
-        total = more
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
-
-
 def bucket_counts(*tables: DataFrame, buckets: int = 10_000) -> np.ndarray:
-    """Features of tables (n, features) in each bucket, occurrences counted: a row for each bucket and task is all that moves."""
-    parts = [t.select("n", "features").mapInArrow(_sums, "bucket int, n long") for t in tables]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
+    """Features of tables (n, features) in each bucket, occurrences counted. Tasks sum their own before anything moves."""
     out = np.zeros(buckets, np.int64)
-    for r in whole.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # as many rows as buckets
-        out[r.bucket] = r.n
+    for table in tables:
+        each = table.select("n", F.explode("features").alias("bucket")).groupBy("bucket").agg(F.sum("n").alias("n"))
+        for r in each.collect():  # as many rows as buckets
+            out[r.bucket] += r.n
     return out
 
 
