@@ -1,5 +1,11 @@
 """Operators on small tables with known results."""
 
+import itertools
+import random
+import time
+from collections import Counter
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +15,9 @@ from wordloom.operators import matching as M
 from wordloom.operators import numbering as N
 from wordloom.operators import phylo as P
 from wordloom.operators import wordlists as W
+from wordloom.operators.linkage import condensed, merge_tree
 from wordloom.sources import tables as S
+from wordloom.sources.shared import kept
 
 COGNATES = [(1, "A", "L1", "kitten", 1), (2, "A", "L2", "sitting", 1), (3, "A", "L3", "kitten", 1), (4, "A", "L4", "x", 2), (5, "B", "L1", "abc", 3)]
 
@@ -117,16 +125,74 @@ def test_profile(cognates):
     assert (s.n_sets, s.singletons, s.n_unstable, s.max_size) == (3, 2, 1, 3)
 
 
-def test_average_linkage_with_weights_is_that_of_members():
+def nearest_pair_linkage(d, weight, threshold):
+    """Labels by joining the nearest two of all clusters again and again, in exact fractions; ties by first members."""
+    groups = [[k] for k in range(len(weight))]
+    mean = lambda a, b: sum(d[i][j] * weight[i] * weight[j] for i in a for j in b) / (sum(weight[i] for i in a) * sum(weight[j] for j in b))
+    while len(groups) > 1:
+        far, i, j = min((mean(a, b), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+        if far > threshold:
+            break
+        groups[i] += groups.pop(j)
+    return [next(k for k, g in enumerate(groups) if m in g) for m in range(len(weight))]
+
+
+def test_linkage_is_that_of_nearest_pairs():
     rng = np.random.default_rng(0)
+    for _ in range(200):  # few distances and small weights, so that ties are everywhere
+        n = int(rng.integers(1, 10))
+        steps = rng.integers(0, 5, (n, n))
+        d = [[Fraction(int(steps[min(i, j), max(i, j)]), 4) for j in range(n)] for i in range(n)]
+        weight = [int(x) for x in rng.integers(1, 4, n)]
+        tree = merge_tree(condensed(np.array(d, float).reshape(n, n)), np.array(weight))
+        for threshold in (0, Fraction(1, 4), Fraction(3, 8), Fraction(1, 2), 1):
+            assert tree.labels(float(threshold)).tolist() == nearest_pair_linkage(d, weight, threshold)
+
+
+def test_linkage_of_members_and_of_weights():
+    rng = np.random.default_rng(1)
     for _ in range(50):
-        points = rng.integers(0, 6, 5).astype(float)
-        weight = rng.integers(1, 4, 5)
-        d = np.abs(points[:, None] - points[None]) + 1e-3 * ~np.eye(5, dtype=bool)
-        few = C.average_linkage(d, weight, 1.5)
-        at = np.repeat(np.arange(5), weight)
-        many = C.average_linkage(np.where(at[:, None] == at[None], 0, d[at][:, at]), np.ones(len(at)), 1.5)
-        assert (many == few[at]).all()
+        weight = rng.integers(1, 4, 6)
+        d = np.triu(rng.integers(1, 6, (6, 6)) / 4, 1)
+        d += d.T
+        at = np.repeat(np.arange(6), weight)
+        few = merge_tree(condensed(d), weight)
+        many = merge_tree(condensed(np.where(at[:, None] == at, 0, d[at][:, at])), np.ones(len(at)))
+        for threshold in (0.0, 0.5, 0.75, 1.25):
+            assert (many.labels(threshold) == few.labels(threshold)[at]).all()
+
+
+def test_linkage_of_many_members_takes_seconds():
+    d = np.random.default_rng(2).random((2000, 2000))
+    start = time.perf_counter()
+    tree = merge_tree(condensed(d + d.T), np.ones(2000))
+    assert time.perf_counter() - start < 10 and tree.labels(2.0).max() == 0 and tree.labels(0.0).max() == 1999
+
+
+def test_pairs_of_a_large_set_are_dealt_evenly(spark):
+    words = spark.range(20_000).select(F.lit(1).cast("long").alias("cogid"), F.concat(F.lit("w"), "id").alias("form"))
+    words = words.unionByName(spark.createDataFrame([(2, "a"), (2, "b"), (2, None), (3, "a")], "cogid long, form string"))
+    blocks = C.pair_blocks(kept(C.form_counts(words), 'forms'))
+    same, a, b = F.col("i") == F.col("j"), F.size("a").cast("long"), F.size("b").cast("long")
+    n = F.when(same, a * (a - 1) / 2).otherwise(a * b)
+    tasks = blocks.select(F.spark_partition_id().alias("task"), n.alias("n"), (a * b).alias("met")).groupBy("task").agg(F.sum("n").alias("n"), F.max("met").alias("met")).collect()
+    assert sum(t.n for t in tasks) == 20_000 * 19_999 // 2 + 3
+    assert max(t.n for t in tasks) <= 1.2 * C.TASK_PAIRS and max(t.met for t in tasks) <= (2 * C.TILE) ** 2
+
+
+def test_pairs_over_tiles(spark, monkeypatch):
+    monkeypatch.setattr(C, "TILE", 3)
+    monkeypatch.setattr(C, "TASK_PAIRS", 7)
+    forms = [(c, "".join(f)) for c in (1, 2) for f in itertools.product("ab", repeat=4)][:-5] + [(3, "x"), (3, None), (3, "x"), (None, "x"), (None, "y")]
+    found = rows(C.pair_distances(spark.createDataFrame(forms, "cogid long, form string")), "cogid", "form_a", "form_b", "n_pairs", "distance")
+    expected, count = [], Counter((c, f or "") for c, f in forms if c)
+    for (c, f), (d, g) in itertools.combinations(sorted(count), 2):
+        if c == d:
+            distance = sum(x != y for x, y in zip(f, g)) if len(f) == len(g) else max(len(f), len(g))
+            expected.append((c, f, g, count[c, f] * count[d, g], distance / max(len(f), len(g))))
+    close = [r for r in found if r[0] == 3] == [e for e in expected if e[0] == 3]
+    assert close and [r[:4] for r in found] == sorted((e[:4] for e in expected), key=repr)
+    assert all(r[4] <= e[4] for r, e in zip(found, sorted(expected, key=repr)))
 
 
 def test_tone_split(spark):
@@ -176,14 +242,14 @@ def test_tree(spark):
 def test_cognate_detection(spark):
     words = [(c, lang, f, list(f)) for c in ("a", "b", "c") for lang, f in (("x", f"pat{c}"), ("y", f"bat{c}"), ("z", f"mimo{c}l"), ("w", f"pat{c}"))]
     df = spark.createDataFrame(words, "concept string, lang string, form string, tokens array<string>")
-    sets = L.cognate_sets(df, (0.0, 0.3, 0.6, 1.0), runs=5)
+    sets = L.cognate_sets(df, (0.0, 0.3, 0.6, 1.0), draws=50)
     n = [r.n_sets for r in L.sweep_summary(sets).orderBy("threshold").collect()]
     assert n == sorted(n, reverse=True) and n[-1] == 3
     ids = L.with_set_ids(sets)
     own = {(r.threshold, r.concept, r.lang): r.cogid for r in ids.collect()}
     assert all(own[t, c, "x"] == own[t, c, "w"] for t in (0.0, 0.3) for c in "abc")
     assert ids.groupBy("threshold", "cogid").agg(F.count_distinct("concept").alias("k")).where("k > 1").count() == 0
-    again = L.cognate_sets(df.repartition(1), (0.0, 0.3, 0.6, 1.0), runs=5)
+    again = L.cognate_sets(df.repartition(1), (0.0, 0.3, 0.6, 1.0), draws=50)
     assert rows(again, "threshold", "concept", "lang", "local") == rows(sets, "threshold", "concept", "lang", "local")
 
 
@@ -217,9 +283,6 @@ def test_expected_counts_are_exact(spark):
     import math
     from collections import Counter
 
-    from wordloom.plans import catalogue
-
-    assert catalogue.RUNS is None
     words = [("A", "l", "pata"), ("A", "m", "bada"), ("A", "m", "sol"), ("B", "l", "kusu"), ("B", "m", "guzu"), ("C", "l", "mano"), ("C", "m", "pata"), ("D", "l", "pata"), ("D", "m", "nima")]
     df = spark.createDataFrame([(*w, list(w[2])) for w in words], "concept string, lang string, form string, tokens array<string>")
     pairs = [(c, L.typed(list(f)), L.typed(list(g)), f, g) for c, a, f in words for d, b, g in words if c == d and a < b]
@@ -245,6 +308,23 @@ def test_expected_counts_are_exact(spark):
     assert L.typed(["p", "a", "t"]) == ["p/^", "a/V", "t/$"]
 
 
+def test_drawn_counts_are_near_the_exact_ones(spark):
+    rng = random.Random(4)
+    words = {(f"c{k // 3 % 12}", "lmn"[k % 3], "".join(rng.choice(("ptkbdg", "aeiou")[i % 2]) for i in range(rng.randint(2, 6)))) for k in range(900)}
+    df = spark.createDataFrame(sorted(words), "concept string, lang string, word string")
+    side = lambda s: df.select("concept", F.col("lang").alias(f"lang_{s}"), F.col("word").alias(f"form_{s}"), F.array_join(F.split("word", ""), L.JOINED).alias(f"word_{s}"))
+    pairs = side("a").join(side("b"), "concept").where("lang_a < lang_b")
+    counts = lambda of, draws: {(r.lang_a, r.lang_b, r.x, r.y): (r.attested, r.expected) for r in L.segment_counts(of, draws).collect()}
+    exact, drawn = counts(pairs, None), counts(pairs, L.DRAWS)
+    n = {(r.lang_a, r.lang_b): r.n for r in pairs.groupBy("lang_a", "lang_b").agg(F.count("*").alias("n")).collect()}
+    met = {(r.lang_a, r.lang_b): r.n for r in L.drawn_pairs(pairs)[0].groupBy("lang_a", "lang_b").agg(F.sum("drawn").alias("n")).collect()}
+    assert len(n) == 3 and all(v * v > 20 * L.DRAWS and abs(met[k] - L.DRAWS) < 0.1 * L.DRAWS for k, v in n.items())
+    for key, (attested, expected) in exact.items():
+        a, e = drawn.get(key, (0, 0.0))
+        assert a == attested and abs(e - expected) <= 6 * (expected * n[key[:2]] / L.DRAWS) ** 0.5 + 4 * n[key[:2]] / L.DRAWS
+    assert counts(pairs.repartition(1), L.DRAWS) == drawn == counts(pairs.repartition(8), L.DRAWS)
+
+
 def test_alignments_at_once_are_those_one_by_one():
     rng = np.random.default_rng(3)
     scores = rng.normal(size=(6, 6))

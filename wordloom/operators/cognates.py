@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.shared import kept
+from .linkage import merge_tree
 from .numbering import numbered
 
 
@@ -17,15 +18,42 @@ def form_counts(words: DataFrame) -> DataFrame:
     return words.groupBy("cogid", F.coalesce("form", F.lit("")).alias("form")).agg(F.count("*").alias("n"))
 
 
+TILE = 256  # distinct forms of a tile, about
+TASK_PAIRS = 1 << 22  # pairs that a task compares, about
+
+
+def pair_blocks(counts: DataFrame) -> DataFrame:
+    """(cogid, i, j, a, b): the pairs of distinct forms of each set as blocks, a and b being arrays of (form, n), of form_counts that are kept.
+
+    A set of m forms has ceil(m / TILE) tiles, which forms are dealt to by hash; tile i meets tile j for each i <= j, so a block has about TILE squared
+    pairs at most and a key of its own, however large the set. Blocks are dealt to as many tasks as pairs need, one after another, so that tasks have
+    equally many.
+    """
+    sizes = counts.groupBy("cogid").agg(F.count("*").alias("m"))
+    pairs = sizes.agg(F.sum(F.col("m").cast("double") * (F.col("m") - 1) / 2)).first()[0] or 0
+    tiles = sizes.select("cogid", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
+    tiles = counts.join(tiles, "cogid").withColumn("tile", F.pmod(F.xxhash64("form"), "tiles").cast("int"))
+    tiles = tiles.groupBy("cogid", "tiles", "tile").agg(F.collect_list(F.struct("form", "n")).alias("forms"))
+    left = tiles.select("cogid", "tiles", F.col("tile").alias("i"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("j"), F.col("forms").alias("a"))
+    right = tiles.select("cogid", F.explode(F.sequence(F.lit(0), "tile")).alias("i"), F.col("tile").alias("j"), F.col("forms").alias("b"))
+    blocks = left.join(right, ["cogid", "i", "j"])
+    if (tasks := int(pairs // TASK_PAIRS) + 1) > 1:
+        nth = F.pmod(F.xxhash64("cogid"), F.lit(tasks)) + F.col("i").cast("long") * F.col("tiles") - F.expr("i * (i + 1L) div 2") + F.col("j")  # consecutive in a set
+        blocks = blocks.repartitionById(tasks, F.pmod(nth, F.lit(tasks)).cast("int"))
+    return blocks.drop("tiles")
+
+
 def pair_distances(words: DataFrame) -> DataFrame:
     """JO-8, S-16: (cogid, form_a, form_b, n_pairs, distance) of distinct forms in a set, form_a < form_b.
 
     Members with equal forms have distance 0 and need no pair; n_pairs says how many pairs of members a row stands for.
     """
-    c = form_counts(words)
-    a, b = (c.select("cogid", F.col("form").alias(f"form_{k}"), F.col("n").alias(f"n_{k}")) for k in "ab")
-    pairs = a.join(b, "cogid").where("form_a < form_b")
-    return pairs.select("cogid", "form_a", "form_b", (F.col("n_a") * F.col("n_b")).alias("n_pairs"), T.edit_distance(F.col("form_a"), F.col("form_b")).alias("distance"))
+    blocks = pair_blocks(kept(form_counts(words).where("cogid is not null"), "forms"))
+    rows = blocks.select("cogid", "i", "j", F.explode("a").alias("x"), "b").select("cogid", "i", "j", "x", F.explode("b").alias("y"))
+    rows = rows.where((F.col("i") < F.col("j")) | (F.col("x.form") < F.col("y.form")))
+    first, last = F.least("x.form", "y.form"), F.greatest("x.form", "y.form")
+    pairs = rows.select("cogid", first.alias("form_a"), last.alias("form_b"), (F.col("x.n") * F.col("y.n")).alias("n_pairs"))
+    return pairs.withColumn("distance", T.edit_distance(F.col("form_a"), F.col("form_b")))
 
 
 def set_profile(words: DataFrame, size_threshold: int = 8, diversity_threshold: float = 0.6) -> DataFrame:
@@ -67,37 +95,16 @@ def tone_lookup(tones: DataFrame) -> DataFrame:
     return tones.where(T.non_blank(F.col("pattern"))).groupBy("concept", "lang").agg(F.max_by("pattern", "row_idx").alias("pattern"))
 
 
-def average_linkage(distance: np.ndarray, weight: np.ndarray, threshold: float) -> np.ndarray:
-    """Flat clusters 0, 1, ... by first member: the nearest pair of clusters joins while within the threshold; ties by index.
-
-    A member's weight is the number of equal ones it stands for: they would have joined at distance 0.
-    """
-    n = len(weight)
-    d, w, label = distance.astype(float).copy(), weight.astype(float).copy(), np.arange(n)
-    np.fill_diagonal(d, np.inf)
-    while n > 1:
-        i, j = sorted(divmod(int(np.argmin(d)), n))
-        if not d[i, j] <= threshold + 1e-12:
-            break
-        new = (w[i] * d[i] + w[j] * d[j]) / (w[i] + w[j])
-        d[i], d[:, i] = new, new
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        w[i] += w[j]
-        label[label == j] = i
-    return np.unique(label, return_inverse=True)[1]
-
-
-def _similarity(a: list[str], b: list[str]) -> float:
-    return sum(x == y for x, y in zip(a, b)) / max(len(a), len(b), 1)
-
-
 def _tone_clusters(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     group = group.sort_values("first", kind="stable")
-    t = [p.split(".") for p in group["pattern"]]
-    d = np.array([[1 - _similarity(a, b) for b in t] for a in t])
-    label = average_linkage(d, group["n"].to_numpy(), threshold)
-    return pd.DataFrame({"cogid": group["cogid"], "pattern": group["pattern"], "n": group["n"], "first": group["first"], "cluster": label.astype(np.int64)})
+    tones = group["pattern"].str.split(".")
+    size = tones.str.len().to_numpy()
+    n = len(group)
+    at = np.full((n, size.max()), -1)
+    at[np.arange(at.shape[1]) < size[:, None]] = pd.factorize(tones.explode())[0]
+    same = [((at[k + 1 :] == at[k]) & (at[k] >= 0)).sum(1) / np.maximum(size[k + 1 :], size[k]) for k in range(n)]
+    tree = merge_tree(1 - np.concatenate(same), group["n"].to_numpy())
+    return pd.DataFrame({"cogid": group["cogid"], "pattern": group["pattern"], "n": group["n"], "first": group["first"], "cluster": tree.labels(threshold).astype(np.int64)})
 
 
 def tone_clusters(members: DataFrame, threshold: float = 0.6) -> DataFrame:

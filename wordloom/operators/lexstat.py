@@ -3,7 +3,8 @@
 A word is a row of segments, each typed by its place: a vowel, or a consonant at the beginning, inside or at the end. For each pair
 of languages, aligned segments of words of the same concept are counted and compared with what random pairs of words give; log-odds, mixed
 with a score of sound classes, give distances of words, and average linkage within a concept gives sets.
-Words that are spelt alike are aligned once, whatever languages and concepts they are in.
+Words that are spelt alike are aligned once, whatever languages and concepts they are in, and random pairs are as many for two languages as one says,
+so that training grows with the pairs of words of a concept alone.
 """
 
 from __future__ import annotations
@@ -15,10 +16,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..sources.shared import kept
-from .cognates import average_linkage
+from .linkage import merge_tree, pair_index
 from .numbering import numbered
 
 # Sound classes, each with the letters that have it.
@@ -29,7 +29,7 @@ _CLASS = {s: c for c, letters in SOUND_CLASSES.items() for s in letters}
 GAP = -1.0
 CUT = 0.7  # words nearer than this by sound class are counted as attested
 MIX = 0.6  # share of log-odds in a score
-SEED = 7
+DRAWS = 10_000  # random pairs of words that expected counts of two languages come from, about
 
 
 def sound_class(segment: str) -> str:
@@ -128,8 +128,22 @@ class Spelt:
         self.place = {x: k for k, x in enumerate(self.segments)}
         self.words = [np.array([self.place[x] for x in w], np.int64) for w in typed_]
 
-    def table(self, score) -> np.ndarray:
-        return np.array([[score(x, y) for y in self.segments] for x in self.segments]).reshape(len(self.segments), len(self.segments))
+    def by_class(self) -> np.ndarray:
+        """_by_class of every two segments."""
+        bare = pd.factorize(np.array([x.rsplit("/", 1)[0] for x in self.segments], object))[0]
+        kind = np.array([sound_class(x) for x in self.segments], object)
+        other = np.where((kind[:, None] == "V") | (kind == "V"), -1.0, -0.5)
+        return np.where(bare[:, None] == bare, 1.0, np.where(kind[:, None] == kind, 0.5, other))
+
+    def pair_scores(self, counts: pd.DataFrame) -> np.ndarray:
+        """pair_score of every two segments, by counts (x, y, attested, expected) where there are some."""
+        own = self.by_class()
+        x, y = counts["x"].map(self.place), counts["y"].map(self.place)
+        known = (x.notna() & y.notna()).to_numpy()
+        odds = np.zeros(own.shape)
+        at = x[known].to_numpy(int), y[known].to_numpy(int)
+        odds[at] = np.log2((counts["attested"].to_numpy(float)[known] + 0.5) / (counts["expected"].to_numpy(float)[known] + 0.5))
+        return np.where(own == 1.0, own, MIX * np.clip(odds / 2, -1, 1) + (1 - MIX) * own)
 
     def distances(self, found: np.ndarray, scores: np.ndarray) -> np.ndarray:
         own = np.array([scores[w, w].sum() for w in self.words])
@@ -138,17 +152,17 @@ class Spelt:
 
 
 def _segment_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (lang_a, lang_b, word_a, word_b, attested, expected) to sums of these over the aligned segments (x, y) of words nearer than CUT."""
+    """Rows (lang_a, lang_b, word_a, word_b, attested, drawn) to sums of these over the aligned segments (x, y) of words nearer than CUT."""
     for rows in frames:
         spelt = Spelt(rows["word_a"], rows["word_b"])
-        scores = spelt.table(_by_class)
+        scores = spelt.by_class()
         lang, langs = pd.factorize(rows["lang_a"] + JOINED + rows["lang_b"])
         found, pair, x, y = align_many(spelt.words, spelt.a, spelt.b, scores)
         near = (spelt.distances(found, scores) < CUT)[pair]
         pair, x, y = pair[near], x[near], y[near]
         n = len(spelt.segments)
         key, at = np.unique((lang[pair] * n + x) * n + y, return_inverse=True)
-        sums = {c: np.bincount(at, rows[c].to_numpy(float)[pair], len(key)) for c in ("attested", "expected")}
+        sums = {c: np.bincount(at, rows[c].to_numpy(float)[pair], len(key)).astype(np.int64) for c in ("attested", "drawn")}
         both = [langs[k].split(JOINED) for k in key // (n * n)] if n else []
         names = [[spelt.segments[k] for k in of] for of in (key // n % n, key % n)] if n else [[], []]
         yield pd.DataFrame({"lang_a": [v[0] for v in both], "lang_b": [v[1] for v in both], "x": names[0], "y": names[1], **sums})
@@ -167,10 +181,7 @@ def _scored(pairs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
     if not len(pairs):
         return pairs.assign(distance=[])[[*_LANGS, "word_a", "word_b", "distance"]]
     spelt = Spelt(pairs["word_a"], pairs["word_b"])
-    scores = spelt.table(lambda x, y: pair_score(x, y, 0, 0))
-    for x, y, a, e in zip(counts["x"], counts["y"], counts["attested"], counts["expected"]):
-        if x in spelt.place and y in spelt.place:
-            scores[spelt.place[x], spelt.place[y]] = pair_score(x, y, a, e)
+    scores = spelt.pair_scores(counts)
     found = align_many(spelt.words, spelt.a, spelt.b, scores)[0]
     return pairs[[*_LANGS, "word_a", "word_b"]].assign(distance=spelt.distances(found, scores))
 
@@ -178,30 +189,51 @@ def _scored(pairs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
 DISTANCES = "concept string, lang_a string, form_a string, lang_b string, form_b string, distance double"
 
 
-def word_distances(words: DataFrame, runs: int | None = 10_000) -> DataFrame:
+def drawn_pairs(pairs: DataFrame, draws: int | None = DRAWS) -> tuple[DataFrame, DataFrame]:
+    """((lang_a, lang_b, word_a, word_b, drawn), (lang_a, lang_b, of, slots)): left and right words of two languages that meet at random.
+
+    The left word of each of the pairs (`of` of them) falls into one of slots by a hash of the pair, and so does its right word by another one; what
+    is in one slot meets. There are of squared / draws slots, so that about `draws` words meet: a left and a right word of any two pairs do with probability
+    1 / slots, and drawn * slots / of has the mean of random pairings as its own. An expected count e has a standard error of sqrt(e * of / draws), or
+    none if there is one slot, as with of squared below draws or with draws None: everything meets then, which is quadratic.
+    """
+    sizes = pairs.groupBy(*_LANGS).agg(F.count("*").alias("of"))
+    slots = F.lit(1).cast("long") if draws is None else F.greatest(F.lit(1).cast("long"), F.floor(F.col("of").cast("double") * F.col("of") / draws))
+    sizes = kept(sizes.withColumn("slots", slots), "sizes")
+
+    def dealt(side: str, salt: int) -> DataFrame:
+        slot = F.pmod(F.xxhash64("concept", "form_a", "form_b", F.lit(salt)), "slots").alias("slot")
+        return pairs.join(sizes, _LANGS).groupBy(*_LANGS, slot, f"word_{side}").agg(F.count("*").alias(f"n_{side}"))
+
+    met = dealt("a", 1).join(dealt("b", 2), [*_LANGS, "slot"])
+    return met.groupBy(*_LANGS, "word_a", "word_b").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("drawn")), sizes
+
+
+def segment_counts(pairs: DataFrame, draws: int | None = DRAWS) -> DataFrame:
+    """(lang_a, lang_b, x, y, attested, expected): aligned segments of words of one concept, and how many random pairings would give.
+
+    Counts are whole numbers until the last step, and so the same under any partitioning.
+    """
+    met, sizes = drawn_pairs(pairs, draws)
+    own = pairs.select(*_LANGS, "word_a", "word_b", F.lit(1).cast("long").alias("attested"), F.lit(0).cast("long").alias("drawn"))
+    weights = own.unionByName(met.withColumn("attested", F.lit(0).cast("long")))
+    weights = weights.groupBy(*_LANGS, "word_a", "word_b").agg(F.sum("attested").alias("attested"), F.sum("drawn").alias("drawn"))
+    found = weights.mapInPandas(_segment_counts, "lang_a string, lang_b string, x string, y string, attested long, drawn long")
+    found = found.groupBy(*_KEYS).agg(F.sum("attested").alias("attested"), F.sum("drawn").alias("drawn")).join(sizes, _LANGS)
+    return found.select(*_KEYS, "attested", (F.col("drawn") * F.col("slots") / F.col("of")).alias("expected"))
+
+
+def word_distances(words: DataFrame, draws: int | None = DRAWS) -> DataFrame:
     """CL-4: (concept, lang_a, form_a, lang_b, form_b, distance), lang_a < lang_b, of words (concept, lang, form, tokens).
 
-    runs: random pairings that expected counts are the mean of, or None for what the mean comes to at last. A draw pairs a left and a right word
-    of any two pairs of two languages, so two words meet in proportion to the pairs that each is in: with None the expected number
-    is that, else a binomial number of all draws, seeded by the words, and so the same under any partitioning. Either way every two
-    distinct words of two languages with partners are weighed, which is quadratic in a language's distinct words, and dealt out.
+    draws: random pairs of words for two languages, see drawn_pairs; None takes all.
     """
     own = words.dropDuplicates(["concept", "lang", "form"]).select("concept", "lang", "form", F.array_join("tokens", JOINED).alias("word"))
     own = kept(own, "words")
     side = lambda s: own.select("concept", F.col("lang").alias(f"lang_{s}"), F.col("form").alias(f"form_{s}"), F.col("word").alias(f"word_{s}"))
     pairs = kept(side("a").join(side("b"), "concept").where("lang_a < lang_b"), "pairs")
-    sizes = pairs.groupBy(*_LANGS).agg(F.count("*").alias("of"))
-    left = pairs.groupBy(*_LANGS, "word_a").agg(F.count("*").alias("wa")).join(sizes, _LANGS)
-    right = pairs.groupBy(*_LANGS, "word_b").agg(F.count("*").alias("wb"))
-    meet = left.join(right, _LANGS)
-    share = F.col("wa") * F.col("wb") / F.col("of")
-    expected = share if runs is None else _draws(F.col("wa") * F.col("wb"), F.col("of"), F.xxhash64(*_LANGS, "word_a", "word_b"), F.lit(runs))
-    attested = pairs.groupBy(*_LANGS, "word_a", "word_b").agg(F.count("*").alias("attested"))
-    weights = meet.select(*_LANGS, "word_a", "word_b", expected.alias("expected")).join(attested, [*_LANGS, "word_a", "word_b"], "left")
-    weights = kept(weights.fillna(0, ["attested"]).where("attested > 0 or expected > 0"), "weights")
-    met = weights.select(*_LANGS, "word_a", "word_b", "attested", "expected").mapInPandas(_segment_counts, "lang_a string, lang_b string, x string, y string, attested double, expected double")
-    counts = kept(met.groupBy(*_KEYS).agg(F.sum("attested").alias("attested"), F.sum("expected").alias("expected")), "segments")
-    asked = kept(weights.where("attested > 0").select(*_LANGS, "word_a", "word_b"), "asked")
+    counts = kept(segment_counts(pairs, draws), "segments")
+    asked = kept(pairs.select(*_LANGS, "word_a", "word_b").distinct(), "asked")
     parts = kept(asked.groupBy(*_LANGS).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "parts")
     dealt = asked.join(parts, _LANGS).withColumn("salt", F.pmod(F.xxhash64("word_a", "word_b"), "parts").cast("int")).drop("parts")
     each = counts.join(parts, _LANGS).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
@@ -210,36 +242,29 @@ def word_distances(words: DataFrame, runs: int | None = 10_000) -> DataFrame:
     return pairs.join(scored, [*_LANGS, "word_a", "word_b"]).select("concept", "lang_a", "form_a", "lang_b", "form_b", "distance")
 
 
-@F.pandas_udf(DoubleType())
-def _draws(both: pd.Series, of: pd.Series, seed: pd.Series, runs: pd.Series) -> pd.Series:
-    """How often two words meet in a run, over runs of `of` draws, each of which has them with probability both / of squared."""
-    share = [np.random.default_rng([SEED, int(s) & (2**63 - 1)]).binomial(int(n * r), b / (n * n)) / r for b, n, s, r in zip(both, of.astype(float), seed, runs)]
-    return pd.Series(share, dtype=float)
-
-
-def _sets(key: tuple, words: pd.DataFrame, distances: pd.DataFrame, thresholds: tuple[float, ...]) -> pd.DataFrame:
-    words = words.sort_values(["lang", "form"], kind="stable")
-    at = {(a, b): i for i, (a, b) in enumerate(zip(words["lang"], words["form"]))}
-    d = np.array([[float(f != g) for g in words["form"]] for f in words["form"]])
-    for r in distances.itertuples():
-        i, j = at[r.lang_a, r.form_a], at[r.lang_b, r.form_b]
-        d[i, j] = d[j, i] = r.distance
-    parts = []
-    for t in thresholds:
-        label = average_linkage(d, np.ones(len(words)), t)
-        parts.append(pd.DataFrame({"threshold": t, "concept": words["concept"], "lang": words["lang"], "form": words["form"], "local": label.astype(np.int64)}))
-    return pd.concat(parts)
+def _sets(words: pd.DataFrame, distances: pd.DataFrame, thresholds: tuple[float, ...]) -> pd.DataFrame:
+    """A concept's words and distances to its sets at each threshold: one tree, cut as often as asked."""
+    words = words.sort_values(["lang", "form"], kind="stable", ignore_index=True)
+    n = len(words)
+    form = pd.factorize(words["form"])[0]
+    first, second = np.triu_indices(n, 1)
+    d = (form[first] != form[second]).astype(float)  # of words of one language
+    place = pd.MultiIndex.from_frame(words[["lang", "form"]])
+    i, j = (place.get_indexer(pd.MultiIndex.from_frame(distances[[f"lang_{s}", f"form_{s}"]])) for s in "ab")
+    d[pair_index(n, np.minimum(i, j), np.maximum(i, j))] = distances["distance"]
+    tree = merge_tree(d, np.ones(n))
+    return pd.concat([words.assign(threshold=t, local=tree.labels(t).astype(np.int64)) for t in thresholds])[["threshold", "concept", "lang", "form", "local"]]
 
 
-def cognate_sets(words: DataFrame, thresholds: tuple[float, ...] = (0.50, 0.55, 0.60), runs: int | None = 10_000) -> DataFrame:
-    """CL-5, CL-6: (threshold, concept, lang, form, local): sets within each concept, for all thresholds from one training.
+def cognate_sets(words: DataFrame, thresholds: tuple[float, ...] = (0.50, 0.55, 0.60), draws: int | None = DRAWS) -> DataFrame:
+    """CL-5, CL-6: (threshold, concept, lang, form, local): sets within each concept, for all thresholds from one training and one tree.
 
-    A set's id over all concepts is (concept, local); one group is a concept's distinct words.
+    A set's id over all concepts is (concept, local); one group is a concept's distinct words, whose square it takes in memory.
     """
     own = words.select("concept", "lang", "form").where("concept is not null and lang is not null and form is not null").distinct()
-    distances = word_distances(words.where("concept is not null and lang is not null and form is not null"), runs)
+    distances = word_distances(words.where("concept is not null and lang is not null and form is not null"), draws)
     rows = own.groupBy("concept").cogroup(distances.groupBy("concept"))
-    return rows.applyInPandas(lambda k, w, d: _sets(k, w, d, thresholds), "threshold double, concept string, lang string, form string, local long")
+    return rows.applyInPandas(lambda w, d: _sets(w, d, thresholds), "threshold double, concept string, lang string, form string, local long")
 
 
 def sweep_summary(sets: DataFrame) -> DataFrame:

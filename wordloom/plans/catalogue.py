@@ -431,19 +431,16 @@ def nexus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.nexus_rows(P.presence(X.attested(spark, sf_dir), X.languages(spark, sf_dir)))
 
 
-RUNS = None  # what the mean over random pairings comes to
-
-
 @query()
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CL-4 to CL-6, AG-8, S-24."""
-    return L.sweep_summary(L.cognate_sets(X.lexical(spark, sf_dir), runs=RUNS))
+    return L.sweep_summary(L.cognate_sets(X.lexical(spark, sf_dir)))
 
 
 @query()
 def cognate_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CL-5 at the usual threshold."""
-    return L.with_set_ids(L.cognate_sets(X.lexical(spark, sf_dir), (0.55,), RUNS))
+    return L.with_set_ids(L.cognate_sets(X.lexical(spark, sf_dir), (0.55,)))
 
 
 @query()
@@ -453,7 +450,7 @@ def tone_augmented_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     tones = C.tone_lookup(X.toned(spark, sf_dir).select(F.col("id").alias("row_idx"), concept.alias("concept"), F.lit("any").alias("lang"), "pattern"))
     rows = X.lexical(spark, sf_dir).join(tones.drop("lang"), "concept", "left")
     with_tones = F.when(F.col("pattern").isNotNull(), T.tone_segments(F.col("tokens"), F.split("pattern", "[.]"))).otherwise(F.col("tokens"))
-    return L.with_set_ids(L.cognate_sets(rows.select("concept", "lang", "form", with_tones.alias("tokens")), (0.55,), RUNS))
+    return L.with_set_ids(L.cognate_sets(rows.select("concept", "lang", "form", with_tones.alias("tokens")), (0.55,)))
 
 
 _TREE_SQL = """WITH n AS (SELECT 0::BIGINT AS node_id, NULL::BIGINT AS parent_id, 0::BIGINT AS child_ord, 0.0::DOUBLE AS length UNION ALL SELECT r_regionkey + 1, 0, r_regionkey, 1.0 FROM region
