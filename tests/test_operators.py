@@ -13,9 +13,11 @@ from wordloom.operators import cognates as C
 from wordloom.operators import lexstat as L
 from wordloom.operators import matching as M
 from wordloom.operators import numbering as N
+from wordloom.operators import patterns
 from wordloom.operators import phylo as P
 from wordloom.operators import wordlists as W
 from wordloom.operators.linkage import condensed, merge_tree
+from wordloom.operators.patterns import Automaton
 from wordloom.sources import tables as S
 from wordloom.sources.shared import kept
 
@@ -371,3 +373,38 @@ def test_containment_equals_brute_force(spark):
                 expected.append((a, *hit))
         found = M.containing(spark.createDataFrame([(a,) for a in asked], "key string"), spark.createDataFrame(keys, "pos long, of string, score double"))
         assert rows(found, "key", "pos", "score") == sorted(expected, key=repr)
+
+
+def test_candidates_stay_few_as_meanings_grow(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(9, 14)))
+    names = [word() for _ in range(3000)]
+    asked = [n[:4] + n[5:] for n in names[:100]]
+    few, many = (
+        M.fuzzy_candidates(spark.createDataFrame([(a,) for a in asked], "text string"), spark.createDataFrame([(n,) for n in names[:k]], "text string"), 0.8) for k in (300, 3000)
+    )
+    assert {(r.variant, r.name) for r in few.collect()} >= set(zip(asked, names[:100]))
+    assert few.count() <= 2 * len(asked) and many.count() <= 3 * len(asked)
+
+
+def test_automata():
+    rng = random.Random(2)
+    for letters, texts in (("ab", 30), ("abc", 60), ("a", 12)):
+        word = lambda n: "".join(rng.choice(letters) for _ in range(rng.randint(1, n)))  # noqa: E731, B023
+        patterns, read = sorted({word(6) for _ in range(40)}), [word(15) for _ in range(texts)] + [""]
+        value = [rng.randint(0, 99) for _ in patterns]
+        one = Automaton(patterns)
+        assert one.least_in(read, value) == [min((v for p, v in zip(patterns, value) if p in t), default=None) for t in read]
+        assert one.first_with(read) == [next((k for k, t in enumerate(read) if p in t), None) for p in patterns]
+    assert Automaton([]).least_in(["x"], []) == [None] and Automaton(["x"]).first_with([]) == [None]
+
+
+def test_containment_where_all_parts_are_shared(spark, monkeypatch):
+    """Every string has the same trigrams, and each is in half of the others; blocks and slices are several."""
+    monkeypatch.setattr(patterns, "BLOCK", 100)
+    monkeypatch.setattr(patterns, "SLICE", 130)
+    keys = spark.range(1, 600).select(F.repeat(F.lit("ab"), F.col("id").cast("int")).alias("key"))
+    others = spark.range(1, 600).select(F.col("id").alias("pos"), F.concat(F.repeat(F.lit("ab"), (600 - F.col("id")).cast("int")), F.lit("a")).alias("of"), (F.col("id") / 1000).alias("score"))
+    start = time.perf_counter()
+    found = {len(r.key) // 2: r.pos for r in M.containing(keys, others).collect()}
+    assert found == dict.fromkeys(range(1, 600), 1) and time.perf_counter() - start < 60

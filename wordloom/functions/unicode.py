@@ -6,6 +6,7 @@ import difflib
 import functools
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -38,7 +39,18 @@ def nfd(c: Column) -> Column:
 
 def sequence_ratio(a: str, b: str) -> float:
     """Ratcliff-Obershelp ratio of lower-cased strings, 2 * matches / total length; the order of arguments counts."""
-    return difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio()
+    return sequence_ratio_to(b)(a)
+
+
+def sequence_ratio_to(b: str) -> Callable[[str], float]:
+    """sequence_ratio with b as the second string, whose letters are indexed once."""
+    matcher = difflib.SequenceMatcher(None, "", b.lower())
+
+    def ratio(a: str) -> float:
+        matcher.set_seq1(a.lower())
+        return matcher.ratio()
+
+    return ratio
 
 
 _DOUBLE = re.compile(rf"([aeiouɛɔɪʊ])\1\s*{TILDE}\s*{TILDE}?")

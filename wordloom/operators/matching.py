@@ -1,19 +1,20 @@
 """Concepts to a scored reference list of meanings: exact and fuzzy matches, review, partition (S3, S3b, S4).
 
-Neither list is taken to be small: fuzzy and containment matches are joins on parts that the two strings must have in common.
+Neither list is taken to be small: fuzzy matches are joins on parts that the two strings must have in common, and containment is looked for by automata over blocks.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
-from ..functions.unicode import sequence_ratio
+from ..functions.unicode import sequence_ratio_to
 from ..sources.shared import kept
 from .numbering import numbered
+from .patterns import first_pattern_in, first_text_with
 
 BLOCK = 500  # expressions of reviewers that one pass over the meanings takes along
 
@@ -49,41 +50,70 @@ def _letters(c: Column) -> Column:
     return F.transform(letters, lambda x, i: F.concat(x, F.size(F.filter(F.slice(letters, 1, i + 1), lambda y: y == x)).cast("string")))
 
 
-def _prefixes(strings: DataFrame, rarity: DataFrame, threshold: float) -> DataFrame:
-    """(text, n, letter): the rarest letters of each of strings (text), so many that strings with a ratio of threshold share one.
+def _other_lengths(n: Column, threshold: float) -> Column:
+    """The lengths that a string may have whose ratio with one of n letters reaches the threshold."""
+    return F.sequence(F.ceil(n * (threshold / (2 - threshold)) - 1e-9), F.floor(n * ((2 - threshold) / threshold) + 1e-9))
 
-    Twice the matched letters over both lengths is threshold at least, and so the shorter string has threshold / (2 - threshold) of the
-    longer one's length: of n letters ceil(n * threshold / (2 - threshold)) or more are matched.
+
+def _part(n: Column, k: Column, i: Column) -> tuple[Column, Column]:
+    """(start, length) of part i of the k + 1 that a string of n letters is cut into."""
+    start = F.floor(i * n / (k + 1))
+    return start, F.floor((i + 1) * n / (k + 1)) - start
+
+
+def _spare(threshold: float) -> Column:
+    """The most letters that two strings of n and m letters leave unmatched, both counted."""
+    return F.floor((1 - threshold) * (F.col("n") + F.col("m")) + 1e-9)
+
+
+def fuzzy_candidates(variants: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
+    """(variant, name): distinct pairs of variants (text) and names (text) that may reach the ratio; none that does is left out.
+
+    Letters that a ratio counts as matched stand in the same order in both strings, so at most k letters are in only one of them, k following from the
+    lengths. Of a name's k + 1 parts one is then in the variant as a whole, shifted by no more than the letters that are extra before it: an equality of
+    (lengths, number of the part, its letters). Pairs also have enough letters in common, each counted as often as it stands.
     """
-    rows = strings.select("text", F.length(F.lower("text")).alias("n"), F.explode(_letters(F.col("text"))).alias("letter")).where("n > 0")
-    rows = rows.join(rarity, "letter", "left")
-    rank = F.row_number().over(Window.partitionBy("text").orderBy(F.coalesce("seen", F.lit(0)), "letter"))
-    need = F.ceil(F.col("n") * (threshold / (2 - threshold)) - 1e-9)
-    return rows.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - need + 1).select("text", "n", "letter")
+    n, m = F.col("n"), F.col("m")
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), _spare(threshold))).alias("i")
+    own = names.select("text", F.lower("text").alias("s"), F.length(F.lower("text")).cast("long").alias("n")).where("n > 0")
+    own = own.withColumn("m", F.explode(_other_lengths(n, threshold))).where("m > 0").select("*", parts)
+    start, size = _part(n, _spare(threshold), F.col("i"))
+    own = own.select(F.col("text").alias("name"), "n", "m", "i", F.substring(F.col("s"), (start + 1).cast("int"), size.cast("int")).alias("part"))
+    asked = variants.select("text", F.lower("text").alias("s"), F.length(F.lower("text")).cast("long").alias("m")).where("m > 0")
+    asked = asked.withColumn("n", F.explode(_other_lengths(m, threshold))).where("n > 0").withColumn("k", _spare(threshold)).select("*", parts)
+    start, size = _part(n, F.col("k"), F.col("i"))
+    asked = asked.withColumns({"start": start, "size": size})
+    lowest = F.greatest(F.lit(0), F.col("start") - F.floor((F.col("k") - (m - n)) / 2))
+    highest = F.least(m - F.col("size"), F.col("start") + F.floor((F.col("k") + (m - n)) / 2))
+    spots = F.when(highest >= lowest, F.sequence(lowest, F.greatest(lowest, highest))).otherwise(F.array().cast("array<bigint>"))
+    there = F.array_distinct(F.transform(spots, lambda p: F.substring(F.col("s"), (p + 1).cast("int"), F.col("size").cast("int"))))
+    asked = asked.select(F.col("text").alias("variant"), "n", "m", "i", F.explode(there).alias("part"))
+    near = asked.join(own, ["n", "m", "i", "part"]).select("variant", "name").distinct()
+    common = F.size(F.array_intersect(_letters(F.col("variant")), _letters(F.col("name"))))
+    return near.where(2 * common >= (threshold - 1e-9) * (F.length(F.lower("variant")) + F.length(F.lower("name"))))
 
 
 @F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([sequence_ratio(x, y) for x, y in zip(a, b)], dtype=float)
+    """sequence_ratio of each a with its b; what is known of a b serves all of its rows in a batch."""
+    out = pd.Series(0.0, a.index)
+    for name, variants in a.groupby(b, sort=False):
+        ratio = sequence_ratio_to(name)
+        out[variants.index] = variants.map(ratio)
+    return out
 
 
 def fuzzy_match(concepts: DataFrame, meanings: DataFrame, threshold: float = 0.8) -> DataFrame:
     """JO-3: the best meaning by sequence ratio for each concept, if it reaches the threshold; the first variant, then meaning, of equal ratios.
 
-    Distinct variants and names are joined by a rare letter that they share, and compared if letters and lengths allow the ratio; none that
-    reaches it is missed. A threshold of 0 or less, which every pair reaches, is an error.
+    Distinct variants and names meet where fuzzy_candidates has them; each pair is compared once, whatever concepts it is for. A threshold of 0 or
+    less, which every pair reaches, is an error.
     """
     if threshold <= 0:
         raise ValueError("threshold must be above 0")
     asked = kept(with_variants(concepts).withColumnRenamed("variant", "text"), "variants")
     names = kept(meanings.where("name is not null").groupBy("name").agg(F.min(F.struct("id", "score")).alias("m")).select(F.col("name").alias("text"), "m.id", "m.score"), "names")
-    seen = names.select(F.explode(_letters(F.col("text"))).alias("letter")).groupBy("letter").agg(F.count("*").alias("seen"))
-    seen = kept(seen, "letters")
-    left = _prefixes(asked.select("text").distinct(), seen, threshold).select(F.col("text").alias("variant"), F.col("n").alias("nv"), "letter")
-    right = _prefixes(names, seen, threshold).select(F.col("text").alias("name"), F.col("n").alias("nn"), "letter")
-    near = left.join(right, "letter").where(2 * F.least("nv", "nn") >= threshold * (F.col("nv") + F.col("nn"))).select("variant", "name").distinct()
-    common = F.size(F.array_intersect(_letters(F.col("variant")), _letters(F.col("name"))))
-    near = near.where(2 * common >= (threshold - 1e-9) * (F.length(F.lower("variant")) + F.length(F.lower("name"))))
+    near = fuzzy_candidates(asked.select("text").distinct(), names, threshold)
     hits = kept(near.withColumn("match_score", _ratio("variant", "name")).where(F.col("match_score") >= threshold), "hits")
     found = asked.join(hits, asked.text == hits.variant).select("concept", "ord", "name", "match_score").join(names.withColumnRenamed("text", "name"), "name")
     best = found.groupBy("concept").agg(F.min_by(F.struct("id", "name", "score", "match_score"), F.struct(-F.col("match_score"), F.col("ord"), F.col("id"))).alias("m"))
@@ -161,34 +191,20 @@ def score_keys(matches: DataFrame) -> DataFrame:
     return last.select("key", "s.score", "pos")
 
 
-def _parts(c: Column) -> Column:
-    """All substrings of one to three letters."""
-    part = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substring(c, i, k))
-    return F.array_distinct(F.concat(*(F.when(F.length(c) >= k, part(k)).otherwise(F.array().cast("array<string>")) for k in (1, 2, 3))))
-
-
 def containing(keys: DataFrame, others: DataFrame) -> DataFrame:
     """JO-5: (key, pos, score): for each distinct key the first by pos of others (of, pos, score) that contains it or that it contains.
 
-    The shorter string is looked for by one part of three letters, the one that fewest of the longer strings have, or by itself if it is shorter
-    than that: an inverted index. The empty string is contained in all.
+    Automata look for blocks of the ones in the others and keep the first alone, so work follows letters and not matches. The empty string is contained in all.
     """
-
-    def inside(short: DataFrame, s: str, long: DataFrame, t: str) -> DataFrame:
-        index = long.select(t, F.explode(_parts(F.col(t))).alias("part"))
-        often = index.groupBy("part").agg(F.count("*").alias("seen"))
-        own = F.when(F.length(s) >= 3, F.filter(_parts(F.col(s)), lambda x: F.length(x) == 3)).otherwise(F.array(s))
-        asked = short.where(F.length(s) > 0).select(s, F.explode(own).alias("part")).join(often, "part")
-        asked = asked.groupBy(s).agg(F.min_by("part", F.struct("seen", "part")).alias("part"))
-        return asked.join(index, "part").where(F.contains(F.col(t), F.col(s))).select(s, t)
-
-    pairs = inside(keys, "key", others.select("of"), "of").select("key", "of").unionByName(inside(others.select("of"), "of", keys, "key").select("key", "of"))
-    hits = pairs.distinct().join(others, "of").groupBy("key").agg(F.min_by(F.struct("pos", "score"), "pos").alias("m"))
-    first = others.agg(F.min_by(F.struct("pos", "score"), "pos").alias("m")).where("m is not null")
-    blank = others.where("of = ''").agg(F.min_by(F.struct("pos", "score"), "pos").alias("m")).where("m is not null")
-    every = hits.unionByName(keys.where("key = ''").join(F.broadcast(first), F.lit(True)).select("key", "m"))  # one row
-    every = every.unionByName(keys.where("key <> ''").join(F.broadcast(blank), F.lit(True)).select("key", "m"))  # one row at most
-    return every.groupBy("key").agg(F.min_by("m", "m.pos").alias("m")).select("key", "m.pos", "m.score")
+    keys, others = kept(keys, "keys"), kept(others, "others")
+    asked, given = keys.where("key <> ''"), others.where("of <> ''")
+    around = first_text_with(asked.select(F.col("key").alias("pattern")), given.select(F.col("of").alias("text"), "pos"))
+    inside = first_pattern_in(given.select(F.col("of").alias("pattern"), "pos"), asked.select(F.col("key").alias("text")))
+    first = others.agg(F.min("pos").alias("pos")).where("pos is not null")
+    blank = others.where("of = ''").agg(F.min("pos").alias("pos")).where("pos is not null")
+    every = around.unionByName(inside).unionByName(keys.where("key = ''").join(F.broadcast(first), F.lit(True)).select("key", "pos"))  # one row
+    every = every.unionByName(asked.join(F.broadcast(blank), F.lit(True)).select("key", "pos"))  # one row at most
+    return every.groupBy("key").agg(F.min("pos").alias("pos")).join(others.select("pos", "score"), "pos").select("key", "pos", "score")
 
 
 def score_partition(concepts: DataFrame, keys: DataFrame, threshold: float = 0.8) -> DataFrame:
