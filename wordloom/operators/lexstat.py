@@ -151,21 +151,16 @@ class Spelt:
         return np.where(most > 0, np.clip(1 - 2 * found / np.where(most > 0, most, 1), 0, 1), self.a != self.b)
 
 
-def _segment_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (lang_a, lang_b, word_a, word_b, attested, drawn) to sums of these over the aligned segments (x, y) of words nearer than CUT."""
+def _aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (word_a, word_b) to the aligned segments (x, y) of those words that are nearer than CUT by sound class."""
     for rows in frames:
         spelt = Spelt(rows["word_a"], rows["word_b"])
         scores = spelt.by_class()
-        lang, langs = pd.factorize(rows["lang_a"] + JOINED + rows["lang_b"])
         found, pair, x, y = align_many(spelt.words, spelt.a, spelt.b, scores)
-        near = (spelt.distances(found, scores) < CUT)[pair]
-        pair, x, y = pair[near], x[near], y[near]
-        n = len(spelt.segments)
-        key, at = np.unique((lang[pair] * n + x) * n + y, return_inverse=True)
-        sums = {c: np.bincount(at, rows[c].to_numpy(float)[pair], len(key)).astype(np.int64) for c in ("attested", "drawn")}
-        both = [langs[k].split(JOINED) for k in key // (n * n)] if n else []
-        names = [[spelt.segments[k] for k in of] for of in (key // n % n, key % n)] if n else [[], []]
-        yield pd.DataFrame({"lang_a": [v[0] for v in both], "lang_b": [v[1] for v in both], "x": names[0], "y": names[1], **sums})
+        pair_x_y = pd.DataFrame({"pair": pair, "x": x, "y": y})[(spelt.distances(found, scores) < CUT)[pair]]
+        name = np.array(spelt.segments, object)
+        of = pair_x_y["pair"].to_numpy()
+        yield pd.DataFrame({"word_a": rows["word_a"].to_numpy()[of], "word_b": rows["word_b"].to_numpy()[of], "x": name[pair_x_y["x"]], "y": name[pair_x_y["y"]]})
 
 
 def pair_score(x: str, y: str, attested: float, expected: float) -> float:
@@ -203,7 +198,8 @@ def drawn_pairs(pairs: DataFrame, draws: int | None = DRAWS) -> tuple[DataFrame,
 
     def dealt(side: str, salt: int) -> DataFrame:
         slot = F.pmod(F.xxhash64("concept", "form_a", "form_b", F.lit(salt)), "slots").alias("slot")
-        return pairs.join(sizes, _LANGS).groupBy(*_LANGS, slot, f"word_{side}").agg(F.count("*").alias(f"n_{side}"))
+        rows = pairs.join(sizes, _LANGS).select(*_LANGS, slot, f"word_{side}").repartition(*_LANGS, "slot")
+        return rows.groupBy(*_LANGS, "slot", f"word_{side}").agg(F.count("*").alias(f"n_{side}"))
 
     met = dealt("a", 1).join(dealt("b", 2), [*_LANGS, "slot"])
     return met.groupBy(*_LANGS, "word_a", "word_b").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("drawn")), sizes
@@ -212,13 +208,14 @@ def drawn_pairs(pairs: DataFrame, draws: int | None = DRAWS) -> tuple[DataFrame,
 def segment_counts(pairs: DataFrame, draws: int | None = DRAWS) -> DataFrame:
     """(lang_a, lang_b, x, y, attested, expected): aligned segments of words of one concept, and how many random pairings would give.
 
-    Counts are whole numbers until the last step, and so the same under any partitioning.
+    Two spellings are aligned once for all languages. Counts are whole numbers until the last step, and so the same under any partitioning.
     """
     met, sizes = drawn_pairs(pairs, draws)
-    own = pairs.select(*_LANGS, "word_a", "word_b", F.lit(1).cast("long").alias("attested"), F.lit(0).cast("long").alias("drawn"))
-    weights = own.unionByName(met.withColumn("attested", F.lit(0).cast("long")))
-    weights = weights.groupBy(*_LANGS, "word_a", "word_b").agg(F.sum("attested").alias("attested"), F.sum("drawn").alias("drawn"))
-    found = weights.mapInPandas(_segment_counts, "lang_a string, lang_b string, x string, y string, attested long, drawn long")
+    zero = F.lit(0).cast("long")
+    own = pairs.groupBy(*_LANGS, "word_a", "word_b").agg(F.count("*").alias("attested")).withColumn("drawn", zero)
+    weights = kept(own.unionByName(met.withColumn("attested", zero)), "weights")
+    aligned = weights.select("word_a", "word_b").distinct().mapInPandas(_aligned, "word_a string, word_b string, x string, y string")
+    found = weights.join(kept(aligned, "aligned"), ["word_a", "word_b"])
     found = found.groupBy(*_KEYS).agg(F.sum("attested").alias("attested"), F.sum("drawn").alias("drawn")).join(sizes, _LANGS)
     return found.select(*_KEYS, "attested", (F.col("drawn") * F.col("slots") / F.col("of")).alias("expected"))
 
