@@ -9,6 +9,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from wordloom.functions import newick
 from wordloom.operators import cognates as C
 from wordloom.operators import lexstat as L
 from wordloom.operators import matching as M
@@ -408,3 +409,48 @@ def test_containment_where_all_parts_are_shared(spark, monkeypatch):
     start = time.perf_counter()
     found = {len(r.key) // 2: r.pos for r in M.containing(keys, others).collect()}
     assert found == dict.fromkeys(range(1, 600), 1) and time.perf_counter() - start < 60
+
+
+def test_newick_without_a_stack():
+    rng = random.Random(1)
+    for _ in range(100):
+        want, made = [(0, None, 0)], [""]
+
+        def grow(node, left):
+            kids = rng.randint(1, 3) if left else 0
+            parts = []
+            for k in range(kids):
+                want.append((len(want), node, k))
+                parts.append(grow(len(want) - 1, left - rng.randint(1, 2) if left > 1 else 0))
+            return (f"({','.join(parts)})" if parts else "") + f"n{node}:{node / 4}"
+
+        made = grow(0, rng.randint(0, 6))
+        assert [(i, p, k, f"n{i}", i / 4, None) for i, p, k in want] == newick.nodes(made + ";junk(")
+    assert newick.nodes("('it''s; (x)':1, b [&rate=1,posterior=0.5]:2e0)[&posterior=1.0];") == [(0, None, 0, "", 0.0, 1.0), (1, 0, 0, "it's; (x)", 1.0, None), (2, 0, 1, "b", 2.0, 0.5)]
+    for bad in ("(a,b));", "((a,b);", "a,b;", "(a)(b);", "(a,'b);", "(a[b);"):
+        with pytest.raises(ValueError):
+            newick.nodes(bad)
+    start = time.perf_counter()
+    star = newick.nodes("(" + ",".join(f"t{k}:1" for k in range(1_000_000)) + ");")
+    assert len(star) == 1_000_001 and star[-1] == (1_000_000, 0, 999_999, "t999999", 1.0, None) and time.perf_counter() - start < 60
+
+
+def test_trees_of_files():
+    assert newick.first_tree("#NEXUS\nBEGIN TREES;\n Translate 1 'a;b';\n tree A = [&U] (a,b);\n TREE * 'x' = [&r] ('c;d',e);\nEND;") == "('c;d',e)"
+    assert newick.first_tree("utree t = (a,b);") == "(a,b)" and newick.first_tree("street t = (a,b);") is None
+    assert newick.first_tree("BEGIN TREES; END;") is None and newick.first_tree("tree a = ") is None and newick.first_tree("tree a = 'x;") is None
+
+
+def test_a_comb_takes_few_rounds(spark):
+    levels = 2_000
+    comb = spark.range(2 * levels + 1).select(F.col("id").alias("node_id"), F.when(F.col("id") > 0, 2 * F.floor((F.col("id") - 1) / 2)).cast("long").alias("parent_id"), ((F.col("id") + 1) % 2).alias("child_ord"), F.lit(0.5).alias("length"))
+    start = time.perf_counter()
+    found = {r.node_id: r for r in P.layout(comb).collect()}
+    took = time.perf_counter() - start
+    y = {2 * levels: float(levels)}
+    for k in range(levels - 1, -1, -1):  # node 2k has the tip 2k + 1, the k-th, and then node 2k + 2
+        y[2 * k], y[2 * k + 1] = (k + y[2 * k + 2]) / 2, float(k)
+    assert all(abs(found[k].y - v) < 1e-6 and found[k].depth == -(-k // 2) and found[k].x == 0.5 * -(-k // 2) for k, v in y.items())
+    assert len(found) == 2 * levels + 1 and took < 90
+    with pytest.raises(ValueError, match="ancestors"):
+        P.doubled(spark.createDataFrame([(1, 2, 0), (2, 1, 0)], "node_id long, parent_id long, n long"), ("n",), ())

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.shared import kept
-from .numbering import numbered
+from ..functions.newick import nodes as newick_nodes
+from ..sources.shared import dropped, kept
+from .numbering import numbered, running_total
 
 COLUMNS = 1_000  # characters of an interleaved block
 
@@ -66,55 +67,6 @@ def nexus(cells: DataFrame, columns: int = COLUMNS) -> DataFrame:
     return fixed.unionByName(rows).select(place.alias("place"), "line")
 
 
-def _nodes(newick: str) -> list[tuple]:
-    """(node_id, parent_id, child_ord, label, length, posterior) of a tree text; node 0 is the root, ids go by appearance."""
-    rows: list[list] = [[0, None, 0, "", 0.0, None]]
-    path, at, i = [0], 0, 0
-    children = {0: 0}
-
-    def child(parent: int) -> int:
-        rows.append([len(rows), parent, children[parent], "", 0.0, None])
-        children[parent] += 1
-        children[rows[-1][0]] = 0
-        return rows[-1][0]
-
-    while i < len(newick):
-        c = newick[i]
-        if c == "(":
-            path.append(at)
-            at = child(at)
-        elif c == ",":
-            at = child(path[-1])
-        elif c == ")":
-            if len(path) < 2:
-                raise ValueError(f"a bracket too many at {i}")
-            at = path.pop()
-        elif c == "[":
-            end = newick.index("]", i)
-            note = newick[i + 1 : end]
-            if "posterior=" in note:
-                rows[at][5] = float(note.split("posterior=")[1].split(",")[0])
-            i = end
-        elif c == ";":
-            break
-        else:
-            end = i
-            while end < len(newick) and newick[end] not in "(),[;:":
-                end += 1
-            if c == ":":
-                end = i + 1
-                while end < len(newick) and newick[end] in "0123456789.eE+-":
-                    end += 1
-                rows[at][4] = float(newick[i + 1 : end])
-            elif newick[i:end].strip():
-                rows[at][3] = newick[i:end].strip(" '\n\t")
-            i = max(end - 1, i)
-        i += 1
-    if len(path) > 1:
-        raise ValueError("a bracket that isn't closed")
-    return [tuple(r) for r in rows]
-
-
 def tree_batch(trees: DataFrame) -> DataFrame:
     """TR-8: (file, node_id, parent_id, child_ord, label, length, posterior, error) of trees (file, newick), a batch of files.
 
@@ -126,7 +78,7 @@ def tree_batch(trees: DataFrame) -> DataFrame:
         if not newick:
             return [(file, *[None] * 6, "no tree")]
         try:
-            return [(file, *n, None) for n in _nodes(newick)]
+            return [(file, *n, None) for n in newick_nodes(newick)]
         except (ValueError, IndexError) as e:
             return [(file, *[None] * 6, f"malformed tree: {e}")]
 
@@ -145,35 +97,56 @@ def parse_trees(trees: DataFrame) -> DataFrame:
     return tree_batch(trees).where("error is null").drop("error")
 
 
+ROUNDS = 62  # more than any tree can need
+
+
+def doubled(nodes: DataFrame, down: tuple[str, ...], up: tuple[str, ...], weight: str | None = None) -> DataFrame:
+    """nodes (node_id, parent_id, ...) with columns down summed from the root to each node, and columns up over each node's subtree.
+
+    weight: a column of what a node's sum counts for in its parent's, 1 without one. Every round a node looks as far again as in all rounds before:
+    it adds what the node that far above it has, and what those that far below it have. A tree of d levels takes log2(d) rounds.
+    """
+    extra = [weight] if weight else []
+    state = kept(nodes.select("node_id", F.col("parent_id").alias("far"), *down, *up, *extra), "doubled")
+    for _ in range(ROUNDS):
+        if state.where("far is not null").isEmpty():
+            return state.drop("far", *extra)
+        above = state.select(F.col("node_id").alias("far"), F.col("far").alias("farther"), *(F.col(c).alias(f"above_{c}") for c in (*down, *extra)))
+        sums = [F.sum(F.col(c) * F.col(weight) if weight else F.col(c)).alias(f"below_{c}") for c in up]
+        new = state.join(above, "far", "left")
+        if up:
+            below = state.where("far is not null").groupBy(F.col("far").alias("node_id")).agg(*sums)
+            new = new.join(below, "node_id", "left")
+        add = lambda c, side: (F.col(c) + F.coalesce(F.col(f"{side}_{c}"), F.lit(0))).alias(c)
+        product = [(F.col(c) * F.coalesce(F.col(f"above_{c}"), F.lit(1.0))).alias(c) for c in extra]
+        old, state = state, kept(new.select("node_id", F.col("farther").alias("far"), *(add(c, "above") for c in down), *(add(c, "below") for c in up), *product), "doubled")
+        dropped(old)
+    raise ValueError("nodes are their own ancestors")
+
+
 def layout(nodes: DataFrame) -> DataFrame:
-    """TR-2, TR-3: nodes (node_id, parent_id, child_ord, length) with depth, x, y, is_tip.
+    """TR-2, TR-3: nodes (node_id, parent_id, child_ord, length) of one tree with depth, x, y, is_tip.
 
-    x is the distance from the root, going down a level at a time; tips get y 0, 1, ... from left to right; another node has the mean
-    of its children's y, going up a level at a time. There are as many steps as the tree has levels.
+    x is the distance from the root; tips get y 0, 1, ... from left to right; another node has the mean of its children's y. With s as the tips in a node's
+    earlier siblings, sums of s from the root down are the tips before a node, and a node is above the first of its own tips by the mean over its children of
+    s and what they are above theirs: both are sums that doubling finds, and no step goes level by level.
     """
-    rows = nodes.select("node_id", "parent_id", "child_ord", "length")
-    level = rows.where("parent_id is null").select("node_id", "parent_id", F.lit(0).alias("depth"), F.lit(0.0).alias("x"), F.array("child_ord").alias("path"))
-    placed = level = kept(level, "level")
-    while True:
-        up = level.select(F.col("node_id").alias("up"), F.col("depth").alias("d"), F.col("x").alias("ux"), F.col("path").alias("upath"))
-        level = rows.join(up, F.col("parent_id") == F.col("up")).select(
-            "node_id", "parent_id", (F.col("d") + 1).alias("depth"), (F.col("ux") + F.col("length")).alias("x"), F.concat("upath", F.array("child_ord")).alias("path")
-        )
-        level = kept(level, "level")
-        if level.isEmpty():
-            break
-        placed = placed.unionByName(level)
-    inner = rows.where("parent_id is not null").select(F.col("parent_id").alias("inner")).distinct()
-    placed = kept(placed.join(inner, F.col("node_id") == F.col("inner"), "left").withColumn("is_tip", F.col("inner").isNull()).drop("inner"), "placed")
-    depth = placed.agg(F.max("depth")).first()[0] or 0
-    tips = numbered(placed.where("is_tip"), ["path"], "tip")
-    known = tips.select("node_id", "parent_id", "depth", (F.col("tip") - 1).cast("double").alias("y"))
-    known = kept(known, "tips")
-    for d in range(depth - 1, -1, -1):
-        mean = known.where(F.col("depth") == d + 1).groupBy("parent_id").agg(F.avg("y").alias("y")).withColumnRenamed("parent_id", "of")
-        own = placed.where((F.col("depth") == d) & ~F.col("is_tip")).join(mean, F.col("node_id") == F.col("of")).select("node_id", "parent_id", "depth", "y")
-        known = known.unionByName(kept(own, "level"))
-    return kept(placed.join(known.select("node_id", "y"), "node_id").select("node_id", "parent_id", "depth", "x", "y", "is_tip"), "layout")
+    rows = kept(nodes.select("node_id", "parent_id", "child_ord", "length"), "nodes")
+    inner = rows.where("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).agg(F.count("*").alias("children"))
+    root = F.col("parent_id").isNull()
+    rows = rows.join(inner, "node_id", "left").select("*", F.col("children").isNull().alias("is_tip"), F.when(root, 0).otherwise(1).cast("long").alias("depth"), F.when(root, 0.0).otherwise(F.col("length")).alias("x"))
+    rows = kept(rows.withColumn("tips", F.col("is_tip").cast("long")), "nodes")
+    sums = doubled(rows, ("depth", "x"), ("tips",))
+    known = rows.drop("depth", "x", "tips").join(sums, "node_id")
+    ahead = running_total(known, ["child_ord", "node_id"], "tips", "upto", within="parent_id")
+    ahead = kept(ahead.withColumn("s", F.when(root, 0).otherwise(F.col("upto") - F.col("tips"))), "siblings")
+    mean = ahead.where("parent_id is not null").groupBy(F.col("parent_id").alias("node_id")).agg(F.avg("s").alias("above"))
+    counts = ahead.where("children is not null").select(F.col("node_id").alias("parent_id"), F.col("children").alias("of"))
+    part = ahead.select("node_id", "parent_id", "s").join(mean, "node_id", "left").join(counts, "parent_id", "left")
+    part = part.select("node_id", "parent_id", "s", F.coalesce("above", F.lit(0.0)).alias("above"), F.coalesce(1.0 / F.col("of"), F.lit(1.0)).alias("share"))
+    high = doubled(part, ("s",), ("above",), "share")
+    placed = ahead.drop("s").join(high, "node_id")
+    return kept(placed.select("node_id", "parent_id", F.col("depth").cast("int").alias("depth"), "x", (F.col("s") + F.col("above")).alias("y"), "is_tip"), "layout")
 
 
 def segments(placed: DataFrame) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from ..functions.newick import first_tree
 
 #: What a CSV cell may hold for a missing value.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -74,11 +78,13 @@ def read_pages(spark: SparkSession, path: str, page_break: str = "\f") -> DataFr
 
 
 def read_trees(spark: SparkSession, path: str) -> DataFrame:
-    """SC-7, TR-8: (file, newick) of tree files: the first `tree NAME = [&R] ...;`, else the first without [&R]."""
+    """SC-7, TR-8: (file, newick) of tree files: the first rooted tree of each, else its first tree."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    rooted = F.regexp_extract("value", r"(?s)tree\s+\S+\s*=\s*\[&R\]\s*(.+?);", 1)
-    plain = F.regexp_extract("value", r"(?s)tree\s+\S+\s*=\s*(.+?);", 1)
-    return files.select("file", F.coalesce(F.nullif(rooted, F.lit("")), F.nullif(plain, F.lit(""))).alias("newick"))
+
+    def trees(text: pd.Series) -> pd.Series:
+        return text.map(first_tree, na_action="ignore")
+
+    return files.select("file", F.pandas_udf(trees, StringType())("value").alias("newick"))
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", order: list[str] | None = None) -> None:
