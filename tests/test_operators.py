@@ -217,12 +217,36 @@ def test_tone_split(spark):
 
 def test_matrix_and_nexus(spark, cognates):
     words = cognates.select(F.col("doculect").alias("language"), "concept", "cogid")
-    cells = P.presence(words, ["L1", "L2", "L3", "L4"])
-    m = {r.label: (r.L1, r.L2, r.L3, r.L4) for r in P.matrix(cells, ["L1", "L2", "L3", "L4"]).collect()}
-    assert m == {"A_1": ("1", "1", "1", "0"), "A_2": ("0", "0", "0", "1"), "B_3": ("1", "?", "?", "?")}
-    lines = [r.line for r in P.nexus(cells).orderBy("place").collect()]
+    langs = ["L1", "L2", "L3", "L4"]
+    cells = {(r.language, r.label): r.state for r in P.presence(words, langs).collect()}
+    m = {r.label: (r.L1, r.L2, r.L3, r.L4) for r in P.matrix(words, langs).collect()}
+    assert m == {"A_1": ("1", "1", "1", "0"), "A_2": ("0", "0", "0", "1"), "B_3": ("1", "?", "?", "?")} == {k: tuple(cells[c, k] for c in langs) for k in m}
+    lines = [r.line for r in P.nexus(words, langs).orderBy("place").collect()]
     assert "    DIMENSIONS NTAX=4 NCHAR=3;" in lines and "L1              101" in lines and "L4              01?" in lines and "    CHARSET all = 1-3;" in lines
-    assert [r.line for r in P.nexus_rows(cells, 2).where("language = 'L1'").orderBy("block").collect()] == ["L1              10", "L1              1"]
+    assert [r.line for r in P.nexus_rows(words, langs, 2).where("language = 'L1'").orderBy("block").collect()] == ["L1              10", "L1              1"]
+    back = P.read_nexus(P.nexus(words, langs, 2))
+    assert rows(back.where("taxon = 'L4'"), "block", "states", "n_taxa", "n_chars") == [(0, "01", 4, 3), (1, "?", 4, 3)]
+
+
+def test_more_languages_than_bits(spark):
+    langs = [f"l{k:03}" for k in range(150)]
+    words = [(c, f"c{k % 7}", k % (3 + j)) for k, c in enumerate(langs) for j in range(3) if k % 11] + [("other", "c0", 99), ("l001", "c3", None), (None, "c1", 5)]
+    found = {(r.language, r.concept, r.cogid): r.state for r in P.presence(spark.createDataFrame(words, "language string, concept string, cogid long"), langs).collect()}
+    classes = {(c, k) for _, c, k in words if k is not None}
+    assert found == {(lang, c, k): "1" if (lang, c, k) in words else "0" if any(w[:2] == (lang, c) for w in words) else "?" for lang in langs for c, k in classes}
+
+
+def test_pages_by_ranges_of_bytes(spark, tmp_path):
+    pages = [f"page {k} " + "é漢 " * (k % 900) if k % 13 else " " for k in range(5000)]
+    (tmp_path / "book.txt").write_text("\f".join(pages), encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        ranges = S.read_ordered(spark, str(tmp_path), "\f")
+        assert ranges.rdd.getNumPartitions() > 50
+        assert rows(S.read_pages(spark, str(tmp_path)), "page_no", "text") == sorted(((k, p) for k, p in enumerate(pages, 1) if p != " "), key=repr)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
 def test_tree(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -16,55 +16,88 @@ from .numbering import numbered, running_total
 COLUMNS = 1_000  # characters of an interleaved block
 
 
-def classes(words: DataFrame) -> DataFrame:
-    """AG-17, PR-8: (concept, cogid, label) of words (language, concept, cogid): a class is keyed by both, the label is for display (Q-15)."""
-    own = words.where("concept is not null and cogid is not null").select("concept", "cogid").distinct()
-    return own.withColumn("label", F.concat_ws("_", "concept", F.col("cogid").cast("string")))
+BITS = 62  # languages of a word of bits
+
+
+def class_rows(words: DataFrame, languages: list[str]) -> DataFrame:
+    """AG-17, PR-8: (concept, cogid, label, has_0, ..., seen_0, ...) of words (language, concept, cogid): a row for each class.
+
+    A class is keyed by concept and cogid, the label is for display (Q-15). Bit k of has is set if the k-th of the languages, in code point order, has
+    the class, bit k of seen if it has the concept in any way. Cells and matrices follow from these rows, so nothing is as long as languages times classes
+    before it is asked for.
+    """
+    place = F.create_map(*(x for k, c in enumerate(sorted(languages)) for x in (F.lit(c), F.lit(k)))) if languages else F.create_map().cast("map<string,int>")
+    rows = words.where("concept is not null").select("concept", "cogid", F.try_element_at(place, F.col("language")).alias("k"))
+
+    def bits(name: str) -> list[Column]:
+        one = lambda w: F.when(F.expr(f"k div {BITS}") == w, F.expr(f"shiftleft(1L, k % {BITS})"))
+        return [F.coalesce(F.bit_or(one(w)), F.lit(0).cast("long")).alias(f"{name}_{w}") for w in range(_words(languages))]
+
+    own = rows.where("cogid is not null").groupBy("concept", "cogid").agg(*bits("has"))
+    seen = rows.groupBy("concept").agg(*bits("seen"))
+    return own.join(seen, "concept").withColumn("label", F.concat_ws("_", "concept", F.col("cogid").cast("string")))
+
+
+def _words(languages: list[str]) -> int:
+    return max(1, -(-len(languages) // BITS))
+
+
+def _state(k: int, of=F.col) -> Column:
+    """RE-5: 1 the k-th language has the class, 0 it has the concept otherwise, ? it doesn't. of: the column of a name."""
+    bit = lambda name: F.getbit(of(f"{name}_{k // BITS}"), F.lit(k % BITS)) == 1
+    return F.when(bit("has"), "1").when(bit("seen"), "0").otherwise("?")
 
 
 def presence(words: DataFrame, languages: list[str]) -> DataFrame:
-    """JO-9, RE-5: (language, concept, cogid, label, state): 1 present, 0 the concept is attested otherwise, ? it isn't."""
-    own = words.where("language is not null").select("language", "concept", "cogid").distinct()
-    grid = classes(words).withColumn("language", F.explode(F.array(*map(F.lit, sorted(languages)))))
-    has = own.withColumn("has", F.lit(True))
-    attested = own.select("language", "concept").distinct().withColumn("attested", F.lit(True))
-    rows = grid.join(has, ["language", "concept", "cogid"], "left").join(attested, ["language", "concept"], "left")
-    state = F.when(F.col("has"), "1").when(F.col("attested"), "0").otherwise("?")
-    return rows.select("language", "concept", "cogid", "label", state.alias("state"))
+    """JO-9, RE-5: (language, concept, cogid, label, state) of each class in each language."""
+    cells = F.array(*(F.struct(F.lit(c).alias("language"), _state(k).alias("state")) for k, c in enumerate(sorted(languages))))
+    return class_rows(words, languages).select("concept", "cogid", "label", F.explode(cells).alias("cell")).select("cell.language", "concept", "cogid", "label", "cell.state")
 
 
-def matrix(cells: DataFrame, languages: list[str]) -> DataFrame:
+def matrix(words: DataFrame, languages: list[str]) -> DataFrame:
     """SK-5: a row for each class, a column for each language; the languages are few, the classes are not."""
-    return cells.groupBy("label").pivot("language", sorted(languages)).agg(F.first("state"))
+    return class_rows(words, languages).select("label", *(_state(k).alias(c) for k, c in enumerate(sorted(languages))))
 
 
-def nexus_rows(cells: DataFrame, columns: int = COLUMNS) -> DataFrame:
+def nexus_rows(words: DataFrame, languages: list[str], columns: int = COLUMNS) -> DataFrame:
     """SK-6, S-26: (block, language, line): the matrix of a NEXUS file, interleaved in blocks of classes in order of label.
 
     Names are padded to 15 characters, and longer ones kept whole.
     """
-    rows = cells.join(numbered_classes(cells), ["concept", "cogid"]).withColumn("block", F.floor((F.col("nth") - 1) / columns).cast("long"))
-    lines = rows.groupBy("block", "language").agg(F.array_sort(F.collect_list(F.struct("nth", "state"))).alias("cells"))
+    own = [f"{name}_{w}" for name in ("has", "seen") for w in range(_words(languages))]
+    rows = numbered(class_rows(words, languages), ["label", "concept", "cogid"], "nth").withColumn("block", F.floor((F.col("nth") - 1) / columns).cast("long"))
+    blocks = rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("nth", *own))).alias("classes"))
+    states = lambda k: F.array_join(F.transform("classes", lambda c: _state(k, lambda n: c[n])), "")
+    lines = F.array(*(F.struct(F.lit(c).alias("language"), states(k).alias("states")) for k, c in enumerate(sorted(languages))))
+    lines = blocks.select("block", F.explode(lines).alias("of")).select("block", "of.language", "of.states")
     name = T.taxon(F.col("language"))
-    states = F.array_join(F.transform("cells", lambda c: c["state"]), "")
-    return lines.select("block", "language", F.concat(F.rpad(name, F.greatest(F.lit(15), F.length(name)), F.lit(" ")), F.lit(" "), states).alias("line"))
-
-
-def numbered_classes(cells: DataFrame) -> DataFrame:
-    """(concept, cogid, nth): classes in order of label."""
-    return numbered(cells.select("label", "concept", "cogid").distinct(), ["label", "concept", "cogid"], "nth").select("concept", "cogid", "nth")
+    return lines.select("block", "language", F.concat(F.rpad(name, F.greatest(F.lit(15), F.length(name)), F.lit(" ")), F.lit(" "), "states").alias("line"))
 
 
-def nexus(cells: DataFrame, columns: int = COLUMNS) -> DataFrame:
+def nexus(words: DataFrame, languages: list[str], columns: int = COLUMNS) -> DataFrame:
     """(place, line): all lines of a NEXUS file, to be written in order of place."""
-    n = cells.agg(F.count_distinct("language").alias("t"), F.count_distinct("concept", "cogid").alias("c")).first()
-    spark = cells.sparkSession
-    head = ["#NEXUS", "", "BEGIN DATA;", f"    DIMENSIONS NTAX={n.t} NCHAR={n.c};", '    FORMAT DATATYPE=STANDARD SYMBOLS="01" GAP=- MISSING=? INTERLEAVE=YES;', "    MATRIX"]
-    tail = ["    ;", "END;", "", "BEGIN ASSUMPTIONS;", f"    CHARSET all = 1-{n.c};", "END;"]
+    rows = kept(nexus_rows(words, languages, columns), "nexus")
+    spark, last = words.sparkSession, F.max(F.struct("block", F.length(F.regexp_extract("line", r"(\S+)$", 1)).alias("n"))).alias("last")
+    n = rows.select(last).select((F.col("last.block") * columns + F.col("last.n")).alias("n")).first().n or 0
+    head = ["#NEXUS", "", "BEGIN DATA;", f"    DIMENSIONS NTAX={len(languages)} NCHAR={n};", '    FORMAT DATATYPE=STANDARD SYMBOLS="01" GAP=- MISSING=? INTERLEAVE=YES;', "    MATRIX"]
+    tail = ["    ;", "END;", "", "BEGIN ASSUMPTIONS;", f"    CHARSET all = 1-{n};", "END;"]
     place = F.struct(F.col("part").alias("part"), F.col("block").alias("block"), F.col("language").alias("language"))
     fixed = spark.createDataFrame([(p, k, "", x) for p, lines in ((0, head), (2, tail)) for k, x in enumerate(lines)], "part int, block long, language string, line string")
-    rows = nexus_rows(cells, columns).select(F.lit(1).alias("part"), "block", "language", "line")
-    return fixed.unionByName(rows).select(place.alias("place"), "line")
+    return fixed.unionByName(rows.select(F.lit(1).alias("part"), "block", "language", "line")).select(place.alias("place"), "line")
+
+
+def read_nexus(lines: DataFrame) -> DataFrame:
+    """(block, taxon, states, n_taxa, n_chars) of the lines (place, line) of an interleaved NEXUS file: its matrix, and the numbers its head has.
+
+    place orders the lines. A matrix goes from the line MATRIX to a line of one semicolon; a taxon's lines are its blocks.
+    """
+    edge = lines.agg(F.min(F.when(F.upper(F.trim("line")) == "MATRIX", F.col("place"))).alias("start"), F.max(F.regexp_extract("line", r"NTAX=(\d+)", 1)).alias("n_taxa"), F.max(F.regexp_extract("line", r"NCHAR=(\d+)", 1)).alias("n_chars"))
+    body = lines.join(F.broadcast(edge), F.col("place") > F.col("start"))  # one row
+    end = body.where(F.trim("line") == ";").agg(F.min("place").alias("end"))
+    body = body.join(F.broadcast(end), F.col("place") < F.col("end"))  # one row
+    split = body.select("place", F.regexp_extract("line", r"^\s*(\S+)\s+(\S+)\s*$", 1).alias("taxon"), F.regexp_extract("line", r"^\s*(\S+)\s+(\S+)\s*$", 2).alias("states"), "n_taxa", "n_chars")
+    rows = numbered(split.where("taxon <> ''"), ["place"], "nth", within="taxon")
+    return rows.select((F.col("nth") - 1).alias("block"), "taxon", "states", F.col("n_taxa").cast("long").alias("n_taxa"), F.col("n_chars").cast("long").alias("n_chars"))
 
 
 def tree_batch(trees: DataFrame) -> DataFrame:

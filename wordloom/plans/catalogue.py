@@ -417,10 +417,10 @@ def presence_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.presence(X.attested(spark, sf_dir), X.languages(spark, sf_dir))
 
 
-@query(_PRESENCE_SQL + f" SELECT label, {', '.join(f'''max(CASE WHEN language = '{c}' THEN state END) AS {c}''' for c in sorted(_LANGS))} FROM cells GROUP BY label")
+@query(_PRESENCE_SQL + f" SELECT label, {', '.join(f'''max(CASE WHEN language = '{c}' THEN state END) AS {c}''' for c in sorted(_LANGS))} FROM cells GROUP BY concept, cogid, label")
 def presence_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SK-5, RE-5."""
-    return P.matrix(P.presence(X.attested(spark, sf_dir), X.languages(spark, sf_dir)), X.languages(spark, sf_dir))
+    return P.matrix(X.attested(spark, sf_dir), X.languages(spark, sf_dir))
 
 
 @query(_PRESENCE_SQL + """, o AS (SELECT concept, cogid, row_number() OVER (ORDER BY concept || '_' || cogid, concept, cogid) AS nth FROM c)
@@ -428,7 +428,18 @@ SELECT block, language, rpad(language, greatest(15, length(language))::INTEGER,
 FROM (SELECT (nth - 1) // 1000 AS block, language, string_agg(state, '' ORDER BY nth) AS states FROM cells JOIN o USING (concept, cogid) GROUP BY 1, 2)""")
 def nexus_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SK-6, S-26."""
-    return P.nexus_rows(P.presence(X.attested(spark, sf_dir), X.languages(spark, sf_dir)))
+    return P.nexus_rows(X.attested(spark, sf_dir), X.languages(spark, sf_dir))
+
+
+@query(_PRESENCE_SQL + """, o AS (SELECT concept, cogid, row_number() OVER (ORDER BY concept || '_' || cogid, concept, cogid) AS nth FROM c)
+SELECT (nth - 1) // 1000 AS block, language AS taxon, string_agg(state, '' ORDER BY nth) AS states, (SELECT count(DISTINCT language) FROM g) AS n_taxa, (SELECT count(*) FROM c) AS n_chars
+FROM cells JOIN o USING (concept, cogid) GROUP BY 1, 2""")
+def nexus_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK-6: the whole file of characters written in order and read again."""
+    path = _files(spark, "nexus")
+    S.write_lines(P.nexus(X.attested(spark, sf_dir), X.languages(spark, sf_dir)), path, "line", ["place"])
+    lines = S.read_ordered(spark, path).select(F.struct("file", "block", "at").alias("place"), F.col("value").alias("line"))
+    return P.read_nexus(lines)
 
 
 @query()
@@ -590,11 +601,13 @@ def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.union_pages(*read).select("concept", "category", "new_id")
 
 
-@query("SELECT doc_id // 10 AS doc, (doc_id % 10 + 1)::INTEGER AS page_no, text FROM documents WHERE NOT contains(text, chr(12)) AND trim(text) <> ''")
+@query("""WITH b AS (SELECT doc_id // 10 AS doc, map_from_entries(list((doc_id % 10, coalesce(text, '')))) AS pages FROM documents GROUP BY 1),
+p AS (SELECT doc, string_split(array_to_string(list_transform(range(10), lambda k: coalesce(pages[k], '')), chr(12)), chr(12)) AS ps FROM b),
+n AS (SELECT doc, generate_subscripts(ps, 1)::INTEGER AS page_no, unnest(ps) AS text FROM p) SELECT * FROM n WHERE trim(text) <> ''""")
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC-1, SC-9: books of pages written with form feeds between pages, and read again; a document that has one itself stays out."""
+    """SC-1, SC-9: books of pages written with form feeds between pages, and read again; a form feed in a document parts pages, too."""
     path = _files(spark, "pages")
-    pages = X.pages(spark, sf_dir).where("not contains(text, '\f')").groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("page_no", "text"))).alias("pages"))
+    pages = X.pages(spark, sf_dir).groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("page_no", F.coalesce("text", F.lit("")).alias("text")))).alias("pages"))
     whole = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.coalesce(F.element_at("pages", k.cast("long")), F.lit(""))), "\f")
     pages.select("doc", whole.alias("text")).write.partitionBy("doc").option("lineSep", "\f").text(path)
     read = S.read_pages(spark, S.existing(spark, f"{path}/*"))

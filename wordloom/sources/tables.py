@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.newick import first_tree
+from .shared import kept
 
 #: What a CSV cell may hold for a missing value.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -70,11 +71,27 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(F.trim("value").cast("long").alias("id"))
 
 
+def read_ordered(spark: SparkSession, path: str, separator: str = "\n") -> DataFrame:
+    """(file, block, at, value): what a separator parts in files, read by ranges of bytes; (block, at) orders a file's values.
+
+    A file of any size is many tasks' work, none of which holds more than one value.
+    """
+    rows = spark.read.option("lineSep", separator).text(path)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+
+
 def read_pages(spark: SparkSession, path: str, page_break: str = "\f") -> DataFrame:
-    """SC-1: pages (doc, page_no, text) of text files extracted from page-wise documents, a form feed between pages."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc"), "value")
-    pages = files.select("doc", F.posexplode(F.split("value", page_break)).alias("at", "text"))
-    return pages.where(F.trim("text") != "").select("doc", (F.col("at") + 1).alias("page_no"), "text")
+    """SC-1: pages (doc, page_no, text) of text files extracted from page-wise documents, a form feed between pages; blank ones count, but are left out.
+
+    Pages are numbered within the range of bytes that they begin in, and shifted by how many the file's earlier ranges have.
+    """
+    pages = kept(read_ordered(spark, path, page_break), "pages")
+    order = Window.partitionBy("file", "block").orderBy("at")
+    before = Window.partitionBy("of").orderBy("from")
+    blocks = pages.groupBy(F.col("file").alias("of"), F.col("block").alias("from")).agg(F.count("*").alias("n"))
+    blocks = blocks.select("of", "from", (F.sum("n").over(before) - F.col("n")).alias("before"))
+    pages = pages.withColumn("nth", F.row_number().over(order)).join(blocks, (F.col("file") == F.col("of")) & (F.col("block") == F.col("from")))
+    return pages.where(F.trim("value") != "").select(F.col("file").alias("doc"), (F.col("before") + F.col("nth")).cast("int").alias("page_no"), F.col("value").alias("text"))
 
 
 def read_trees(spark: SparkSession, path: str) -> DataFrame:
