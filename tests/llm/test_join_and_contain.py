@@ -121,9 +121,9 @@ def test_tree_prunes_no_link():
 def brute_contained(docs, items):
     out = []
     for doc, text in docs:
-        own = shingle_set(text, 5)
         for item, t in items:
-            q = shingle_set(t, 5)
+            k = min(len(tokens(t)), 5)
+            own, q = shingle_set(text, k or 5), shingle_set(t, 5)
             if q and 100 * len(q & own) >= 80 * len(q):
                 out.append((doc, item, len(q), len(q & own)))
     return sorted(out, key=repr)
@@ -133,7 +133,8 @@ def with_items(spark):
     rng = random.Random(8)
     items = [(k, " ".join(words(rng, n))) for k, n in enumerate((5, 6, 12, 14, 30, 59, 200))] + [(90, None), (91, ""), (92, "one two"), (None, " ".join(words(rng, 20)))]
     long = words(rng, 5000)
-    extra = []
+    items += [(94, long[70]), (95, " ".join(long[2498:2500])), (96, "no\tid  AT"), (97, " ".join(long[20:24])), (98, "absent words here now")]
+    extra = [(900, "no id at", "aa"), (901, "no id", "aa"), (902, "at", None)]
     for k, (_, t) in enumerate(items):
         w = (t or "").split()
         extra.append((600 + k, " ".join(long[:2500] + w + long[2500:]), "aa"))

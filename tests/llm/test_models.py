@@ -393,3 +393,13 @@ def test_mix(spark):
     key = lambda rows: sorted(map(repr, rows))
     assert key(found) == key(mixed(docs.repartition(7)).collect())
     assert mixed(empty(spark)).count() == 0
+
+
+def test_mix_of_documents_without_ids(spark):
+    """All ids are null and most sizes equal: no group has more rows than classes, and targets are met."""
+    rows = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit(None)), (F.col("id") % 3 + 1).cast("int")).alias("source"), F.when(F.col("id") % 50 == 0, "five words are in here").otherwise("just three words").alias("text"))
+    found = mixed(rows).groupBy("source_size", "target", "size").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max("copies").alias("most"), F.min("copies").alias("least")).collect()
+    assert sum(r.n for r in found) == 30_000 and len({r.target for r in found}) == 3
+    for target in {r.target for r in found}:
+        assert abs(sum(r.taken for r in found if r.target == target) - target) <= 0.01 * target
+    assert all(r.most - r.least <= 1 and r.most <= 3 for r in found)

@@ -5,7 +5,8 @@ A test item is the set of its word shingles. A document contains it when it has
 MinHash sketch of every item, with k one more than the shingles that the range's largest item
 may miss: a document that contains the item therefore has at least k less the item's own misses
 of the sketch. A document probes the ranges whose items it is large enough to contain; items
-with enough sketch hits are then compared by all their shingles.
+with enough sketch hits are then compared by all their shingles. An item of fewer words than a shingle
+is one shingle of its own length, and is looked for among the documents' shingles of that length.
 """
 
 from __future__ import annotations
@@ -54,58 +55,74 @@ class SizeRange:
         return [(int(t), int(i)) for (t, i), n in zip(pairs, hits) if n >= self.needs[int(i)]]
 
 
-def size_partitioned(sets: list[np.ndarray], percent: int) -> list[SizeRange]:
-    size = np.array([len(s) for s in sets], np.int64)
+def size_partitioned(sets: list[np.ndarray], percent: int, of: list[int] | None = None) -> list[SizeRange]:
+    """Ranges of all sets, or of those numbered in of."""
+    of = np.arange(len(sets)) if of is None else np.array(of, np.int64)
+    size = np.array([len(sets[i]) for i in of], np.int64)
     ranges, low = [], 1
     while low <= size.max(initial=0):
         high = max(low + 1, int(low * SIZE_RATIO))
-        own = np.flatnonzero((size >= low) & (size < high)).tolist()
+        own = of[(size >= low) & (size < high)].tolist()
         if own:
             ranges.append(SizeRange(own, sets, low, high, percent))
         low = high
     return ranges
 
 
-def _hits(texts: pa.Array, ranges: list[SizeRange], sets: list[np.ndarray], shingle: int, percent: int) -> Iterator[tuple[int, int, int]]:
-    """(row, item, shingles in common) of each item that a text contains."""
-    for at, end, data, offsets in chunks(texts):
-        x, text = shingles(*words(data, offsets), shingle)
-        size = np.bincount(text, minlength=end - at)
-        cut = np.append(0, np.cumsum(size))
-        for r in ranges:
-            for t, i in r.candidates(x, text, size):
-                both = int(np.isin(sets[i], x[cut[t] : cut[t + 1]]).sum())
-                if 100 * both >= percent * len(sets[i]):
-                    yield at + t, i, both
-
-
-def _search(batches: Iterator[pa.RecordBatch], sets: list[np.ndarray], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
-    ranges = size_partitioned(sets, percent)
+class Items:
+    """Distinct item texts, the set of each one's shingles, and their size ranges by the length of these shingles."""
+
+    def __init__(self, texts: list[str], shingle: int, percent: int):
+        self.percent, self.texts, self.sets, length = percent, [], [], []
+        for t in texts:
+            n = len(words(*_one(t))[0])
+            if n:
+                length.append(min(n, shingle))
+                self.texts.append(t)
+                self.sets += shingle_sets(pa.array([t], pa.string()), length[-1])
+        self.ranges = {k: size_partitioned(self.sets, percent, [i for i, n in enumerate(length) if n == k]) for k in sorted(set(length))}
+
+    def hits(self, texts: pa.Array) -> Iterator[tuple[int, int, int]]:
+        """(row, item, shingles in common) of each item that a text contains."""
+        for at, end, data, offsets in chunks(texts):
+            h, first = words(data, offsets)
+            for k, ranges in self.ranges.items():
+                x, text = shingles(h, first, k)
+                size = np.bincount(text, minlength=end - at)
+                cut = np.append(0, np.cumsum(size))
+                for r in ranges:
+                    for t, i in r.candidates(x, text, size):
+                        both = int(np.isin(self.sets[i], x[cut[t] : cut[t + 1]]).sum())
+                        if 100 * both >= self.percent * len(self.sets[i]):
+                            yield at + t, i, both
+
+
+def _one(text: str) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(text.encode(), np.uint8)
+    return data, np.array([0, len(data)])
+
+
+def _search(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hits = list(_hits(batch.column(1), ranges, sets, shingle, percent))
+        hits = list(items.hits(batch.column(1)))
         if hits:
             row, item, common = zip(*hits)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(item, pa.int32()), pa.array(common, pa.int32())], names=["id", "item", "common"])
 
 
-def _clean(batches: Iterator[pa.RecordBatch], sets: list[np.ndarray], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
-    ranges = size_partitioned(sets, percent)
+def _clean(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         stays = np.ones(len(batch), bool)
-        stays[[row for row, _, _ in _hits(batch.column("text"), ranges, sets, shingle, percent)]] = False
+        stays[[row for row, _, _ in items.hits(batch.column("text"))]] = False
         yield batch.filter(pa.array(stays))
 
 
-def _item_blocks(items: DataFrame, shingle: int) -> Iterator[tuple[list[str], list[np.ndarray]]]:
-    """The distinct texts of items (text) and their shingle sets, in blocks of about BLOCK_BYTES of text; a text is in one of them, however often it is given."""
+def _item_blocks(items: DataFrame) -> Iterator[list[str]]:
+    """The distinct texts of items (text) in blocks of about BLOCK_BYTES of text; a text is in one of them, however often it is given."""
     texts = items.select("text").where("text is not null").distinct()
     blocks = max(1, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
     for block in range(blocks):
-        own = [r.text for r in texts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()]  # BLOCK_BYTES of text or near it
-        sets = list(shingle_sets(pa.array(own, pa.string()), shingle))
-        keep = [i for i, s in enumerate(sets) if len(s)]
-        if keep:
-            yield [own[i] for i in keep], [sets[i] for i in keep]
+        yield [r.text for r in texts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()]  # BLOCK_BYTES of text or near it
 
 
 def contained_items(docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -113,17 +130,18 @@ def contained_items(docs: DataFrame, items: DataFrame, shingle: int = 5, percent
 
     n_item counts the item's distinct shingles, n_common those in the document. Other columns
     are ignored. Distinct item texts go along in blocks of BLOCK_BYTES; each block is one pass
-    over the documents. A text with fewer words than a shingle is one shingle, so a shorter item is
-    only found in a document with exactly those words. Null or wordless texts contain
+    over the documents. An item with fewer words than a shingle is one shingle and is in every document in which its
+    words follow each other. Null or wordless texts contain
     nothing and are in nothing. Rows given twice come out twice; null ids stay null. doc_id must be an integer. Without
     documents or items there are no rows.
     """
     out = None
-    for texts, sets in _item_blocks(items, shingle):
-        found = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(
-            lambda it, sets=sets: _search(it, sets, shingle, percent), "id long, item int, common int"
-        )
-        named = docs.sparkSession.createDataFrame([(k, len(s), t) for k, (t, s) in enumerate(zip(texts, sets))], "item int, n_item long, of string")
+    for texts in _item_blocks(items):
+        own = Items(texts, shingle, percent)
+        if not own.texts:
+            continue
+        found = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(lambda it, own=own: _search(it, own), "id long, item int, common int")
+        named = docs.sparkSession.createDataFrame([(k, len(s), t) for k, (t, s) in enumerate(zip(own.texts, own.sets))], "item int, n_item long, of string")
         found = found.join(F.broadcast(named), "item").select("id", "n_item", F.col("common").cast("long").alias("n_common"), "of")  # one block of items
         out = found if out is None else out.unionByName(found)
     if out is None:
@@ -133,6 +151,7 @@ def contained_items(docs: DataFrame, items: DataFrame, shingle: int = 5, percent
 
 def decontaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs, all its columns, without the rows whose text contains an item; see contained_items. A null text stays."""
-    for _, sets in _item_blocks(items, shingle):
-        docs = docs.mapInArrow(lambda it, sets=sets: _clean(it, sets, shingle, percent), docs.schema)
+    for texts in _item_blocks(items):
+        own = Items(texts, shingle, percent)
+        docs = docs.mapInArrow(lambda it, own=own: _clean(it, own), docs.schema) if own.texts else docs
     return docs

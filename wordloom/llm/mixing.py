@@ -12,6 +12,8 @@ next document's copies.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,24 +85,28 @@ def multipliers(classes: DataFrame, targets: DataFrame, cap: float = 3.0) -> Dat
 
 
 def _rounded(group: pd.DataFrame) -> pd.DataFrame:
-    """Copies of one stratum: floor or ceiling of the rate, whichever keeps the words taken so far nearest to what is due.
+    """Copies that the n equal documents of each row take together, in one stratum: each the floor or ceiling of the rate, so that the words taken so far are nearest to what is due.
 
     What a document larger than all that follow leaves over is made up for by further copies of those, or fewer.
     """
     group = group.sort_values(["size", "key"], ascending=[False, True], kind="stable")
     copies, owed = [], 0.0
-    for size, rate, most in zip(group["size"].tolist(), group["rate"].tolist(), group["most"].tolist()):
+    for size, rate, most, n in zip(group["size"].tolist(), group["rate"].tolist(), group["most"].tolist(), group["n"].tolist()):
         low = int(rate)
-        n = low if size == 0 or low >= most else low + (owed + (rate - low) * size >= size / 2)
-        owed += (rate - n) * size
-        copies.append(n)
-    for k, (size, most) in enumerate(zip(group["size"].tolist(), group["most"].tolist())):
+        due = owed + n * (rate - low) * size
+        more = 0 if size == 0 or low >= most else min(max(math.floor(due / size + 0.5), 0), n)
+        owed = due - more * size
+        copies.append(n * low + more)
+    for k, (size, most, n) in enumerate(zip(group["size"].tolist(), group["most"].tolist(), group["n"].tolist())):
         if size and abs(owed) >= size / 2:
-            n = min(max(copies[k] + int(round(owed / size)), 0), most)
-            if abs(owed - (n - copies[k]) * size) < abs(owed):
-                owed -= (n - copies[k]) * size
-                copies[k] = n
-    return pd.DataFrame({"key": group["key"], "size": group["size"], "of": group["of"], "copies": copies})
+            total = min(max(copies[k] + int(round(owed / size)), 0), n * most)
+            if abs(owed - (total - copies[k]) * size) < abs(owed):
+                owed -= (total - copies[k]) * size
+                copies[k] = total
+    return pd.DataFrame({"key": group["key"], "size": group["size"], "of": group["of"], "n": group["n"], "total": copies})
+
+
+AT_ONCE = 1 << 16  # rows that one row gives rise to at once
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
@@ -109,7 +115,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3)
     size counts the words of the text (null: 0), source_size all words of the row's source, target
     what the mix should take of it, rate the document's tilted rate, copies how often the mix takes the document, taken = copies * size.
     Null sources are one source, the last. A document without words has rate 1 and is taken once; a source without words has
-    target 0. Rows given twice are two documents; with equal ids and sizes they are alike to the rounding. doc_id may be of any
+    target 0. Rows with equal ids and sizes are counted before they are rounded, and share their copies as evenly as these go. doc_id may be of any
     type that casts to text and back; null ids stay null. Other columns are ignored. No rows in, none out.
     """
     kind = docs.schema["doc_id"].dataType
@@ -126,7 +132,12 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3)
         F.col("doc_id").cast("string").alias("key"), "size", "of", F.when(F.col("size") > 0, rate_of(F.col("multiplier"), F.col("size"), cap)).otherwise(F.lit(1.0)).alias("rate"),
         F.lit(cap).alias("most"), F.pmod(F.xxhash64("doc_id", "size"), "strata").alias("stratum"),
     )
-    copies = rows.groupBy("of", "stratum").applyInPandas(_rounded, "key string, size long, of long, copies long")
+    rows = rows.groupBy("of", "stratum", "key", "size", "rate", "most").agg(F.count("*").alias("n"))
+    totals = rows.groupBy("of", "stratum").applyInPandas(_rounded, "key string, size long, of long, n long, total long")
+    each = totals.withColumn("many", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {AT_ONCE}"))))
+    each = each.withColumn("few", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(AT_ONCE - 1), F.col("n") - 1 - AT_ONCE * F.col("many")))))
+    nth = F.col("many") * AT_ONCE + F.col("few")
+    copies = each.select("key", "size", "of", (F.expr("total div n") + F.when(nth < F.expr("total % n"), 1).otherwise(0)).alias("copies"))
     out = copies.join(state.select("of", "source_size", "target", "multiplier"), "of")
     rate = F.when(F.col("size") > 0, rate_of(F.col("multiplier"), F.col("size"), cap)).otherwise(F.lit(1.0))
     return out.select(F.col("key").cast(kind).alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", F.round(rate, 9).alias("rate"))

@@ -41,7 +41,7 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").withColumn("held_out", ~in_training(F.col("doc_id")))
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(~in_training(F.col("doc_id")), F.lit(False)) & F.col("doc_id").isNotNull())
     found = identify_languages(docs, docs.where(in_training(F.col("doc_id"))), keep=("doc_id", "held_out"))
     return found.select(
         "doc_id", "held_out", "lang_pred", "score", F.array_join("languages", ",").alias("languages"), F.round("fit", 6).alias("fit")
@@ -114,19 +114,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-def _shingled(table: str, key: str) -> str:
-    """DuckDB SQL of (row, key, distinct 5-word shingles) of a table's texts."""
-    return f"""
-  SELECT r, {key}, list_distinct(CASE WHEN len(w) < 5 THEN CASE WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END
-    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
-  FROM (SELECT row_number() OVER () AS r, {key}, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM {table} WHERE text IS NOT NULL)"""
-
-
+_WORDS = "regexp_extract_all({text}, '[^\x20\x09-\x0D]+')".format(text=_LOW)
+#: Words of documents d and items q; an item of fewer than five words is one shingle of that many.
 _OP1_SQL = f"""
-WITH d AS ({_shingled('documents', 'doc_id')}), q AS ({_shingled('benchmark', 'item_id')}),
-d1 AS (SELECT r, doc_id, unnest(s) AS x FROM d), q1 AS (SELECT r AS i, item_id, len(s) AS n_item, unnest(s) AS x FROM q)
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+q AS (SELECT row_number() OVER () AS i, item_id, least(len(w), 5) AS k, w FROM (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL) WHERE len(w) > 0),
+q1 AS (SELECT i, item_id, k, unnest(list_distinct(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' ')))) AS x FROM q),
+n AS (SELECT i, count(*) AS n_item FROM q1 GROUP BY i),
+d1 AS (SELECT r, doc_id, k, unnest(list_distinct(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' ')))) AS x FROM d, (SELECT DISTINCT k FROM q) WHERE len(w) >= k)
 SELECT any_value(doc_id) AS doc_id, any_value(item_id) AS item_id, any_value(n_item)::BIGINT AS n_item, count(*)::BIGINT AS n_common
-FROM d1 JOIN q1 USING (x) GROUP BY r, i HAVING 100 * count(*) >= 80 * any_value(n_item)
+FROM d1 JOIN q1 USING (k, x) JOIN n USING (i) GROUP BY r, i HAVING 100 * count(*) >= 80 * any_value(n_item)
 """
 
 
