@@ -133,8 +133,8 @@ def with_items(spark):
     rng = random.Random(8)
     items = [(k, " ".join(words(rng, n))) for k, n in enumerate((5, 6, 12, 14, 30, 59, 200))] + [(90, None), (91, ""), (92, "one two"), (None, " ".join(words(rng, 20)))]
     long = words(rng, 5000)
-    items += [(94, long[70]), (95, " ".join(long[2498:2500])), (96, "no\tid  AT"), (97, " ".join(long[20:24])), (98, "absent words here now")]
-    extra = [(900, "no id at", "aa"), (901, "no id", "aa"), (902, "at", None)]
+    items += [(94, long[70]), (95, " ".join(long[2498:2500])), (96, "qq\tid  AT"), (97, " ".join(long[20:24])), (98, "absent words here now")]
+    extra = [(900, "so qq id at", "aa"), (901, "qq id", "aa"), (902, "at", None)]
     for k, (_, t) in enumerate(items):
         w = (t or "").split()
         extra.append((600 + k, " ".join(long[:2500] + w + long[2500:]), "aa"))
