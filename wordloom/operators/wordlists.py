@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import kept
 from ..sources.tables import require
 from .numbering import first_seen, numbered
 
@@ -95,7 +96,7 @@ def coverage_filter(forms: DataFrame, min_langs: int = 0, remove: tuple[str, ...
     concept is the largest number of languages in one of its rows (Q-4). Blank forms, and rows of nothing else, go.
     new_id numbers the remaining concepts in the order of concept_id, which is their order in the table.
     """
-    rows = forms.where(T.non_blank(F.col("form")) & ~F.coalesce(F.col("lang").isin(*remove), F.lit(False)))
+    rows = kept(forms.where(T.non_blank(F.col("form")) & ~F.coalesce(F.col("lang").isin(*remove), F.lit(False))), "covered")
     per_row = rows.groupBy("concept_id", "pos").agg(F.count("*").alias("n"))
     keep = per_row.groupBy("concept_id").agg(F.max("n").alias("n")).where(F.col("n") >= min_langs).select("concept_id")
     ids = numbered(keep, ["concept_id"], "new_id")

@@ -14,6 +14,7 @@ from ..operators import cognates as C
 from ..operators import lexstat as L
 from ..operators import matching as M
 from ..operators import phylo as P
+from ..operators import summaries as Z
 from ..operators import wordlists as W
 from ..sources import tables as S
 from ..sources.shared import shared_folder
@@ -300,12 +301,26 @@ _TONES_SQL = f"""SELECT form, array_to_string(list_transform(regexp_extract_all(
   lambda m: CASE WHEN contains(m, chr(769)) THEN 'H' WHEN contains(m, chr(768)) THEN 'L' WHEN contains(m, chr(770)) THEN 'R' ELSE 'U' END), '.') AS tones FROM ({X.ACCENTED})"""
 
 
-@query(_TONES_SQL)
+def _shifted_sql(table: str) -> str:
+    """S-11 in SQL: of two marks on a vowel the first belongs to the vowel before, if that has none."""
+    marks = "translate(regexp_replace(m, '[^\\x{300}\\x{301}\\x{302}\\x{304}\\x{30C}]', '', 'g'), chr(769) || chr(768) || chr(772) || chr(770) || chr(780), 'HLMRF')"
+    return f"""WITH a AS (SELECT form, list_transform(regexp_extract_all(nfd, '[{T.TONE_VOWELS}]([\\x{{300}}-\\x{{36F}}]*)', 1), lambda m: {marks}) AS t FROM ({table}))
+SELECT form, array_to_string(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN t[i] = '' AND length(coalesce(t[i + 1], '')) >= 2 THEN substr(t[i + 1], 1, 1) WHEN t[i] = '' THEN 'U'
+  WHEN length(t[i]) >= 2 AND i > 1 AND t[i - 1] = '' THEN substr(t[i], 2, 1) ELSE substr(t[i], -1, 1) END), '.') AS tones FROM a"""
+
+
+@query(_shifted_sql(f"SELECT form, {X.nfd_sql('form')} AS nfd FROM ({X.ACCENTED})"))
 def tone_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-11, WI-6."""
     return X.accented(spark, sf_dir).select("form", T.pattern(T.tones(F.col("form"))).alias("tones"))
 
 
+@query(_shifted_sql(X.TWICE_MARKED))
+def tone_patterns_shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S-11, WI-6: of words with two marks on a vowel."""
+    return X.twice_marked(spark, sf_dir).select("form", T.pattern(T.tones(F.col("nfd"))).alias("tones"))
+
+
 @query(_TONES_SQL)
 def tone_patterns_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S-12."""
@@ -677,3 +692,99 @@ def match_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def review_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RV-1, FI-5: decisions on fuzzy matches and concepts without one."""
     return M.apply_review(M.match_concepts(X.concepts(spark, sf_dir), X.meanings(spark, sf_dir)), X.meanings(spark, sf_dir), _decisions(spark, sf_dir))
+
+
+_MATCHED = """SELECT p_name || ' ' || p_partkey AS concept, p_partkey % 1000 AS concept_id, p_partkey AS row_idx, CASE WHEN p_partkey % 3 <> 2 THEN p_size END::BIGINT AS id, CASE WHEN p_partkey % 3 <> 2 THEN p_type END AS name,
+  CASE WHEN p_partkey % 3 <> 2 AND p_size % 4 <> 0 THEN p_size / 50.0::DOUBLE END AS score, CASE p_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 ELSE 0.0 END::DOUBLE AS match_score,
+  CASE p_partkey % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'fuzzy' ELSE 'no_match' END AS method FROM part"""
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of all three kinds, one for each part."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    found = k % 3 != 2
+    return X.table(spark, sf_dir, "part").select(
+        F.concat("p_name", F.lit(" "), k.cast("string")).alias("concept"), (k % 1000).alias("concept_id"), k.alias("row_idx"), F.when(found, size.cast("long")).alias("id"), F.when(found, F.col("p_type")).alias("name"),
+        F.when(found & (size % 4 != 0), size / 50).alias("score"), F.when(k % 3 == 0, 1.0).when(k % 3 == 1, 0.9).otherwise(0.0).alias("match_score"), F.when(k % 3 == 0, "exact").when(k % 3 == 1, "fuzzy").otherwise("no_match").alias("method"),
+    )
+
+
+@query(f"""SELECT count(*) AS total, count(*) FILTER (method = 'exact') AS n_exact, count(*) FILTER (method = 'fuzzy') AS n_fuzzy, count(*) FILTER (method = 'no_match') AS n_unmatched, count(score) AS n_scored,
+  round(100.0 * count(*) FILTER (method = 'exact') / count(*), 6) AS pct_exact, round(100.0 * count(*) FILTER (method <> 'no_match') / count(*), 6) AS pct_matched FROM ({_MATCHED})""")
+def match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG-6, FI-6: the summary of matches of all kinds."""
+    return M.match_summary(_matched(spark, sf_dir))
+
+
+@query(f"""WITH t AS ({_MATCHED}), m AS ({X.MEANINGS}),
+e AS (SELECT p_partkey AS row_at, CASE WHEN p_partkey % 1999 = 1998 THEN 'q' WHEN p_partkey % 2 = 0 THEN '' WHEN p_partkey % 5 = 0 THEN 'n' ELSE 's' END AS action,
+  lower(CASE WHEN p_partkey % 6 = 1 THEN '^' || string_split(p_name, ' ')[1] ELSE (p_partkey % 5)::VARCHAR END) AS query, p_partkey % 4 + 1 AS selection FROM part),
+f AS (SELECT t.*, action, query, selection, method <> 'exact' AND row_idx < coalesce((SELECT min(row_at) FROM e WHERE action = 'q'), 1e18) AS open FROM t JOIN e ON row_idx = row_at),
+h AS (SELECT f.row_idx, m.id, m.name, m.score, row_number() OVER (PARTITION BY f.row_idx ORDER BY m.id) AS nth, selection
+  FROM f JOIN m ON CASE WHEN regexp_matches(query, '^[0-9]+$') THEN m.id::VARCHAR = query ELSE regexp_matches(lower(m.name), query) END WHERE open AND action = 's'),
+g AS (SELECT row_idx, id AS id2, name AS name2, score AS score2 FROM h WHERE nth = selection)
+SELECT concept, concept_id, row_idx, CASE WHEN id2 IS NOT NULL THEN id2 WHEN open AND action = 'n' THEN NULL ELSE id END AS id, CASE WHEN id2 IS NOT NULL THEN name2 WHEN open AND action = 'n' THEN NULL ELSE name END AS name,
+  CASE WHEN id2 IS NOT NULL THEN score2 WHEN open AND action = 'n' THEN NULL ELSE score END AS score, CASE WHEN id2 IS NOT NULL THEN 1.0 ELSE match_score END::DOUBLE AS match_score,
+  CASE WHEN open AND action = 'n' THEN 'manual_no_match' WHEN id2 IS NOT NULL THEN 'manual' WHEN open AND action = '' AND method = 'fuzzy' THEN 'fuzzy_accepted' ELSE method END AS method FROM f LEFT JOIN g USING (row_idx)""")
+def review_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RV-1, FI-5, FI-8, FI-9, JO-11, LI-2: decisions on matches of all kinds, fuzzy ones accepted, refused and replaced."""
+    k = F.col("p_partkey")
+    action = F.when(k % 1999 == 1998, "q").when(k % 2 == 0, "").when(k % 5 == 0, "N").otherwise("s")
+    find = F.when(k % 6 == 1, F.concat(F.lit("^"), F.substring_index("p_name", " ", 1))).otherwise((k % 5).cast("string"))
+    decisions = X.table(spark, sf_dir, "part").select(k.alias("row_idx"), action.alias("action"), find.alias("query"), (k % 4 + 1).cast("int").alias("selection"))
+    return M.apply_review(_matched(spark, sf_dir), X.meanings(spark, sf_dir), decisions)
+
+
+_CLUSTERS = "SELECT p_size * 30 + regexp_extract(p_brand, '([0-9]+)', 1)::BIGINT AS cogid, p_partkey % 5 AS cluster, count(*) AS n FROM part WHERE p_partkey % 3 <> 0 GROUP BY ALL"
+_DECIDED = f"""s AS (SELECT DISTINCT p_size * 30 + regexp_extract(p_brand, '([0-9]+)', 1)::BIGINT AS cogid FROM part), c AS ({_CLUSTERS}),
+d AS (SELECT s.cogid, coalesce(sum(n), 0)::BIGINT AS n_toned, count(n) AS n_clusters, count(*) FILTER (n >= 2) AS n_large FROM s LEFT JOIN c USING (cogid) GROUP BY 1),
+e AS (SELECT *, CASE WHEN n_toned < 3 THEN 'no_tone_data' WHEN n_clusters <= 1 OR n_large = 0 THEN 'keep' WHEN n_large BETWEEN 2 AND 3 THEN 'split' ELSE 'review' END AS decision FROM d)"""
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on clusters that the table has: a set is a size and brand, a cluster the parts of it that leave the same remainder."""
+    part = X.table(spark, sf_dir, "part").withColumn("cogid", F.col("p_size") * 30 + F.regexp_extract("p_brand", "([0-9]+)", 1).cast("long"))
+    clusters = part.where("p_partkey % 3 <> 0").groupBy("cogid", (F.col("p_partkey") % 5).alias("cluster")).agg(F.count("*").alias("n"))
+    return C.split_decisions(clusters, part.select("cogid").distinct())
+
+
+@query(f"WITH {_DECIDED} SELECT * FROM e")
+def split_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CL-2, AG-14: of sets whose clusters are given."""
+    return _decided(spark, sf_dir)
+
+
+@query(f"WITH {_DECIDED}, k AS (SELECT unnest(['keep', 'split', 'review', 'no_tone_data']) AS decision) SELECT decision, count(cogid) AS n, round(100.0 * count(cogid) / (SELECT count(*) FROM e), 6) AS pct FROM k LEFT JOIN e USING (decision) GROUP BY 1")
+def decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG-13."""
+    return C.decision_counts(_decided(spark, sf_dir))
+
+
+@query(f"""WITH {_DECIDED}, m AS (SELECT p_size * 30 + regexp_extract(p_brand, '([0-9]+)', 1)::BIGINT AS cogid, p_partkey % 5 AS cluster FROM part),
+n AS (SELECT cogid, decision, CASE WHEN decision = 'split' AND cluster > 0 THEN 100000 + cogid * 5 + cluster ELSE cogid END AS new_cogid FROM m JOIN e USING (cogid))
+SELECT cogid, decision, count(*) AS n_members, string_agg(DISTINCT new_cogid::VARCHAR, ',' ORDER BY new_cogid::VARCHAR) AS new_cogids FROM n GROUP BY ALL""".replace("string_agg(DISTINCT new_cogid::VARCHAR, ',' ORDER BY new_cogid::VARCHAR)", "array_to_string(list_sort(list(DISTINCT new_cogid)), ',')"))
+def split_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG-15, SE-4, D12: the ids that members of each set have after a split that is given."""
+    part = X.table(spark, sf_dir, "part").withColumn("cogid", F.col("p_size") * 30 + F.regexp_extract("p_brand", "([0-9]+)", 1).cast("long"))
+    rows = part.select("cogid", (F.col("p_partkey") % 5).alias("cluster")).join(_decided(spark, sf_dir).select("cogid", "decision"), "cogid")
+    moved = F.when((F.col("decision") == "split") & (F.col("cluster") > 0), 100_000 + F.col("cogid") * 5 + F.col("cluster")).otherwise(F.col("cogid"))
+    return C.split_details(rows.withColumn("new_cogid", moved))
+
+
+@query(f"""WITH m AS ({_MATCHED}), a AS (SELECT form, n, {X.nfc_sql(_UNTONED)} AS plain FROM ({X.ACCENTED})), c AS (SELECT concept_id, pos, count(*) AS n FROM ({X.POSITIONED}) WHERE trim(form) <> '' GROUP BY ALL),
+r AS (SELECT 'matches' AS summary, unnest(['total', 'n_exact', 'n_fuzzy', 'n_scored']) AS metric, unnest([count(*), count(*) FILTER (method = 'exact'), count(*) FILTER (method = 'fuzzy'), count(score)]) AS value FROM m
+UNION ALL SELECT 'tones', unnest(['words', 'changed']), unnest([sum(n), coalesce(sum(n) FILTER (form <> plain), 0)]) FROM a
+UNION ALL SELECT 'coverage', unnest(['n_rows', 'min_langs', 'max_langs', 'n_forms', 'n_concepts', 'most_synonyms']), unnest([count(*), min(n), max(n), sum(n), count(*) FILTER (pos = 0), max(pos) + 1]) FROM c)
+SELECT summary, metric, value::BIGINT AS value FROM r""")
+def written_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SK-8, AG-3, AG-5, AG-6, AG-16: figures of three tables, each taken by the job that writes it."""
+    wide = _positioned(spark, sf_dir).where(T.non_blank(F.col("form"))).groupBy("concept_id", "pos").agg(F.count("*").alias("n"))
+    tables = {
+        "matches": (_matched(spark, sf_dir), Z.match_metrics()), "tones": (Z.stripped(X.accented(spark, sf_dir)), Z.tone_metrics()), "coverage": (wide, Z.coverage_metrics()),
+    }
+    rows = []
+    for name, (df, metrics) in tables.items():
+        path = _files(spark, name)
+        found = Z.written(df, lambda x, path=path: x.write.parquet(path), metrics)
+        rows += [(name, metric, int(value or 0)) for metric, value in found.items()]
+    return spark.createDataFrame(rows, "summary string, metric string, value long")

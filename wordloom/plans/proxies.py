@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.unicode import nfd
 
 SOURCES = [f"src{k}" for k in range(20)]
 CODES = ["it", "as", "in", "ti", "el", "as", "le", "en", "un", "la", "de", "th"]
@@ -114,6 +115,15 @@ def nfc_sql(x: str) -> str:
     return x
 
 
+def twice_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(form, nfd): the words of accented, decomposed, with a second mark after each acute, grave or circumflex."""
+    twice = F.regexp_replace(F.regexp_replace(nfd(F.col("form")), "([\\x{300}\\x{302}])", "$1\u0301"), "(?<![\\x{300}\\x{302}])\u0301", "\u0301\u0300")
+    return accented(spark, sf_dir).select("form", twice.alias("nfd"))
+
+
+TWICE_MARKED = f"""SELECT form, replace(replace(replace(replace({nfd_sql('form')}, chr(769), '#'), chr(768), chr(768) || chr(769)), chr(770), chr(770) || chr(769)), '#', chr(769) || chr(768)) AS nfd FROM ({ACCENTED})"""  # words are letters, so none has a #
+
+
 WORDS = 1_000_000  # of a customer, at most
 
 
