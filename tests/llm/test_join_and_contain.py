@@ -94,6 +94,24 @@ def test_work_grows_with_the_texts(spark, monkeypatch):
     assert found[1000] <= max(2 * found[500], 100)
 
 
+def test_work_grows_with_texts_whose_shingles_recur(spark, monkeypatch):
+    """Texts of 100 of 25 words share prefix shingles with many others, so a family is the table: twice the texts make about twice the sets in trees."""
+    monkeypatch.setattr(N, "LEAVES", 64)
+    made, trees = [], N._trees
+    monkeypatch.setattr(N, "_trees", lambda rows, threshold: made.append(rows.count()) or trees(rows, threshold))
+    rng = random.Random(7)
+    vocabulary = words(rng, 25)
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(100)) for _ in range(3000)]
+    texts[700], texts[2900] = texts[5] + " more", texts[5]
+    found = {}
+    for n in (1500, 3000):
+        made.clear()
+        rows = N.ngram_jaccard_join(spark.createDataFrame(list(enumerate(texts[:n])), "doc_id long, text string"), 3, 90).collect()
+        assert {r.doc_id: r.component_id for r in rows if r.doc_id != r.component_id} == {k: 5 for k in (700, 2900) if k < n}
+        found[n] = sum(made)
+    assert made and found[3000] <= 2.2 * found[1500] <= 2.2 * 16 * 1500
+
+
 def test_join_of_a_driver_table(spark):
     """Against brute force on all pairs: recall and precision 1."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")

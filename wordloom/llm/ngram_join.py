@@ -14,9 +14,11 @@ A document is the set of its distinct word shingles; two link when
    when the largest possible overlap, the bits both have and the shingles that share a bit, is
    too small. Pairs of leaves already in one component are passed over; the rest are compared exactly.
 4. A family beyond LEAVES sets is cut into trees of that size. Each tree is joined with itself;
-   then one set of each component found goes on to further trees, and at last every set outside
-   its family's largest component meets the sets of near size in all the other trees. So no task holds a whole large
-   family, copies are not expanded into pairs, and no link between components is lost.
+   then one set of each component found goes on to further trees. What links are then left lie between sets of different components
+   that share a prefix shingle, so the last trees are those of single shingles: the sets that have one in their prefix, where these are of several
+   components. Work follows the lengths of prefixes, not families, which may be the whole table where shingles recur. The sets of a shingle that
+   more than LEAVES have are dealt by size, and each one outside the shingle's largest component meets those of near size.
+   So no task holds a whole large family or list, copies are not expanded into pairs, and no link between components is lost.
 
 Texts and shingles are known by 64-bit hashes. Two texts of one hash count as equal.
 """
@@ -127,8 +129,8 @@ def _prefixes(block: pd.DataFrame, answers: pd.DataFrame, shingle: int, bits: in
     return pd.concat(out)
 
 
-def families(texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    """(node, label): hashes of texts (h, text) that share a prefix shingle, directly or by others, and their family.
+def families(texts: DataFrame, shingle: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """((node, label), (x, h)): hashes of texts (h, text) that share a prefix shingle, directly or by others, and their family; the prefix shingles of each.
 
     Questions and blocks are two passes over texts that must see the same partitions; where texts has a shuffle, it is kept first.
     """
@@ -143,7 +145,7 @@ def families(texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
     found = kept(found, "prefixes")
     heads = found.groupBy("x").agg(F.min("h").alias("head"), F.max("h").alias("last")).where("head < last").select("x", "head")
     links = found.join(kept(heads, "heads"), "x").where("h <> head").select(F.col("head").alias("a"), F.col("h").alias("b"))
-    return components(links)
+    return components(links), found
 
 
 class SignatureTree:
@@ -271,7 +273,7 @@ def _trees(rows: DataFrame, threshold: int) -> DataFrame:
 
 def linked(texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
     """(h, label) for the text hashes that have links; h - label is the component. texts: (h, text)."""
-    family = families(texts, shingle, threshold)
+    family, prefixes = families(texts, shingle, threshold)
     near = texts.join(looked_up(family, "families"), texts.h == F.col("node"))
     rows = near.groupBy("h", F.col("label").alias("family")).agg(F.first("text").alias("text"))  # equal texts of a task are one
     rows = rows.select("family", "h", "text")
@@ -282,7 +284,7 @@ def linked(texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
     links = first.select(F.col("h").alias("a"), F.col("new").alias("b"))
     large = sets.where("chunks > 1").drop("chunks")
     if not large.isEmpty():
-        links = links.unionByName(_large(large, links, first.where("best").select("h"), threshold))
+        links = links.unionByName(_large(large, prefixes, links, first.where("best").select("h"), threshold))
     return components(links)
 
 
@@ -297,8 +299,8 @@ def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
     return sets.join(label, sets.h == F.col("node"), "left").drop("node").withColumn("label", F.coalesce("label", "h"))
 
 
-def _large(sets: DataFrame, links: DataFrame, best: DataFrame, threshold: int) -> DataFrame:
-    """Links between the trees of families of more than LEAVES sets."""
+def _large(sets: DataFrame, prefixes: DataFrame, links: DataFrame, best: DataFrame, threshold: int) -> DataFrame:
+    """Links between the trees of families of more than LEAVES sets. prefixes: (x, h)."""
     found = links.limit(0)
     for salt in (1, 2):  # one set of each component, dealt into trees again
         own = _counted(_labelled(sets.join(looked_up(best, "best"), "h", "left_semi"), links.unionByName(found)))
@@ -306,30 +308,43 @@ def _large(sets: DataFrame, links: DataFrame, best: DataFrame, threshold: int) -
         step = kept(_trees(own.select(tree.alias("tree"), "h", "label", "set", F.lit(True).alias("side")), threshold), "joined")
         found = found.unionByName(step.select(F.col("label").alias("a"), F.col("new").alias("b")))
         best = step.where("best").select("h")
-    # every set outside its family's largest component meets every other set of the family
-    own = _labelled(sets, links.unionByName(found))
-    share = own.groupBy("family", "label").agg(F.count("*").alias("n"))
-    main = share.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts"))
-    own = own.join(looked_up(main.where("parts > 1"), "main"), "family").withColumn("side", F.col("label") != F.col("main"))
-    # sets are dealt by size, and meet those of sizes that can link
-    own = own.withColumn("z", F.floor(F.log(F.octet_length("set") / 8) / math.log(SIZE_STEP)).cast("int"))
+    own = kept(_labelled(sets, links.unionByName(found)).select("h", "label", "set"), "labelled")
+    rows = _posted(own, prefixes, threshold).join(own.select("h", "set").hint("merge"), "h")
+    step = kept(_trees(rows, threshold), "joined")
+    return found.unionByName(step.select(F.col("label").alias("a"), F.col("new").alias("b")))
+
+
+def _posted(own: DataFrame, prefixes: DataFrame, threshold: int) -> DataFrame:
+    """(tree, h, label, side) of sets (h, label, set): those with a shingle x in their prefixes (x, h) are a tree, if they are of several components.
+
+    Sets of the shingle's largest component have side False, as they needn't meet each other. A shingle of more than LEAVES sets has several trees: its sets are
+    dealt by size, and those of side True go along with all of the sizes that can link.
+    """
+    posted = kept(prefixes.distinct().join(own.select("h", "label", F.octet_length("set").alias("bytes")).hint("merge"), "h"), "posted")
+    share = posted.groupBy("x", "label").agg(F.count("*").alias("n"))
+    main = share.groupBy("x").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1")
+    main = kept(main.select(F.col("x").alias("of"), "main", "n"), "main").hint("merge")
+    posted = posted.join(main, F.col("x") == F.col("of")).drop("of").withColumn("side", F.col("label") != F.col("main"))
+    posted = kept(posted.withColumn("z", F.floor(F.log(F.col("bytes") / 8) / math.log(SIZE_STEP)).cast("int")), "posted")
+    small = posted.where(F.col("n") <= LEAVES).select(F.xxhash64("x").alias("tree"), "h", "label", "side")
+    long = posted.where(F.col("n") > LEAVES)
+    if long.isEmpty():
+        return small
     reach = int(math.log(100 / threshold) / math.log(SIZE_STEP)) + 1
-    counts = own.groupBy(F.col("family").alias("of"), F.col("z").alias("size")).agg(
+    counts = long.groupBy(F.col("x").alias("of"), F.col("z").alias("size")).agg(
         F.ceil(F.count("*") / LEAVES).cast("int").alias("chunks"), F.ceil(F.count_if("side") / (LEAVES // 2)).cast("int").alias("blocks")
     )
     counts = looked_up(counts, "counts")
-    there = lambda rows, size: rows.join(counts, (F.col("family") == F.col("of")) & (F.col(size) == F.col("size"))).drop("of", "size")
+    there = lambda rows, size: rows.join(counts, (F.col("x") == F.col("of")) & (F.col(size) == F.col("size"))).drop("of", "size")
     near = F.explode(F.sequence(F.col("z") - reach, F.col("z") + reach))
     hashed = lambda salt, n: F.pmod(F.xxhash64(F.col("h"), F.lit(salt)), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    every = there(own, "z").withColumn("chunk", hashed(3, F.col("chunks"))).drop("chunks", "blocks").withColumns({"ze": F.col("z"), "zo": near})
+    every = there(long, "z").withColumn("chunk", hashed(3, F.col("chunks"))).drop("chunks", "blocks").withColumns({"ze": F.col("z"), "zo": near})
     every = there(every, "zo").where("blocks > 0").withColumn("block", each("blocks"))
-    asked = there(own.where("side"), "z").withColumn("block", hashed(4, F.col("blocks"))).drop("chunks", "blocks").withColumns({"zo": F.col("z"), "ze": near})
+    asked = there(long.where("side"), "z").withColumn("block", hashed(4, F.col("blocks"))).drop("chunks", "blocks").withColumns({"zo": F.col("z"), "ze": near})
     asked = there(asked, "ze").withColumn("chunk", each("chunks"))
-    cols = [F.xxhash64("family", "ze", "chunk", "zo", "block").alias("tree"), "h", "label", "set"]
-    rows = every.select(*cols, F.lit(False).alias("side")).unionByName(asked.select(*cols, F.lit(True).alias("side")))
-    step = kept(_trees(rows, threshold), "joined")
-    return found.unionByName(step.select(F.col("label").alias("a"), F.col("new").alias("b")))
+    cols = [F.xxhash64("x", "ze", "chunk", "zo", "block").alias("tree"), "h", "label"]
+    return small.unionByName(every.select(*cols, F.lit(False).alias("side"))).unionByName(asked.select(*cols, F.lit(True).alias("side")))
 
 
 def shingle_counts(column: pa.Array, k: int) -> list[int]:
