@@ -108,17 +108,29 @@ def accumulate(table: SlotTable, parent: np.ndarray, *counts: np.ndarray) -> Non
 def ordered_turns(conversations: DataFrame) -> DataFrame:
     """(conv_id, pos, words, lo, hi): turns numbered 1, 2, ... by turn (null first), then role and text; equal rows stand next to each other.
 
-    Equal rows are counted before anything is sorted, so that a conversation that repeats one turn is no single range.
+    Equal rows are counted before anything is sorted, so that a conversation that repeats one turn is no single range. Texts go along only
+    where turns of one number differ, as nothing else needs them to be ordered.
     """
     c = conversations
     rows = c.where(c["conv_id"].isNotNull()).select("conv_id", "turn", *(F.coalesce(c[x].cast("string"), F.lit("")).alias(x) for x in ("role", "text")))
-    rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
-    rows = rows.withColumn("many", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}"))))
-    rows = rows.withColumn("few", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(COPIES - 1), F.col("n") - 1 - COPIES * F.col("many")))))
-    rows = numbered(rows.drop("n"), ["conv_id", F.col("turn").asc_nulls_first(), "role", "text", "many", "few"], "pos", within="conv_id")
     digest = F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text").cast("binary"))
-    half = [F.conv(F.substring(digest, k, 16), 16, -10).cast("long") for k in (1, 17)]
-    return rows.select("conv_id", "pos", n_words(F.col("text")).cast("long").alias("words"), half[0].alias("lo"), half[1].alias("hi"))
+    half = lambda k: F.conv(F.substring(digest, k, 16), 16, -10).cast("long")
+    rows = rows.withColumns({"lo": half(1), "hi": half(17), "words": n_words(F.col("text")).cast("long")})
+    key = ["conv_id", "turn", "lo", "hi"]
+    own = kept(rows.groupBy(*key, "words").agg(F.count("*").alias("n")), "turns")
+    tied = own.groupBy("conv_id", "turn").agg(F.count("*").alias("differ")).where("differ > 1")
+    if tied.isEmpty():
+        own = own.withColumns({"role": F.lit(None).cast("string"), "text": F.lit(None).cast("string")})
+    else:
+        tied = tied.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"))
+        texts = rows.join(tied, (F.col("conv_id") == F.col("c")) & F.col("turn").eqNullSafe(F.col("t")), "left_semi").select(*key, "role", "text").distinct()
+        texts = texts.toDF("c", "t", "l", "h", "role", "text")
+        same = (F.col("conv_id") == F.col("c")) & F.col("turn").eqNullSafe(F.col("t")) & (F.col("lo") == F.col("l")) & (F.col("hi") == F.col("h"))
+        own = own.join(texts, same, "left").drop("c", "t", "l", "h")
+    own = own.withColumn("many", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}"))))
+    own = own.withColumn("few", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(COPIES - 1), F.col("n") - 1 - COPIES * F.col("many")))))
+    rows = numbered(own.drop("n"), ["conv_id", F.col("turn").asc_nulls_first(), "role", "text", "many", "few"], "pos", within="conv_id")
+    return rows.select("conv_id", "pos", "words", "lo", "hi")
 
 
 def rebuilt(turns: DataFrame, family: int = 20, borrowed: int = 4) -> DataFrame:
