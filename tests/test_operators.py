@@ -16,6 +16,7 @@ from wordloom.operators import matching as M
 from wordloom.operators import numbering as N
 from wordloom.operators import patterns
 from wordloom.operators import phylo as P
+from wordloom.operators import summaries
 from wordloom.operators import wordlists as W
 from wordloom.operators.linkage import condensed, merge_tree
 from wordloom.operators.patterns import Automaton
@@ -478,3 +479,19 @@ def test_a_comb_takes_few_rounds(spark):
     assert len(found) == 2 * levels + 1 and took < 90
     with pytest.raises(ValueError, match="ancestors"):
         P.doubled(spark.createDataFrame([(1, 2, 0), (2, 1, 0)], "node_id long, parent_id long, n long"), ("n",), ())
+
+
+def test_kept_tables_are_cleared(spark):
+    from wordloom.sources import shared
+
+    table = kept(spark.range(3), "some")
+    path = table.inputFiles()[0].rsplit("/", 1)[0]
+    assert table.count() == 3 and S.exists(spark, path)
+    assert shared.cleared(spark) >= 1 and not S.exists(spark, path) and shared.cleared(spark) == 0
+
+
+def test_figures_of_the_job_that_writes(spark, tmp_path):
+    rows = [(f"c{k}", None if k % 4 == 0 else 0.5, ("exact", "fuzzy", "no_match")[k % 3]) for k in range(30)]
+    df = spark.createDataFrame(rows, "concept string, score double, method string")
+    found = summaries.written(df, lambda x: x.write.parquet(str(tmp_path / "m")), summaries.match_metrics())
+    assert found == {"total": 30, "n_exact": 10, "n_fuzzy": 10, "n_scored": 22} and spark.read.parquet(str(tmp_path / "m")).count() == 30

@@ -19,6 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_KEPT: list[str] = []  # where this process's kept tables are
 BATCH_BYTES = 8 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -33,6 +34,7 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends, and lost executors cost no rerun."""
     bounded_batches(df.sparkSession)
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _KEPT.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -43,5 +45,17 @@ def dropped(df: DataFrame) -> None:
     folder = shared_folder(spark)
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if path.replace("file:///", "file:/").startswith(folder.replace("file:///", "file:/")):
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
+
+
+def cleared(spark: SparkSession) -> int:
+    """Deletes all tables that this process has kept, and gives their number. For when every result that reads them has been written."""
+    n = len(_KEPT)
+    while _KEPT:
+        _delete(spark, _KEPT.pop())
+    return n
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
