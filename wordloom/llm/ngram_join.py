@@ -15,9 +15,9 @@ A document is the set of its distinct word shingles; two link when
    too small. Pairs of leaves already in one component are passed over; the rest are compared exactly.
 4. A family beyond LEAVES sets is cut into trees of that size. Each tree is joined with itself;
    then one set of each component found goes on to further trees. What links are then left lie between sets of different components
-   that share a prefix shingle, so the last trees are those of single shingles: the sets that have one in their prefix, where these are of several
-   components. Work follows the lengths of prefixes, not families, which may be the whole table where shingles recur. The sets of a shingle that
-   more than LEAVES have are dealt by size, and each one outside the shingle's largest component meets those of near size.
+   that share a prefix shingle and are of near size. A shingle that few such sets have makes pairs of them, which are compared once however many
+   shingles they share; other shingles make the last trees. Work follows the lengths of prefixes, not families, which may be the whole table where
+   shingles recur. The sets of a shingle that more than LEAVES have are dealt by size, and each one outside the shingle's largest component meets those of near size.
    So no task holds a whole large family or list, copies are not expanded into pairs, and no link between components is lost.
 
 Texts and shingles are known by 64-bit hashes. Two texts of one hash count as equal.
@@ -46,6 +46,7 @@ BLOCK_BYTES = 6 << 20  # of text in memory at once
 SPARE_BITS = 6  # of a fingerprint, beyond what numbers the table's shingles: so few of them collide
 LEAVES = 512  # sets in one tree at most
 FANOUT = 8
+FEW = 8  # sets with a prefix shingle in common that are compared in pairs
 SIZE_STEP = 1.1  # ratio of the sizes by which a large family's sets are dealt at last
 
 
@@ -309,28 +310,70 @@ def _large(sets: DataFrame, prefixes: DataFrame, links: DataFrame, best: DataFra
         found = found.unionByName(step.select(F.col("label").alias("a"), F.col("new").alias("b")))
         best = step.where("best").select("h")
     own = kept(_labelled(sets, links.unionByName(found)).select("h", "label", "set"), "labelled")
-    rows = _posted(own, prefixes, threshold).join(own.select("h", "set").hint("merge"), "h")
+    posted = _posted(own, prefixes, threshold)
+    found = found.unionByName(_paired(posted.where(F.col("n") <= FEW), own, threshold))
+    rows = _dealt(posted.where(F.col("n") > FEW), threshold).join(own.select("h", "set").hint("merge"), "h")
     step = kept(_trees(rows, threshold), "joined")
     return found.unionByName(step.select(F.col("label").alias("a"), F.col("new").alias("b")))
 
 
+def _reach(threshold: int) -> int:
+    """How many size zones apart two sets that link may be."""
+    return int(math.log(100 / threshold) / math.log(SIZE_STEP)) + 1
+
+
 def _posted(own: DataFrame, prefixes: DataFrame, threshold: int) -> DataFrame:
-    """(tree, h, label, side) of sets (h, label, set): those with a shingle x in their prefixes (x, h) are a tree, if they are of several components.
+    """(x, h, label, m, z, n) of sets (h, label, set): their size m and zone of size z, for each shingle x of a prefix (x, h) that a set of another component and near size has, too.
+
+    n is how many such sets x has.
+    """
+    sized = own.select("h", "label", F.expr("octet_length(set) div 8").alias("m"))
+    sized = sized.withColumn("z", F.floor(F.log("m") / math.log(SIZE_STEP)).cast("int"))
+    posted = kept(prefixes.distinct().join(sized.hint("merge"), "h"), "posted")
+    near = F.explode(F.sequence(F.col("z") - _reach(threshold), F.col("z") + _reach(threshold))).alias("at")
+    zones = posted.groupBy("x", "z").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    around = zones.select("x", near, "low", "high").groupBy("x", "at").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
+    posted = kept(posted.join(around.select(F.col("x").alias("of"), "at"), (F.col("x") == F.col("of")) & (F.col("z") == F.col("at"))).drop("of", "at"), "posted")
+    n = posted.groupBy(F.col("x").alias("of")).agg(F.count("*").alias("n"))
+    return kept(posted.join(kept(n, "lists").hint("merge"), F.col("x") == F.col("of")).drop("of"), "posted")
+
+
+def _paired(posted: DataFrame, own: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): links of sets of two components that have a shingle of FEW sets at most in common."""
+    lists = posted.groupBy("x").agg(F.collect_list(F.struct("h", "label", "m")).alias("sets"))
+    pairs = lists.select(F.explode("sets").alias("p"), "sets").select("p", F.explode("sets").alias("q")).where("p.h < q.h and p.label <> q.label")
+    pairs = pairs.where((100 * F.col("p.m") >= threshold * F.col("q.m")) & (100 * F.col("q.m") >= threshold * F.col("p.m")))
+    pairs = kept(pairs.select(F.col("p.h").alias("g"), F.col("q.h").alias("h"), F.col("p.label").alias("a"), F.col("q.label").alias("b")).distinct(), "pairs")
+    left = own.select(F.col("h").alias("g"), F.col("set").alias("one"))
+    both = pairs.join(left.hint("merge"), "g").join(own.select("h", F.col("set").alias("other")).hint("merge"), "h").select("a", "b", "one", "other")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+                common = _overlap(x, y)
+                keep.append(100 * common >= threshold * (len(x) + len(y) - common))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return kept(both.mapInArrow(compared, "a long, b long"), "compared")
+
+
+def _dealt(posted: DataFrame, threshold: int) -> DataFrame:
+    """(tree, h, label, side) of rows of _posted: the sets of a shingle are a tree.
 
     Sets of the shingle's largest component have side False, as they needn't meet each other. A shingle of more than LEAVES sets has several trees: its sets are
     dealt by size, and those of side True go along with all of the sizes that can link.
     """
-    posted = kept(prefixes.distinct().join(own.select("h", "label", F.octet_length("set").alias("bytes")).hint("merge"), "h"), "posted")
-    share = posted.groupBy("x", "label").agg(F.count("*").alias("n"))
-    main = share.groupBy("x").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1")
-    main = kept(main.select(F.col("x").alias("of"), "main", "n"), "main").hint("merge")
-    posted = posted.join(main, F.col("x") == F.col("of")).drop("of").withColumn("side", F.col("label") != F.col("main"))
-    posted = kept(posted.withColumn("z", F.floor(F.log(F.col("bytes") / 8) / math.log(SIZE_STEP)).cast("int")), "posted")
+    share = posted.groupBy("x", "label").agg(F.count("*").alias("k"))
+    main = share.groupBy("x").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
+    main = kept(main.select(F.col("x").alias("of"), "main"), "main").hint("merge")
+    posted = kept(posted.join(main, F.col("x") == F.col("of")).drop("of").withColumn("side", F.col("label") != F.col("main")), "posted")
     small = posted.where(F.col("n") <= LEAVES).select(F.xxhash64("x").alias("tree"), "h", "label", "side")
     long = posted.where(F.col("n") > LEAVES)
     if long.isEmpty():
         return small
-    reach = int(math.log(100 / threshold) / math.log(SIZE_STEP)) + 1
+    reach = _reach(threshold)
     counts = long.groupBy(F.col("x").alias("of"), F.col("z").alias("size")).agg(
         F.ceil(F.count("*") / LEAVES).cast("int").alias("chunks"), F.ceil(F.count_if("side") / (LEAVES // 2)).cast("int").alias("blocks")
     )
