@@ -96,6 +96,7 @@ def test_work_grows_with_the_texts(spark, monkeypatch):
 
 def test_work_grows_with_texts_whose_shingles_recur(spark, monkeypatch):
     """Texts of 100 of 25 words share prefix shingles with many others, so a family is the table: twice the texts make about twice the sets in trees."""
+    monkeypatch.setattr(N, "FEW", 1)  # no pairs, so that all sets are counted
     monkeypatch.setattr(N, "LEAVES", 64)
     made, trees = [], N._trees
     monkeypatch.setattr(N, "_trees", lambda rows, threshold: made.append(rows.count()) or trees(rows, threshold))
