@@ -14,10 +14,11 @@ A document is the set of its distinct word shingles; two link when
    when the largest possible overlap, the bits both have and the shingles that share a bit, is
    too small. Pairs of leaves already in one component are passed over; the rest are compared exactly.
 4. A family beyond LEAVES sets is cut into trees of that size. Each tree is joined with itself;
-   then one set of each component found goes on to further trees. What links are then left lie between sets of different components
-   that share a prefix shingle and are of near size. A shingle that few such sets have makes pairs of them, which are compared once however many
-   shingles they share; other shingles make the last trees. Work follows the lengths of prefixes, not families, which may be the whole table where
-   shingles recur. The sets of a shingle that more than LEAVES have are dealt by size, and each one outside the shingle's largest component meets those of near size.
+   then one set of each component found goes on to further trees. At last every set outside its family's largest component meets the sets of
+   near size in all the other trees, if that sends sets to SPREAD times their size of trees at most. Where shingles recur a family may be the whole table, and that would grow
+   with its square: there, sets of different components that share a prefix shingle and are of near size meet. A shingle that few such sets have makes
+   pairs of them, which are compared once however many shingles they share; others make trees of their own, dealt by size beyond LEAVES sets.
+   Either way all links are found, and work follows sets or their prefixes.
    So no task holds a whole large family or list, copies are not expanded into pairs, and no link between components is lost.
 
 Texts and shingles are known by 64-bit hashes. Two texts of one hash count as equal.
@@ -46,6 +47,7 @@ BLOCK_BYTES = 6 << 20  # of text in memory at once
 SPARE_BITS = 6  # of a fingerprint, beyond what numbers the table's shingles: so few of them collide
 LEAVES = 512  # sets in one tree at most
 FANOUT = 8
+SPREAD = 4  # times their own size that sets are dealt to trees of families; where that doesn't do, they meet by shingles
 FEW = 8  # sets with a prefix shingle in common that are compared in pairs
 SIZE_STEP = 1.1  # ratio of the sizes by which a large family's sets are dealt at last
 
@@ -309,10 +311,18 @@ def _large(sets: DataFrame, prefixes: DataFrame, links: DataFrame, best: DataFra
         step = kept(_trees(own.select(tree.alias("tree"), "h", "label", "set", F.lit(True).alias("side")), threshold), "joined")
         found = found.unionByName(step.select(F.col("label").alias("a"), F.col("new").alias("b")))
         best = step.where("best").select("h")
-    own = kept(_labelled(sets, links.unionByName(found)).select("h", "label", "set"), "labelled")
-    posted = _posted(own, prefixes, threshold)
-    found = found.unionByName(_paired(posted.where(F.col("n") <= FEW), own, threshold))
-    rows = _dealt(posted.where(F.col("n") > FEW), threshold).join(own.select("h", "set").hint("merge"), "h")
+    own = kept(_labelled(sets, links.unionByName(found)).select("family", "h", "label", "set"), "labelled")
+    size = F.expr("octet_length(set) div 8")
+    whole = own.select(F.col("family").alias("x"), "h", "label", size.alias("m"), F.floor(F.log(size) / math.log(SIZE_STEP)).cast("int").alias("z"))
+    n = whole.groupBy(F.col("x").alias("of")).agg(F.count("*").alias("n"), F.count_distinct("label").alias("parts")).where("parts > 1").drop("parts")
+    whole = whole.join(looked_up(n, "lists"), F.col("x") == F.col("of")).drop("of")
+    rows = kept(_dealt(whole, threshold), "dealt")
+    spread = rows.join(whole.select("h", "m"), "h").agg(F.sum("m")).first()[0] or 0
+    if spread > SPREAD * (own.agg(F.sum(size)).first()[0] or 0):  # families too large to meet as a whole
+        posted = _posted(own, prefixes, threshold)
+        found = found.unionByName(_paired(posted.where(F.col("n") <= FEW), own, threshold))
+        rows = _dealt(posted.where(F.col("n") > FEW), threshold)
+    rows = rows.join(own.select("h", "set").hint("merge"), "h")
     step = kept(_trees(rows, threshold), "joined")
     return found.unionByName(step.select(F.col("label").alias("a"), F.col("new").alias("b")))
 
@@ -360,9 +370,9 @@ def _paired(posted: DataFrame, own: DataFrame, threshold: int) -> DataFrame:
 
 
 def _dealt(posted: DataFrame, threshold: int) -> DataFrame:
-    """(tree, h, label, side) of rows of _posted: the sets of a shingle are a tree.
+    """(tree, h, label, side) of rows (x, h, label, m, z, n): the n sets of a family or shingle x are a tree.
 
-    Sets of the shingle's largest component have side False, as they needn't meet each other. A shingle of more than LEAVES sets has several trees: its sets are
+    Sets of its largest component have side False, as they needn't meet each other. Of more than LEAVES sets there are several trees: sets are
     dealt by size, and those of side True go along with all of the sizes that can link.
     """
     share = posted.groupBy("x", "label").agg(F.count("*").alias("k"))
