@@ -47,7 +47,7 @@ BLOCK_BYTES = 6 << 20  # of text in memory at once
 SPARE_BITS = 6  # of a fingerprint, beyond what numbers the table's shingles: so few of them collide
 LEAVES = 512  # sets in one tree at most
 FANOUT = 8
-SPREAD = 4  # times their own size that sets are dealt to trees of families; where that doesn't do, they meet by shingles
+SPREAD = 16  # times their own size that sets are dealt to trees of families; where that doesn't do, they meet by shingles
 FEW = 8  # sets with a prefix shingle in common that are compared in pairs
 SIZE_STEP = 1.1  # ratio of the sizes by which a large family's sets are dealt at last
 
