@@ -271,6 +271,37 @@ def test_pitman_yor_score_equals_brute_force(spark):
         assert math.isclose(found[doc], sum(math.log10(probability(w, x)) for w, x in pairs_in(contexts, texts[doc])), rel_tol=1e-6)
 
 
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    """A word is frequent by its share of the whole table, even one that a block has rarely."""
+    monkeypatch.setattr(B, "MIN_SHARE", 2e-3)
+    docs = documents(spark)
+    learned = docs.select("text")
+    counted = Counter(w for r in docs.collect() for w, _ in pairs_in(B.Contexts(np.zeros(0, np.uint64)), r.text))
+    least = 2e-3 * sum(counted.values())
+    for parts in (1, 8):
+        contexts, n_tokens = B.contexts_of(learned.repartition(parts))
+        assert n_tokens == sum(counted.values())
+        assert set(contexts.words.tolist()) == {w for w, k in counted.items() if k >= least} - {int(B.END)}
+    scored = [sorted(P.score_texts(docs.repartition(k), ~P.held_out(F.col("doc_id"))).collect(), key=repr) for k in (1, 8)]
+    assert scored[0] == scored[1]
+    scored = [sorted(K.perplexities(docs.repartition(k), docs.where("doc_id % 2 = 0").repartition(k)).collect(), key=repr) for k in (1, 8)]
+    assert scored[0] == scored[1]
+
+
+def test_context_sums_over_a_tree(spark, monkeypatch):
+    """Sums of shards by twos and threes equal those taken at once."""
+    _, _, counts = trained(spark, documents(spark))
+    expected = np.zeros((6, B.CONTEXTS), np.int64)
+    for r in counts.collect():
+        _, _, context, c = B.opened(r.asDict())
+        np.add.at(expected[0], context, c)
+        np.add.at(expected, (np.minimum(c, 5), context), 1)
+    for fan in (2, 3, 64):
+        monkeypatch.setattr(B, "FAN", fan)
+        assert (B.context_stats(counts, B.CONTEXTS) == expected).all()
+    assert (B.context_stats(counts.limit(0), B.CONTEXTS) == 0).all()
+
+
 def test_kneser_ney_equals_brute_force(spark):
     docs = documents(spark)
     trusted = docs.where("doc_id % 2 = 0")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import dropped, kept
-from .token_blocks import COUNTS, by_range, context_stats, context_sums, contexts_of, looked_up_pairs, n_shards, opened, opened_block, pair_counts, replied, squeeze, unsqueeze, word_stats
+from .token_blocks import COUNTS, by_range, context_stats, context_sums, contexts_of, last_shard, looked_up_pairs, n_shards, opened, opened_block, pair_counts, replied, squeeze, unsqueeze, word_stats
 
 STRENGTH = 1.0
 BURN_IN, SAMPLES = 2, 4  # rounds
@@ -187,14 +187,14 @@ def _round(batches: Iterator[pa.RecordBatch], levels: Levels, number: int, sampl
 
 def sampled(counts: DataFrame, levels: Levels, n: int) -> tuple[DataFrame, list[np.ndarray], list[tuple[int, int]]]:
     """(shards with their samples, weights of the parent by context for each sample, (parent's customers, tables) for each sample)."""
-    context = counts.sparkSession.sparkContext
+    context, last = counts.sparkSession.sparkContext, last_shard(counts)
     none = [F.lit(None).cast(k).alias(c) for c, k in (("t", "binary"), ("w", "binary"), ("samples", "array<binary>"))]
     state, backs, totals = counts.select("*", *none), [], []
     for number in range(BURN_IN + SAMPLES):
         shared, old = context.broadcast(levels), state
         step = lambda it, k=number, s=shared: _round(it, s.value, k, k >= BURN_IN)
         state = kept(old.select(*(x.split(" ")[0] for x in COUNTS.split(", ")), "t", "w", "samples").mapInArrow(step, STATE), "seating")
-        levels.tables = context_sums(state.select(F.inline("ranges")), 1, n)[0]
+        levels.tables = context_sums(state.select("shard", F.inline("ranges")), last, 1, n)[0]
         levels.seated, levels.parent_tables = (x or 0 for x in state.agg(F.sum("seated"), F.sum("parent_tables")).first())
         if number:
             dropped(old)
@@ -252,7 +252,7 @@ def score_texts(docs: DataFrame, train: Column) -> DataFrame:
     A text's tokens are its words and one end; null text counts as empty, with the end alone. train: whether
     a row is learned from. base_score and score are sums of log10 probabilities, of the add-half single-word model and of
     the Pitman-Yor model. Without training rows both are uniform. doc_id must be an integer. Other columns are ignored, rows
-    given twice come out twice, null ids stay null; no rows in, none out. The same rows in the same partitions give the same scores.
+    given twice come out twice, null ids stay null; no rows in, none out. The same rows give the same scores in any partitions.
     """
     learned = docs.where(train).select("text")
     contexts, tokens = contexts_of(learned)

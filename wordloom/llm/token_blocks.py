@@ -29,6 +29,7 @@ SHARD_BYTES = 24 << 20  # of training text for each shard
 MIN_SHARE = 2e-5
 CONTEXTS = 1 << 18
 RANGES = 16  # in which arrays over contexts are summed
+FAN = 64  # of these arrays that are summed at once
 END = U64(0x0E4D0F7E87)
 
 
@@ -126,39 +127,25 @@ def _shard_of(vocab: np.ndarray, shards: int) -> np.ndarray:
     return ((vocab >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
 
 
-def _often(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+def _times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, rows in blocks(batches, "text", BLOCK_BYTES):
         h, n = tokens(rows)
         vocab, at, end = places(h)
         counts = np.bincount(at, minlength=len(vocab))
         counts[end] += len(n)
-        own = counts >= max(MIN_SHARE * counts.sum(), 1)
-        vocab, counts = vocab[own], counts[own]
-        ends = np.searchsorted(_shard_of(vocab, shards), np.arange(shards + 1))
-        full = np.flatnonzero(np.diff(ends))
-        cols = [[f(x[ends[k] : ends[k + 1]]) for k in full] for f, x in ((squeeze_sorted, vocab), (squeeze, counts))]
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array(c, pa.binary()) for c in cols)], names=["shard", "words", "counts"])
-
-
-def _most_often(group: pd.DataFrame, least: float) -> pd.DataFrame:
-    words_, at = np.unique(np.concatenate([unsqueeze_sorted(x) for x in group["words"]]), return_inverse=True)
-    total = np.bincount(at, np.concatenate([unsqueeze(x) for x in group["counts"]]), len(words_))
-    own = total >= least
-    return pd.DataFrame({"words": [words_[own].tobytes()], "counts": [total[own].tobytes()]})
+        yield pa.RecordBatch.from_arrays([pa.array(vocab.view(np.int64)), pa.array(counts, pa.int64())], names=["word", "times"])
 
 
 def contexts_of(train: DataFrame) -> tuple[Contexts, int]:
     """(contexts, training tokens with ends) of the training texts (text).
 
-    A word of a share of MIN_SHARE in the corpus has it in some block, so blocks send no other words; 1 / MIN_SHARE words at most have
-    the share by these counts, which leave out blocks where a word is rarer.
+    Words are counted exactly, so which have contexts of their own doesn't depend on how rows fall into blocks. 1 / MIN_SHARE words at most have the share.
     """
     total = train.agg(F.sum(n_words(F.col("text")) + 1)).first()[0] or 0
-    asked = train.select("text").mapInArrow(lambda it: _often(it, 16), "shard int, words binary, counts binary")
-    found = asked.groupBy("shard").applyInPandas(lambda g: _most_often(g, max(MIN_SHARE * total, 1)), "words binary, counts binary").collect()
-    words_ = np.concatenate([np.zeros(0, U64), *(np.frombuffer(r.words, U64) for r in found)])
-    counts = np.concatenate([np.zeros(0), *(np.frombuffer(r["counts"]) for r in found)])
-    return Contexts(words_[np.lexsort((words_, -counts))]), int(total)  # the most frequent first, as small numbers pack well
+    counts = train.select("text").mapInArrow(_times, "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
+    found = counts.where(F.col("times") >= max(MIN_SHARE * total, 1)).toPandas()
+    words_, times = found["word"].to_numpy(np.int64).view(U64), found["times"].to_numpy(np.int64)
+    return Contexts(words_[np.lexsort((words_, -times))]), int(total)  # the most frequent first, as small numbers pack well
 
 
 # pairs
@@ -239,9 +226,9 @@ def context_stats(counts: DataFrame, n: int) -> np.ndarray:
         for r in (r for b in batches for r in b.to_pylist()):
             _, _, context, c = opened(r)
             seen = [np.bincount(context[np.minimum(c, 5) == k], minlength=n) for k in (1, 2, 3, 4, 5)]
-            yield ranged(by_range(np.bincount(context, c, n), *seen))
+            yield ranged(r["shard"], by_range(np.bincount(context, c, n), *seen))
 
-    return context_sums(counts.mapInArrow(each, "range int, sums binary"), 6, n)
+    return context_sums(counts.mapInArrow(each, "shard int, range int, sums binary"), last_shard(counts), 6, n)
 
 
 def word_stats(counts: DataFrame) -> dict[str, int]:
@@ -258,8 +245,10 @@ def word_stats(counts: DataFrame) -> dict[str, int]:
     return {x: row[x] or 0 for x in names}
 
 
-def ranged(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary()))], names=["range", "sums"])
+def ranged(shard: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    ranges, sums = zip(*rows)
+    cols = [pa.array([shard] * len(rows), pa.int32()), pa.array(ranges, pa.int32()), pa.array(sums, pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, names=["shard", "range", "sums"])
 
 
 def by_range(*arrays: np.ndarray) -> list[tuple[int, bytes]]:
@@ -268,16 +257,26 @@ def by_range(*arrays: np.ndarray) -> list[tuple[int, bytes]]:
     return [(k, zstandard.compress(np.stack([a[cuts[k] : cuts[k + 1]] for a in arrays]).astype(np.int64).tobytes(), 1)) for k in range(RANGES)]
 
 
-def context_sums(rows: DataFrame, columns: int, n: int) -> np.ndarray:
-    """rows (range int, sums binary) summed over shards: an array [columns, n], bounded by the number of contexts."""
+def last_shard(counts: DataFrame) -> int | None:
+    return counts.agg(F.max("shard")).first()[0]
+
+
+def context_sums(rows: DataFrame, last: int | None, columns: int, n: int) -> np.ndarray:
+    """rows (shard int, range int, sums binary) summed over shards up to the last: an array [columns, n], bounded by the number of contexts.
+
+    Shards are summed by FAN neighbours, then these sums, and so on, so that a task has FAN arrays of a range at most, however many shards there are.
+    """
 
     def total(group: pd.DataFrame) -> pd.DataFrame:
         out = 0
         for x in group["sums"]:
             out = out + np.frombuffer(zstandard.decompress(x), np.int64)
-        return pd.DataFrame({"range": [int(group["range"].iloc[0])], "sums": [out.tobytes()]})
+        return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "range": [int(group["range"].iloc[0])], "sums": [zstandard.compress(out.tobytes(), 1)]})
 
-    parts = {r.range: np.frombuffer(r.sums, np.int64).reshape(columns, -1) for r in rows.groupBy("range").applyInPandas(total, "range int, sums binary").collect()}
+    while last is not None:
+        rows = rows.withColumn("shard", F.expr(f"shard div {FAN}").cast("int")).groupBy("range", "shard").applyInPandas(total, "shard int, range int, sums binary")
+        last = last // FAN or None
+    parts = {r.range: np.frombuffer(zstandard.decompress(r.sums), np.int64).reshape(columns, -1) for r in rows.collect()}
     return np.concatenate([parts[k] for k in sorted(parts)], 1) if parts else np.zeros((columns, n), np.int64)
 
 
