@@ -208,8 +208,8 @@ def test_blocks_follow_from_rows_alone(monkeypatch):
 
 def trained(spark, docs):
     learned = docs.select("text")
-    contexts, n_tokens = B.contexts_of(learned)
     shards = B.n_shards(learned)
+    contexts, n_tokens = B.contexts_of(learned, shards)
     return contexts, n_tokens, B.pair_counts(learned, contexts, shards)
 
 
@@ -279,7 +279,7 @@ def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
     counted = Counter(w for r in docs.collect() for w, _ in pairs_in(B.Contexts(np.zeros(0, np.uint64)), r.text))
     least = 2e-3 * sum(counted.values())
     for parts in (1, 8):
-        contexts, n_tokens = B.contexts_of(learned.repartition(parts))
+        contexts, n_tokens = B.contexts_of(learned.repartition(parts), 5)
         assert n_tokens == sum(counted.values())
         assert set(contexts.words.tolist()) == {w for w, k in counted.items() if k >= least} - {int(B.END)}
     scored = [sorted(P.score_texts(docs.repartition(k), ~P.held_out(F.col("doc_id"))).collect(), key=repr) for k in (1, 8)]

@@ -76,8 +76,9 @@ def _score(b, replies: pd.DataFrame, m: Model, n_contexts: int) -> pd.DataFrame:
 
 def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(doc_id, lang, n_tokens, log10_prob, perplexity) for every row of docs (doc_id, lang, text), by a model of the texts of trusted (text)."""
-    contexts, _ = contexts_of(trusted)
-    n, shards = contexts.n, n_shards(trusted)
+    shards = n_shards(trusted)
+    contexts, _ = contexts_of(trusted, shards)
+    n = contexts.n
     counts = pair_counts(trusted, contexts, shards)
     shared = docs.sparkSession.sparkContext.broadcast(Model(context_stats(counts, n), word_stats(counts)))  # arrays over contexts
     scored = replied(

@@ -255,8 +255,9 @@ def score_texts(docs: DataFrame, train: Column) -> DataFrame:
     given twice come out twice, null ids stay null; no rows in, none out. The same rows give the same scores in any partitions.
     """
     learned = docs.where(train).select("text")
-    contexts, tokens = contexts_of(learned)
-    n, shards = contexts.n, n_shards(learned)
+    shards = n_shards(learned)
+    contexts, tokens = contexts_of(learned, shards)
+    n = contexts.n
     counts = pair_counts(learned, contexts, shards)
     customers, *seen = context_stats(counts, n)
     words = word_stats(counts)

@@ -18,10 +18,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept, n_words, text_bytes
+from .shared import kept, text_bytes
 from .words import U64, blocks, chunks, words
 
 BLOCK_BYTES = 16 << 20
@@ -127,25 +128,50 @@ def _shard_of(vocab: np.ndarray, shards: int) -> np.ndarray:
     return ((vocab >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
 
 
-def _times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket(vocab: np.ndarray) -> np.ndarray:
+    return ((vocab >> U64(40)) % U64(CONTEXTS)).astype(np.int64)
+
+
+def _times(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(distinct words and the end, how often each is there) of each block."""
     for _, rows in blocks(batches, "text", BLOCK_BYTES):
         h, n = tokens(rows)
         vocab, at, end = places(h)
         counts = np.bincount(at, minlength=len(vocab))
         counts[end] += len(n)
-        yield pa.RecordBatch.from_arrays([pa.array(vocab.view(np.int64)), pa.array(counts, pa.int64())], names=["word", "times"])
+        yield vocab, counts
+
+
+def _bucket_sums(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """A task's tokens by bucket of words."""
+    total = np.zeros(CONTEXTS, np.int64)
+    for vocab, counts in _times(batches):
+        total += np.bincount(_bucket(vocab), counts, CONTEXTS).astype(np.int64)
+    if total.any():
+        yield ranged(TaskContext.get().partitionId() % shards, by_range(total))
+
+
+def _words_in(batches: Iterator[pa.RecordBatch], full: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for vocab, counts in _times(batches):
+        own = full[_bucket(vocab)]
+        yield pa.RecordBatch.from_arrays([pa.array(vocab[own].view(np.int64)), pa.array(counts[own], pa.int64())], names=["word", "times"])
 
 
-def contexts_of(train: DataFrame) -> tuple[Contexts, int]:
+def contexts_of(train: DataFrame, shards: int) -> tuple[Contexts, int]:
     """(contexts, training tokens with ends) of the training texts (text).
 
-    Words are counted exactly, so which have contexts of their own doesn't depend on how rows fall into blocks. 1 / MIN_SHARE words at most have the share.
+    Words are counted exactly, so which have contexts of their own doesn't depend on how rows fall into blocks; 1 / MIN_SHARE words at most have the share.
+    A word with the share is in a bucket that has it, so buckets of words are counted first, and then the words of these buckets alone.
     """
-    total = train.agg(F.sum(n_words(F.col("text")) + 1)).first()[0] or 0
-    counts = train.select("text").mapInArrow(_times, "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
-    found = counts.where(F.col("times") >= max(MIN_SHARE * total, 1)).toPandas()
+    sums = train.select("text").mapInArrow(lambda it: _bucket_sums(it, shards), "shard int, range int, sums binary")
+    buckets = context_sums(sums, shards - 1, 1, CONTEXTS)[0]
+    total = int(buckets.sum())
+    least = max(MIN_SHARE * total, 1)
+    full = buckets >= least
+    counts = train.select("text").mapInArrow(lambda it: _words_in(it, full), "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
+    found = counts.where(F.col("times") >= least).toPandas()
     words_, times = found["word"].to_numpy(np.int64).view(U64), found["times"].to_numpy(np.int64)
-    return Contexts(words_[np.lexsort((words_, -times))]), int(total)  # the most frequent first, as small numbers pack well
+    return Contexts(words_[np.lexsort((words_, -times))]), total  # the most frequent first, as small numbers pack well
 
 
 # pairs
