@@ -281,6 +281,33 @@ def test_cognate_detection(spark):
     assert rows(again, "threshold", "concept", "lang", "local") == rows(sets, "threshold", "concept", "lang", "local")
 
 
+def test_scores_in_parts():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    words = [rng.integers(0, 6, n) for n in (0, 1, 3, 5, 9, 12)]
+    a, b = rng.integers(0, 6, 3 * L.AT_ONCE + 7), rng.integers(0, 6, 3 * L.AT_ONCE + 7)
+    scores = rng.choice([-1.0, -0.5, 0.25, 1.0], (6, 6))
+    assert np.array_equal(L.scores_many(words, a, b, scores), L.align_many(words, a, b, scores)[0]) and not len(L.scores_many(words, a[:0], b[:0], scores))
+
+
+def test_sets_by_places(spark):
+    """Few words are many tasks' work; a concept's distances go to its sets as numbers, without the words."""
+    words = [(f"c{c}", f"l{k % 5}", f"{'pbtdkg'[k % 6]}a{'mnszlr'[k // 6]}{c}") for c in range(4) for k in range(36)]
+    df = spark.createDataFrame([(*w, list(w[2])) for w in words], "concept string, lang string, form string, tokens array<string>")
+    own, distances = L._distances(df, 200)
+    place = {(r.concept, r.lang, r.form): r.place for r in own.collect()}
+    for c in range(4):
+        assert [k for k, _ in sorted((w[1:], place[w]) for w in words if w[0] == f"c{c}")] == [k[1:] for k in sorted(place, key=place.get) if k[0] == f"c{c}"]
+    found = distances.collect()
+    assert len(found) == sum(a[0] == b[0] and a[1] < b[1] for a in words for b in words)
+    assert all((r.place_a, r.place_b) == (place[r.concept, r.lang_a, r.form_a], place[r.concept, r.lang_b, r.form_b]) for r in found)
+    whole = own.where("concept = 'c1'").select("concept", "lang", "form", "place").toArrow()
+    numbers = distances.where("concept = 'c1'").select("concept", "place_a", "place_b", "distance").toArrow()
+    sets = {(r["lang"], r["form"]): r["local"] for r in L._sets(whole, numbers, (0.4,)).to_pylist()}
+    assert sets == {(r.lang, r.form): r.local for r in L.cognate_sets(df, (0.4,), 200).where("concept = 'c1'").collect()}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('ConceptID,Concept,AA\n1,"say ""x"", or\ny",NA\n2,nan,b\n', encoding="utf-8")
     csv = S.read_csv(spark, str(tmp_path / "a.csv"))

@@ -14,7 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
@@ -84,20 +85,34 @@ def _padded(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-def align_many(words: list[np.ndarray], a: np.ndarray, b: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(scores, pair, x, y) of global alignments of words[a] with words[b], many at once, as align has them one by one.
-
-    Segments are numbers, scores is a table over them; pair, x and y say which segments of which pair are aligned without a gap.
-    """
+def _filled(words: list[np.ndarray], a: np.ndarray, b: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, ...]:
     padded, size = _padded(words)
     left, right, n, m = padded[a], padded[b], size[a], size[b]
-    rows, cols, every = left.shape[1], right.shape[1], np.arange(len(a))
+    rows, cols = n.max(initial=0), m.max(initial=0)
     s = np.zeros((rows + 1, cols + 1, len(a)))
     s[:, 0], s[0] = GAP * np.arange(rows + 1)[:, None], GAP * np.arange(cols + 1)[:, None]
     for i in range(rows):
         for j in range(cols):
             s[i + 1, j + 1] = np.maximum(np.maximum(s[i, j] + scores[left[:, i], right[:, j]], s[i, j + 1] + GAP), s[i + 1, j] + GAP)
-    found, i, j = s[n, m, every], n.copy(), m.copy()
+    return s, left, right, n, m
+
+
+def scores_many(words: list[np.ndarray], a: np.ndarray, b: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """The scores of align_many alone, AT_ONCE pairs at a time."""
+    found = [np.zeros(0)]
+    for k in range(0, len(a), AT_ONCE):
+        s, _, _, n, m = _filled(words, a[k : k + AT_ONCE], b[k : k + AT_ONCE], scores)
+        found.append(s[n, m, np.arange(len(n))])
+    return np.concatenate(found)
+
+
+def align_many(words: list[np.ndarray], a: np.ndarray, b: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(scores, pair, x, y) of global alignments of words[a] with words[b], many at once, as align has them one by one.
+
+    Segments are numbers, scores is a table over them; pair, x and y say which segments of which pair are aligned without a gap.
+    """
+    s, left, right, n, m = _filled(words, a, b, scores)
+    found, i, j = s[n, m, np.arange(len(a))], n.copy(), m.copy()
     pair, xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     while len(k := np.flatnonzero((i > 0) & (j > 0))):
         x, y, now = left[k, i[k] - 1], right[k, j[k] - 1], s[i[k], j[k], k]
@@ -111,7 +126,8 @@ def align_many(words: list[np.ndarray], a: np.ndarray, b: np.ndarray, scores: np
     return found, *(np.concatenate(v) for v in (pair, xs, ys))
 
 
-PART = 4096  # pairs of words that a group of a pair of languages has, about
+AT_ONCE = 4096  # pairs of words that are aligned side by side
+PART = 65_536  # pairs of words that a group of a pair of languages has, about
 JOINED = "\x01"  # between the segments of a word
 _LANGS = ["lang_a", "lang_b"]
 _KEYS = [*_LANGS, "x", "y"]
@@ -152,15 +168,17 @@ class Spelt:
 
 
 def _aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (word_a, word_b) to the aligned segments (x, y) of those words that are nearer than CUT by sound class."""
-    for rows in frames:
-        spelt = Spelt(rows["word_a"], rows["word_b"])
-        scores = spelt.by_class()
-        found, pair, x, y = align_many(spelt.words, spelt.a, spelt.b, scores)
-        pair_x_y = pd.DataFrame({"pair": pair, "x": x, "y": y})[(spelt.distances(found, scores) < CUT)[pair]]
-        name = np.array(spelt.segments, object)
-        of = pair_x_y["pair"].to_numpy()
-        yield pd.DataFrame({"word_a": rows["word_a"].to_numpy()[of], "word_b": rows["word_b"].to_numpy()[of], "x": name[pair_x_y["x"]], "y": name[pair_x_y["y"]]})
+    """Rows (spelt_a, spelt_b, word_a, word_b) to the aligned segments (x, y) of those words that are nearer than CUT by sound class."""
+    for whole in frames:
+        for k in range(0, len(whole), AT_ONCE):
+            rows = whole.iloc[k : k + AT_ONCE]
+            spelt = Spelt(rows["word_a"], rows["word_b"])
+            scores = spelt.by_class()
+            found, pair, x, y = align_many(spelt.words, spelt.a, spelt.b, scores)
+            pair_x_y = pd.DataFrame({"pair": pair, "x": x, "y": y})[(spelt.distances(found, scores) < CUT)[pair]]
+            name = np.array(spelt.segments, object)
+            of = pair_x_y["pair"].to_numpy()
+            yield pd.DataFrame({"spelt_a": rows["spelt_a"].to_numpy()[of], "spelt_b": rows["spelt_b"].to_numpy()[of], "x": name[pair_x_y["x"]], "y": name[pair_x_y["y"]]})
 
 
 def pair_score(x: str, y: str, attested: float, expected: float) -> float:
@@ -173,18 +191,21 @@ def pair_score(x: str, y: str, attested: float, expected: float) -> float:
 
 
 def _scored(pairs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of two languages with their distances; words that recur are aligned once."""
+    own = ["concept", "place_a", "place_b", *_LANGS, "form_a", "form_b"]
     if not len(pairs):
-        return pairs.assign(distance=[])[[*_LANGS, "word_a", "word_b", "distance"]]
+        return pairs.assign(distance=[])[[*own, "distance"]]
     spelt = Spelt(pairs["word_a"], pairs["word_b"])
+    each, at = np.unique(spelt.a * len(spelt.words) + spelt.b, return_inverse=True)
+    spelt.a, spelt.b = each // len(spelt.words), each % len(spelt.words)
     scores = spelt.pair_scores(counts)
-    found = align_many(spelt.words, spelt.a, spelt.b, scores)[0]
-    return pairs[[*_LANGS, "word_a", "word_b"]].assign(distance=spelt.distances(found, scores))
+    return pairs[own].assign(distance=spelt.distances(scores_many(spelt.words, spelt.a, spelt.b, scores), scores)[at])
 
 
 DISTANCES = "concept string, lang_a string, form_a string, lang_b string, form_b string, distance double"
 
 
-def drawn_pairs(pairs: DataFrame, draws: int | None = DRAWS) -> tuple[DataFrame, DataFrame]:
+def drawn_pairs(pairs: DataFrame, draws: int | None = DRAWS, word: str = "word") -> tuple[DataFrame, DataFrame]:
     """((lang_a, lang_b, word_a, word_b, drawn), (lang_a, lang_b, of, slots)): left and right words of two languages that meet at random.
 
     The left word of each of the pairs (`of` of them) falls into one of slots by a hash of the pair, and so does its right word by another one; what
@@ -198,70 +219,100 @@ def drawn_pairs(pairs: DataFrame, draws: int | None = DRAWS) -> tuple[DataFrame,
 
     def dealt(side: str, salt: int) -> DataFrame:
         slot = F.pmod(F.xxhash64("concept", "form_a", "form_b", F.lit(salt)), "slots").alias("slot")
-        rows = pairs.join(sizes, _LANGS).select(*_LANGS, slot, f"word_{side}").repartition(*_LANGS, "slot")
-        return rows.groupBy(*_LANGS, "slot", f"word_{side}").agg(F.count("*").alias(f"n_{side}"))
+        rows = pairs.join(sizes, _LANGS).select(*_LANGS, slot, f"{word}_{side}").repartition(*_LANGS, "slot")
+        return rows.groupBy(*_LANGS, "slot", f"{word}_{side}").agg(F.count("*").alias(f"n_{side}"))
 
     met = dealt("a", 1).join(dealt("b", 2), [*_LANGS, "slot"])
-    return met.groupBy(*_LANGS, "word_a", "word_b").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("drawn")), sizes
+    return met.groupBy(*_LANGS, f"{word}_a", f"{word}_b").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("drawn")), sizes
 
 
 def segment_counts(pairs: DataFrame, draws: int | None = DRAWS) -> DataFrame:
+    """_counts of pairs (concept, lang_a, form_a, word_a, lang_b, form_b, word_b)."""
+    spellings = _spellings(pairs.select(F.explode(F.array("word_a", "word_b")).alias("word")))
+    for s in "ab":
+        pairs = pairs.join(spellings.select(F.col("word").alias(f"word_{s}"), F.col("spelt").alias(f"spelt_{s}")), f"word_{s}")
+    return _counts(pairs, spellings, draws)
+
+
+def _spellings(words: DataFrame) -> DataFrame:
+    """(word, spelt): numbers for the distinct words."""
+    return kept(numbered(words.where("word is not null").select("word").distinct(), ["word"], "spelt"), "spellings")
+
+
+def _counts(pairs: DataFrame, spellings: DataFrame, draws: int | None) -> DataFrame:
     """(lang_a, lang_b, x, y, attested, expected): aligned segments of words of one concept, and how many random pairings would give.
 
     Two spellings are aligned once for all languages. Counts are whole numbers until the last step, and so the same under any partitioning.
     """
-    met, sizes = drawn_pairs(pairs, draws)
+    met, sizes = drawn_pairs(pairs, draws, "spelt")
     zero = F.lit(0).cast("long")
-    own = pairs.groupBy(*_LANGS, "word_a", "word_b").agg(F.count("*").alias("attested")).withColumn("drawn", zero)
+    spelt = ["spelt_a", "spelt_b"]
+    own = pairs.groupBy(*_LANGS, *spelt).agg(F.count("*").alias("attested")).withColumn("drawn", zero)
     weights = kept(own.unionByName(met.withColumn("attested", zero)), "weights")
-    aligned = weights.select("word_a", "word_b").distinct().mapInPandas(_aligned, "word_a string, word_b string, x string, y string")
-    found = weights.join(kept(aligned, "aligned"), ["word_a", "word_b"])
+    asked = weights.select(*spelt).distinct()
+    for s in "ab":
+        asked = asked.join(spellings.select(F.col("spelt").alias(f"spelt_{s}"), F.col("word").alias(f"word_{s}")), f"spelt_{s}")
+    aligned = _dealt(asked, *spelt).mapInPandas(_aligned, "spelt_a long, spelt_b long, x string, y string")
+    found = weights.join(kept(aligned, "aligned"), spelt)
     found = found.groupBy(*_KEYS).agg(F.sum("attested").alias("attested"), F.sum("drawn").alias("drawn")).join(sizes, _LANGS)
     return found.select(*_KEYS, "attested", (F.col("drawn") * F.col("slots") / F.col("of")).alias("expected"))
 
 
-def word_distances(words: DataFrame, draws: int | None = DRAWS) -> DataFrame:
-    """CL-4: (concept, lang_a, form_a, lang_b, form_b, distance), lang_a < lang_b, of words (concept, lang, form, tokens).
+def _dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df in several partitions a core: few bytes are much work here, by which Spark would not part them."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *by)
 
-    draws: random pairs of words for two languages, see drawn_pairs; None takes all.
-    """
+
+def _distances(words: DataFrame, draws: int | None) -> tuple[DataFrame, DataFrame]:
+    """(words (concept, lang, form, word, place), the distances of word_distances with place_a and place_b). A place is a word's among its concept's words, from 0, by lang and form."""
     own = words.dropDuplicates(["concept", "lang", "form"]).select("concept", "lang", "form", F.array_join("tokens", JOINED).alias("word"))
-    own = kept(own, "words")
-    side = lambda s: own.select("concept", F.col("lang").alias(f"lang_{s}"), F.col("form").alias(f"form_{s}"), F.col("word").alias(f"word_{s}"))
+    place = F.row_number().over(Window.partitionBy("concept").orderBy("lang", "form")) - 1
+    own = kept(own.withColumn("place", place), "words")
+    spellings = _spellings(own)
+    known = _dealt(own.join(spellings, "word"), "concept", "lang", "form")
+    side = lambda s: known.select("concept", *(F.col(c).alias(f"{c}_{s}") for c in ("lang", "form", "place", "word", "spelt")))
     pairs = kept(side("a").join(side("b"), "concept").where("lang_a < lang_b"), "pairs")
-    counts = kept(segment_counts(pairs, draws), "segments")
-    asked = kept(pairs.select(*_LANGS, "word_a", "word_b").distinct(), "asked")
-    parts = kept(asked.groupBy(*_LANGS).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "parts")
-    dealt = asked.join(parts, _LANGS).withColumn("salt", F.pmod(F.xxhash64("word_a", "word_b"), "parts").cast("int")).drop("parts")
+    counts = kept(_counts(pairs.drop("word_a", "word_b"), spellings, draws), "segments")
+    parts = kept(pairs.groupBy(*_LANGS).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "parts")
+    dealt = pairs.join(parts, _LANGS).withColumn("salt", F.pmod(F.xxhash64("concept", "place_a", "place_b"), "parts").cast("int")).drop("parts", "spelt_a", "spelt_b")
     each = counts.join(parts, _LANGS).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    n = 4 * words.sparkSession.sparkContext.defaultParallelism
     keys = [*_LANGS, "salt"]
-    scored = dealt.groupBy(*keys).cogroup(each.groupBy(*keys)).applyInPandas(_scored, "lang_a string, lang_b string, word_a string, word_b string, distance double")
-    return pairs.join(scored, [*_LANGS, "word_a", "word_b"]).select("concept", "lang_a", "form_a", "lang_b", "form_b", "distance")
+    dealt, each = dealt.repartition(n, *keys), each.repartition(n, *keys)
+    return own, dealt.groupBy(*keys).cogroup(each.groupBy(*keys)).applyInPandas(_scored, "concept string, place_a int, place_b int, lang_a string, lang_b string, form_a string, form_b string, distance double")
+
+
+def word_distances(words: DataFrame, draws: int | None = DRAWS) -> DataFrame:
+    """CL-4: (concept, lang_a, form_a, lang_b, form_b, distance), lang_a < lang_b, of words (concept, lang, form, tokens).
+
+    draws: random pairs of words for two languages, see drawn_pairs; None takes all.
+    """
+    return _distances(words, draws)[1].select("concept", "lang_a", "form_a", "lang_b", "form_b", "distance")
 
 
-def _sets(words: pd.DataFrame, distances: pd.DataFrame, thresholds: tuple[float, ...]) -> pd.DataFrame:
-    """A concept's words and distances to its sets at each threshold: one tree, cut as often as asked."""
-    words = words.sort_values(["lang", "form"], kind="stable", ignore_index=True)
-    n = len(words)
-    form = pd.factorize(words["form"])[0]
+def _sets(words: pa.Table, distances: pa.Table, thresholds: tuple[float, ...]) -> pa.Table:
+    """A concept's words (concept, lang, form, place) and distances (concept, place_a, place_b, distance) to its sets at each threshold: one tree, cut as often as asked."""
+    words = words.sort_by("place")
+    n = words.num_rows
+    form = pd.factorize(words["form"].to_numpy())[0]
     first, second = np.triu_indices(n, 1)
     d = (form[first] != form[second]).astype(float)  # of words of one language
-    place = pd.MultiIndex.from_frame(words[["lang", "form"]])
-    i, j = (place.get_indexer(pd.MultiIndex.from_frame(distances[[f"lang_{s}", f"form_{s}"]])) for s in "ab")
-    d[pair_index(n, np.minimum(i, j), np.maximum(i, j))] = distances["distance"]
+    del first, second
+    i, j = (distances[f"place_{s}"].to_numpy().astype(np.int64) for s in "ab")
+    d[pair_index(n, np.minimum(i, j), np.maximum(i, j))] = distances["distance"].to_numpy()
     tree = merge_tree(d, np.ones(n))
-    return pd.concat([words.assign(threshold=t, local=tree.labels(t).astype(np.int64)) for t in thresholds])[["threshold", "concept", "lang", "form", "local"]]
+    own = words.select(["concept", "lang", "form"])
+    return pa.concat_tables(own.add_column(0, "threshold", pa.array(np.full(n, t))).append_column("local", pa.array(tree.labels(t).astype(np.int64))) for t in thresholds)
 
 
 def cognate_sets(words: DataFrame, thresholds: tuple[float, ...] = (0.50, 0.55, 0.60), draws: int | None = DRAWS) -> DataFrame:
     """CL-5, CL-6: (threshold, concept, lang, form, local): sets within each concept, for all thresholds from one training and one tree.
 
-    A set's id over all concepts is (concept, local); one group is a concept's distinct words, whose square it takes in memory.
+    A set's id over all concepts is (concept, local); one group is a concept's distinct words, whose square it takes in memory, as numbers alone.
     """
-    own = words.select("concept", "lang", "form").where("concept is not null and lang is not null and form is not null").distinct()
-    distances = word_distances(words.where("concept is not null and lang is not null and form is not null"), draws)
-    rows = own.groupBy("concept").cogroup(distances.groupBy("concept"))
-    return rows.applyInPandas(lambda w, d: _sets(w, d, thresholds), "threshold double, concept string, lang string, form string, local long")
+    own, distances = _distances(words.where("concept is not null and lang is not null and form is not null"), draws)
+    rows = own.select("concept", "lang", "form", "place").groupBy("concept").cogroup(distances.select("concept", "place_a", "place_b", "distance").groupBy("concept"))
+    return rows.applyInArrow(lambda w, d: _sets(w, d, thresholds), "threshold double, concept string, lang string, form string, local long")
 
 
 def sweep_summary(sets: DataFrame) -> DataFrame:
