@@ -250,6 +250,15 @@ def test_pages_by_ranges_of_bytes(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_books_of_one_file(spark, tmp_path):
+    """Many books go to one file, and come back page by page."""
+    texts = {k: "\f".join(f"page {k}\t{j}\n é" if (j + k) % 3 else " " for j in range(k % 5 + 1)) for k in range(400)}
+    S.write_books(spark.createDataFrame([*texts.items(), (None, "x")], "doc long, text string").repartition(2), str(tmp_path / "books"))
+    assert len(list((tmp_path / "books").rglob("*.txt"))) <= 2
+    expected = [(str(k), j, p) for k, t in texts.items() for j, p in enumerate(t.split("\f"), 1) if p != " "] + [("", 1, "x")]
+    assert rows(S.read_books(spark, str(tmp_path / "books")), "doc", "page_no", "text") == sorted(expected, key=repr)
+
+
 def test_tree(spark):
     trees = spark.createDataFrame([("f", "((L1:1,L2:1)[&posterior=0.97]:1,L3:2)[&posterior=1.0];"), ("g", None)], "file string, newick string")
     nodes = P.parse_trees(trees)
