@@ -259,6 +259,14 @@ def test_books_of_one_file(spark, tmp_path):
     assert rows(S.read_books(spark, str(tmp_path / "books")), "doc", "page_no", "text") == sorted(expected, key=repr)
 
 
+def test_coverage_counts_once(spark):
+    """Rows are counted once for both parts of the figures, and a blank is told without a replacement."""
+    forms = spark.createDataFrame([(1, 0, "AA", "x"), (1, 0, "BB", "\u00a0y "), (1, 1, "AA", "\u2003"), (2, 0, "AA", None)], "concept_id long, pos long, lang string, form string")
+    stats = W.coverage_stats(forms)
+    assert stats.inputFiles() and all("/wide_rows-" in f for f in stats.inputFiles())
+    assert (stats.first().n_rows, stats.first().max_langs) == (1, 2)
+
+
 def test_tree(spark):
     trees = spark.createDataFrame([("f", "((L1:1,L2:1)[&posterior=0.97]:1,L3:2)[&posterior=1.0];"), ("g", None)], "file string, newick string")
     nodes = P.parse_trees(trees)

@@ -49,7 +49,7 @@ def squeeze(c: Column) -> Column:
 
 def non_blank(c: Column) -> Column:
     """FI-1: not null and not only blanks."""
-    return F.coalesce(strip(c) != "", F.lit(False))
+    return F.coalesce(c.rlike(f"[^{BLANK[1:]}"), F.lit(False))
 
 
 def glue_marks(c: Column) -> Column:

@@ -106,6 +106,7 @@ def coverage_filter(forms: DataFrame, min_langs: int = 0, remove: tuple[str, ...
 def coverage_stats(forms: DataFrame) -> DataFrame:
     """AG-3, AG-4, AG-5: one row about languages per wide row and rows per concept."""
     rows = forms.where(T.non_blank(F.col("form"))).groupBy("concept_id", "pos").agg(F.count("*").alias("n"))
+    rows = kept(rows, "wide_rows")  # read twice
     a = rows.agg(F.min("n").alias("min_langs"), F.max("n").alias("max_langs"), F.round(F.avg("n"), 6).alias("mean_langs"), F.median("n").alias("median_langs"), F.count("*").alias("n_rows"))
     per = rows.groupBy("concept_id").agg(F.count("*").alias("k"))
     b = per.agg(F.count("*").alias("n_concepts"), F.count_if(F.col("k") > 1).alias("n_with_synonyms"), F.max("k").alias("most_synonyms"))
