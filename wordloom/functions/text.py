@@ -33,9 +33,12 @@ def _sub(c: Column, pattern: str, to: str) -> Column:
 
 
 def _bounded(pattern: str) -> str:
-    r"""\b as Python has it: combining marks are no word characters."""
-    edge = rf"(?:(?<={LETTER})(?!{LETTER})|(?<!{LETTER})(?={LETTER}))"
-    return pattern.replace(r"\b", edge).replace(r"\s", BLANK)
+    r"""\b before a pattern's first letter or after its last, as Python has it: combining marks are no word characters. The first letter is looked at first."""
+    if pattern.startswith(r"\b"):
+        pattern = f"(?={pattern[2]})(?<!{LETTER}){pattern[2:]}"
+    if pattern.endswith(r"\b"):
+        pattern = f"{pattern[:-2]}(?!{LETTER})"
+    return pattern.replace(r"\s", BLANK)
 
 
 def strip(c: Column) -> Column:
@@ -79,7 +82,7 @@ def clean_concept(c: Column) -> Column:
 def orthography(c: Column) -> Column:
     """S-5: spelling to phonetic signs; y at a word's start, or between two characters that aren't vowels, becomes j."""
     c = F.replace(F.replace(fix_word(c), F.lit("c"), F.lit("tʃ")), F.lit("j"), F.lit("dʒ"))
-    c = _sub(c, rf"(?<!{LETTER})y", "j")
+    c = _sub(c, rf"(?=y)(?<!{LETTER})y", "j")
     vowel = r"aeiouɛɔəʊɪãẽĩõṹ\x{301}\x{300}\x{304}\x{302}\x{30C}"
     return _sub(c, f"([^{vowel}])y([^{vowel}])", "$1j$2")
 
@@ -96,7 +99,7 @@ def clean_forms(c: Column) -> Column:
     c = _sub(c, r"=[^,/]+", "")
     c = _sub(c, r"\([^)]*\)", "")
     for word in ("also", "contrast"):
-        c = _sub(c, rf"(?iu)(?<!{LETTER}){word}{BLANK}+(?:(?!{BLANK})[^,/])+", "")
+        c = _sub(c, rf"(?iu)(?={word[0]})(?<!{LETTER}){word}{BLANK}+(?:(?!{BLANK})[^,/])+", "")
     c = F.translate(c, "'\"", "")
     c = _sub(c, rf"[*+](?={BLANK}|$)", "")
     c = _sub(c, r"\?+", "")
