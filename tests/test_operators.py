@@ -325,6 +325,24 @@ def test_sets_by_places(spark):
     assert sets == {(r.lang, r.form): r.local for r in L.cognate_sets(df, (0.4,), 200).where("concept = 'c1'").collect()}
 
 
+def test_sets_of_members(spark):
+    """A form that many languages have comes to a concept's group once; the sets are those of all words with all their distances."""
+    forms = ["pata", "bada", "pat", "bat", "mimo", "nimo"]
+    words = [(c, f"l{k:02}", f, list(f)) for c in "ab" for k in range(12) for f in forms if (k * 7 + len(f) + ord(f[0])) % 3]
+    words += [("b", lang, f, list("sol")) for lang, f in (("l00", "s-ol"), ("l00", "so-l"), ("l01", "s-ol"), ("l02", "so-l"))]  # the segments are the same, the forms are not
+    df = spark.createDataFrame(words, "concept string, lang string, form string, tokens array<string>")
+    own, distances = L._distances(df, 200)
+    members = {(r.concept, r.lang, r.form): r.member for r in own.collect()}
+    assert len({members[w[:3]] for w in words if w[0] == "a"}) == 6 and len({members[w[:3]] for w in words if w[0] == "b"}) == 10
+    found = {(r.threshold, r.concept, r.lang, r.form): r.local for r in L.cognate_sets(df, (0.0, 0.3, 0.5, 0.8), 200).collect()}
+    assert len(found) == 4 * len(words)
+    for c in "ab":
+        whole = own.where(F.col("concept") == c).select("concept", "lang", "form", "place").toArrow()
+        numbers = distances.where(F.col("concept") == c).select("concept", "place_a", "place_b", "distance").toArrow()
+        for r in L._sets(whole, numbers, (0.0, 0.3, 0.5, 0.8)).to_pylist():
+            assert found[r["threshold"], c, r["lang"], r["form"]] == r["local"]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('ConceptID,Concept,AA\n1,"say ""x"", or\ny",NA\n2,nan,b\n', encoding="utf-8")
     csv = S.read_csv(spark, str(tmp_path / "a.csv"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
-from .linkage import merge_tree, pair_index
+from .linkage import SCALE, merge_sums, pair_index
 from .numbering import numbered
 
 # Sound classes, each with the letters that have it.
@@ -190,9 +190,8 @@ def pair_score(x: str, y: str, attested: float, expected: float) -> float:
     return MIX * max(-1.0, min(1.0, odds / 2)) + (1 - MIX) * own
 
 
-def _scored(pairs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of two languages with their distances; words that recur are aligned once."""
-    own = ["concept", "place_a", "place_b", *_LANGS, "form_a", "form_b"]
+def _scored(pairs: pd.DataFrame, counts: pd.DataFrame, own: list[str]) -> pd.DataFrame:
+    """The columns own of pairs of two languages with their distances; words that recur are aligned once."""
     if not len(pairs):
         return pairs.assign(distance=[])[[*own, "distance"]]
     spelt = Spelt(pairs["word_a"], pairs["word_b"])
@@ -263,23 +262,37 @@ def _dealt(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *by)
 
 
-def _distances(words: DataFrame, draws: int | None) -> tuple[DataFrame, DataFrame]:
-    """(words (concept, lang, form, word, place), the distances of word_distances with place_a and place_b). A place is a word's among its concept's words, from 0, by lang and form."""
+_PLACED = "concept string, place_a int, place_b int, lang_a string, lang_b string, form_a string, form_b string"
+_MEMBERS = "concept string, member_a int, member_b int"
+
+
+def _distances(words: DataFrame, draws: int | None, of: str = _PLACED) -> tuple[DataFrame, DataFrame]:
+    """(words (concept, lang, form, word, place, member), the distances of word_distances with place_a and place_b, or with the columns of).
+
+    A place is a word's among its concept's words, from 0, by lang and form. Words of a concept that are one form with the same segments in several languages are
+    at distance 0 and a single member, numbered by its first place; with _MEMBERS their distances are left out. Segments that several forms have make no member:
+    such words of one language are at distance 1.
+    """
     own = words.dropDuplicates(["concept", "lang", "form"]).select("concept", "lang", "form", F.array_join("tokens", JOINED).alias("word"))
     place = F.row_number().over(Window.partitionBy("concept").orderBy("lang", "form")) - 1
-    own = kept(own.withColumn("place", place), "words")
+    alike = Window.partitionBy("concept", "word")
+    single = F.col("word").isNotNull() & (F.min("form").over(alike) == F.max("form").over(alike))
+    own = own.withColumn("place", place).withColumn("member", F.when(single, F.min("place").over(alike)).otherwise(F.col("place")))
+    own = kept(own, "words")
     spellings = _spellings(own)
     known = _dealt(own.join(spellings, "word"), "concept", "lang", "form")
-    side = lambda s: known.select("concept", *(F.col(c).alias(f"{c}_{s}") for c in ("lang", "form", "place", "word", "spelt")))
+    side = lambda s: known.select("concept", *(F.col(c).alias(f"{c}_{s}") for c in ("lang", "form", "place", "member", "word", "spelt")))
     pairs = kept(side("a").join(side("b"), "concept").where("lang_a < lang_b"), "pairs")
     counts = kept(_counts(pairs.drop("word_a", "word_b"), spellings, draws), "segments")
     parts = kept(pairs.groupBy(*_LANGS).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "parts")
-    dealt = pairs.join(parts, _LANGS).withColumn("salt", F.pmod(F.xxhash64("concept", "place_a", "place_b"), "parts").cast("int")).drop("parts", "spelt_a", "spelt_b")
+    keys, carried = [*_LANGS, "salt"], [c.split()[0] for c in of.split(", ")]
+    asked = pairs.where("member_a <> member_b") if of == _MEMBERS else pairs
+    dealt = asked.join(parts, _LANGS).withColumn("salt", F.pmod(F.xxhash64("concept", "place_a", "place_b"), "parts").cast("int"))
+    dealt = dealt.select(*dict.fromkeys([*carried, *keys, "word_a", "word_b"]))
     each = counts.join(parts, _LANGS).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     n = 4 * words.sparkSession.sparkContext.defaultParallelism
-    keys = [*_LANGS, "salt"]
     dealt, each = dealt.repartition(n, *keys), each.repartition(n, *keys)
-    return own, dealt.groupBy(*keys).cogroup(each.groupBy(*keys)).applyInPandas(_scored, "concept string, place_a int, place_b int, lang_a string, lang_b string, form_a string, form_b string, distance double")
+    return own, dealt.groupBy(*keys).cogroup(each.groupBy(*keys)).applyInPandas(lambda p, c: _scored(p, c, carried), f"{of}, distance double")
 
 
 def word_distances(words: DataFrame, draws: int | None = DRAWS) -> DataFrame:
@@ -291,28 +304,40 @@ def word_distances(words: DataFrame, draws: int | None = DRAWS) -> DataFrame:
 
 
 def _sets(words: pa.Table, distances: pa.Table, thresholds: tuple[float, ...]) -> pa.Table:
-    """A concept's words (concept, lang, form, place) and distances (concept, place_a, place_b, distance) to its sets at each threshold: one tree, cut as often as asked."""
+    """A concept's words (concept, form, place and more) and distances (concept, place_a, place_b, distance) to its sets at each threshold: one tree, cut as often as asked.
+
+    A word with n stands for n of its form; two of these then have sums (total, n) over n pairs in place of a distance. Pairs without a distance are 1 apart, or 0 if their forms are the same.
+    """
     words = words.sort_by("place")
-    n = words.num_rows
+    n, place = words.num_rows, words["place"].to_numpy()
     form = pd.factorize(words["form"].to_numpy())[0]
-    first, second = np.triu_indices(n, 1)
-    d = (form[first] != form[second]).astype(float)  # of words of one language
-    del first, second
-    i, j = (distances[f"place_{s}"].to_numpy().astype(np.int64) for s in "ab")
-    d[pair_index(n, np.minimum(i, j), np.maximum(i, j))] = distances["distance"].to_numpy()
-    tree = merge_tree(d, np.ones(n))
-    own = words.select(["concept", "lang", "form"])
+    weight = words["n"].to_numpy().astype(float) if "n" in words.column_names else np.ones(n)
+    total = np.empty(n * (n - 1) // 2)
+    for i in range(n - 1):
+        at = pair_index(n, i, i + 1)
+        total[at : at + n - 1 - i] = SCALE * weight[i] * weight[i + 1 :] * (form[i] != form[i + 1 :])
+    for batch in distances.to_batches():
+        i, j = (np.searchsorted(place, batch[f"place_{s}"].to_numpy()) for s in "ab")
+        found, of = (batch["total"].to_numpy(), batch["n"].to_numpy()) if "total" in batch.schema.names else (np.rint(batch["distance"].to_numpy() * SCALE), 1)
+        total[pair_index(n, np.minimum(i, j), np.maximum(i, j))] += found - SCALE * (form[i] != form[j]) * of
+    tree = merge_sums(total, weight)
+    own = words.drop_columns([c for c in ("n",) if c in words.column_names])
     return pa.concat_tables(own.add_column(0, "threshold", pa.array(np.full(n, t))).append_column("local", pa.array(tree.labels(t).astype(np.int64))) for t in thresholds)
 
 
 def cognate_sets(words: DataFrame, thresholds: tuple[float, ...] = (0.50, 0.55, 0.60), draws: int | None = DRAWS) -> DataFrame:
     """CL-5, CL-6: (threshold, concept, lang, form, local): sets within each concept, for all thresholds from one training and one tree.
 
-    A set's id over all concepts is (concept, local); one group is a concept's distinct words, whose square it takes in memory, as numbers alone.
+    A set's id over all concepts is (concept, local); one group is a concept's members, which are its distinct forms however many languages have them, and
+    whose square it takes in memory, as numbers alone. Distances of words are summed up for two members before they come to a group.
     """
-    own, distances = _distances(words.where("concept is not null and lang is not null and form is not null"), draws)
-    rows = own.select("concept", "lang", "form", "place").groupBy("concept").cogroup(distances.select("concept", "place_a", "place_b", "distance").groupBy("concept"))
-    return rows.applyInArrow(lambda w, d: _sets(w, d, thresholds), "threshold double, concept string, lang string, form string, local long")
+    own, distances = _distances(words.where("concept is not null and lang is not null and form is not null"), draws, _MEMBERS)
+    members = own.groupBy("concept", F.col("member").alias("place")).agg(F.first("form").alias("form"), F.count("*").alias("n"))
+    two = [F.least("member_a", "member_b").alias("place_a"), F.greatest("member_a", "member_b").alias("place_b")]
+    sums = distances.groupBy("concept", *two).agg(F.sum(F.rint(F.col("distance") * SCALE).cast("long")).alias("total"), F.count("*").alias("n"))
+    sets = members.groupBy("concept").cogroup(sums.groupBy("concept")).applyInArrow(lambda w, d: _sets(w, d, thresholds), "threshold double, concept string, place int, form string, local long")
+    found = sets.select("threshold", "concept", F.col("place").alias("member"), "local")
+    return own.join(found, ["concept", "member"]).select("threshold", "concept", "lang", "form", "local")
 
 
 def sweep_summary(sets: DataFrame) -> DataFrame:

@@ -46,11 +46,18 @@ class MergeTree:
 def merge_tree(distance: np.ndarray, weight: np.ndarray) -> MergeTree:
     """The tree of a condensed matrix. A member of weight w stands for w equal ones, which would have been joined at distance 0."""
     n = len(weight)
-    w, alive, every = weight.astype(float).copy(), np.ones(n, bool), np.arange(n)
-    before = pair_index(n, every, 0) if n else every  # pair (k, i) is at before[k] + i
+    w, start = weight.astype(float), 0
     total = np.rint(distance * SCALE)
     for i in range(n - 1):
-        total[before[i] + i + 1 : before[i] + n] *= w[i] * w[i + 1 :]
+        total[start : (start := start + n - 1 - i)] *= w[i] * w[i + 1 :]
+    return merge_sums(total, weight)
+
+
+def merge_sums(total: np.ndarray, weight: np.ndarray) -> MergeTree:
+    """The tree of a condensed matrix of sums over the pairs of what two members stand for, in 1 / SCALE; the matrix is written over."""
+    n = len(weight)
+    w, alive, every = weight.astype(float).copy(), np.ones(n, bool), np.arange(n)
+    before = pair_index(n, every, 0) if n else every  # pair (k, i) is at before[k] + i
     into, height = every.copy(), np.full(n, np.inf)
 
     def row(i: int) -> np.ndarray:
