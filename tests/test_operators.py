@@ -343,6 +343,19 @@ def test_sets_of_members(spark):
             assert found[r["threshold"], c, r["lang"], r["form"]] == r["local"]
 
 
+@pytest.mark.parametrize("most", [1, 9])
+def test_sets_of_a_concept_larger_than_a_group(spark, monkeypatch, most):
+    """Rounds over the cluster, with ties, give the sets of one tree in memory; no group has more than MEMBERS clusters."""
+    rng = random.Random(6)
+    words = {("a", f"l{rng.randrange(5)}", "".join(rng.choice(("ptk", "aei")[i % 2]) for i in range(rng.choice((3, 4))))) for _ in range(60)}
+    words |= {("b", lang, f) for lang in ("l1", "l2") for f in ("pat", "bad")} | {("a", "l1", "p-at"), ("a", "l2", "pa-t"), ("a", "l2", "p-at")}
+    df = spark.createDataFrame([(*w, list(w[2].replace("-", ""))) for w in sorted(words)], "concept string, lang string, form string, tokens array<string>")
+    ask = lambda: {(r.threshold, r.concept, r.lang, r.form): r.local for r in L.cognate_sets(df, (0.0, 0.3, 0.5, 0.6, 1.0), 200).collect()}
+    whole = ask()
+    monkeypatch.setattr(L, "MEMBERS", most)
+    assert len(whole) == 5 * len(words) and ask() == whole
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('ConceptID,Concept,AA\n1,"say ""x"", or\ny",NA\n2,nan,b\n', encoding="utf-8")
     csv = S.read_csv(spark, str(tmp_path / "a.csv"))

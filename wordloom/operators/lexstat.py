@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import kept
-from .linkage import SCALE, merge_sums, pair_index
+from ..sources.shared import dropped, kept
+from .linkage import NEAR, SCALE, MergeTree, merge_sums, pair_index
 from .numbering import numbered
 
 # Sound classes, each with the letters that have it.
@@ -303,8 +304,8 @@ def word_distances(words: DataFrame, draws: int | None = DRAWS) -> DataFrame:
     return _distances(words, draws)[1].select("concept", "lang_a", "form_a", "lang_b", "form_b", "distance")
 
 
-def _sets(words: pa.Table, distances: pa.Table, thresholds: tuple[float, ...]) -> pa.Table:
-    """A concept's words (concept, form, place and more) and distances (concept, place_a, place_b, distance) to its sets at each threshold: one tree, cut as often as asked.
+def _tree(words: pa.Table, distances: pa.Table) -> tuple[pa.Table, MergeTree]:
+    """A concept's words (form, place and more) by place, and the tree by their distances (place_a, place_b, distance).
 
     A word with n stands for n of its form; two of these then have sums (total, n) over n pairs in place of a distance. Pairs without a distance are 1 apart, or 0 if their forms are the same.
     """
@@ -320,24 +321,101 @@ def _sets(words: pa.Table, distances: pa.Table, thresholds: tuple[float, ...]) -
         i, j = (np.searchsorted(place, batch[f"place_{s}"].to_numpy()) for s in "ab")
         found, of = (batch["total"].to_numpy(), batch["n"].to_numpy()) if "total" in batch.schema.names else (np.rint(batch["distance"].to_numpy() * SCALE), 1)
         total[pair_index(n, np.minimum(i, j), np.maximum(i, j))] += found - SCALE * (form[i] != form[j]) * of
-    tree = merge_sums(total, weight)
+    return words, merge_sums(total, weight)
+
+
+def _sets(words: pa.Table, distances: pa.Table, thresholds: tuple[float, ...]) -> pa.Table:
+    """A concept's words and distances, as _tree has them, to its sets at each threshold: one tree, cut as often as asked."""
+    words, tree = _tree(words, distances)
     own = words.drop_columns([c for c in ("n",) if c in words.column_names])
-    return pa.concat_tables(own.add_column(0, "threshold", pa.array(np.full(n, t))).append_column("local", pa.array(tree.labels(t).astype(np.int64))) for t in thresholds)
+    return pa.concat_tables(own.add_column(0, "threshold", pa.array(np.full(len(own), t))).append_column("local", pa.array(tree.labels(t).astype(np.int64))) for t in thresholds)
+
+
+def _merges(words: pa.Table, distances: pa.Table) -> pa.Table:
+    """A concept's words and distances, as _tree has them, to the tree itself: (concept, place, into, height)."""
+    words, tree = _tree(words, distances)
+    place, joined = words["place"].to_numpy(), np.isfinite(tree.height)
+    return pa.table({"concept": words["concept"].filter(pa.array(joined)), "place": place[joined], "into": place[tree.into[joined]], "height": tree.height[joined]})
+
+
+def _cut(rows: pa.Table, thresholds: tuple[float, ...]) -> pa.Table:
+    """A concept's members with what each joins (concept, place, into, height) to its sets at each threshold. No distance is above 1."""
+    rows = rows.sort_by("place")
+    tree = MergeTree(np.searchsorted(rows["place"].to_numpy(), rows["into"].to_numpy()), rows["height"].to_numpy())
+    own = rows.select(["concept", "place"])
+    local = lambda t: tree.labels(t).astype(np.int64) if t + NEAR < 1 else np.zeros(len(own), np.int64)
+    return pa.concat_tables(own.add_column(0, "threshold", pa.array(np.full(len(own), t))).append_column("local", pa.array(local(t))) for t in thresholds)
+
+
+def _joined(members: DataFrame, sums: DataFrame, top: float) -> DataFrame:
+    """(concept, place, into, height): what members join up to the height top, the tree of _tree, by rounds over the cluster until a concept has MEMBERS clusters.
+
+    In a round each two clusters that are nearest to each other are joined, of equally near ones those with the smallest first members. That joins no others than
+    one at a time would, as a cluster is no nearer to two that are joined than to one of them. A cluster that has nothing up to top will have nothing later, and goes.
+    What is kept of two clusters is how much less than 1 their pairs' distances sum up to; those with nothing less have no row.
+    """
+    pair = ["concept", "place_a", "place_b"]
+    end = lambda s, *more: members.select("concept", F.col("place").alias(f"place_{s}"), F.col("n").alias(f"w_{s}"), *more)
+    pairs = F.col("w_a") * F.col("w_b")
+    alike = end("a", "form").join(end("b", "form"), ["concept", "form"]).where("place_a < place_b").join(sums, pair, "left")
+    alike = alike.select(*pair, ((pairs - F.coalesce("n", F.lit(0))) * SCALE).alias("near"))
+    near = sums.select(*pair, (F.col("n") * SCALE - F.col("total")).alias("near")).unionByName(alike).groupBy(*pair).agg(F.sum("near").alias("near"))
+    near = kept(near.where("near > 0").join(end("a"), ["concept", "place_a"]).join(end("b"), ["concept", "place_b"]), "near")
+    mean = (pairs * SCALE - F.col("near")).cast("double") / pairs
+    merges = []
+    while True:
+        way = lambda x, y: F.struct(F.col(f"place_{x}").alias("x"), F.col(f"w_{x}").alias("w"), mean.alias("mean"), F.col(f"place_{y}").alias("y"))
+        ways = near.where(mean <= top * SCALE).select("concept", F.inline(F.array(way("a", "b"), way("b", "a"))))
+        live = kept(ways.groupBy("concept", "x").agg(F.max("w").alias("w"), F.min(F.struct("mean", "y")).alias("to")), "live")
+        if live.groupBy("concept").count().where(F.col("count") > MEMBERS).isEmpty():
+            break
+        other = live.select("concept", F.col("x").alias("y"), F.col("w").alias("w_y"), F.col("to.y").alias("back"))
+        now = live.select("concept", "x", "w", "to.mean", "to.y").join(other, ["concept", "y"])
+        both = F.col("back") == F.col("x")
+        now = kept(now.select("concept", "x", F.when(both, F.least("x", "y")).otherwise(F.col("x")).alias("into"), F.when(both, F.col("w") + F.col("w_y")).otherwise(F.col("w")).alias("w"), "mean"), "clusters")
+        merges.append(now.where("into <> x").select("concept", F.col("x").alias("place"), "into", (F.col("mean") / SCALE).alias("height")))
+        at = lambda s: now.select("concept", F.col("x").alias(f"place_{s}"), F.struct(F.col("into").alias("place"), "w").alias(s))
+        step = near.select(*pair, "near").join(at("a"), ["concept", "place_a"]).join(at("b"), ["concept", "place_b"]).where("a.place <> b.place")
+        step = step.groupBy("concept", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("near").alias("near"))
+        step = kept(step.select("concept", *(F.col(f"{s}.{c}").alias(f"{name}_{s}") for s in "ab" for c, name in (("place", "place"), ("w", "w"))), "near"), "near")
+        dropped(near)
+        near = step
+    rest = live.select("concept", F.col("x").alias("place"), F.col("x").cast("string").alias("form"), F.col("w").alias("n"))
+    for s in "ab":
+        near = near.join(live.select("concept", F.col("x").alias(f"place_{s}")), ["concept", f"place_{s}"], "left_semi")
+    less = near.select(*pair, (-F.col("near")).alias("total"), F.lit(0).cast("long").alias("n"))
+    merges.append(rest.groupBy("concept").cogroup(less.groupBy("concept")).applyInArrow(_merges, "concept string, place int, into int, height double"))
+    return reduce(DataFrame.unionByName, merges)
+
+
+MEMBERS = 2000  # of a concept whose sets are made in one group
 
 
 def cognate_sets(words: DataFrame, thresholds: tuple[float, ...] = (0.50, 0.55, 0.60), draws: int | None = DRAWS) -> DataFrame:
     """CL-5, CL-6: (threshold, concept, lang, form, local): sets within each concept, for all thresholds from one training and one tree.
 
     A set's id over all concepts is (concept, local); one group is a concept's members, which are its distinct forms however many languages have them, and
-    whose square it takes in memory, as numbers alone. Distances of words are summed up for two members before they come to a group.
+    whose square it takes in memory, as numbers alone. Distances of words are summed up for two members before they come to a group. A concept of more
+    than MEMBERS members is joined by rounds over the cluster until as many clusters are left, so that no group takes more than the square of MEMBERS.
     """
     own, distances = _distances(words.where("concept is not null and lang is not null and form is not null"), draws, _MEMBERS)
     members = own.groupBy("concept", F.col("member").alias("place")).agg(F.first("form").alias("form"), F.count("*").alias("n"))
     two = [F.least("member_a", "member_b").alias("place_a"), F.greatest("member_a", "member_b").alias("place_b")]
     sums = distances.groupBy("concept", *two).agg(F.sum(F.rint(F.col("distance") * SCALE).cast("long")).alias("total"), F.count("*").alias("n"))
-    sets = members.groupBy("concept").cogroup(sums.groupBy("concept")).applyInArrow(lambda w, d: _sets(w, d, thresholds), "threshold double, concept string, place int, form string, local long")
-    found = sets.select("threshold", "concept", F.col("place").alias("member"), "local")
-    return own.join(found, ["concept", "member"]).select("threshold", "concept", "lang", "form", "local")
+    large = members.groupBy("concept").count().where(F.col("count") > MEMBERS).select("concept")
+    if whole := large.isEmpty():
+        few, near = members, sums
+    else:
+        large, sums = kept(large, "large"), kept(sums, "sums")
+        few, near = (df.join(large, "concept", "left_anti") for df in (members, sums))
+    found = few.groupBy("concept").cogroup(near.groupBy("concept")).applyInArrow(lambda w, d: _sets(w, d, thresholds), "threshold double, concept string, place int, form string, local long")
+    found = found.drop("form")
+    if not whole:
+        many, near = (kept(df.join(large, "concept", "left_semi"), name) for df, name in ((members, "members"), (sums, "sums")))
+        top = max((t + NEAR for t in thresholds if t + NEAR < 1), default=0.0)
+        tree = many.join(_joined(many, near, top), ["concept", "place"], "left").select("concept", "place", F.coalesce("into", "place").alias("into"), F.coalesce("height", F.lit(math.inf)).alias("height"))
+        found = found.unionByName(tree.groupBy("concept").applyInArrow(lambda rows: _cut(rows, thresholds), "threshold double, concept string, place int, local long"))
+    return own.join(found.withColumnRenamed("place", "member"), ["concept", "member"]).select("threshold", "concept", "lang", "form", "local")
 
 
 def sweep_summary(sets: DataFrame) -> DataFrame:
